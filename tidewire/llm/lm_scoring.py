@@ -25,10 +25,10 @@ from ._common import ASCII_LOWER, binary, fold, ready
 END = b" "  # no word holds a space
 LISTED = 100_000  # most frequent tokens whose counts are broadcast; the others are joined
 WORDS = 4096  # of these, the model's vocabulary
-CLASSES = 48  # of known words; one more each for END, for unknown words, and for the start as history
+CLASSES = 32  # of known words; one more each for END, for unknown words, and for the start as history
 ROWS = 1 << 14  # of the hashed table
 SIGNS = 64  # frequent words whose share in its documents describes a word
-MINIBATCH, RATE, ROUNDS = 8192, 0.5, 2
+MINIBATCH, RATE, ROUNDS = 16384, 0.5, 2
 TOKENS_A_LEARNER = 1_000_000
 FLUSH = 1 << 18
 
@@ -142,14 +142,14 @@ def learn_classes(texts: DataFrame, vocabulary: Vocabulary, shared: Broadcast) -
     words, end = vocabulary.words, vocabulary.ids.get(END, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, out = shared.value, np.zeros((words, SIGNS), np.float64)
+        v, out = shared.value, np.zeros((words, SIGNS), np.float32)
         for batch in batches:
             ids, starts, _ = v.encode(binary(batch.column(0)))
             for a, b in zip(starts, starts[1:]):
                 own = ids[a:b]
-                signs = np.bincount(own[(own >= 0) & (own < SIGNS)], minlength=SIGNS).astype(np.float64)
-                known = np.unique(own[(own >= 0) & (own < words)])
-                out[known] += np.sqrt(signs / max(1.0, signs.sum()))
+                held = np.bincount(own[(own >= 0) & (own < words)], minlength=SIGNS)
+                signs = held[:SIGNS].astype(np.float32)
+                out[np.flatnonzero(held)] += np.sqrt(signs / max(1.0, signs.sum()))
         yield _blocks([(k, out[k : k + 256]) for k in range(0, words, 256)])
 
     found = _summed(texts.select("text").mapInArrow(run, _BLOCK))
@@ -200,12 +200,12 @@ class Model:
             return out
 
         classes = of[word]
-        w1, w2, w3 = (back(word, k, known + 1) for k in (1, 2, 3))
+        w1, w2 = (back(word, k, known + 1) for k in (1, 2))
         last = np.maximum.accumulate(np.where(word < known, place, -1)) if n else place
         last = back(last, 1, -1)
         last_word = np.where(last >= begin, word[np.maximum(last, 0)], known + 1)
         c = [back(classes, k, START) for k in (1, 2, 3, 4)]
-        mixes = (w1, w1 * 8191 + w2, w2 * 8191 + w3, last_word, ((c[0] * 64 + c[1]) * 64 + c[2]) * 64 + c[3])
+        mixes = (w1, w1 * 8191 + w2, last_word, ((c[0] * 64 + c[1]) * 64 + c[2]) * 64 + c[3])
         rows = np.stack([((m.astype(np.uint64) * np.uint64(5) + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(50) for k, m in enumerate(mixes)])
         return word, classes, rows.astype(np.uint16), of[last_word]
 
@@ -341,17 +341,17 @@ def score_texts(df: DataFrame, held_out=None) -> DataFrame:
             else:
                 score = unigram
             sums = [np.add.reduceat(x, starts[:-1]).tolist() if len(ids) else [] for x in (unigram, score, met[ids].astype(np.int64))]
-            cold = [[t for t, i in zip(w, ids[a:b].tolist()) if i < 0] for w, a, b in zip(tokens, starts, starts[1:])]
+            cold = [list(Counter([w[i] for i in np.flatnonzero(ids[a:b] < 0).tolist()]).items()) for w, a, b in zip(tokens, starts, starts[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.diff(starts)), pa.array(sums[2], pa.int64()), pa.array(sums[0], pa.float64()), pa.array(sums[1], pa.float64()), pa.array(cold, pa.list_(pa.binary()))],
+                [batch.column(0), batch.column(1), pa.array(np.diff(starts)), pa.array(sums[2], pa.int64()), pa.array(sums[0], pa.float64()), pa.array(sums[1], pa.float64()), pa.array(cold, pa.map_(pa.binary(), pa.int64()))],
                 ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "cold"],
             )
 
-    schema = T.StructType([df.schema["doc_id"]]).add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double").add("cold", T.ArrayType(T.BinaryType()))
+    schema = T.StructType([df.schema["doc_id"]]).add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double").add("cold", T.MapType(T.BinaryType(), T.LongType(), False))
     scored = df.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(run, schema)
     scored = scored.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
     # tokens not listed are rare, each with less than a LISTED-th of all: their counts come by a join without hot keys
-    rare = scored.select("_row", F.explode("cold").alias("token")).groupBy("_row", "token").count()
+    rare = scored.select("_row", F.explode("cold").alias("token", "count"))
     c = F.coalesce(F.col("n"), F.lit(0))
     log = F.log10((c + 0.5) / F.lit(vocabulary.total + 0.5 * (vocabulary.distinct + 1)))
     added = rare.join(counts, "token", "left").groupBy("_row").agg(F.sum(log * F.col("count")).alias("more"), F.sum(F.when(c > 0, F.col("count")).otherwise(0)).alias("more_known"))
