@@ -69,7 +69,7 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, source: str = "s
     Numbering needs no source in one task: rows are numbered within groups of about GROUP_ROWS by md5, and a group's
     first number comes from the groups' counts.
     """
-    df = df.drop(*[c for c in df.columns if c.lower() in ("mix_seq", "mix_block", "mix_slot", "_key", "_md5", "_group")])
+    df = df.drop(*[c for c in df.columns if c.lower() in ("mix_seq", "mix_block", "mix_slot", "_key", "_md5", "_group", "_n", "_before", "_job", "_slot", "_u", "_q")])
     rows = df.agg(F.count("*")).first()[0]
     digits = 1
     while digits < 6 and rows > GROUP_ROWS * 16**digits:
@@ -86,8 +86,9 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, source: str = "s
     numbered = keyed.withColumn("_n", F.row_number().over(order) - 1).join(offsets, ["_key", "_group"])
     numbered = numbered.withColumn("mix_seq", (F.col("_before") + F.col("_n")).cast("long"))
     numbered = numbered.withColumn("mix_block", F.floor(F.col("mix_seq") / block_rows).cast("long"))
-    sizes = jobs.select(F.col("key").alias("_key"), "u", "q").distinct()
-    placed = numbered.join(F.broadcast(sizes), "_key").withColumn("job", F.col("mix_block") % F.col("u"))
-    placed = placed.join(F.broadcast(jobs.select(F.col("key").alias("_key"), "job", "slot")), ["_key", "job"])
-    slot = F.floor(F.col("mix_block") / F.col("u")) * F.col("q") + F.col("slot")
+    jobs = jobs.select(F.col("key").alias("_key"), F.col("job").alias("_job"), F.col("slot").alias("_slot"), F.col("u").alias("_u"), F.col("q").alias("_q"))
+    sizes = jobs.select("_key", "_u", "_q").distinct()
+    placed = numbered.join(F.broadcast(sizes), "_key").withColumn("_job", F.col("mix_block") % F.col("_u"))
+    placed = placed.join(F.broadcast(jobs.select("_key", "_job", "_slot")), ["_key", "_job"])
+    slot = F.floor(F.col("mix_block") / F.col("_u")) * F.col("_q") + F.col("_slot")
     return placed.select(*df.columns, "mix_seq", "mix_block", slot.cast("long").alias("mix_slot"))
