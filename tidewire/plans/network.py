@@ -210,11 +210,11 @@ def f02_path_profiles(spark, sf_dir):
 
 @query("""
     SELECT conv_id, turn, round(1 - levenshtein(lower(text), lower(nxt)) / CAST(greatest(1, length(text), length(nxt)) AS DOUBLE), 6) AS ratio
-    FROM (SELECT conv_id, turn, substr(text, 1, 200) AS text, substr(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), 1, 200) AS nxt FROM messages) WHERE nxt IS NOT NULL
+    FROM (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', '', 'g') AS text, regexp_replace(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '[^ -~]', '', 'g') AS nxt FROM messages) WHERE nxt IS NOT NULL
 """)
 def k02_message_similarity(spark, sf_dir):
     nxt = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    m = messages(spark, sf_dir).select("conv_id", "turn", F.substring("text", 1, 200).alias("text"), F.substring(nxt, 1, 200).alias("nxt")).where("nxt is not null")
+    m = messages(spark, sf_dir).select("conv_id", "turn", F.regexp_replace("text", "[^ -~]", "").alias("text"), F.regexp_replace(nxt, "[^ -~]", "").alias("nxt")).where("nxt is not null")
     return m.select("conv_id", "turn", F.round(edit_ratio(F.lower("text"), F.lower("nxt")), 6).alias("ratio"))
 
 
