@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 16
 UNITS = 200  # of a period, before each source gets one at least
-GROUP_ROWS = 4096
+GROUP_ROWS = 256
 
 _EDF = """
     aggregate(
@@ -72,7 +72,7 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, source: str = "s
     df = df.drop(*[c for c in df.columns if c.lower() in ("mix_seq", "mix_block", "mix_slot", "_key", "_md5", "_group", "_n", "_before", "_job", "_slot", "_u", "_q")])
     rows = df.agg(F.count("*")).first()[0]
     digits = 1
-    while digits < 6 and rows > GROUP_ROWS * 16**digits:
+    while digits < 5 and rows > GROUP_ROWS * 16**digits:
         digits += 1
     md5 = F.md5(F.coalesce(F.col(id).cast("string"), F.lit("")).cast("binary"))
     keyed = df.withColumns({"_key": _source_key(source), "_md5": md5}).withColumn("_group", F.substring("_md5", 1, digits))
