@@ -89,9 +89,14 @@ def test_links_of_dense_and_spread_fingerprints(spark):
         fps.add(x)
     signed = [(f - (1 << 64) if f >> 63 else f, n) for n, f in enumerate(sorted(fps))]
     simhash_dedup.ready(spark)
-    got = {(r.a, r.b) for r in simhash_dedup.links(spark.createDataFrame(signed, "fp long, id long")).collect()}
+    df = spark.createDataFrame(signed, "fp long, id long").selectExpr("fp", "id", "id AS label", "1L AS n")
+    layout = simhash_dedup._layout(df, 4)
+    got = {(r.a, r.b) for r in simhash_dedup.links(df, layout).collect()}
     ordered = sorted(fps)
-    assert got == {(i, j) for i in range(len(ordered)) for j in range(i + 1, len(ordered)) if (ordered[i] ^ ordered[j]).bit_count() <= 4}
+    pairs = {(i, j) for i in range(len(ordered)) for j in range(i + 1, len(ordered)) if (ordered[i] ^ ordered[j]).bit_count() <= 4}
+    assert got == pairs
+    star = {(r.a, r.b) for r in simhash_dedup.stars(df, layout).collect()}
+    assert star and star <= pairs and len(star) <= len(ordered) * len(layout)
 
 
 def test_thresholds_cover_every_pair():

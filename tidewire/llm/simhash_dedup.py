@@ -115,23 +115,47 @@ def _variants(part: int, masked: Column, flips: list[int]) -> Column:
     return F.transform(F.array(*map(F.lit, flips)), lambda f: F.struct(F.lit(part).alias("part"), masked.bitwiseXOR(f).alias("key")))
 
 
-def links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Pairs a < b of ids of distinct fingerprints (columns fp, id) within ``limit`` bits, each once."""
-    rows = fps.count()
+def _layout(fps: DataFrame, limit: int) -> list[tuple[list[int], int]]:
     sample = fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").collect()
-    layout = plan(np.array([r[0] for r in sample], np.int64).view(np.uint64), rows, limit)
-    index, probe = [], []
+    return plan(np.array([r[0] for r in sample], np.int64).view(np.uint64), fps.count(), limit)
+
+
+def _masked(group: list[int]) -> Column:
+    return F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in group))))
+
+
+def _keyed(fps: DataFrame, layout: list[tuple[list[int], int]]) -> DataFrame:
+    """A row for each fingerprint and group of bits, keyed by the fingerprint's bits there."""
+    index = [F.struct(F.lit(k).alias("part"), _masked(g).alias("key")) for k, (g, _) in enumerate(layout)]
+    return fps.select("*", F.explode(F.array(*index)).alias("s")).select("*", "s.*").drop("s")
+
+
+def _apart(limit: int) -> Column:
+    return F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= limit
+
+
+def stars(fps: DataFrame, layout: list[tuple[list[int], int]], limit: int = LIMIT) -> DataFrame:
+    """Verified pairs a < b of each fingerprint with the most frequent one of its bucket: no more rows than keys."""
+    keyed = _keyed(fps, layout)
+    hub = keyed.groupBy("part", "key").agg(F.count("*").alias("m"), F.max_by(F.struct("fp", "id"), F.struct("n", "fp")).alias("hub")).where("m > 1")
+    hub = hub.select("part", "key", F.col("hub.fp").alias("fp_b"), F.col("hub.id").alias("id_b"))
+    found = keyed.withColumnsRenamed({"fp": "fp_a", "id": "id_a"}).join(hub, ["part", "key"]).where((F.col("fp_a") != F.col("fp_b")) & _apart(limit))
+    return found.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
+def links(fps: DataFrame, layout: list[tuple[list[int], int]], limit: int = LIMIT) -> DataFrame:
+    """Pairs a < b within ``limit`` bits, each once, from distinct fingerprints (fp, label): a pair is of labels, and
+    fingerprints that share a label aren't paired. With a label of its own for each, these are all pairs."""
+    probe = []
     for k, (group, t) in enumerate(layout):
-        mask = F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in group))))
-        index.append(F.struct(F.lit(k).alias("part"), mask.alias("key")))
         flips = [_signed(sum(1 << b for b in c)) for n in range(t + 1) for c in combinations(group, n)]
-        probe.append(_variants(k, mask, flips))
-    left = fps.select("fp", "id", F.explode(F.flatten(F.array(*probe))).alias("s")).select(F.col("fp").alias("fp_a"), F.col("id").alias("id_a"), "s.*")
-    right = fps.select("fp", "id", F.explode(F.array(*index)).alias("s")).select(F.col("fp").alias("fp_b"), F.col("id").alias("id_b"), "s.*")
-    near = (F.col("fp_a") < F.col("fp_b")) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= limit)
+        probe.append(_variants(k, _masked(group), flips))
+    left = fps.select("fp", "label", F.explode(F.flatten(F.array(*probe))).alias("s")).select(F.col("fp").alias("fp_a"), F.col("label").alias("label_a"), "s.*")
+    right = _keyed(fps.select("fp", "label"), layout).withColumnsRenamed({"fp": "fp_b", "label": "label_b"})
     same = (left["part"] == right["part"]) & (left["key"] == right["key"])
+    near = (F.col("fp_a") < F.col("fp_b")) & (F.col("label_a") != F.col("label_b")) & _apart(limit)
     found = left.join(right.hint("shuffle_hash"), same & near)
-    return found.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    return found.select(F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -165,10 +189,14 @@ def near_duplicates(df: DataFrame, limit: int = LIMIT) -> DataFrame:
     this fingerprint has a doc_id. Repeated rows get equal results; an empty table stays empty.
     """
     found = fingerprints(df).checkpoint()
-    fps = found.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")).checkpoint()
-    # the ids in links are few, copies and near copies; fingerprints without a link keep their own id
-    of = components(links(fps, limit))
-    known = fps.join(of, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    fps = found.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")).checkpoint()
+    layout = _layout(fps, limit)
+    # first each bucket's star, so that a large group of near copies falls into few labels; then the pairs between
+    # labels, which alone can join more; fingerprints without a link keep their own id
+    star = components(stars(fps, layout, limit))
+    labelled = fps.join(star, "id", "left").select("fp", F.coalesce("component", "id").alias("label")).checkpoint()
+    of = components(links(labelled, layout, limit)).withColumnRenamed("id", "label")
+    known = labelled.join(of, "label", "left").select("fp", F.coalesce("component", "label").alias("component_id"))
     return found.join(known, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
