@@ -6,16 +6,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sinks import shared_folder
 from .relational import either_way
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a loop: in the session's checkpoint folder, or in a new one where none is set."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    """Cuts the lineage of a loop."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,19 +52,24 @@ def either_way(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def within_km(points: DataFrame, km: float, id: str = "node_id") -> DataFrame:
     """Pairs a < b of points up to ``km`` apart: points meet in cells of that size and its neighbours, then exactly.
 
-    Cells are of latitude and of the longitude step at the row's cell band, so none reaches less far than ``km``.
+    A cell's width in longitude is the most that ``km`` can span at its band's highest latitude, all of it near the
+    poles, so no pair is further than a neighbouring cell; the 180th meridian is crossed by a shift of 360 degrees.
     """
     degrees = km / 111.0
     y = F.floor(F.col("lat") / degrees).cast("long")
-    band = F.least(F.lit(89.0), F.greatest(F.abs(y * degrees), F.abs((y + 1) * degrees)) + degrees)
-    step = F.least(F.lit(360.0), F.lit(degrees) / F.cos(F.radians(band)))
+    top = F.least(F.lit(90.0), F.greatest(F.abs(F.col("y") * degrees), F.abs((F.col("y") + 1) * degrees)))
+    ratio = math.sin(math.radians(min(degrees, 90.0))) / F.greatest(F.lit(1e-12), F.cos(F.radians(top)))
+    step = F.when(ratio >= 1, F.lit(360.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), ratio))) * 1.0001)
     placed = points.where("lat is not null and lon is not null").select(id, "lat", "lon", y.alias("y"))
-    # the probing side computes its column in the band of the cell it visits, so both sides use the same step there
     stored = placed.withColumn("x", F.floor(F.col("lon") / step).cast("long")).select(F.col(id).alias("b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), "x", "y")
+    # the asking side computes its column with the step of the band it visits, so both sides use the same cells there
     asks = placed.withColumn("y", F.explode(F.array(F.col("y") - 1, F.col("y"), F.col("y") + 1)))
-    asks = asks.withColumn("x", F.floor(F.col("lon") / step).cast("long")).withColumn("x", F.explode(F.array(F.col("x") - 1, F.col("x"), F.col("x") + 1)))
+    shifts = F.array(F.lit(0.0), F.when(F.col("lon") > 180 - step, F.lit(-360.0)), F.when(F.col("lon") < step - 180, F.lit(360.0)))
+    asks = asks.withColumn("shift", F.explode(F.filter(shifts, lambda s: s.isNotNull())))
+    asks = asks.withColumn("x", F.floor((F.col("lon") + F.col("shift")) / step).cast("long")).withColumn("x", F.explode(F.array(F.col("x") - 1, F.col("x"), F.col("x") + 1)))
     found = asks.select(F.col(id).alias("a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), "x", "y").join(stored, ["x", "y"]).where("a < b")
-    return found.withColumn("km", haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))).where(F.col("km") <= km).select("a", "b", "km")
+    far = haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
+    return found.withColumn("km", far).where(F.col("km") <= km).select("a", "b", "km").dropDuplicates(["a", "b"])
 
 
 def nearest(points: DataFrame, others: DataFrame, k: int, km: float, id: str = "node_id") -> DataFrame:

@@ -31,8 +31,11 @@ def as_of() -> Column:
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each observation; four consecutive events observe one packet."""
-    e = read(spark, sf_dir, "events")
+    return observations(read(spark, sf_dir, "events"))
+
+
+def observations(e: DataFrame) -> DataFrame:
+    """One row for each event, of a table or a stream; four consecutive events observe one packet."""
     i, u = F.col("event_id"), F.col("user_id")
     pk = F.floor(i / 4).cast("long")
     route = (pk % 4).cast("int")

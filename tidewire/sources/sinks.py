@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder, named by spark.checkpoint.dir; a new local one only where none is set."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 _MERGES = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
