@@ -90,11 +90,11 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.concat("role", (F.col("conv_id") % 10).cast("string")).alias("sender"), F.when(F.col("conv_id") % 3 == 0, "north").otherwise("south").alias("network"), "text", (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=minute)).alias("time"))
 
 
-def links(packets: DataFrame) -> DataFrame:
-    """Undirected links of consecutive path hops, a < b by prefix, with counts for both directions."""
+def links(packets: DataFrame, *by: str) -> DataFrame:
+    """Undirected links of consecutive path hops, a < b by prefix, with counts for both directions; apart for each ``by``, of network and time."""
     hop = packets.where(F.size("path_hashes") > 1).select("network", "time", F.explode(F.arrays_zip(F.slice("path_hashes", 1, F.size("path_hashes") - 1).alias("x"), F.slice("path_hashes", 2, F.size("path_hashes") - 1).alias("y"))).alias("p"))
     x, y = F.col("p.x"), F.col("p.y")
-    return hop.groupBy(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).agg(
+    return hop.groupBy(*by, F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).agg(
         F.count("*").alias("observed"), F.sum((x < y).cast("long")).alias("a_to_b"), F.sum((x > y).cast("long")).alias("b_to_a"), F.max("time").alias("last_observed")
     )
 
