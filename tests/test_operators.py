@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import columns as C
 from tidewire.operators import graph, identity, learning, paths, relational, rf, spam
-from tidewire.sources import sinks, wire
+from tidewire.sources import domain, sinks, wire
 
 
 def test_viterbi_matches_enumeration():
@@ -151,3 +151,28 @@ def test_content_hash_ignores_order(spark):
     df = spark.range(100).selectExpr("id", "id % 7 AS k")
     a, b = learning.content_hash(df).first(), learning.content_hash(df.orderBy(F.desc("id")).repartition(5)).first()
     assert a == b and learning.content_hash(df.where("id != 3")).first() != a
+
+
+def test_coverage_equals_plain_loops(spark):
+    rays, steps, step, mast = 3, 8, 500.0, 10.0
+    ground = [float((r * 5 + s * 17) % 23) for r in range(rays) for s in range(steps)]
+    sites = spark.createDataFrame([(1, mast, ground)], "site_id long, mast_m double, heights array<double>")
+    got = {round(r.bearing): r.reach_km for r in rf.coverage(sites, rays, step, steps).collect()}
+    for ray in range(rays):
+        highest, reach = -math.inf, 0
+        for s in range(steps):
+            d = (s + 1) * step
+            angle = (ground[ray * steps + s] + d * d / (2 * 6_371_000.0 * 4 / 3) - mast) / d
+            loss = 20 * math.log10(4 * math.pi * d * 868e6 / 299_792_458.0)
+            if angle < highest:
+                loss += 6 + 200 * (highest - angle)
+            if loss >= rf.VIABLE_DB:
+                break
+            reach, highest = s + 1, max(highest, angle)
+        assert got[round(ray * 360 / rays)] == reach * step / 1000
+
+
+def test_links_apart_for_each_day(spark):
+    rows = [("a", d, ["01", "02", "01"]) for d in ("2024-01-01", "2024-01-01", "2024-01-02")]
+    p = spark.createDataFrame(rows, "network string, time string, path_hashes array<string>")
+    assert sorted((r.time, r.observed, r.a_to_b) for r in domain.links(p, "time").collect()) == [("2024-01-01", 4, 2), ("2024-01-02", 2, 1)]
