@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import flat_km, has_position
 from ..operators import graph, learning, paths
-from ..operators.relational import canonical, first_by, small
+from ..operators.relational import canonical, first_by, in_days, small
 from ..sources.domain import AS_OF, REGIONS, aliases, as_of, links, messages, nodes, packets, read, status_samples
 from .registry import query
 from .traffic import _since, recent
@@ -299,9 +299,9 @@ def l04_calibration(spark, sf_dir):
 """)
 def t09_rates(spark, sf_dir):
     """The most packets, and the most regions, of a source within any half hour."""
-    seconds = F.unix_micros(F.col("time").cast("timestamp"))
-    w = Window.partitionBy("src_node_id").orderBy("us").rangeBetween(-1_800_000_000, 0)
-    p = packets(spark, sf_dir).where("src_node_id is not null").select("src_node_id", "region", seconds.alias("us"))
+    half = 1_800_000_000
+    w = Window.partitionBy("src_node_id", "day").orderBy("us").rangeBetween(-half, 0)
+    p = in_days(packets(spark, sf_dir).where("src_node_id is not null").select("src_node_id", "region", "time"), "time", half)
     p = p.select("src_node_id", F.count("*").over(w).alias("n"), F.size(F.collect_set("region").over(w)).cast("long").alias("k"))
     return p.groupBy("src_node_id").agg(F.max("n").alias("packets"), F.max("k").alias("regions"))
 

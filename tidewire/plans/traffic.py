@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import little_endian, region_health, time_bin
-from ..operators.relational import canonical, filled, first_by, in_scope
+from ..operators.relational import canonical, filled, first_by, in_days, in_scope
 from ..sources.domain import AS_OF, aliases, as_of, packets
 from .registry import query
 
@@ -278,7 +278,7 @@ def a16_daily_longest(spark, sf_dir):
     ) GROUP BY 1
 """)
 def w09_burst_density(spark, sf_dir):
-    seconds = F.unix_micros(F.col("time").cast("timestamp"))
-    w = Window.partitionBy("src_node_id").orderBy(seconds).rangeBetween(-1_800_000_000, Window.currentRow)
-    p = packets(spark, sf_dir).where("src_node_id is not null").select("src_node_id", "time")
+    half = 1_800_000_000
+    w = Window.partitionBy("src_node_id", "day").orderBy("us").rangeBetween(-half, Window.currentRow)
+    p = in_days(packets(spark, sf_dir).where("src_node_id is not null").select("src_node_id", "time"), "time", half)
     return p.withColumn("n", F.count("*").over(w)).groupBy("src_node_id").agg(F.max("n").alias("most"))
