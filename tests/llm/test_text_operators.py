@@ -262,3 +262,20 @@ def test_mixing_keeps_shares_within_a_block(spark, docs, none):
     assert plain.count() == docs.count() and mixing.mix(none).count() == 0
     sources = plain.groupBy("source").count().count()
     assert sources == 3
+
+
+def test_audio_tensors_have_a_fixed_shape(spark, docs, tmp_path):
+    from tidewire.llm import queries
+
+    rng = np.random.default_rng(7)
+    rows = [[rng.normal(size=audio.PATCH * audio.BANDS).astype(np.float32) for _ in range(n)] for n in (2, 0, 1)]
+    assert audio.tensor_lists(rows).to_pylist() == [[t.tolist() for t in r] for r in rows]
+    assert audio.tensor_lists([]).to_pylist() == []
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.op5_audio_features(spark, str(tmp_path)).collect()
+    for r in out:
+        bands, speech = audio.analyse(audio.load(bytes(r.media)))
+        flat, spans = audio.tensors(bands)
+        assert np.allclose(np.array(r.tensors, np.float32), np.stack(flat), atol=1e-4)
+        assert [tuple(s) for s in r.spans] == spans and [tuple(s) for s in r.speech] == speech
+    assert len(out) == docs.count()

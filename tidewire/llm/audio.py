@@ -117,6 +117,14 @@ def fixed_shape(flat: pa.Array) -> pa.Array:
     return pa.ExtensionArray.from_storage(kind, flat.cast(kind.storage_type))
 
 
+def tensor_lists(rows: list[list[np.ndarray]]) -> pa.Array:
+    """A list of flat tensors for each row, by way of one fixed-shape array for all of them, which Spark has no type for."""
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    flat = np.concatenate([t for r in rows for t in r]) if ends[-1] else np.zeros(0, np.float32)
+    shaped = fixed_shape(pa.FixedSizeListArray.from_arrays(pa.array(flat, pa.float32()), PATCH * BANDS))
+    return pa.ListArray.from_arrays(pa.array(ends), shaped.storage.cast(pa.list_(pa.float32())))
+
+
 def analyse(samples: bytes) -> tuple[np.ndarray, list[tuple[float, float]]]:
     x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
     bands, energy = log_mel(resample(x))
@@ -154,7 +162,10 @@ def audio_features(df: DataFrame, whole: bool = True) -> DataFrame:
                     as_spans = [[{"start_s": a, "end_s": b} for a, b in s] for s in (speech, spans)]
                     row += [media, as_spans[0], flat, as_spans[1]]
                 rows.append(row)
-            return [list(c) for c in zip(*rows)] if rows else [[] for _ in range(7 + 4 * whole)]
+            columns = [list(c) for c in zip(*rows)] if rows else [[] for _ in range(7 + 4 * whole)]
+            if whole:
+                columns[-2] = tensor_lists(columns[-2])
+            return columns
 
         return work
 

@@ -31,7 +31,7 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.audio_features(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=False).drop("text")
+    return audio.audio_features(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
