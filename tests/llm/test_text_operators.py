@@ -279,3 +279,24 @@ def test_audio_tensors_have_a_fixed_shape(spark, docs, tmp_path):
         assert np.allclose(np.array(r.tensors, np.float32), np.stack(flat), atol=1e-4)
         assert [tuple(s) for s in r.spans] == spans and [tuple(s) for s in r.speech] == speech
     assert len(out) == docs.count()
+
+
+def test_mixing_keeps_the_given_shares(spark):
+    weights = {"a": 5.0, "b": 3.0, "c": 1.0, "d": 0.7, "e": 0.004}
+    total = sum(weights.values())
+    df = spark.range(24_000).selectExpr("id AS doc_id", "element_at(array('a', 'a', 'a', 'b', 'b', 'c', 'd', 'e'), int(id % 8) + 1) AS source")
+    out = mixing.mix(df, weights, block_rows=2).toPandas()
+    assert len(out) == 24_000
+    blocks = out.groupby(["source", "mix_block"]).mix_slot.agg(["min", "max"])
+    assert (blocks["min"] == blocks["max"]).all() and blocks["min"].is_unique
+    for k, w in weights.items():
+        slots = np.sort(blocks.loc[k, "min"])
+        until = np.arange(slots.max() + 1)
+        assert np.abs(np.searchsorted(slots, until, side="left") - until * w / total).max() < 1
+    # a thousand sources whose shares are all below a 200th keep different shares
+    many = [1 + k % 7 for k in range(1000)]
+    sources, _, slots = mixing.block_slots(many, [30] * 1000)
+    for s in (0, 3, 6, 999):
+        own = np.array([t for x, t in zip(sources, slots) if x == s])
+        until = np.arange(own.max() + 1)
+        assert np.abs(np.searchsorted(own, until, side="left") - until * many[s] / sum(many)).max() < 1

@@ -1,18 +1,25 @@
 """Mixing sources to target weights: Pfair windows for blocks of each source, interleaved earliest deadline first.
 
-With DataFrame and SQL functions alone. A source with u of the q units of a period owes block j (from 0) between
-its release floor(j q / u) and its deadline ceil((j + 1) q / u); in each slot the released block with the earliest
-deadline goes. The units fill the period, so no deadline is missed, and after any number of slots a source has had
-its share to within less than one block.
+A source with u of the q units owes block j (from 0) between its release floor(j q / u) and its deadline
+ceil((j + 1) q / u); in each slot the released block with the earliest deadline goes. The units fill q slots, so no
+deadline is missed, and after any number of slots a source has had u / q of them to within less than one block.
+
+Units are the weights to double precision, and the blocks there are get their slots one by one. Only if a small
+number of units is asked for, are weights rounded to it and is one period of q slots repeated, in SQL functions alone.
 """
 
 from __future__ import annotations
 
+from array import array
+from heapq import heappop, heappush
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 16
 UNITS = 200  # of a period, before each source gets one at least
+FINE = 10**15  # units of weights that aren't rounded to a period: as many as doubles tell apart
 GROUP_ROWS = 256
 
 _EDF = """
@@ -35,17 +42,21 @@ def _source_key(column: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("-"))
 
 
-def source_units(counts: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, units: int = UNITS) -> DataFrame:
-    """key and the whole number of units of each source, one at least: by the given weights, else by its rows to a power."""
+def source_units(counts: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, units: int | None = None) -> DataFrame:
+    """key and the whole number of units of each source, one at least: by the given weights, else by its rows to a power.
+
+    A source without a weight gets a UNITS-th of the units, one at least.
+    """
+    units = units or FINE
     if weights is None:
         weight = F.pow(F.col("n").cast("double"), F.lit(power))
     else:
         given = F.create_map(*[F.lit(x) for k, w in weights.items() for x in (f"={k}", float(w))]) if weights else F.create_map().cast("map<string,double>")
         weight = F.coalesce(F.element_at(given, F.col("key")), F.lit(0.0))
     total = counts.agg(F.sum(weight).alias("total"))
-    share = F.col("weight") * units / F.nullif(F.col("total"), F.lit(0.0))
+    share = F.when(F.col("weight") > 0, F.col("weight") * units / F.col("total"))
     sized = counts.select("key", weight.alias("weight")).join(F.broadcast(total))
-    return sized.select("key", F.greatest(F.lit(1), F.coalesce(F.floor(share + F.lit(0.5)), F.lit(1))).cast("long").alias("u"))
+    return sized.select("key", F.greatest(F.lit(1), F.coalesce(F.floor(share + F.lit(0.5)), F.lit(units // UNITS))).cast("long").alias("u"))
 
 
 def schedule(units: DataFrame) -> DataFrame:
@@ -57,14 +68,43 @@ def schedule(units: DataFrame) -> DataFrame:
     return picked.select(F.expr("keys[s]").alias("key"), F.expr("units[s]").alias("u"), "q", job.cast("long").alias("job"), F.col("slot").cast("long").alias("slot"))
 
 
-def mix(df: DataFrame, weights: dict[str, float] | None = None, source: str = "source", id: str = "doc_id", block_rows: int = BLOCK_ROWS, **options) -> DataFrame:
+def block_slots(units: list[int], blocks: list[int]) -> tuple[array, array, array]:
+    """Source, block and slot of all blocks, earliest deadline first: one step for each block, in whole numbers.
+
+    A source that has run out leaves the heaps. The others then have fewer rivals and so still meet their deadlines.
+    """
+    q, slot = sum(units), 0
+    waiting = [(0, s, 0) for s, n in enumerate(blocks) if n]
+    released: list[tuple[int, int, int]] = []
+    sources, numbers, slots = array("q"), array("q"), array("q")
+    while waiting or released:
+        if not released:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            _, s, j = heappop(waiting)
+            heappush(released, (-(-(j + 1) * q // units[s]), s, j))
+        _, s, j = heappop(released)
+        sources.append(s)
+        numbers.append(j)
+        slots.append(slot)
+        slot += 1
+        if j + 1 < blocks[s]:
+            heappush(waiting, ((j + 1) * q // units[s], s, j + 1))
+    return sources, numbers, slots
+
+
+def mix(
+    df: DataFrame, weights: dict[str, float] | None = None, source: str = "source", id: str = "doc_id", block_rows: int = BLOCK_ROWS,
+    power: float = 0.5, units: int | None = None,
+) -> DataFrame:
     """Adds mix_seq (the row's number in its source), mix_block and mix_slot to every row; order by mix_slot, mix_seq.
 
     Rows of a source are numbered by the md5 of their id, then by the id, then by all columns, so that repeated rows
     differ at most in which comes first. All rows stay: where a source has run out its slots stay empty, and the
     others keep their shares of the slots. A null source is a source of its own; a null id counts as an empty text. A
-    source that ``weights`` doesn't name has one unit. An empty table stays empty; columns named as an output are
-    replaced.
+    source that ``weights`` doesn't name has a UNITS-th of all units. An empty table stays empty; columns named as an
+    output are replaced. The driver holds a slot for each block; with ``units`` it holds none, but then shares are
+    those of weights rounded to so many units and drift from the given ones.
 
     Numbering needs no source in one task: rows are numbered within groups of about GROUP_ROWS by md5, and a group's
     first number comes from the groups' counts.
@@ -80,12 +120,20 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, source: str = "s
     before = F.coalesce(F.sum("n").over(Window.partitionBy("_key").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = groups.select("_key", "_group", before.alias("_before"))
     counts = groups.groupBy(F.col("_key").alias("key")).agg(F.sum("n").alias("n"))
-    jobs = schedule(source_units(counts, weights, **options))
+    sized = source_units(counts, weights, power, units)
     plain = [c for c, t in df.dtypes if not t.startswith(("map", "variant"))]
     order = Window.partitionBy("_key", "_group").orderBy("_md5", F.col(id), F.xxhash64(*plain))
     numbered = keyed.withColumn("_n", F.row_number().over(order) - 1).join(offsets, ["_key", "_group"])
     numbered = numbered.withColumn("mix_seq", (F.col("_before") + F.col("_n")).cast("long"))
     numbered = numbered.withColumn("mix_block", F.floor(F.col("mix_seq") / block_rows).cast("long"))
+    if units is None:
+        known = sorted((r.key, r.u, -(-r.n // block_rows)) for r in sized.join(counts, "key").collect())
+        found = block_slots([u for _, u, _ in known], [n for _, _, n in known])
+        at = pa.table([pa.array(x, pa.int64()) for x in found], ["_source", "mix_block", "mix_slot"])
+        names = df.sparkSession.createDataFrame([(s, k) for s, (k, _, _) in enumerate(known)], "_source long, _key string")
+        slots = df.sparkSession.createDataFrame(at).join(F.broadcast(names), "_source").drop("_source")
+        return numbered.join(slots, ["_key", "mix_block"]).select(*df.columns, "mix_seq", "mix_block", "mix_slot")
+    jobs = schedule(sized)
     jobs = jobs.select(F.col("key").alias("_key"), F.col("job").alias("_job"), F.col("slot").alias("_slot"), F.col("u").alias("_u"), F.col("q").alias("_q"))
     sizes = jobs.select("_key", "_u", "_q").distinct()
     placed = numbered.join(F.broadcast(sizes), "_key").withColumn("_job", F.col("mix_block") % F.col("_u"))

@@ -27,7 +27,8 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    # the SQL defines this query's weights: whole parts of UNITS
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), units=mixing.UNITS)
 
 
 def op5_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
