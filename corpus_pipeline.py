@@ -40,7 +40,16 @@ def interleave_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, in the given order, with digests of the ids and of the decoded text."""
+    """Token ids of each text, with digests of the ids and of the decoded text, and mix_position: the row's place in
+    the schedule, which is its place in the files of the stage before, in the order of their names."""
+    name, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    before, offsets = 0, []
+    for file, n in sorted(map(tuple, docs.groupBy(name.alias("file")).count().collect())):
+        offsets.append((file, before))
+        before += n
+    placed = docs.withColumns({"_file": name, "_row": row})
+    first = spark.createDataFrame(offsets, "_file string, _first long")
+    docs = placed.join(F.broadcast(first), "_file").withColumn("mix_position", F.col("_first") + F.col("_row")).drop("_file", "_row", "_first")
     return byte_bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from tidewire.llm import queries
+from tidewire.llm import mixing, queries
 
 
 def test_stages_keep_the_columns_and_run_on_edge_cases(spark, rows, tmp_path):
@@ -20,3 +20,29 @@ def test_stages_keep_the_columns_and_run_on_edge_cases(spark, rows, tmp_path):
 def test_queries_are_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)] + ["pipeline"]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_rows_carry_the_schedule_after_the_files_are_read_again(spark, tmp_path):
+    df = spark.range(8000).selectExpr("id AS doc_id", "repeat(concat('word ', id, ' '), int(1 + id % 40)) AS text", "element_at(array('a', 'a', 'b', 'c'), int(id % 4) + 1) AS source")
+    df.write.parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        corpus_pipeline.interleave_sources(spark, df, "").write.parquet(str(tmp_path / "mixed"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    mixed = spark.read.parquet(str(tmp_path / "mixed"))
+    assert len(mixed.inputFiles()) > 1
+    rows = corpus_pipeline.encode(spark, mixed, "").select("mix_position", "doc_id", "source").orderBy("mix_position").collect()
+    assert [r.mix_position for r in rows] == list(range(8000))
+    assert [r.doc_id for r in rows] == [r.doc_id for r in mixing.mix(df).orderBy("mix_slot", "mix_seq").collect()]
+    share = {k: n**0.5 for k, n in {"a": 4000, "b": 2000, "c": 2000}.items()}
+    share = {k: w / sum(share.values()) for k, w in share.items()}
+    seen = dict.fromkeys(share, 0)
+    for n, r in enumerate(rows, 1):
+        seen[r.source] += 1
+        if n % mixing.BLOCK_ROWS == 0:
+            assert all(abs(seen[k] - n * share[k]) < mixing.BLOCK_ROWS for k in share)
+        if seen[r.source] == {"a": 4000, "b": 2000, "c": 2000}[r.source]:
+            break
+    assert n > 4000
