@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import byte_bpe, language_id, line_dedup, mixing, simhash_dedup
+from tidewire.llm import byte_bpe, language_id, line_dedup, mixing, shingle_dedup
 from tidewire.llm._common import ready
 
 #: Below this probability of its language a text is in none; equal shares of four languages are 0.25.
@@ -29,8 +29,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least doc_id of each group of near duplicates."""
-    return simhash_dedup.keep_one(docs).select(*docs.columns)
+    """Keeps the least doc_id of each group of near copies: five-word shingle sets of Jaccard 0.8 or more."""
+    return shingle_dedup.keep_one(docs).select(*docs.columns)
 
 
 def interleave_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
+import random
+
 import corpus_pipeline
-from tidewire.llm import mixing, queries
+from tidewire.llm import mixing, queries, simhash_dedup
 
 
 def test_stages_keep_the_columns_and_run_on_edge_cases(spark, rows, tmp_path):
@@ -46,3 +48,37 @@ def test_rows_carry_the_schedule_after_the_files_are_read_again(spark, tmp_path)
         if seen[r.source] == {"a": 4000, "b": 2000, "c": 2000}[r.source]:
             break
     assert n > 4000
+
+
+def test_near_copies_are_those_of_exact_similarity(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(25):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(30, 150))]
+        for edits in (0, 0, 1, 2, 3, 5):
+            own = list(base)
+            for at in rng.sample(range(len(own)), edits):
+                own[at] = "edit"
+            texts.append(" ".join(own))
+    texts += ["", None, "one two", "One  two", "one"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} - {()} for w in ((t or "").lower().split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    similar = far = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] == sets[b] or (sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+                similar += 1
+                far += (simhash_dedup.fingerprint(texts[a].encode()) ^ simhash_dedup.fingerprint(texts[b].encode())).bit_count() > 4 if texts[a] and texts[b] else 0
+    assert far > 20 and similar > far
+    df = spark.createDataFrame([*enumerate(texts), (None, "one"), (None, "one")], "doc_id long, text string")
+    want = {k for k in range(len(texts)) if find(k) == k}
+    kept = [r.doc_id for r in corpus_pipeline.keep_one_of_near_copies(spark, df, "").collect()]
+    assert {k for k in kept if k is not None} == want and len(kept) == len(want) + 2
+    assert corpus_pipeline.keep_one_of_near_copies(spark, df.limit(0), "").count() == 0

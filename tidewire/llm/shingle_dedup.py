@@ -1,0 +1,131 @@
+"""Near copies by their sets of word shingles: MinHash bands name candidates, the exact Jaccard similarity decides."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ._common import ASCII_LOWER, binary, ready
+from .simhash_dedup import components
+
+WORDS, LEAST, SEED = 5, 0.8, 42
+#: A pair at Jaccard 0.8 shares none of the bands, and so is missed, with probability (1 - 0.8^6)^30 = 0.0001.
+BANDS, BAND_ROWS = 30, 6
+
+
+def shingles(text: bytes | None, size: int = WORDS) -> np.ndarray:
+    """The distinct hashes of a text's word shingles in order; of a shorter text, the hash of all its words."""
+    words = (text or b"").translate(ASCII_LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, k = b" ".join(words), min(size, len(words))
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    starts, digest = (ends - sizes).tolist(), xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist())), np.uint64, len(words) - k + 1))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; two empty sets are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def _digest(held: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(held.tobytes())).view(np.int64))
+
+
+def band_keys(held: np.ndarray, piece: int = 1024) -> list[int]:
+    """A signed key for each band of least hashes; none for an empty set."""
+    if not len(held):
+        return []
+    rng = np.random.default_rng(SEED)
+    flip, times = rng.integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64)
+    times |= np.uint64(1)
+    least = np.full(BANDS * BAND_ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for lo in range(0, len(held), piece):
+        mixed = (held[None, lo : lo + piece] ^ flip) * times
+        mixed ^= mixed >> np.uint64(32)
+        np.minimum(least, (mixed * times).min(axis=1), out=least)
+    keys = [xxhash.xxh3_64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, BAND_ROWS))]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs of digests whose sets are at least so similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [[np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(k)] for k in (2, 3)]
+            good = pa.array([jaccard(x, y) >= least for x, y in zip(*held)], pa.bool_())
+            yield b.select([0, 1]).filter(good)
+
+    left, right = (sets.withColumnsRenamed({"digest": x, "held": f"held_{x}"}) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "held_a", "held_b").mapInArrow(run, "a long, b long").checkpoint()
+
+
+def near_copies(df: DataFrame, least: float = LEAST) -> DataFrame:
+    """doc_id and component_id of every row with a doc_id: the least doc_id reachable by pairs of Jaccard >= ``least``.
+
+    Texts of one set of shingles are one node. In each band's bucket all are first compared with one of them, and
+    then all pairs that this hasn't joined are, so that pairs within a large group of copies aren't emitted.
+    """
+    ready(df.sparkSession)
+    df = df.where("doc_id is not null").select("doc_id", "text")
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [shingles(t) for t in binary(b.column(1))]
+            columns = [pa.array([_digest(h) for h in held], pa.int64()), pa.array(map(len, held), pa.int64()), pa.array([band_keys(h) for h in held], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "digest", "n", "keys"])
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [shingles(t) for t in binary(b.column(1))]
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(h) for h in held], pa.int64()), pa.array([h.tobytes() for h in held], pa.binary())], ["digest", "held"])
+
+    schema = T.StructType([df.schema["doc_id"]]).add("digest", "long").add("n", "long").add("keys", T.ArrayType(T.LongType()))
+    found = df.mapInArrow(sign, schema).checkpoint()
+    nodes = found.groupBy("digest").agg(F.min("doc_id").alias("id")).checkpoint()
+    own = (found["digest"] == nodes["digest"]) & (found["doc_id"] == nodes["id"])
+    keyed = found.join(nodes, own).select(found["digest"], "id", "n", F.explode("keys").alias("key")).distinct()
+    hub = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("digest", "n")).alias("hub")).where("m > 1")
+    keyed = keyed.join(hub, "key").select("key", "digest", "id", "n", "hub").checkpoint()  # of buckets with several
+    sets = df.join(keyed.select(F.col("id").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+    sets = sets.mapInArrow(hold, "digest long, held binary").dropDuplicates(["digest"]).checkpoint()
+
+    def sized(a: str, b: str):
+        return F.least(a, b) >= F.greatest(a, b) * F.lit(least)
+
+    star = keyed.where((F.col("digest") != F.col("hub.digest")) & sized("n", "hub.n")).select(F.col("hub.digest").alias("a"), F.col("digest").alias("b")).distinct()
+    star = components(_verified(star, sets, least)).select(F.col("id").alias("digest"), F.col("component").alias("label"))
+    labelled = keyed.join(star, "digest", "left").select("key", "digest", "n", F.coalesce("label", "digest").alias("label")).checkpoint()
+    several = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
+    open_ = labelled.join(several, "key", "left_semi")
+    left, right = (open_.withColumnsRenamed({c: f"{c}_{x}" for c in ("digest", "n", "label")}) for x in "ab")
+    pairs = left.join(right, "key").where((F.col("digest_a") < F.col("digest_b")) & (F.col("label_a") != F.col("label_b")) & sized("n_a", "n_b"))
+    joined = _verified(pairs.select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct(), sets, least)
+    of = labelled.select("digest", "label").distinct()
+    links = joined.join(of.withColumnsRenamed({"digest": "a", "label": "x"}), "a").join(of.withColumnsRenamed({"digest": "b", "label": "y"}), "b")
+    merged = components(links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()).withColumnRenamed("id", "label")
+    group = nodes.join(of, "digest", "left").withColumn("label", F.coalesce("label", "digest")).join(merged, "label", "left")
+    group = group.select("digest", "id", F.coalesce("component", "label").alias("group"))
+    least_id = group.groupBy("group").agg(F.min("id").alias("component_id"))
+    return found.select("doc_id", "digest").join(group.join(least_id, "group").select("digest", "component_id"), "digest").select("doc_id", "component_id")
+
+
+def keep_one(df: DataFrame, least: float = LEAST) -> DataFrame:
+    """The rows of df whose doc_id is the least of its group of near copies; of rows that share it, one. Rows without doc_id stay."""
+    found = near_copies(df, least).checkpoint()
+    gone = found.where("doc_id != component_id").select("doc_id").distinct()
+    twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
+    kept = df.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*df.columns)
+    if twice.isEmpty():
+        return kept
+    return kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
