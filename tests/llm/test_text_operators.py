@@ -73,38 +73,61 @@ def test_near_duplicates_match_brute_force(docs, rows, none):
     want = Counter((i, f"{fps[t]:016x}", least[find(fps[t])]) for i, t, *_ in rows)
     assert Counter(map(tuple, simhash_dedup.near_duplicates(docs).collect())) == want
     assert simhash_dedup.near_duplicates(none).count() == 0
-    kept = [r.doc_id for r in simhash_dedup.keep_one(docs).collect()]
-    assert Counter(k for k in kept if k is not None) == Counter({v for v in least.values() if v is not None})
-    assert kept.count(None) == 2
 
 
-def test_links_of_dense_and_spread_fingerprints(spark):
+def test_groups_of_dense_and_spread_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "SALT_ROWS", 8)
     rng = random.Random(2)
-    base = rng.getrandbits(64)
+    base, other = rng.getrandbits(64), rng.getrandbits(64)
     fps = {base}
     for _ in range(400):
-        x = rng.choice([base, rng.getrandbits(64)])
+        x = rng.choice([base, base, other, rng.getrandbits(64)])
         for b in rng.sample(range(64), rng.randint(0, 5)):
             x ^= 1 << b
         fps.add(x)
-    signed = [(f - (1 << 64) if f >> 63 else f, n) for n, f in enumerate(sorted(fps))]
+    signed = [(f - (1 << 64) if f >> 63 else f, bytearray(f.to_bytes(8, "little"))) for f in sorted(fps)]
     simhash_dedup.ready(spark)
-    df = spark.createDataFrame(signed, "fp long, id long").selectExpr("fp", "id", "id AS label", "1L AS n")
-    layout = simhash_dedup._layout(df, 4)
-    got = {(r.a, r.b) for r in simhash_dedup.links(df, layout).collect()}
-    ordered = sorted(fps)
-    pairs = {(i, j) for i in range(len(ordered)) for j in range(i + 1, len(ordered)) if (ordered[i] ^ ordered[j]).bit_count() <= 4}
-    assert got == pairs
-    star = {(r.a, r.b) for r in simhash_dedup.stars(df, layout).collect()}
-    assert star and star <= pairs and len(star) <= len(ordered) * len(layout)
+    nodes = spark.createDataFrame(signed, "node long, bits binary").selectExpr("node", "node AS head", "1L AS n", "1L AS copies", "bits").repartition(3)
+    pairs = {(a, b) for a, b in ((a, b) for a, _ in signed for b, _ in signed) if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
+    root = {a: a for a, _ in signed}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    for rows in (400, 10**10):  # another number of rows, another layout
+        layout = simhash_dedup.plan(simhash_dedup._sample_bits(nodes, 64)[0], rows)
+        assert any(t for _, t in layout) or rows == 400
+        got = {r.node: r.group for r in simhash_dedup.grouped(nodes, layout, 64, 4, 0, lambda p: p).collect()}
+        assert got == {a: find(a) for a, _ in signed}
+
+
+def test_bucket_keys_are_shared_just_within_the_threshold():
+    rng = np.random.default_rng(1)
+    bits = rng.integers(0, 2, (200, 24)).astype(np.uint8)
+    bits[1::2] = bits[::2]
+    bits[1::2][np.arange(100), rng.integers(0, 24, 100)] ^= 1
+    for t in range(3):
+        group = list(range(0, 24, 2))
+        keys = [set(k) for k in simhash_dedup.bucket_keys(bits, [(group, t)]).tolist()]
+        assert all(bool(keys[a] & keys[b]) == ((bits[a, group] != bits[b, group]).sum() <= t) for a in range(200) for b in range(a))
 
 
 def test_thresholds_cover_every_pair():
     rng = np.random.default_rng(1)
     for rows in (10, 10_000, 10_000_000, 10**10):
-        layout = simhash_dedup.plan(rng.integers(0, 1 << 63, 500).astype(np.uint64), rows)
+        layout = simhash_dedup.plan(rng.integers(0, 2, (500, 64)).astype(np.float32), rows)
         assert sum(t + 1 for _, t in layout) == 5
         assert len({b for g, _ in layout for b in g}) == sum(len(g) for g, _ in layout)
+        layout = simhash_dedup.plan_share(rng.integers(0, 2, (64, 1024)).astype(np.float32), rows)
+        p, missed = simhash_dedup.differing_share(0.8), 1.0
+        for g, t in layout:
+            missed *= 1 - sum(math.comb(len(g), i) * p**i * (1 - p) ** (len(g) - i) for i in range(t + 1))
+        assert missed < simhash_dedup.MISS * 1.1
+        assert len({b for g, _ in layout for b in g}) == sum(len(g) for g, _ in layout)
 
 
 def test_bpe_matches_tiktoken(docs, rows, none):
@@ -244,24 +267,47 @@ def test_lm_distribution_sums_to_one():
     assert abs(total + p[sorted(empty)].sum() - 1) < 1e-4
 
 
-def test_mixing_keeps_shares_within_a_block(spark, docs, none):
-    weights = {"a": 5.0, "b": 3.0, "c": 1.0, "d": 0.7}
-    df = spark.range(4000).selectExpr("id AS doc_id", "element_at(array('a', 'b', 'c', 'd'), int(id % 4) + 1) AS source")
-    out = mixing.mix(df, weights, block_rows=4).toPandas()
-    assert len(out) == 4000
+def test_mixing_keeps_shares_within_a_block(spark, docs, none, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 50)
+    weights = {"a": 5.0, "b": 3.0, "c": 1.0, "d": 0.7, "e": 0.004, "never": 0.0}
+    total = sum(weights.values())
+    df = spark.range(24_000).selectExpr("id AS doc_id", "element_at(array('a', 'a', 'a', 'b', 'b', 'c', 'never', 'e'), int(id % 8) + 1) AS source").union(spark.sql("SELECT -1L, 'unnamed'"))
+    out = mixing.mix(df, weights, block_rows=2).toPandas()
+    assert len(out) == 24_001
     blocks = out.groupby(["source", "mix_block"]).mix_slot.agg(["min", "max"])
     assert (blocks["min"] == blocks["max"]).all() and blocks["min"].is_unique
-    units = mixing.source_units(spark.createDataFrame([("=" + k, 1) for k in weights], "key string, n long"), weights).collect()
-    q = sum(r.u for r in units)
-    until = out.groupby("source").mix_slot.max().min()
-    for r in units:
-        slots = sorted(blocks.loc[r.key[1:], "min"])
-        for t in range(int(until)):
-            assert abs(np.searchsorted(slots, t, side="left") - t * r.u / q) < 1
-    plain = mixing.mix(docs)
+    for k, w in weights.items():
+        if k not in ("d", "never"):
+            slots = np.sort(blocks.loc[k, "min"])
+            until = np.arange(slots.max() + 1)
+            share = w / (total - weights["d"])  # no row has source d
+            assert np.abs(np.searchsorted(slots, until, side="left") - until * share).max() < 1
+    assert out[out.source.isin(["never", "unnamed"])].mix_slot.min() > out[~out.source.isin(["never", "unnamed"])].mix_slot.max()
+    clash = docs.withColumnsRenamed({"slot": "mix_slot", "fp": "md5", "token": "part", "component": "block", "feature": "row"})
+    plain = mixing.mix(clash)
     assert plain.count() == docs.count() and mixing.mix(none).count() == 0
-    sources = plain.groupBy("source").count().count()
-    assert sources == 3
+    assert {"md5", "part", "block", "row", "key"} <= set(plain.columns) and plain.where("md5 != 'mine' OR block != 'mine'").count() == 0
+    assert plain.groupBy("source").count().count() == 3
+
+
+def test_schedule_in_chunks_is_earliest_deadline_first(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 7)
+    monkeypatch.setattr(mixing, "LONG_CHUNK", 9)
+    rng = random.Random(4)
+    for n in (1, 2, 6, 11):
+        weights = {f"{i:02d}": rng.choice([1, 5, 0.3, rng.random(), 30 * rng.random()]) for i in range(n)}
+        counts = spark.createDataFrame([(f"={i:02d}", rng.randint(1, 12)) for i in range(n)], "key string, n long")
+        sources = mixing.source_units(counts, weights, block_rows=2)
+        row = sources.first()
+        done, want = [0] * n, set()
+        for t in range(row.slots):
+            deadline, s = min((-(-(done[i] + 1) * row.q // u), i) for i, u in enumerate(row.units) if done[i] * row.q // u <= t)
+            assert t < deadline
+            if done[s] < row.blocks[s]:
+                want.add((row["keys"][s], done[s], t))
+            done[s] += 1
+        got = mixing.schedule(sources).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
 def test_audio_tensors_have_a_fixed_shape(spark, docs, tmp_path):
@@ -279,24 +325,3 @@ def test_audio_tensors_have_a_fixed_shape(spark, docs, tmp_path):
         assert np.allclose(np.array(r.tensors, np.float32), np.stack(flat), atol=1e-4)
         assert [tuple(s) for s in r.spans] == spans and [tuple(s) for s in r.speech] == speech
     assert len(out) == docs.count()
-
-
-def test_mixing_keeps_the_given_shares(spark):
-    weights = {"a": 5.0, "b": 3.0, "c": 1.0, "d": 0.7, "e": 0.004}
-    total = sum(weights.values())
-    df = spark.range(24_000).selectExpr("id AS doc_id", "element_at(array('a', 'a', 'a', 'b', 'b', 'c', 'd', 'e'), int(id % 8) + 1) AS source")
-    out = mixing.mix(df, weights, block_rows=2).toPandas()
-    assert len(out) == 24_000
-    blocks = out.groupby(["source", "mix_block"]).mix_slot.agg(["min", "max"])
-    assert (blocks["min"] == blocks["max"]).all() and blocks["min"].is_unique
-    for k, w in weights.items():
-        slots = np.sort(blocks.loc[k, "min"])
-        until = np.arange(slots.max() + 1)
-        assert np.abs(np.searchsorted(slots, until, side="left") - until * w / total).max() < 1
-    # a thousand sources whose shares are all below a 200th keep different shares
-    many = [1 + k % 7 for k in range(1000)]
-    sources, _, slots = mixing.block_slots(many, [30] * 1000)
-    for s in (0, 3, 6, 999):
-        own = np.array([t for x, t in zip(sources, slots) if x == s])
-        until = np.arange(own.max() + 1)
-        assert np.abs(np.searchsorted(own, until, side="left") - until * many[s] / sum(many)).max() < 1

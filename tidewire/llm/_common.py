@@ -22,10 +22,34 @@ def ready(spark: SparkSession, batch_rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir")
+        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
+#: Ids that are broadcast at most; of 8 bytes each in a table of longs that is some tens of MB.
+BROADCAST_IDS = 1_000_000
+
+
+def _by_ids(df: DataFrame, ids: DataFrame, id: str, how: str) -> DataFrame:
+    """A join of df with distinct ids: by broadcast if they are whole numbers and few, else by shuffle."""
+    ids = ids.checkpoint()
+    whole = df.schema[id].dataType.typeName() in ("byte", "short", "integer", "long")
+    few = whole and ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids.hint("merge"), id, how).select(*df.columns)
+
+
+def only(df: DataFrame, ids: DataFrame, id: str) -> DataFrame:
+    """The rows of df whose id is one of ``ids``."""
+    return _by_ids(df.where(F.col(id).isNotNull()), ids, id, "left_semi")
+
+
+def without(df: DataFrame, ids: DataFrame, id: str) -> DataFrame:
+    """The rows of df whose id is none of ``ids``; rows without an id stay, and never meet in a shuffle."""
+    return df.where(F.col(id).isNull()).unionAll(_by_ids(df.where(F.col(id).isNotNull()), ids, id, "left_anti"))
+
+
 def binary(column: pa.Array) -> list:
     """The UTF-8 bytes of each string, None for null, without decoding."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

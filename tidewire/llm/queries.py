@@ -27,8 +27,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the SQL defines this query's weights: whole parts of UNITS
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), units=mixing.UNITS)
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
 def op5_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,25 +129,26 @@ _TOPK_SQL = """
 
 _MIX_SQL = f"""
     WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('=' || source, '-') AS key, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
-    c AS (SELECT key, sqrt(count(*)) AS w FROM d GROUP BY key),
-    u AS (SELECT key, greatest(1, CAST(floor(w * {mixing.UNITS} / (SELECT sum(w) FROM c) + 0.5) AS BIGINT)) AS u FROM c),
+    c AS (SELECT key, sqrt(count(*)) AS w, (count(*) + {mixing.BLOCK_ROWS - 1}) // {mixing.BLOCK_ROWS} AS blocks FROM d GROUP BY key),
+    f AS (SELECT sum(w) AS total, least({mixing.FINE}, floor({mixing.MOST} / max(blocks * (SELECT sum(w) FROM c) / w))) AS fine FROM c),
+    u AS (SELECT key, blocks, greatest(1, CAST(floor(w * fine / total + 0.5) AS BIGINT)) AS u FROM c, f),
     p AS (SELECT list(u ORDER BY key) AS units, list(key ORDER BY key) AS keys, CAST(sum(u) AS BIGINT) AS q FROM u),
+    e AS (SELECT max((blocks * p.q + u - 1) // u) AS slots FROM u, p),
     r AS (
         SELECT CAST(0 AS BIGINT) AS slot, list_transform(units, lambda x: CAST(0 AS BIGINT)) AS done, CAST(0 AS BIGINT) AS s FROM p
         UNION ALL
         SELECT slot + 1, list_transform(done, lambda x, i: CASE WHEN i = pick THEN x + 1 ELSE x END), pick
         FROM (
             SELECT r.slot, r.done, CAST(list_min(list_filter(list_transform(p.units, lambda x, i:
-                CASE WHEN (r.done[i] * p.q) // x <= r.slot THEN ((r.done[i] + 1) * p.q + x - 1) // x * 1000000 + i ELSE NULL END),
-                lambda y: y IS NOT NULL)) % 1000000 AS BIGINT) AS pick
-            FROM r CROSS JOIN p WHERE r.slot < p.q
+                CASE WHEN (r.done[i] * p.q) // x <= r.slot THEN ((r.done[i] + 1) * p.q + x - 1) // x * 10000 + i ELSE NULL END),
+                lambda y: y IS NOT NULL)) % 10000 AS BIGINT) AS pick
+            FROM r CROSS JOIN p CROSS JOIN e WHERE r.slot < e.slots
         )
     ),
-    j AS (SELECT p.keys[r.s] AS key, p.units[r.s] AS u, p.q, r.slot - 1 AS slot, row_number() OVER (PARTITION BY r.s ORDER BY r.slot) - 1 AS job FROM r CROSS JOIN p WHERE r.s > 0),
+    j AS (SELECT p.keys[r.s] AS key, r.slot - 1 AS slot, row_number() OVER (PARTITION BY r.s ORDER BY r.slot) - 1 AS job FROM r CROSS JOIN p WHERE r.s > 0),
     n AS (SELECT doc_id, source, key, row_number() OVER (PARTITION BY key ORDER BY h, doc_id) - 1 AS mix_seq FROM d)
-    SELECT n.doc_id, n.source, CAST(n.mix_seq AS BIGINT) AS mix_seq, CAST(n.mix_seq // {mixing.BLOCK_ROWS} AS BIGINT) AS mix_block,
-        CAST((n.mix_seq // {mixing.BLOCK_ROWS}) // j.u * j.q + j.slot AS BIGINT) AS mix_slot
-    FROM n JOIN j ON n.key = j.key AND (n.mix_seq // {mixing.BLOCK_ROWS}) % j.u = j.job
+    SELECT n.doc_id, n.source, CAST(n.mix_seq AS BIGINT) AS mix_seq, CAST(n.mix_seq // {mixing.BLOCK_ROWS} AS BIGINT) AS mix_block, CAST(j.slot AS BIGINT) AS mix_slot
+    FROM n JOIN j ON n.key = j.key AND n.mix_seq // {mixing.BLOCK_ROWS} = j.job
 """
 
 ORACLE_SQL: dict[str, str] = {

@@ -1,10 +1,16 @@
-"""SimHash near-duplicates: partitions of correlated bits with their own thresholds, probed and verified exactly."""
+"""SimHash near-duplicates: partitions of correlated bits with their own thresholds, probed and verified exactly.
+
+Two forms share one search. ``near_duplicates`` links fingerprints of 64 bits that differ in few of them: by the
+generalised pigeonhole principle no pair is missed. ``near_copies`` links texts by the Jaccard similarity of their sets
+of word shingles; its fingerprints are WIDE, its thresholds are shared out so that a pair at just the least similarity
+is missed with a chance of MISS, and candidates are verified by their sets.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
-from math import comb
+from math import acos, ceil, comb, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import ASCII_LOWER, binary, ready
+from ._common import ASCII_LOWER, binary, only, ready, without
 
 WORDS, SEED, LIMIT = 4, 42, 4
+SET_WORDS, LEAST, MISS = 5, 0.8, 0.03
+WIDE = 1024  # bits of a set's fingerprint
 SAMPLE = 2048  # fingerprints, for correlations and candidate counts only
-ROW_COST = 100.0  # of a shuffled signature, in verified candidates
+ROW_COST = 100.0  # of a shuffled key, in compared pairs
+SALT_ROWS = 2048  # of a bucket's nodes that one task compares with the bucket
 
 
 def fingerprint(text: bytes | None, piece: int = 1 << 16) -> int:
@@ -49,20 +58,53 @@ def fingerprints(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def shingle_set(text: bytes | None, size: int = SET_WORDS) -> np.ndarray:
+    """The distinct hashes of a text's word shingles in order; of a shorter text, the hash of all its words."""
+    words = (text or b"").translate(ASCII_LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, k = b" ".join(words), min(size, len(words))
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    starts, digest = (ends - sizes).tolist(), xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist())), np.uint64, len(words) - k + 1))
+
+
+def wide_fingerprint(held: np.ndarray) -> bytes:
+    """WIDE bits, each set if it is in over half of the hashes, which are spread to WIDE bits first."""
+    times = np.random.default_rng(SEED).integers(0, 1 << 64, WIDE // 64, np.uint64) | np.uint64(1)
+    total = np.zeros(WIDE, np.int64)
+    for lo in range(0, len(held), 255):  # sums of a block fit a byte
+        x = held[lo : lo + 255, None] * times
+        x ^= x >> np.uint64(32)
+        x *= times[::-1]
+        x ^= x >> np.uint64(29)
+        total += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(total * 2 > len(held), bitorder="little").tobytes()
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; two empty sets are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
 def group_bits(bits: np.ndarray, parts: int) -> list[list[int]]:
-    """64 positions in ``parts`` groups of equal size, each grown by the bit that is most correlated with it."""
+    """All positions in ``parts`` groups of equal size, each grown by the bit that is most correlated with it."""
+    width = bits.shape[1]
     x = bits - bits.mean(axis=0)
-    scale = np.sqrt(np.maximum((x**2).sum(axis=0), 1e-9))
-    near = np.abs(x.T @ x / scale / scale[:, None])
-    free, groups = set(range(64)), []
+    x /= np.sqrt(np.maximum((x**2).sum(axis=0), 1e-9))
+    near = np.abs(x.T @ x)
+    taken, groups = np.zeros(width, bool), []
     for k in range(parts):
-        size = 64 // parts + (k < 64 % parts)
-        rest = sorted(free)
-        group = [max(rest, key=lambda b: near[b, rest].sum())]
+        size = width // parts + (k < width % parts)
+        pull, group = near[:, ~taken].sum(axis=1), []
         while len(group) < size:
-            group.append(max(sorted(free - set(group)), key=lambda b: near[b, group].sum()))
+            bit = int(np.where(taken, -1.0, pull).argmax())
+            taken[bit] = True
+            pull = near[:, bit] + (pull if group else 0.0)
+            group.append(bit)
         groups.append(sorted(group))
-        free -= set(group)
     return groups
 
 
@@ -73,7 +115,7 @@ def pair_rate(bits: np.ndarray, group: list[int], most: int) -> np.ndarray:
     for p in 2 * share * (1 - share):
         differ = np.convolve(differ, [1 - p, p])
     floor = np.cumsum(differ)[: most + 1]
-    half = len(bits) // 2
+    half = min(len(bits) // 2, 512)
     if half < 2:
         return floor
     packed = np.packbits(bits[:, group].astype(bool), axis=1)
@@ -81,20 +123,23 @@ def pair_rate(bits: np.ndarray, group: list[int], most: int) -> np.ndarray:
     return np.maximum(floor, [(distance <= t).mean() for t in range(most + 1)])
 
 
-def plan(sample: np.ndarray, rows: int, limit: int = LIMIT) -> list[tuple[list[int], int]]:
-    """Groups of bits and their thresholds, of least estimated cost.
+def _cost(rows: int, group: list[int], t: int, rate: float) -> float:
+    return rows * ROW_COST * comb(len(group), t) + rows * rows / 2 * rate
+
+
+def plan(bits: np.ndarray, rows: int, limit: int = LIMIT) -> list[tuple[list[int], int]]:
+    """Groups of bits and their thresholds, of least estimated cost, that find every pair within ``limit`` bits.
 
     By the pigeonhole principle a pair within ``limit`` bits is within t in one of the groups if t+1 sums to
     limit+1 over all groups; a group with t = -1 is never probed. Dynamic programming shares limit+1 out.
     """
-    bits = ((sample[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.float32) if len(sample) else np.zeros((1, 64), np.float32)
     best: tuple[float, list] = (float("inf"), [])
     for parts in range(2, limit + 3):
         groups = group_bits(bits, parts)
         table: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
         for g in groups:
             rates = pair_rate(bits, g, min(limit, 2))
-            costs = {-1: 0.0} | {t: rows * ROW_COST * (1 + sum(comb(len(g), j) for j in range(t + 1))) + rows * rows / 2 * float(rates[t]) for t in range(len(rates))}
+            costs = {-1: 0.0} | {t: _cost(rows, g, t, float(rates[t])) for t in range(len(rates))}
             new: dict[int, tuple[float, list[int]]] = {}
             for used, (cost, chosen) in table.items():
                 for t, c in costs.items():
@@ -107,55 +152,110 @@ def plan(sample: np.ndarray, rows: int, limit: int = LIMIT) -> list[tuple[list[i
     return [(g, t) for g, t in best[1] if t >= 0]
 
 
-def _signed(n: int) -> int:
-    return n - (1 << 64) if n >> 63 else n
+def differing_share(least: float) -> float:
+    """The share of bits in which the fingerprints of two sets of Jaccard similarity ``least`` differ: the angle over pi."""
+    return acos(min(1.0, 2 * least / (1 + least))) / pi
+
 
+def plan_share(bits: np.ndarray, rows: int, least: float = LEAST, miss: float = MISS, steps: int = 200) -> list[tuple[list[int], int]]:
+    """Groups and thresholds, of least estimated cost, that miss a pair at ``least`` with a chance of ``miss`` or less.
 
-def _variants(part: int, masked: Column, flips: list[int]) -> Column:
-    return F.transform(F.array(*map(F.lit, flips)), lambda f: F.struct(F.lit(part).alias("part"), masked.bitwiseXOR(f).alias("key")))
+    Dynamic programming shares out log(1 / miss): a group that finds such a pair with chance p adds log(1 / (1 - p)).
+    """
+    p, need = differing_share(least), log(1 / miss)
+    best: tuple[float, list] = (float("inf"), [])
+    for size in range(12, 31, 2):
+        groups = group_bits(bits, bits.shape[1] // size)
+        table: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
+        for g in groups:
+            rates = pair_rate(bits, g, 1)
+            choices = [(0, 0.0, -1)]
+            for t in range(2):
+                found = sum(comb(len(g), i) * p**i * (1 - p) ** (len(g) - i) for i in range(t + 1))
+                choices.append((int(log(1 / (1 - found)) / need * steps), _cost(rows, g, t, float(rates[t])), t))
+            new: dict[int, tuple[float, list[int]]] = {}
+            for used, (cost, chosen) in table.items():
+                for gain, c, t in choices:
+                    at = min(steps, used + gain)
+                    if cost + c < new.get(at, (float("inf"),))[0]:
+                        new[at] = (cost + c, [*chosen, t])
+            table = new
+        if steps in table and table[steps][0] < best[0]:
+            best = (table[steps][0], list(zip(groups, table[steps][1])))
+    return [(g, t) for g, t in best[1] if t >= 0]
 
 
-def _layout(fps: DataFrame, limit: int) -> list[tuple[list[int], int]]:
-    sample = fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").collect()
-    return plan(np.array([r[0] for r in sample], np.int64).view(np.uint64), fps.count(), limit)
+def _sample_bits(nodes: DataFrame, width: int) -> tuple[np.ndarray, int]:
+    """Bits of the SAMPLE fingerprints of least hash, a row each, and how many fingerprints there are."""
+    held = [bytes(r[0]) for r in nodes.orderBy(F.xxhash64("bits"), "bits").limit(SAMPLE).select("bits").collect()]
+    if not held:
+        return np.zeros((1, width), np.float32), 0
+    return np.unpackbits(np.frombuffer(b"".join(held), np.uint8).reshape(-1, width // 8), axis=1, bitorder="little").astype(np.float32), nodes.count()
 
 
-def _masked(group: list[int]) -> Column:
-    return F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in group))))
+def bucket_keys(bits: np.ndarray, layout: list[tuple[list[int], int]]) -> np.ndarray:
+    """The keys of each row of bits. Two rows share a key of a group just if they are within its threshold t there:
+    a key leaves out t of the group's bits, and there is one for each choice of these."""
+    made = []
+    for part, (group, t) in enumerate(layout):
+        value = bits[:, group].astype(np.uint64) @ (np.uint64(1) << np.arange(len(group), dtype=np.uint64))
+        for k, gone in enumerate(combinations(range(len(group)), t)):
+            rest = value & ~np.uint64(sum(1 << j for j in gone))
+            rest = (rest ^ np.uint64(part << 40 | k << 8)) * np.uint64(0x9E3779B97F4A7C15)
+            rest = (rest ^ (rest >> np.uint64(31)) ^ np.uint64(part << 20 | k)) * np.uint64(0xD6E8FEB86659FD93)
+            made.append(rest ^ (rest >> np.uint64(32)))
+    return np.stack(made, axis=1).view(np.int64) if made else np.zeros((len(bits), 0), np.int64)
 
 
-def _keyed(fps: DataFrame, layout: list[tuple[list[int], int]]) -> DataFrame:
-    """A row for each fingerprint and group of bits, keyed by the fingerprint's bits there."""
-    index = [F.struct(F.lit(k).alias("part"), _masked(g).alias("key")) for k, (g, _) in enumerate(layout)]
-    return fps.select("*", F.explode(F.array(*index)).alias("s")).select("*", "s.*").drop("s")
+def _keyed(nodes: DataFrame, layout: list[tuple[list[int], int]], width: int) -> DataFrame:
+    """node, label, head, n and copies of each node, a row for each of its keys. The keys come from the bits anew at
+    each use: that costs less than keeping them."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = b"".join(binary(b.column(5)))
+            keys = bucket_keys(np.unpackbits(np.frombuffer(data, np.uint8).reshape(-1, width // 8), axis=1, bitorder="little"), layout)
+            ends = np.arange(len(b) + 1, dtype=np.int32) * keys.shape[1]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1)))], ["node", "label", "head", "n", "copies", "keys"])
 
-def _apart(limit: int) -> Column:
-    return F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= limit
+    made = nodes.select("node", "label", "head", "n", "copies", "bits").mapInArrow(run, "node long, label long, head long, n long, copies long, keys array<long>")
+    return made.select("node", "label", "head", "n", "copies", F.explode("keys").alias("key"))
 
 
-def stars(fps: DataFrame, layout: list[tuple[list[int], int]], limit: int = LIMIT) -> DataFrame:
-    """Verified pairs a < b of each fingerprint with the most frequent one of its bucket: no more rows than keys."""
-    keyed = _keyed(fps, layout)
-    hub = keyed.groupBy("part", "key").agg(F.count("*").alias("m"), F.max_by(F.struct("fp", "id"), F.struct("n", "fp")).alias("hub")).where("m > 1")
-    hub = hub.select("part", "key", F.col("hub.fp").alias("fp_b"), F.col("hub.id").alias("id_b"))
-    found = keyed.withColumnsRenamed({"fp": "fp_a", "id": "id_a"}).join(hub, ["part", "key"]).where((F.col("fp_a") != F.col("fp_b")) & _apart(limit))
-    return found.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+def grouped(nodes: DataFrame, layout: list[tuple[list[int], int]], width: int, head_limit: int, least: float, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node and group, the least node reachable, of every node that has a link.
 
+    nodes: node, head (64 bits), n (a size that linked nodes share to ``least``), copies and bits. A candidate pair
+    shares a key, is near in head and size, and has to pass ``verify``. First all nodes of a bucket are compared with
+    its most copied one, so that a large group of near copies falls into few labels; then nodes outside of a bucket's
+    largest label are compared with all others there. So pairs inside a group aren't made, and no link between labels
+    is lost. Large buckets are salted.
+    """
 
-def links(fps: DataFrame, layout: list[tuple[list[int], int]], limit: int = LIMIT) -> DataFrame:
-    """Pairs a < b within ``limit`` bits, each once, from distinct fingerprints (fp, label): a pair is of labels, and
-    fingerprints that share a label aren't paired. With a label of its own for each, these are all pairs."""
-    probe = []
-    for k, (group, t) in enumerate(layout):
-        flips = [_signed(sum(1 << b for b in c)) for n in range(t + 1) for c in combinations(group, n)]
-        probe.append(_variants(k, _masked(group), flips))
-    left = fps.select("fp", "label", F.explode(F.flatten(F.array(*probe))).alias("s")).select(F.col("fp").alias("fp_a"), F.col("label").alias("label_a"), "s.*")
-    right = _keyed(fps.select("fp", "label"), layout).withColumnsRenamed({"fp": "fp_b", "label": "label_b"})
-    same = (left["part"] == right["part"]) & (left["key"] == right["key"])
-    near = (F.col("fp_a") < F.col("fp_b")) & (F.col("label_a") != F.col("label_b")) & _apart(limit)
-    found = left.join(right.hint("shuffle_hash"), same & near)
-    return found.select(F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b")).distinct()
+    def close(other: str) -> Column:
+        near = F.bit_count(F.col("head").bitwiseXOR(F.col(f"{other}.head"))) <= head_limit
+        return near if least == 0 else near & (F.least("n", f"{other}.n") >= F.greatest("n", f"{other}.n") * F.lit(least))
+
+    def ordered(a: str, b: str) -> list[Column]:
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+    keyed = _keyed(nodes.withColumn("label", F.col("node")), layout, width)
+    hub = keyed.groupBy("key").agg(F.count("*").alias("m"), F.max(F.struct("copies", "node", "head", "n")).alias("hub")).where("m > 1").drop("m")
+    star = keyed.join(hub, "key").where((F.col("node") != F.col("hub.node")) & close("hub")).select(*ordered("node", "hub.node")).distinct()
+    label = components(verify(star)).select(F.col("id").alias("node"), F.col("component").alias("label"))
+    labelled = nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")).checkpoint()
+    keyed = _keyed(labelled, layout, width)
+    sizes = keyed.groupBy("key", "label").agg(F.count("*").alias("c"))
+    sizes = sizes.groupBy("key").agg(F.sum("c").alias("m"), F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("top")).where("labels > 1")
+    mixed = keyed.join(sizes.select("key", F.ceil(F.col("m") / SALT_ROWS).cast("int").alias("salts"), F.col("top.label").alias("top")), "key")
+    ask = mixed.where("label != top").select("key", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), "node", "label", "head", "n")
+    all_ = mixed.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.struct("node", "label", "head", "n").alias("other"))
+    pairs = ask.join(all_, ["key", "salt"]).where((F.col("label") != F.col("other.label")) & close("other"))
+    links = verify(pairs.select(*ordered("node", "other.node")).distinct())
+    of = labelled.select("node", "label")
+    links = links.join(of.withColumnsRenamed({"node": "a", "label": "x"}), "a").join(of.withColumnsRenamed({"node": "b", "label": "y"}), "b")
+    merged = components(links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()).withColumnRenamed("id", "label")
+    return labelled.join(merged, "label", "left").select("node", F.coalesce("component", "label").alias("group"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -189,23 +289,83 @@ def near_duplicates(df: DataFrame, limit: int = LIMIT) -> DataFrame:
     this fingerprint has a doc_id. Repeated rows get equal results; an empty table stays empty.
     """
     found = fingerprints(df).checkpoint()
-    fps = found.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")).checkpoint()
-    layout = _layout(fps, limit)
-    # first each bucket's star, so that a large group of near copies falls into few labels; then the pairs between
-    # labels, which alone can join more; fingerprints without a link keep their own id
-    star = components(stars(fps, layout, limit))
-    labelled = fps.join(star, "id", "left").select("fp", F.coalesce("component", "id").alias("label")).checkpoint()
-    of = components(links(labelled, layout, limit)).withColumnRenamed("id", "label")
-    known = labelled.join(of, "label", "left").select("fp", F.coalesce("component", "label").alias("component_id"))
-    return found.join(known, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(df: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """The rows of df whose doc_id is the least of its component; of rows that share it, one. Rows without doc_id stay."""
-    found = near_duplicates(df, limit).where("doc_id is not null").select("doc_id", "component_id").checkpoint()
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    counts = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = df.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
-    if counts.isEmpty():
+    fps = found.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")).checkpoint()
+    little = [F.substring(F.lpad(F.hex("fp"), 16, "0"), k, 2) for k in range(15, 0, -2)]
+    nodes = fps.select(F.col("fp").alias("node"), F.col("fp").alias("head"), F.lit(1).cast("long").alias("n"), "copies", F.unhex(F.concat(*little)).alias("bits"))
+    group = grouped(nodes, plan(*_sample_bits(nodes, 64), limit), 64, limit, 0, lambda pairs: pairs)
+    return _named(found, fps.withColumnRenamed("fp", "node"), group, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _named(found: DataFrame, nodes: DataFrame, group: DataFrame, node: str) -> DataFrame:
+    """found with component_id, the least id in each row's group."""
+    known = nodes.join(group, "node", "left").select(F.col("node").alias(node), "id", F.coalesce("group", "node").alias("group"))
+    least = known.groupBy("group").agg(F.min("id").alias("component_id"))
+    return found.join(known.join(least, "group").select(node, "component_id"), node, "left")
+
+
+def near_copies(df: DataFrame, least: float = LEAST, miss: float = MISS) -> DataFrame:
+    """doc_id and component_id of every row with a doc_id: the least doc_id reachable by links of texts.
+
+    Texts are linked if the Jaccard similarity of their sets of five-word shingles is ``least`` or more (A-Z
+    lower-cased; a shorter text is one shingle; texts without a word are equal). Texts of one set are one node. A pair
+    beyond ``least`` is missed with a chance of ``miss`` at most, less the more similar it is; no pair below is linked.
+    Repeated rows get equal results; an empty table stays empty.
+    """
+    ready(df.sparkSession)
+    df = df.where("doc_id is not null").select("doc_id", "text")
+    share = differing_share(least)
+    head_limit, limit = (ceil(w * share + 5 * sqrt(w * share * (1 - share)) + w / 32) for w in (64, WIDE))
+
+    def digest(held: np.ndarray) -> int:
+        return int(np.uint64(xxhash.xxh3_64_intdigest(held.tobytes())).view(np.int64))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [shingle_set(t) for t in binary(b.column(1))]
+            columns = [pa.array(map(digest, held), pa.int64()), pa.array(map(len, held), pa.int64()), pa.array(map(wide_fingerprint, held), pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "node", "n", "bits"])
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [shingle_set(t) for t in binary(b.column(1))]
+            yield pa.RecordBatch.from_arrays([pa.array(map(digest, held), pa.int64()), pa.array([h.tobytes() for h in held], pa.binary())], ["node", "held"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [[np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(k)] for k in (2, 3)]
+            yield b.select([0, 1]).filter(pa.array([jaccard(x, y) >= least for x, y in zip(*held)], pa.bool_()))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(binary(b.column(k))), np.uint64).reshape(-1, WIDE // 64) for k in (2, 3))
+            yield b.select([0, 1]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= limit))
+
+    found = df.mapInArrow(sign, T.StructType([df.schema["doc_id"]]).add("node", "long").add("n", "long").add("bits", "binary")).checkpoint()
+    nodes = found.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies")).checkpoint()
+    head = F.conv(F.hex(F.substring("bits", 1, 8)), 16, -10).cast("long")
+
+    def both(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
+        left, right = (values.select(F.col("node").alias(x), F.col(column).alias(f"{column}_{x}")) for x in "ab")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", f"{column}_a", f"{column}_b")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        """The pairs near in all bits, then those whose sets are; only texts of the former are read again."""
+        pairs = both(pairs, nodes, "bits").mapInArrow(near, "a long, b long").checkpoint()
+        asked = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select(F.col("id").alias("doc_id")).distinct()
+        sets = only(df, asked, "doc_id").mapInArrow(hold, "node long, held binary").dropDuplicates(["node"])
+        return both(pairs, sets, "held").mapInArrow(compare, "a long, b long").checkpoint()
+
+    asked = nodes.where("n > 0").select("node", head.alias("head"), "n", "copies", "bits")
+    group = grouped(asked, plan_share(*_sample_bits(asked, WIDE), least, miss), WIDE, head_limit, least, verify)
+    return _named(found.select("doc_id", "node"), nodes.select("node", "id"), group, "node").select("doc_id", "component_id")
+
+
+def keep_one(df: DataFrame, least: float = LEAST) -> DataFrame:
+    """The rows of df whose doc_id is the least of its group of near copies; of rows that share it, one. Rows without
+    doc_id stay, however often they repeat."""
+    found = near_copies(df, least).checkpoint()
+    kept = without(df, found.where("doc_id != component_id").select("doc_id").distinct(), "doc_id")
+    twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id").checkpoint()
+    if twice.isEmpty():
         return kept
-    return kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    return without(kept, twice, "doc_id").union(only(kept, twice, "doc_id").dropDuplicates(["doc_id"]))
