@@ -28,15 +28,26 @@ def ready(spark: SparkSession, batch_rows: int = 1000) -> None:
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a helper column that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Ids that are broadcast at most; of 8 bytes each in a table of longs that is some tens of MB.
 BROADCAST_IDS = 1_000_000
 
 
+def whole_numbers(df: DataFrame, column: str) -> bool:
+    return df.schema[column].dataType.typeName() in ("byte", "short", "integer", "long")
+
+
 def _by_ids(df: DataFrame, ids: DataFrame, id: str, how: str) -> DataFrame:
     """A join of df with distinct ids: by broadcast if they are whole numbers and few, else by shuffle."""
     ids = ids.checkpoint()
-    whole = df.schema[id].dataType.typeName() in ("byte", "short", "integer", "long")
-    few = whole and ids.count() <= BROADCAST_IDS
+    few = whole_numbers(df, id) and ids.count() <= BROADCAST_IDS
     return df.join(F.broadcast(ids) if few else ids.hint("merge"), id, how).select(*df.columns)
 
 

@@ -1,25 +1,28 @@
-"""Line deduplication: two Bloom filters find suspected repeats; only these shuffle for exact counts."""
+"""Line deduplication: two Bloom filters find suspected repeats; only these shuffle for exact counts.
+
+The filters are cut into shards by hash, as many as the lines ask for, each in a task of its own: no filter is broadcast
+or reaches the driver, and its size has no bound. Where a key is in many documents of one task, these are suspects
+already and don't go to its shard.
+"""
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import ASCII_LOWER, binary, pack, ready, replace_columns
+from ._common import ASCII_LOWER, BROADCAST_IDS, binary, fresh, ready, replace_columns, whole_numbers
 
-SHARDS = 64
 PROBES = 2
-FLUSH = 1 << 18  # hashes that a task holds before it sends them
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30  # of a filter: up to 128 MB are broadcast
-BITS_A_ROW = 160
+BITS_A_KEY = 16
+FLUSH = 1 << 18  # keys that a task holds before it sends them
+SHARD_KEYS = 1 << 19  # keys of a shard at most, by the bytes of all texts
+MANY = 8  # documents of one task that make a key a suspect at once
 HEAVY_PARTS = 5000
 
 
@@ -34,94 +37,94 @@ def line_keys(text: bytes, min_chars: int) -> tuple[list[bytes], list[bytes | No
     return lines, keys
 
 
-def _bits(hashes: np.ndarray, size: int) -> np.ndarray:
-    """A row of PROBES bit positions in a shard of ``size`` bits for each hash; the shard is the top six bits."""
-    low, high = hashes & np.uint64(0xFFFFFFF), (hashes >> np.uint64(28)) & np.uint64(0x3FFFFFF)
-    return np.stack([(low + np.uint64(i) * (high | np.uint64(1)) * np.uint64(2654435761)) % np.uint64(size) for i in range(PROBES)], axis=1)
-
-
-def _shard(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(58)).astype(np.int64)
+def _positions(keys: np.ndarray, size: int) -> np.ndarray:
+    """PROBES positions in a filter of ``size`` for each key of 16 bytes."""
+    halves = keys.view("<u8").reshape(-1, 2)
+    return np.stack([(halves[:, 0] + np.uint64(i) * (halves[:, 1] | np.uint64(1))) % np.uint64(size) for i in range(PROBES)], axis=1)
 
 
-def twice_filter(df: DataFrame, min_chars: int, bits: int) -> Broadcast:
-    """The filter of keys seen in two rows at least, as an array of SHARDS rows of booleans packed to bits.
+def suspects(df: DataFrame, min_chars: int) -> DataFrame:
+    """doc_id and the 128-bit hash of each key that two rows at least may hold, once for each task's rows.
 
-    Tasks send the hashes of their keys, one packed array for a shard, once each with a mark for those seen twice.
-    A shard's task keeps its part of the once-seen filter and moves a key that this already has to the twice-seen
-    one; only the latter, of fixed size, reaches the driver. False positives cost a shuffled row, never an error.
+    Tasks send each of their keys once, with the documents that hold it, to its shard. A shard's task moves a key that its
+    once-seen filter already has to the twice-seen one, and then lets those through that the latter has. False positives
+    cost a shuffled row, never an error.
     """
-    size = bits // SHARDS
+    size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = 1 + size // ((min_chars + 1) * SHARD_KEYS)
+    kind = df.schema["doc_id"].dataType
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[int] = []
+        holders: dict[bytes, list] = {}
+        held = turn = 0
 
         def flush() -> pa.RecordBatch:
-            values, counts = np.unique(np.array(held, np.uint64), return_counts=True)
-            cut = np.searchsorted(_shard(values), np.arange(SHARDS + 1))
-            rows = [(s, values[a:b].tobytes(), np.packbits(counts[a:b] > 1).tobytes()) for s, (a, b) in enumerate(zip(cut, cut[1:])) if a < b]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["shard", "hashes", "again"])
+            nonlocal turn
+            keys = np.frombuffer(b"".join(holders), np.uint8).reshape(-1, 16)
+            docs = list(holders.values())
+            many = np.fromiter((len(d) > MANY for d in docs), bool, len(docs))
+            shard = keys.view("<u8")[:, 1] % np.uint64(shards)
+            rows = []
+            for s in np.unique(shard).tolist():
+                at = np.flatnonzero(shard == s)
+                counts = np.array([len(docs[i]) for i in at], np.int32)
+                own = [[] if many[i] else docs[i] for i in at]
+                rows.append((s, False, keys[at].tobytes(), counts.tobytes(), [d for ds in own for d in ds]))
+            for i in np.flatnonzero(many):  # known already: dealt over all shards
+                turn += 1
+                rows.append((turn % shards, True, keys[i].tobytes(), b"", docs[i]))
+            holders.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
         for batch in batches:
-            for t in binary(batch.column(0)):
-                held += {xxhash.xxh3_64_intdigest(k) for k in line_keys(t or b"", min_chars)[1] if k is not None}
-                if len(held) >= FLUSH:
+            out = pa.schema([("shard", pa.int64()), ("sure", pa.bool_()), ("keys", pa.binary()), ("counts", pa.binary()), ("docs", pa.list_(batch.schema.field(0).type))])
+            for d, t in zip(batch.column(0).to_pylist(), binary(batch.column(1))):
+                for k in {k for k in line_keys(t or b"", min_chars)[1] if k is not None}:
+                    holders.setdefault(xxhash.xxh3_128_digest(k), []).append(d)
+                    held += 1
+                if held >= FLUSH:
                     yield flush()
-                    held.clear()
+                    held = 0
         if held:
             yield flush()
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once: dict[int, np.ndarray] = {}
-        twice: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for shard, data, mark in zip(*(c.to_pylist() for c in batch.columns)):
-                seen = once.setdefault(shard, np.zeros(size, bool))
-                more = twice.setdefault(shard, np.zeros(size, bool))
-                at = _bits(np.frombuffer(data, np.uint64), size)
-                again = np.unpackbits(np.frombuffer(mark, np.uint8), count=len(at)).astype(bool) | seen[at].all(axis=1)
-                more[at[again]] = True
-                seen[at] = True
-        made = [(s, pack(np.packbits(t).tobytes())) for s, t in twice.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in made], pa.int64()), pa.array([b for _, b in made], pa.binary())], ["shard", "bits"])
-
-    sent = df.select("text").mapInArrow(send, "shard long, hashes binary, again binary")
-    filled = sent.repartition(SHARDS, "shard").mapInArrow(fill, "shard long, bits binary")
-    out = np.zeros((SHARDS, size // 8), np.uint8)
-    for shard, data in filled.toLocalIterator():
-        out[shard] = np.frombuffer(zlib.decompress(data), np.uint8)
-    return df.sparkSession.sparkContext.broadcast(out)
-
-
-def suspects(df: DataFrame, twice: Broadcast, bits: int, min_chars: int) -> DataFrame:
-    """doc_id and the 128-bit hash of each key that the filter suspects, once a row."""
-    size = bits // SHARDS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filt = twice.value
-        for batch in batches:
-            ids, keys = [], []
-            found = [(d, k) for d, t in zip(batch.column(0).to_pylist(), binary(batch.column(1))) for k in {k for k in line_keys(t or b"", min_chars)[1] if k is not None}]
-            hashes = np.array([xxhash.xxh3_64_intdigest(k) for _, k in found], np.uint64)
-            at, shard = _bits(hashes, size), _shard(hashes)[:, None]
-            hit = ((filt[shard, at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & np.uint8(1)).all(axis=1)
-            for i in np.flatnonzero(hit):
-                ids.append(found[i][0])
-                keys.append(xxhash.xxh3_128_digest(found[i][1]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(keys, pa.binary())], ["doc_id", "key"])
-
-    schema = T.StructType([T.StructField("doc_id", df.schema["doc_id"].dataType), T.StructField("key", T.BinaryType())])
-    return df.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, schema)
+    def let_through(table: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(k, np.uint8).reshape(-1, 16) for k in table.column("keys").to_pylist()]
+        counts = [np.frombuffer(c, np.int32) for c in table.column("counts").to_pylist()]
+        sure, docs = table.column("sure").to_pylist(), table.column("docs").combine_chunks()
+        size = max(64, BITS_A_KEY * sum(len(k) for k, s in zip(keys, sure) if not s))
+        once, twice = np.zeros(size, bool), np.zeros(size, bool)
+        for k, n, s in zip(keys, counts, sure):
+            if not s:
+                at = _positions(k, size)
+                twice[at[(n > 1) | once[at].all(axis=1)]] = True
+                once[at] = True
+        picked, found, first = [], [], 0
+        ends = docs.offsets.to_numpy() - docs.offsets[0].as_py()
+        for row, (k, n, s) in enumerate(zip(keys, counts, sure)):
+            if s:
+                at = np.arange(ends[row], ends[row + 1])
+                picked.append(at)
+                found.append(np.repeat(k, len(at), axis=0))
+                continue
+            n = np.where(n > MANY, 0, n)
+            hit = np.repeat(twice[_positions(k, size)].all(axis=1), n)
+            picked.append(ends[row] + np.flatnonzero(hit))
+            found.append(np.repeat(k, n, axis=0)[hit])
+        at = pa.array(np.concatenate(picked))
+        hashes = np.concatenate(found).tobytes()
+        key = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(at), [None, pa.py_buffer(hashes)]).cast(pa.binary())
+        return pa.table({"doc_id": docs.flatten().take(at), "key": key})
+
+    sent = T.StructType().add("shard", "long").add("sure", "boolean").add("keys", "binary").add("counts", "binary").add("docs", T.ArrayType(kind))
+    given = df.select("doc_id", "text").where("doc_id is not null").mapInArrow(send, sent)
+    return given.groupBy("shard").applyInArrow(let_through, T.StructType().add("doc_id", kind).add("key", "binary"))
 
 
 def dropped_keys(df: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """doc_id and the hashes of the keys whose lines it loses: those in ``min_docs`` documents or more, but for the
     largest doc_id that holds the key."""
-    bits = LEAST_BITS
-    rows = df.count()
-    while bits < min(MOST_BITS, rows * BITS_A_ROW):
-        bits *= 2
-    pairs = suspects(df, twice_filter(df, min_chars, bits), bits, min_chars).distinct().checkpoint()
+    pairs = suspects(df, min_chars).distinct().checkpoint()
     counts = pairs.groupBy("key").agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= min_docs)
     # at most HEAVY_PARTS keys can have this many pairs: they are broadcast, so no key's pairs meet in one task
     heavy_from = max(min_docs, pairs.count() // HEAVY_PARTS + 1)
@@ -131,7 +134,7 @@ def dropped_keys(df: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
     marked = pairs.join(heavy, "key", "left")
     rest = marked.where("keeper is null").drop("keeper").join(light, "key")
     lost = marked.where("doc_id < keeper").select("doc_id", "key").union(rest.where("doc_id < keeper").select("doc_id", "key"))
-    return lost.groupBy("doc_id").agg(F.collect_list("key").alias("_lost"))
+    return lost.groupBy("doc_id").agg(F.collect_list("key").alias("lost")).checkpoint()
 
 
 def dedup_lines(df: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -143,9 +146,13 @@ def dedup_lines(df: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFr
     empty text is one empty line. An empty table stays empty; other columns stay as they are.
     """
     ready(df.sparkSession)
-    df = df.drop(*[c for c in df.columns if c.lower() in ("n_lines", "n_dropped", "_lost")])
-    # the filters' and the suspects' passes read only ids and texts; a shuffle meets the texts once, here
-    joined = df.join(dropped_keys(df, min_chars, min_docs).hint("shuffle_hash"), "doc_id", "left")
+    df = df.drop(*[c for c in df.columns if c.lower() in ("n_lines", "n_dropped")])
+    gone = fresh(df, "lost")
+    lost = dropped_keys(df, min_chars, min_docs)
+    # few lost keys, in bytes too, meet the texts by broadcast; else the texts of the losing documents shuffle
+    docs, keys = lost.agg(F.count("*"), F.sum(F.size("lost"))).first()
+    few = whole_numbers(df, "doc_id") and docs + (keys or 0) <= BROADCAST_IDS
+    joined = df.join((F.broadcast(lost) if few else lost.hint("merge")).withColumnRenamed("lost", gone), "doc_id", "left")
 
     def start():
         def work(texts: pa.Array, lost: pa.Array) -> list:
@@ -166,5 +173,5 @@ def dedup_lines(df: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFr
 
         return work
 
-    out = replace_columns(joined, ["text", "_lost"], "text string, n_lines long, n_dropped long", start)
+    out = replace_columns(joined.select(*df.columns, gone), ["text", gone], "text string, n_lines long, n_dropped long", start)
     return out.select(*df.columns, "n_lines", "n_dropped")

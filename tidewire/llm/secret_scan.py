@@ -20,12 +20,30 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # the maximal runs of 16 or more
 
-#: name, optional closing quote, operator; then a quoted or bare literal. Possessive: a failing name isn't retried.
-_NAME_BEFORE = re.compile(r"""([A-Za-z_$][A-Za-z0-9_$.-]*)["'\]]?[ \t]*\Z""", re.ASCII)
-_OPERATOR = re.compile(r"(?::=|=>|\+=|==?=?|:|=)")
-_LITERAL = re.compile(r"""[ \t]*(?:([rbuf]{0,2})(["'`])((?:\\.|(?!\2)[^\\\n])*)\2|([A-Za-z0-9+/_.$=-]+))""", re.ASCII)
+_OP = r"(?::=|=>|\+=|===?|!=|:(?!:)|=)"
+_STRING = r"""(?:\b[rbufRBUF]{1,2})?(?P<q>["'`])(?P<text>(?:\\.|(?!(?P=q))[^\\\n])*+)(?P=q)"""
+_LONG = r"""(?:\b[rbufRBUF]{1,2})?(?P<m>\"\"\"|\'\'\')(?P<body>.*?)(?P=m)"""
+_AHEAD = r"(?=[ \t]*+\]?[ \t]*+" + _OP + ")"
+#: The lexer stops at strings, elements, comments and names before an operator; the rest it skips within one match.
+_RULES = r"""
+    (?:[^\w$"'`\#/<]++|(?!\b[rbufRBUF]{1,2}["'])(?![A-Za-z_$][\w$.-]*+AHEAD)[\w$.-]++["'`]?)*+
+    (?:LONG|COMMENT<(?P<tag>[A-Za-z_][\w.:-]*+)(?:[ \t][^<>\n]*+)?>(?P<inside>[^<>\n]*+)</(?P=tag)[ \t]*+>|(?P<string>STRING)|(?P<name>[A-Za-z_$][\w$.-]*+)AHEAD|.|\Z)
+"""
+_COMMENT = r"(?P<comment>/\*.*?\*/|<!--.*?-->|(?:(?<=\s)|(?<![\s\S]))(?:\#|//)[^\n]*+)|"
+
+
+def _rules(comment: str) -> re.Pattern:
+    made = _RULES.replace("LONG", _LONG).replace("COMMENT", comment).replace("STRING", _STRING).replace("AHEAD", _AHEAD)
+    return re.compile(made, re.ASCII | re.DOTALL | re.VERBOSE)
+
+
+_LEXER, _INNER = _rules(_COMMENT), _rules("")
+_OPERATOR = re.compile(r"[ \t]*+\]?[ \t]*+(" + _OP + ")", re.ASCII)
+_QUOTED = re.compile(r"[ \t]*+(?:" + _LONG + "|" + _STRING + ")", re.ASCII | re.DOTALL)
+_JOINED = re.compile(r"[ \t]*+(?:[+.&][ \t]*+(?:\r?\n[ \t]*+)?|\\\r?\n[ \t]*+)?(?=(?:\b[rbufRBUF]{1,2})?[\"'`])", re.ASCII)
+_BARE = re.compile(r"[ \t]*+([A-Za-z0-9+/_.$=-]++)", re.ASCII)
+_AFTER_TYPE = re.compile(r"[ \t]*+=(?![=>])")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", re.ASCII)
-_IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.]*\Z", re.ASCII)
 #: Weights of words in a target's name.
 SENSITIVE = {
     "password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "token": 2, "apikey": 3, "credential": 3,
@@ -35,7 +53,6 @@ SENSITIVE = {
 #: Words that say the literal isn't the secret itself.
 HARMLESS = {"public": 3, "file": 2, "path": 2, "name": 2, "url": 2, "length": 3, "count": 3, "type": 3, "field": 2, "header": 2, "id": 1}
 PLACEHOLDER = re.compile(r"(?i)\A(?:x+|\*+|\.+|changeme|example|placeholder|your[-_a-z]*|none|null|true|false|todo|<.*>|\$\{.*\})\Z")
-REACH = 160  # characters before an operator that can hold its name
 THRESHOLD = 4.0
 _LEAST = 8
 
@@ -55,49 +72,90 @@ def literal_score(value: str) -> float:
     return min(1.5, entropy / 2.5) + min(1.0, n / 24) + (classes >= 2) * 0.5
 
 
-def lex(text: str) -> list[tuple[str, int, int, str, bool]]:
-    """Name, start, end, value and whether quoted, of each assignment in source or configuration syntax."""
-    pairs, at = [], 0
-    while m := _OPERATOR.search(text, at):
-        at = m.end()
-        if m.group() in ("==", "==="):
-            continue
-        name = _NAME_BEFORE.search(text[max(0, m.start() - REACH) : m.start()].rpartition("\n")[2])
-        if not name:
-            continue
-        value = _LITERAL.match(text, m.end())
-        if not value:
-            continue
-        k = 3 if value.group(2) else 4
-        if value.start(k) < value.end(k):
-            pairs.append((name.group(1), value.start(k), value.end(k), value.group(k), k == 3))
-            at = value.end() if k == 3 else at
-    return pairs
+def _value(text: str, at: int) -> tuple[int, int, str, bool, int] | None:
+    """Start, end, value, whether quoted, and where the lexer goes on, of the literal or name at ``at``; strings that are
+    joined make one value."""
+    m = _QUOTED.match(text, at)
+    if m:
+        k = "body" if m["m"] else "text"
+        start, end, value = m.start(k), m.end(k), m[k]
+        while (j := _JOINED.match(text, m.end())) and (m := _QUOTED.match(text, j.end())):
+            k = "body" if m["m"] else "text"
+            end, value = m.end(k), value + m[k]
+            at = m.end()
+        return start, end, value, True, max(at, end + 1)
+    m = _BARE.match(text, at)
+    return (m.start(1), m.end(1), m[1], False, m.start(1)) if m else None
+
+
+def lex(text: str) -> list[list[tuple[str, int, int, str, bool]]]:
+    """Name, start, end, value and whether quoted, of each assignment in source or configuration syntax; a list for the
+    text and one more for each comment and string that holds assignments of its own.
+
+    Names are identifiers with dots and dashes, quoted keys and elements' tags, whole whatever their length. A called
+    function is no value. Comments and strings are lexed alone: what they assign doesn't reach the names around them.
+    """
+    scopes, todo = [], [(0, len(text), _LEXER)]
+    while todo:
+        at, until, rules = todo.pop()
+        pairs: list[tuple[str, int, int, str, bool]] = []
+
+        def inner(a: int, b: int) -> None:
+            if b - a > _LEAST and ("=" in text[a:b] or ":" in text[a:b]) and b - a < until - start:
+                todo.append((a, b, _INNER))
+
+        start = at
+        while at < until and (m := rules.match(text, at, until)):
+            at = max(m.end(), at + 1)
+            if m["tag"]:
+                pairs.append((m["tag"], m.start("inside"), m.end("inside"), m["inside"], True))
+            elif rules is _LEXER and m["comment"]:
+                inner(m.start("comment") + 2, m.end("comment"))
+            elif m["m"]:
+                inner(*m.span("body"))
+            elif m["name"] or m["string"]:
+                name = m["name"] or m["text"]
+                op = _OPERATOR.match(text, at, until)
+                if not op or op[1] in ("==", "===", "!="):
+                    if m["string"]:
+                        inner(*m.span("text"))
+                    continue
+                found = _value(text, op.end())
+                if found and op[1] == ":" and not found[3] and (typed := _AFTER_TYPE.match(text, found[1], until)):
+                    found = _value(text, typed.end())  # name: type = value
+                if not found or found[1] > until:
+                    at = op.end()
+                    continue
+                a, b, value, quoted, at = found
+                if quoted:
+                    inner(a, b)
+                if a < b and (quoted or text[b : b + 1] != "("):
+                    pairs.append((name, a, b, value, quoted))
+        scopes.append(pairs)
+    return scopes
+
+
+def _sensitive(pairs: list[tuple[str, int, int, str, bool]]) -> list[tuple[int, int]]:
+    scores = {name: name_score(name) for name, *_ in pairs}
+    given: dict[str, list[str]] = {}  # the names whose value a name gets
+    for name, _, _, value, quoted in pairs:
+        if not quoted and value in scores and value != name:
+            given.setdefault(name, []).append(value)
+    todo = sorted(given, key=scores.get)
+    while todo:  # a constant is as sensitive as any name it reaches; each step raises a score
+        name = todo.pop()
+        for source in given.get(name, ()):
+            if scores[source] < scores[name]:
+                scores[source] = scores[name]
+                todo.append(source)
+    return [(a, b) for name, a, b, value, quoted in pairs if scores[name] >= 2 and (quoted or value not in scores) and scores[name] + literal_score(value) >= THRESHOLD]
 
 
 def lexed_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals that a sensitive name gets, directly or through names assigned to names."""
-    pairs = lex(text)
-    if not pairs:
+    if "=" not in text and ":" not in text and "</" not in text:
         return []
-    scores: dict[str, float] = {}
-    for name, *_ in pairs:
-        scores[name] = max(scores.get(name, -9.0), name_score(name))
-    uses = [(value, name) for name, _, _, value, quoted in pairs if not quoted and _IDENTIFIER.match(value) and value != name]
-    for _ in range(4):  # constants go along chains of up to five names
-        changed = False
-        for source, target in uses:
-            if source in scores and scores[target] - 0.5 > scores[source]:
-                scores[source] = scores[target] - 0.5
-                changed = True
-        if not changed:
-            break
-    names = set(scores)
-    found = []
-    for name, start, end, value, quoted in pairs:
-        if scores[name] >= 2 and not (not quoted and value in names) and scores[name] + literal_score(value) >= THRESHOLD:
-            found.append((start, end))
-    return found
+    return sorted({span for pairs in lex(text) if pairs for span in _sensitive(pairs)})
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
