@@ -60,19 +60,22 @@ def has_letter(text: bytes | None) -> bool:
     return regex.search(rb"[A-Za-z]", text) is not None or _LETTER.search(text.decode("utf-8", "replace")) is not None
 
 
-def sample_labelled(df: DataFrame, per_label: int, parts: int = 32) -> DataFrame:
-    """Ids, texts and labels of at most ``per_label`` rows of each label, by the hash of the id.
+def sample_labelled(df: DataFrame, per_label: int, parts: int = 32, most_labels: int = 1000) -> DataFrame:
+    """Ids, texts and labels of at most ``per_label`` rows of each label, by the hash of the id; of more than
+    ``most_labels`` labels, of those with the most rows.
 
-    Only ids and labels take part in the choice. It takes up to per_label/parts rows from each of ``parts``
-    hash groups, so no label gathers in one task.
+    Only ids and labels take part in the choice. It takes up to per_label/parts ids from each of ``parts`` hash groups, so
+    no label gathers in one task. Rows that share an id and a label count once, by their least text.
     """
-    keys = df.select("doc_id", "lang").where("lang is not null and doc_id is not null")
     h = F.xxhash64("doc_id")
-    keys = keys.withColumns({"_part": F.pmod(h, F.lit(parts)), "_h": h})
-    order = Window.partitionBy("lang", "_part").orderBy("_h", "doc_id")
-    chosen = keys.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max(1, per_label // parts))
-    chosen = chosen.select(F.col("doc_id").alias("_id")).distinct()
-    return df.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "text", "lang")
+    keys = df.where("lang is not null and doc_id is not null").select("doc_id", "lang")
+    labels = keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_labels).select("lang")
+    keys = keys.distinct().join(F.broadcast(labels), "lang").withColumns({"part": F.pmod(h, F.lit(parts)), "h": h})
+    order = Window.partitionBy("lang", "part").orderBy("h", "doc_id")
+    chosen = keys.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max(1, per_label // parts))
+    chosen = chosen.select(F.col("doc_id").alias("id"), F.col("lang").alias("label"))
+    held = df.select("doc_id", "text", "lang").join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("label")), "left_semi")
+    return held.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
 
 def fit(train: DataFrame, per_label: int = 512, landmarks_per_label: int = 40, ridge: float = 1e-2) -> KernelModel | None:

@@ -1,9 +1,12 @@
 """LM scoring: a hashed maximum-entropy model of words with a class-factored softmax, trained by distributed updates.
 
 P(w | h) = P(c | h) P(w | c, h). The class c of a word has logits that sum rows of a hashed table, one row for each
-n-gram or skip feature of the history h; the word within its class has one weight for each class of the last known
-word. Words outside the model's vocabulary share one class, within which the smoothed unigram decides; so the
-probabilities of all words and of one unseen word sum to 1.
+n-gram or skip feature of the history h. The word within its class has a prior weight and the weight of a hashed feature of
+itself and the last known word; the norms of all classes after all these contexts are made once for a model. Words
+outside the model's vocabulary share one class, within which the smoothed unigram decides; so the probabilities of all
+words and of one unseen word sum to 1.
+
+The vocabulary and both hashed tables grow with the training tokens, up to bounds that keep a model within about 100 MB.
 """
 
 from __future__ import annotations
@@ -24,12 +27,16 @@ from ._common import ASCII_LOWER, binary, fold, ready
 
 END = b" "  # no word holds a space
 LISTED = 100_000  # most frequent tokens whose counts are broadcast; the others are joined
-WORDS = 4096  # of these, the model's vocabulary
-CLASSES = 32  # of known words; one more each for END, for unknown words, and for the start as history
-ROWS = 1 << 14  # of the hashed table
+WORDS = 4096, 65_536  # of these, the model's vocabulary: the least, growing with the root of the tokens to the most
+CLASSES = 48  # of known words; one more each for END, for unknown words, and for the start as history
+ROWS = 14, 18  # log2 rows of the classes' hashed table, the least and the most
+SLOTS = 20, 23  # log2 weights of the words' hashed table
+CONTEXTS = 1024  # rows of the last known word, which rare words share
 SIGNS = 64  # frequent words whose share in its documents describes a word
-MINIBATCH, RATE, ROUNDS = 16384, 0.5, 2
-TOKENS_A_LEARNER = 1_000_000
+MINIBATCH, RATE, HOLD, ROUNDS = 16384, 0.5, 3.0, 2  # HOLD keeps rows that were met once from large steps
+DAMP = 2.0  # tokens that a weight of the words' table is held back by
+TOKENS_A_LEARNER, LEARNERS = 2_000_000, 4096
+FAN_IN = 16
 FLUSH = 1 << 18
 
 
@@ -57,24 +64,26 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def _summed(blocks: DataFrame) -> dict[int, np.ndarray]:
-    """The sum of the float arrays of each block: in two steps, so that no task meets the arrays of all learners."""
+def _summed(blocks: DataFrame, learners: int) -> dict[int, np.ndarray]:
+    """The sum of the float arrays of each block, in a tree: no task meets more than FAN_IN arrays."""
 
     def add(table: pa.Table) -> pa.Table:
         total: np.ndarray | None = None
         for data in table.column("data"):
             x = np.frombuffer(data.as_buffer(), np.float32)
             total = x.copy() if total is None else total + x
-        return pa.table({"block": table.column("block").slice(0, 1), "data": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"block": table.column("block").slice(0, 1), "salt": table.column("salt").slice(0, 1), "data": pa.array([total.tobytes()], pa.binary())})
 
-    some = blocks.groupBy("block", "salt").applyInArrow(add, "block long, data binary")
-    return {b: np.frombuffer(d, np.float32) for b, d in some.groupBy("block").applyInArrow(add, "block long, data binary").collect()}
+    while learners > 1:
+        learners = -(-learners // FAN_IN)
+        blocks = blocks.withColumn("salt", F.floor(F.col("salt") / FAN_IN)).groupBy("block", "salt").applyInArrow(add, _BLOCK)
+    return {b: np.frombuffer(d, np.float32) for b, _, d in blocks.collect()}
 
 
 def _blocks(parts: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-    salt = TaskContext.get().partitionId() % 16
+    learner = TaskContext.get().partitionId()
     return pa.RecordBatch.from_arrays(
-        [pa.array([b for b, _ in parts], pa.int64()), pa.array([salt] * len(parts), pa.int64()), pa.array([x.astype(np.float32).tobytes() for _, x in parts], pa.binary())],
+        [pa.array([b for b, _ in parts], pa.int64()), pa.array([learner] * len(parts), pa.int64()), pa.array([x.astype(np.float32).tobytes() for _, x in parts], pa.binary())],
         ["block", "salt", "data"],
     )
 
@@ -92,6 +101,10 @@ class Vocabulary:
     distinct: int
     words: int
 
+    def grown(self, least: int, most: int, root: int) -> int:
+        """From ``least`` at four million tokens up to ``most``, with a root of the tokens."""
+        return int(min(most, least * max(1.0, self.total / 4e6) ** (1 / root)))
+
     def base(self, counts: np.ndarray) -> np.ndarray:
         """log10 of the smoothed unigram probability."""
         return np.log10((counts + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
@@ -130,21 +143,51 @@ def learn_vocabulary(counts: DataFrame) -> Vocabulary:
         if END not in found:  # the model always knows END
             found[END] = counts.where(F.col("token") == F.lit(bytearray(END))).first()["n"]
         tokens = sorted(found, key=lambda t: (-found[t], t))
-        at = min(tokens.index(END), WORDS - 1)
+        at = min(tokens.index(END), WORDS[0] - 1)
         tokens.remove(END)
         tokens.insert(at, END)
         n_of = [found[t] for t in tokens]
-    return Vocabulary({t: i for i, t in enumerate(tokens)}, np.array(n_of, np.int64), int(total or 0), int(distinct), min(WORDS, len(tokens)))
+    made = Vocabulary({t: i for i, t in enumerate(tokens)}, np.array(n_of, np.int64), int(total or 0), int(distinct), 0)
+    return replace(made, words=min(made.grown(*WORDS, 2), len(tokens)))
+
+
+def encoded(df: DataFrame, held_out, shared: Broadcast) -> DataFrame:
+    """Every row's tokens, as ids of the listed ones and -1, so that later passes read numbers; with what they sum to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        base = np.append(v.base(v.counts), 0.0) if v.total else np.zeros(1)
+        for batch in batches:
+            ids, starts, tokens = v.encode(binary(batch.column(2)))
+            known = (ids >= 0).astype(np.int64)
+            sums = [np.add.reduceat(x, starts[:-1]) if len(ids) else [] for x in (known, base[ids])]
+            cold = [list(Counter([w[i] for i in np.flatnonzero(ids[a:b] < 0).tolist()]).items()) for w, a, b in zip(tokens, starts, starts[1:])]
+            held = [ids[a:b].astype(np.int32).tobytes() for a, b in zip(starts, starts[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(np.diff(starts)), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.float64()), pa.array(held, pa.binary()), pa.array(cold, pa.map_(pa.binary(), pa.int64()))],
+                ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "ids", "cold"],
+            )
 
+    schema = T.StructType([df.schema["doc_id"]]).add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("ids", "binary")
+    made = df.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(run, schema.add("cold", T.MapType(T.BinaryType(), T.LongType(), False)))
+    return made.withColumn("row", F.monotonically_increasing_id())
 
-def learn_classes(texts: DataFrame, vocabulary: Vocabulary, shared: Broadcast) -> np.ndarray:
+
+def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all tokens of all texts, and where each text begins."""
+    held = column.to_pylist()
+    starts = np.concatenate([[0], np.cumsum([len(h) // 4 for h in held], dtype=np.int64)])
+    return np.frombuffer(b"".join(held), np.int32).astype(np.int64), starts
+
+
+def learn_classes(texts: DataFrame, vocabulary: Vocabulary, learners: int) -> np.ndarray:
     """A class for each word of the model, by k-means over the mix of frequent words in the documents that hold it."""
     words, end = vocabulary.words, vocabulary.ids.get(END, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, out = shared.value, np.zeros((words, SIGNS), np.float32)
+        out = np.zeros((words, SIGNS), np.float32)
         for batch in batches:
-            ids, starts, _ = v.encode(binary(batch.column(0)))
+            ids, starts = _tokens(batch.column(0))
             for a, b in zip(starts, starts[1:]):
                 own = ids[a:b]
                 held = np.bincount(own[(own >= 0) & (own < words)], minlength=SIGNS)
@@ -152,7 +195,7 @@ def learn_classes(texts: DataFrame, vocabulary: Vocabulary, shared: Broadcast) -
                 out[np.flatnonzero(held)] += np.sqrt(signs / max(1.0, signs.sum()))
         yield _blocks([(k, out[k : k + 256]) for k in range(0, words, 256)])
 
-    found = _summed(texts.select("text").mapInArrow(run, _BLOCK))
+    found = _summed(texts.select("ids").mapInArrow(run, _BLOCK), learners)
     x = np.concatenate([found[k] for k in sorted(found)]).reshape(words, SIGNS).astype(np.float64) if found else np.zeros((words, SIGNS))
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     rng, weight = np.random.default_rng(3), np.sqrt(vocabulary.counts[:words])[:, None]
@@ -175,18 +218,28 @@ UNKNOWN, START = CLASSES + 1, CLASSES + 2
 class Model:
     classes: np.ndarray  # of each known word
     prior: np.ndarray  # OUTPUTS log priors
-    table: np.ndarray  # ROWS x OUTPUTS
-    within: np.ndarray  # class of the last known word x word
-
-    def log_norms(self) -> np.ndarray:
-        """log of the sum of exp(within) over each class, for each class of the last known word."""
-        top = self.within.max(axis=1, keepdims=True)
-        e = np.exp(self.within - top)
-        sums = np.stack([np.bincount(self.classes, row, OUTPUTS) for row in e])
-        return np.log(np.maximum(sums, 1e-30)) + top
+    table: np.ndarray  # rows x OUTPUTS
+    own: np.ndarray  # each known word's prior weight in its class
+    pairs: np.ndarray  # weights of hashed pairs of a context and a word
+    norms: np.ndarray  # context x class
+
+    def slots(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        mixed = (context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+        return ((mixed ^ (mixed >> np.uint64(32))) & np.uint64(len(self.pairs) - 1)).astype(np.int64)
+
+    def normed(self) -> Model:
+        """With the log of the sum of all words' weights of each class, after each context."""
+        words, order = np.arange(len(self.classes)), np.argsort(self.classes, kind="stable")
+        first = np.searchsorted(self.classes[order], np.arange(OUTPUTS + 1))
+        norms = np.full((CONTEXTS + 1, OUTPUTS), -np.inf)
+        used = np.flatnonzero(np.diff(first))
+        for c in range(CONTEXTS + 1):
+            weight = np.exp(self.own + self.pairs[self.slots(np.full(len(words), c), words)].astype(np.float64))[order]
+            norms[c, used] = np.log(np.add.reduceat(weight, first[used]))
+        return replace(self, norms=norms)
 
     def histories(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each position: known word or the unknown one, its class, rows of its features, class of the last known word."""
+        """For each position: known word or the unknown one, its class, rows of its features, context of the last known word."""
         known = len(self.classes)
         word = np.where((ids >= 0) & (ids < known), ids, known)
         of = np.append(self.classes, [UNKNOWN, START])
@@ -200,14 +253,15 @@ class Model:
             return out
 
         classes = of[word]
-        w1, w2 = (back(word, k, known + 1) for k in (1, 2))
+        w1, w2, w3 = (back(word, k, known + 1) for k in (1, 2, 3))
         last = np.maximum.accumulate(np.where(word < known, place, -1)) if n else place
         last = back(last, 1, -1)
         last_word = np.where(last >= begin, word[np.maximum(last, 0)], known + 1)
         c = [back(classes, k, START) for k in (1, 2, 3, 4)]
-        mixes = (w1, w1 * 8191 + w2, last_word, ((c[0] * 64 + c[1]) * 64 + c[2]) * 64 + c[3])
-        rows = np.stack([((m.astype(np.uint64) * np.uint64(5) + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(50) for k, m in enumerate(mixes)])
-        return word, classes, rows.astype(np.uint16), of[last_word]
+        mixes = (w1, w1 * 81_919 + w2, w2 * 81_919 + w3, last_word, ((c[0] * 64 + c[1]) * 64 + c[2]) * 64 + c[3])
+        shift = np.uint64(64 - (len(self.table).bit_length() - 1))
+        rows = np.stack([((m.astype(np.uint64) * np.uint64(8) + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)) >> shift for k, m in enumerate(mixes)])
+        return word, classes, rows.astype(np.int32), np.where(last_word > known, CONTEXTS, last_word % CONTEXTS)
 
     def logits(self, rows: np.ndarray) -> np.ndarray:
         z = self.table[rows[0]] + self.prior
@@ -215,9 +269,10 @@ class Model:
             z += self.table[r]
         return z
 
-    def train(self, ids: np.ndarray, starts: np.ndarray, square: np.ndarray, seen: np.ndarray, seen_within: np.ndarray) -> None:
-        """Minibatch updates with a step for each row that shrinks by the root of its summed squared gradients."""
-        word, classes, rows, last = self.histories(ids, starts)
+    def train(self, ids: np.ndarray, starts: np.ndarray, square: np.ndarray, seen: np.ndarray, counted: np.ndarray) -> None:
+        """Minibatch updates of the classes' table, with a step for each row that shrinks by the root of its summed
+        squared gradients; and adds to ``counted`` how often each slot's pairs occur and how often the model expects them."""
+        word, classes, rows, context = self.histories(ids, starts)
         known = len(self.classes)
         for lo in range(0, len(ids), MINIBATCH):
             s = slice(lo, lo + MINIBATCH)
@@ -232,22 +287,21 @@ class Model:
                 first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
                 g, at = np.add.reduceat(z[order], first), ranked[first]
                 square[at] += (g**2).mean(axis=1)
-                self.table[at] -= RATE * g / np.sqrt(square[at] + 1e-2)[:, None]
+                self.table[at] -= RATE * g / np.sqrt(square[at] + HOLD)[:, None]
                 seen[at] += np.diff(np.append(first, len(ranked)))
-        # the within-class weights see the same tokens through their counts: a few damped steps along the gradient
         use = word < known
-        pairs = np.bincount(last[use] * known + word[use], minlength=(OUTPUTS + 1) * known).reshape(-1, known).astype(np.float32)
-        seen_within += pairs.sum(axis=1)
-        by_class = np.zeros((len(pairs), OUTPUTS), np.float32)
-        np.add.at(by_class.T, self.classes, pairs.T)
-        for _ in range(3):
-            expected = by_class[:, self.classes] * np.exp(self.within - self.log_norms()[:, self.classes])
-            self.within += (0.5 * (pairs - expected) / (pairs + expected + 5.0)).astype(np.float32)
+        pair, n = np.unique(context[use] * known + word[use], return_counts=True)
+        c, w = pair // known, pair % known
+        slots, of = self.slots(c, w), self.classes[w]
+        turns = np.bincount(context[use] * OUTPUTS + classes[use], minlength=(CONTEXTS + 1) * OUTPUTS)
+        expected = turns[c * OUTPUTS + of] * np.exp(self.own[w] + self.pairs[slots] - self.norms[c, of])
+        np.add.at(counted[0], slots, n)
+        np.add.at(counted[1], slots, expected)
 
     def score(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each position the log10 probability, without the share of an unknown word in its class; and which are known."""
-        word, classes, rows, last = self.histories(ids, starts)
-        known, norms = len(self.classes), self.log_norms()
+        word, classes, rows, context = self.histories(ids, starts)
+        known = len(self.classes)
         out = np.empty(len(ids))
         for lo in range(0, len(ids), MINIBATCH):
             s = slice(lo, lo + MINIBATCH)
@@ -255,54 +309,58 @@ class Model:
             top = z.max(axis=1, keepdims=True)
             out[s] = z[np.arange(len(z)), classes[s]] - top[:, 0] - np.log(np.exp(z - top).sum(axis=1))
         use = word < known
-        out[use] += self.within[last[use], word[use]] - norms[last[use], classes[use]]
+        c, w = context[use], word[use]
+        out[use] += self.own[w] + self.pairs[self.slots(c, w)] - self.norms[c, classes[use]]
         return out / np.log(10), use
 
 
-def train(texts: DataFrame, vocabulary: Vocabulary, shared: Broadcast) -> Model:
-    """ROUNDS passes, each over its share of the rows, all texts once in all: every learner starts from the mean model
-    of the last round and updates a copy with its rows; a row of weights is averaged by how often each learner met it."""
+def train(texts: DataFrame, vocabulary: Vocabulary) -> Model:
+    """ROUNDS passes, each over its share of the rows, all texts once in all. Every learner starts from the last round's
+    model. Of the classes' table it updates a copy with its rows; a row of weights is averaged by how often each learner met
+    it. Of the words' table the learners' gradients are summed, observed and expected counts of each slot, for one step."""
     spark, words = texts.sparkSession, vocabulary.words
-    learners = max(8, vocabulary.total // TOKENS_A_LEARNER)
-    classes = learn_classes(texts.coalesce(learners), vocabulary, shared)
+    learners = int(min(LEARNERS, max(8, vocabulary.total // TOKENS_A_LEARNER)))
+    classes = learn_classes(texts.coalesce(learners), vocabulary, learners)
     counts = vocabulary.counts[:words]
     mass = np.bincount(classes, counts, OUTPUTS)
     mass[UNKNOWN] = vocabulary.total - counts.sum()
-    model = Model(
-        classes, np.log((mass + 0.5) / (mass.sum() + 0.5 * OUTPUTS)).astype(np.float32), np.zeros((ROWS, OUTPUTS), np.float32),
-        np.repeat(np.log(counts + 0.5)[None], OUTPUTS + 1, axis=0).astype(np.float32),
-    )
-    step = 256
+    rows, slots = (1 << vocabulary.grown(1 << least, 1 << most, 2).bit_length() - 1 for least, most in (ROWS, SLOTS))
+    prior = np.log((mass + 0.5) / (mass.sum() + 0.5 * OUTPUTS)).astype(np.float32)
+    model = Model(classes, prior, np.zeros((rows, OUTPUTS), np.float32), np.log(counts + 0.5), np.zeros(slots, np.float32), np.zeros((0, 0))).normed()
+    step, wide = 256, 1 << 16
     for turn in range(ROUNDS):
         given = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            v, own = shared.value, replace(given.value, table=given.value.table.copy(), within=given.value.within.copy())
-            square, seen, seen_within = np.zeros(ROWS, np.float32), np.zeros(ROWS, np.float32), np.zeros(len(own.within), np.float32)
+            own = replace(given.value, table=given.value.table.copy())
+            square, seen, counted = np.zeros(rows, np.float32), np.zeros(rows, np.float32), np.zeros((2, slots), np.float32)
             for batch in batches:
-                ids, starts, _ = v.encode(binary(batch.column(0)))
-                own.train(ids, starts, square, seen, seen_within)
+                own.train(*_tokens(batch.column(0)), square, seen, counted)
             made = []
-            for k in range(0, ROWS, step):
+            for k in range(0, rows, step):
                 w = seen[k : k + step, None]
                 if w.any():
                     made.append((k // step, np.concatenate([own.table[k : k + step] * w, w], axis=1)))
-            for k in np.flatnonzero(seen_within):
-                made.append((ROWS // step + int(k), np.append(own.within[k] * seen_within[k], seen_within[k])))
+            for k in range(0, slots, wide):
+                if counted[0, k : k + wide].any():
+                    made.append((rows // step + k // wide, counted[:, k : k + wide]))
             if made:
                 yield _blocks(made)
 
-        part = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(ROUNDS)) == turn).select("text")
-        found = _summed(part.coalesce(learners).mapInArrow(run, _BLOCK))
-        table, within = model.table.copy(), model.within.copy()
+        part = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(ROUNDS)) == turn).select("ids")
+        found = _summed(part.coalesce(learners).mapInArrow(run, _BLOCK), learners)
+        given.unpersist()
+        table, pairs = model.table.copy(), model.pairs.copy()
         for b, data in found.items():
-            if b < ROWS // step:
+            if b < rows // step:
                 x = data.reshape(step, OUTPUTS + 1)
                 met = x[:, -1] > 0
                 table[b * step : (b + 1) * step][met] = x[met, :-1] / x[met, -1:]
             else:
-                within[b - ROWS // step] = data[:-1] / data[-1]
-        model = replace(model, table=table, within=within)
+                n, expected = data.reshape(2, -1)
+                k = (b - rows // step) * wide
+                pairs[k : k + len(n)] += np.log((n + DAMP) / (expected + DAMP))
+        model = replace(model, table=table, pairs=pairs).normed()
     return model
 
 
@@ -313,50 +371,39 @@ def score_texts(df: DataFrame, held_out=None) -> DataFrame:
     false. base_score sums the smoothed unigram's log10 probabilities over the text's tokens, END last; score sums
     the model's. A null or empty text is END alone. Long texts are scored whole; repeated rows each get their row;
     a null id counts as the empty text for the fold. If no row is left to learn from, every token is unseen and both
-    scores follow from the formula. An empty table stays empty.
+    scores follow from the formula. An empty table stays empty. Columns but doc_id and text take no part.
     """
     spark = df.sparkSession
     ready(spark)
     held_out = fold() == 1 if held_out is None else held_out
-    learn = df.where(~held_out).select("doc_id", "text")
-    counts = token_counts(learn).checkpoint()
+    df = df.select("doc_id", "text", held_out.alias("held_out"))
+    counts = token_counts(df.where("NOT held_out")).checkpoint()
     vocabulary = learn_vocabulary(counts)
-    shared = spark.sparkContext.broadcast(vocabulary)
-    model = train(learn, vocabulary, shared) if vocabulary.total else None
-    given = spark.sparkContext.broadcast(model)
-    listed = vocabulary.base(vocabulary.counts) if vocabulary.total else np.zeros(0)
-    rest = 1 - (10.0 ** listed[: vocabulary.words]).sum() if model else 1.0
-    log_rest = float(np.log10(max(rest, 1e-300)))
+    read = encoded(df, F.col("held_out"), spark.sparkContext.broadcast(vocabulary)).checkpoint()
+    model = train(read.where("NOT held_out").select("doc_id", "ids"), vocabulary) if vocabulary.total else None
+    given = spark.sparkContext.broadcast((model, vocabulary.base(vocabulary.counts) if model else None))
+    total, distinct = vocabulary.total, vocabulary.distinct
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, model = shared.value, given.value
-        base = np.append(v.base(v.counts), 0.0) if v.total else np.zeros(1)
-        met = np.append(v.counts > 0, False)
+        model, base = given.value
+        rest = np.log10(max(1 - (10.0 ** base[: len(model.classes)]).sum(), 1e-300)) if model else 0.0
         for batch in batches:
-            ids, starts, tokens = v.encode(binary(batch.column(2)))
-            unigram = base[ids]
-            if model:
-                score, use = model.score(ids, starts)
-                score[~use] += unigram[~use] - log_rest
-            else:
-                score = unigram
-            sums = [np.add.reduceat(x, starts[:-1]).tolist() if len(ids) else [] for x in (unigram, score, met[ids].astype(np.int64))]
-            cold = [list(Counter([w[i] for i in np.flatnonzero(ids[a:b] < 0).tolist()]).items()) for w, a, b in zip(tokens, starts, starts[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.diff(starts)), pa.array(sums[2], pa.int64()), pa.array(sums[0], pa.float64()), pa.array(sums[1], pa.float64()), pa.array(cold, pa.map_(pa.binary(), pa.int64()))],
-                ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "cold"],
-            )
+            if not model:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.zeros(len(batch)))], ["row", "score"])
+                continue
+            ids, starts = _tokens(batch.column(1))
+            score, use = model.score(ids, starts)
+            score[~use] += np.append(base, 0.0)[ids[~use]] - rest
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.add.reduceat(score, starts[:-1]) if len(ids) else [], pa.float64())], ["row", "score"])
 
-    schema = T.StructType([df.schema["doc_id"]]).add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double").add("cold", T.MapType(T.BinaryType(), T.LongType(), False))
-    scored = df.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(run, schema)
-    scored = scored.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
     # tokens not listed are rare, each with less than a LISTED-th of all: their counts come by a join without hot keys
-    rare = scored.select("_row", F.explode("cold").alias("token", "count"))
+    rare = read.select("row", F.explode("cold").alias("token", "count"))
     c = F.coalesce(F.col("n"), F.lit(0))
-    log = F.log10((c + 0.5) / F.lit(vocabulary.total + 0.5 * (vocabulary.distinct + 1)))
-    added = rare.join(counts, "token", "left").groupBy("_row").agg(F.sum(log * F.col("count")).alias("more"), F.sum(F.when(c > 0, F.col("count")).otherwise(0)).alias("more_known"))
-    out = scored.drop("cold").join(added, "_row", "left").fillna(0, ["more", "more_known"])
+    log = F.log10((c + 0.5) / F.lit(total + 0.5 * (distinct + 1)))
+    added = rare.join(counts, "token", "left").groupBy("row").agg(F.sum(log * F.col("count")).alias("more"), F.sum(F.when(c > 0, F.col("count")).otherwise(0)).alias("more_known"))
+    scored = read.select("row", "ids").mapInArrow(run, "row long, score double")
+    out = read.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base_score").join(scored, "row").join(added, "row", "left").fillna(0, ["more", "more_known"])
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("more_known")).alias("n_known"), F.lit(vocabulary.total).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("more_known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.col("more")).alias("base_score"), (F.col("score") + F.col("more")).alias("score"),
     )

@@ -198,7 +198,7 @@ def top_k(df: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
 
     Queries are the rows whose vec_id is divisible by ``every``. Vectors are floor(1024 x); ties go to the smaller
     vec_id. Rows that are null, or hold null or non-finite components, take no part; shorter vectors count as padded
-    with zeros; rows that repeat a query's vec_id aren't its candidates, other repeated rows each count. Scores are
+    with zeros; rows that repeat a query's vec_id aren't its candidates and get rows of their own, other repeated rows each count. Scores are
     exact, and the nearest long if beyond 64 bits. With fewer than k candidates all are returned; an empty table gives
     no row; other columns are left alone.
 

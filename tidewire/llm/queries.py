@@ -91,13 +91,27 @@ def _url_sql() -> str:
     fits = [f"(('.' || host) LIKE '%.{h}' AND starts_with(path, '{p}'))" for h, p, _ in rules]
     rule = " ".join(f"WHEN {f} THEN '{h}{p}'" for f, (h, p, _) in zip(fits, rules))
     verdict = " ".join(f"WHEN {f} THEN '{v}'" for f, (_, _, v) in zip(fits, rules))
-    globs = " OR ".join(f"regexp_full_match('.' || host || path, '{_glob_regex(g)}')" for g in url_filters.BLOCK_GLOBS)
+    globs = " OR ".join(f"regexp_full_match(plain, '{_glob_regex(g)}')" for g in url_filters.BLOCK_GLOBS)
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    unreserved = "|".join(f"{c:02X}" for c in sorted(url_filters.UNRESERVED))
+
+    def unescape(column: str) -> str:
+        known = f"regexp_full_match(upper(substr(x, 1, 2)), '{unreserved}')"
+        part = f"CASE WHEN i = 1 THEN x WHEN {known} THEN chr(CAST('0x' || substr(x, 1, 2) AS INTEGER)) || substr(x, 3) ELSE '%' || x END"
+        return f"array_to_string(list_transform(string_split({column}, '%'), lambda x, i: {part}), '')"
+
+    folded = "list_reduce(string_split(p, '/'), lambda a, x: CASE x WHEN '.' THEN a WHEN '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || x END)"
     return f"""
         WITH a AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
         b AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM a),
-        c AS (SELECT page_id, translate(raw, '{upper}', '{upper.lower()}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM b)
-        SELECT page_id, host, path, CASE {rule} ELSE NULL END AS rule, CASE {verdict} WHEN {globs} THEN 'block' ELSE 'allow' END AS verdict FROM c
+        c AS (SELECT page_id, translate(raw, '{upper}', '{upper.lower()}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM b),
+        d AS (SELECT *, translate({unescape("host")}, '{upper}', '{upper.lower()}') AS h, {unescape("path")} AS p FROM c),
+        e AS (
+            SELECT *, '.' || rtrim(regexp_replace(regexp_replace(h, '(?s)^.*@', ''), ':[0-9]*$', ''), '.') ||
+                CASE WHEN p LIKE '%/.%' THEN {folded} || CASE WHEN p LIKE '%/.' OR p LIKE '%/..' THEN '/' ELSE '' END ELSE p END AS plain
+            FROM d
+        )
+        SELECT page_id, host, path, CASE {rule} ELSE NULL END AS rule, CASE {verdict} WHEN {globs} THEN 'block' ELSE 'allow' END AS verdict FROM e
     """
 
 

@@ -25,7 +25,8 @@ WORDS, SEED, LIMIT = 4, 42, 4
 SET_WORDS, LEAST, MISS = 5, 0.8, 0.03
 WIDE = 1024  # bits of a set's fingerprint
 SAMPLE = 2048  # fingerprints, for correlations and candidate counts only
-ROW_COST = 100.0  # of a shuffled key, in compared pairs
+ROW_COST = 10.0  # of a shuffled key, in compared pairs
+STAR_KEYS = 12  # groups of bits whose buckets are compared with their hubs first
 SALT_ROWS = 2048  # of a bucket's nodes that one task compares with the bucket
 
 
@@ -208,48 +209,51 @@ def bucket_keys(bits: np.ndarray, layout: list[tuple[list[int], int]]) -> np.nda
 
 
 def _keyed(nodes: DataFrame, layout: list[tuple[list[int], int]], width: int) -> DataFrame:
-    """node, label, head, n and copies of each node, a row for each of its keys. The keys come from the bits anew at
-    each use: that costs less than keeping them."""
+    """All columns of each node but its bits, a row for each of its keys. The keys come from the bits anew at each use:
+    that costs less than keeping them."""
+    rest = [c for c in nodes.columns if c != "bits"]
+    schema = T.StructType([nodes.schema[c] for c in rest]).add("keys", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data = b"".join(binary(b.column(5)))
+            data = b"".join(binary(b.column(len(rest))))
             keys = bucket_keys(np.unpackbits(np.frombuffer(data, np.uint8).reshape(-1, width // 8), axis=1, bitorder="little"), layout)
             ends = np.arange(len(b) + 1, dtype=np.int32) * keys.shape[1]
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1)))], ["node", "label", "head", "n", "copies", "keys"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1)))], [*rest, "keys"])
 
-    made = nodes.select("node", "label", "head", "n", "copies", "bits").mapInArrow(run, "node long, label long, head long, n long, copies long, keys array<long>")
-    return made.select("node", "label", "head", "n", "copies", F.explode("keys").alias("key"))
+    return nodes.select(*rest, "bits").mapInArrow(run, schema).select(*rest, F.explode("keys").alias("key"))
 
 
 def grouped(nodes: DataFrame, layout: list[tuple[list[int], int]], width: int, head_limit: int, least: float, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """node and group, the least node reachable, of every node that has a link.
 
-    nodes: node, head (64 bits), n (a size that linked nodes share to ``least``), copies and bits. A candidate pair
-    shares a key, is near in head and size, and has to pass ``verify``. First all nodes of a bucket are compared with
-    its most copied one, so that a large group of near copies falls into few labels; then nodes outside of a bucket's
-    largest label are compared with all others there. So pairs inside a group aren't made, and no link between labels
-    is lost. Large buckets are salted.
+    nodes: node, head and tail (64 bits each of its bits), n (a size that linked nodes share to ``least``), copies and
+    bits. A candidate pair shares a key, is near in head, tail and size, and has to pass ``verify``. First the nodes of some
+    groups' buckets are compared with the bucket's most copied one, so that a large set of near copies falls into few
+    labels; then, in all groups, the nodes of a bucket outside of its largest label are compared with all others there. So
+    pairs inside a set of copies aren't made, and no link between labels is lost. Large buckets are salted.
     """
+    shown = ["node", "head", "tail", "n"]
 
     def close(other: str) -> Column:
-        near = F.bit_count(F.col("head").bitwiseXOR(F.col(f"{other}.head"))) <= head_limit
-        return near if least == 0 else near & (F.least("n", f"{other}.n") >= F.greatest("n", f"{other}.n") * F.lit(least))
+        apart = F.bit_count(F.col("head").bitwiseXOR(F.col(f"{other}.head"))) + F.bit_count(F.col("tail").bitwiseXOR(F.col(f"{other}.tail")))
+        return apart <= head_limit if least == 0 else (apart <= head_limit) & (F.least("n", f"{other}.n") >= F.greatest("n", f"{other}.n") * F.lit(least))
 
     def ordered(a: str, b: str) -> list[Column]:
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
-    keyed = _keyed(nodes.withColumn("label", F.col("node")), layout, width)
-    hub = keyed.groupBy("key").agg(F.count("*").alias("m"), F.max(F.struct("copies", "node", "head", "n")).alias("hub")).where("m > 1").drop("m")
+    keyed = _keyed(nodes.select(*shown, "copies", "bits"), [(g, 0) for g, _ in layout[:STAR_KEYS]], width)
+    hub = keyed.groupBy("key").agg(F.count("*").alias("m"), F.max(F.struct("copies", *shown)).alias("hub")).where("m > 1").drop("m")
     star = keyed.join(hub, "key").where((F.col("node") != F.col("hub.node")) & close("hub")).select(*ordered("node", "hub.node")).distinct()
     label = components(verify(star)).select(F.col("id").alias("node"), F.col("component").alias("label"))
-    labelled = nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")).checkpoint()
-    keyed = _keyed(labelled, layout, width)
-    sizes = keyed.groupBy("key", "label").agg(F.count("*").alias("c"))
-    sizes = sizes.groupBy("key").agg(F.sum("c").alias("m"), F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("top")).where("labels > 1")
-    mixed = keyed.join(sizes.select("key", F.ceil(F.col("m") / SALT_ROWS).cast("int").alias("salts"), F.col("top.label").alias("top")), "key")
-    ask = mixed.where("label != top").select("key", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), "node", "label", "head", "n")
-    all_ = mixed.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.struct("node", "label", "head", "n").alias("other"))
+    size = label.groupBy("label").agg(F.count("*").alias("size"))
+    labelled = nodes.drop("copies").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")).join(size, "label", "left").fillna(1, ["size"]).checkpoint()
+    keyed = _keyed(labelled.select(*shown, "label", "bits"), layout, width)
+    tops = _keyed(labelled.select("label", "size", "bits"), layout, width).groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max(F.struct("size", "label")).alias("top"), F.max("label").alias("high"))
+    tops = tops.where("low != high").select("key", F.ceil(F.col("m") / SALT_ROWS).cast("int").alias("salts"), F.col("top.label").alias("top"))
+    mixed = keyed.join(tops, "key")
+    ask = mixed.where("label != top").select("key", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), "label", *shown)
+    all_ = mixed.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.struct("label", *shown).alias("other"))
     pairs = ask.join(all_, ["key", "salt"]).where((F.col("label") != F.col("other.label")) & close("other"))
     links = verify(pairs.select(*ordered("node", "other.node")).distinct())
     of = labelled.select("node", "label")
@@ -291,7 +295,7 @@ def near_duplicates(df: DataFrame, limit: int = LIMIT) -> DataFrame:
     found = fingerprints(df).checkpoint()
     fps = found.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")).checkpoint()
     little = [F.substring(F.lpad(F.hex("fp"), 16, "0"), k, 2) for k in range(15, 0, -2)]
-    nodes = fps.select(F.col("fp").alias("node"), F.col("fp").alias("head"), F.lit(1).cast("long").alias("n"), "copies", F.unhex(F.concat(*little)).alias("bits"))
+    nodes = fps.select(F.col("fp").alias("node"), F.col("fp").alias("head"), F.lit(0).cast("long").alias("tail"), F.lit(1).cast("long").alias("n"), "copies", F.unhex(F.concat(*little)).alias("bits"))
     group = grouped(nodes, plan(*_sample_bits(nodes, 64), limit), 64, limit, 0, lambda pairs: pairs)
     return _named(found, fps.withColumnRenamed("fp", "node"), group, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -314,7 +318,7 @@ def near_copies(df: DataFrame, least: float = LEAST, miss: float = MISS) -> Data
     ready(df.sparkSession)
     df = df.where("doc_id is not null").select("doc_id", "text")
     share = differing_share(least)
-    head_limit, limit = (ceil(w * share + 5 * sqrt(w * share * (1 - share)) + w / 32) for w in (64, WIDE))
+    head_limit, limit = (ceil(w * share + 4.5 * sqrt(w * share * (1 - share)) + w / 64) for w in (128, WIDE))
 
     def digest(held: np.ndarray) -> int:
         return int(np.uint64(xxhash.xxh3_64_intdigest(held.tobytes())).view(np.int64))
@@ -342,7 +346,7 @@ def near_copies(df: DataFrame, least: float = LEAST, miss: float = MISS) -> Data
 
     found = df.mapInArrow(sign, T.StructType([df.schema["doc_id"]]).add("node", "long").add("n", "long").add("bits", "binary")).checkpoint()
     nodes = found.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies")).checkpoint()
-    head = F.conv(F.hex(F.substring("bits", 1, 8)), 16, -10).cast("long")
+    head, tail = (F.conv(F.hex(F.substring("bits", k, 8)), 16, -10).cast("long") for k in (1, 9))
 
     def both(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
         left, right = (values.select(F.col("node").alias(x), F.col(column).alias(f"{column}_{x}")) for x in "ab")
@@ -355,7 +359,7 @@ def near_copies(df: DataFrame, least: float = LEAST, miss: float = MISS) -> Data
         sets = only(df, asked, "doc_id").mapInArrow(hold, "node long, held binary").dropDuplicates(["node"])
         return both(pairs, sets, "held").mapInArrow(compare, "a long, b long").checkpoint()
 
-    asked = nodes.where("n > 0").select("node", head.alias("head"), "n", "copies", "bits")
+    asked = nodes.where("n > 0").select("node", head.alias("head"), tail.alias("tail"), "n", "copies", "bits")
     group = grouped(asked, plan_share(*_sample_bits(asked, WIDE), least, miss), WIDE, head_limit, least, verify)
     return _named(found.select("doc_id", "node"), nodes.select("node", "id"), group, "node").select("doc_id", "component_id")
 
