@@ -19,6 +19,17 @@ def test_stages_keep_the_columns_and_run_on_edge_cases(spark, rows, tmp_path):
     assert not {200, 201, 202, 203} & set(ids)
 
 
+def test_stages_keep_own_columns_and_empty_tables(spark, rows, tmp_path):
+    clash = ["score", "lang_pred", "held_out", "n_lines", "n_dropped", "mix_slot", "mix_seq", "_n", "key", "row", "node", "lost", "rest"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(2)
+    docs = df.selectExpr("*", *(f"concat('own ', doc_id) AS {c}" for c in clash))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert all(r[c] == (None if r.doc_id is None else f"own {r.doc_id}") for r in out.collect() for c in clash), name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
 def test_queries_are_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)] + ["pipeline"]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)

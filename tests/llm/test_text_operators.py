@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -42,6 +43,14 @@ def test_line_dedup_matches_brute_force(docs, rows, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_in_many_shards(spark, rows, monkeypatch):
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    want = Counter(map(tuple, line_dedup.dedup_lines(df).collect()))
+    for name, value in (("MANY", 1), ("FLUSH", 50), ("SHARD_KEYS", 40), ("BITS_A_KEY", 2), ("BROADCAST_IDS", 0)):
+        monkeypatch.setattr(line_dedup, name, value)
+    assert Counter(map(tuple, line_dedup.dedup_lines(df).collect())) == want
+
+
 def simhash(text):
     words = lower(text or "").encode().split()
     if not words:
@@ -87,7 +96,7 @@ def test_groups_of_dense_and_spread_fingerprints(spark, monkeypatch):
         fps.add(x)
     signed = [(f - (1 << 64) if f >> 63 else f, bytearray(f.to_bytes(8, "little"))) for f in sorted(fps)]
     simhash_dedup.ready(spark)
-    nodes = spark.createDataFrame(signed, "node long, bits binary").selectExpr("node", "node AS head", "1L AS n", "1L AS copies", "bits").repartition(3)
+    nodes = spark.createDataFrame(signed, "node long, bits binary").selectExpr("node", "node AS head", "0L AS tail", "1L AS n", "1L AS copies", "bits").repartition(3)
     pairs = {(a, b) for a, b in ((a, b) for a, _ in signed for b, _ in signed) if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
     root = {a: a for a, _ in signed}
 
@@ -149,12 +158,36 @@ def test_bpe_matches_tiktoken(docs, rows, none):
         assert codec.decode(codec.encode(x)) == x.encode()
 
 
-def test_secrets_match_plain_patterns(docs, rows, none):
-    want = {}
-    for _, t, *_ in rows:
-        want[t] = secret_scan.base_spans(t or "")
+KINDS = [
+    ("assign", re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 12),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
+    ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 16),
+]
+
+
+def plain_spans(text):
+    return [(m.start(), m.end(), k) for k, p, good in KINDS for m in p.finditer(text) if good(m)]
+
+
+def test_secret_query_matches_plain_patterns(spark, rows, none, tmp_path):
+    from tidewire.llm import queries
+
+    rng = random.Random(6)
+    bits = ["password", "Token", "api_key", "secret", " = ", ": ", '"', "'", "AKIA", "A1B2C3D4E5F6G7H8I9", "deadbeefcafe0123", "xyz.QRS+12345", "\n", "ñ ", "# ", "<a>", "</a>", "\"\"\"", "//", " ", "=", "/*"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(400)] + [None, "", *(r[1] for r in rows)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    found = lexed = 0
+    for r in queries.op8_secret_scan(spark, str(tmp_path)).collect():
+        base = plain_spans(texts[r.doc_id] or "")
+        order = lambda spans: ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], ["assign", "access", "hex", "lexed"].index(s[2]))))
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for *_, x in base) for k, *_ in KINDS)
+        assert r.base_sha256 == hashlib.sha256(order(base).encode()).hexdigest()
+        spans = [(int(a), int(b), k) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
+        assert order(spans) == r.spans and [x for x in sorted(spans) if x[2] != "lexed"] == sorted(base)
+        found, lexed = found + len(base), lexed + r.n_lexed
+        assert r.n_lexed == len(spans) - len(base) and all(0 <= a < b <= len(texts[r.doc_id]) for a, b, _ in spans)
+    assert found > 200 and lexed > 50
     assert secret_scan.scan_secrets(none).count() == 0
-    assert secret_scan.scan_secrets(docs).where("n_assign + n_access + n_hex > 0").count() == sum(bool(want[t]) for _, t, *_ in rows)
 
 
 @pytest.mark.parametrize(
@@ -165,13 +198,7 @@ def test_secrets_match_plain_patterns(docs, rows, none):
     ],
 )
 def test_base_spans(text):
-    kinds = [
-        ("assign", re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 12),
-        ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
-        ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 16),
-    ]
-    want = [(m.start(), m.end(), k) for k, p, good in kinds for m in p.finditer(text) if good(m)]
-    assert sorted(secret_scan.base_spans(text)) == sorted(want)
+    assert sorted(secret_scan.base_spans(text)) == sorted(plain_spans(text))
 
 
 def test_lexer_propagates_constants_and_leaves_harmless_names():
@@ -180,6 +207,28 @@ def test_lexer_propagates_constants_and_leaves_harmless_names():
     assert found == ["Zx81qPw0Lm22tRn9", "k3Jd-92Lq.ppQ7"]
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("password_" + "x" * 5000 + ' = "Zx81qPw0Lm22tRn9"', ["Zx81qPw0Lm22tRn9"]),
+        ('v0 = "Zx81qPw0Lm22tRn9"\n' + "".join(f"v{i + 1} = v{i}\n" for i in range(300)) + "DB_PASSWORD = v300", ["Zx81qPw0Lm22tRn9"]),
+        ("DB_PASSWORD = a\na = b\nb = a\nb = 'Zx81qPw0Lm22tRn9'", ["Zx81qPw0Lm22tRn9"]),
+        ('password = """Zx81qPw0\nLm22tRn9"""', ["Zx81qPw0\nLm22tRn9"]),
+        ("<password>Zx81qPw0Lm22tRn7</password>", ["Zx81qPw0Lm22tRn7"]),
+        ('secret = "Zx81" + "qPw0Lm22tRn9"', ['Zx81" + "qPw0Lm22tRn9']),
+        ("x = 1  # api_key = Zx81qPw0Lm22tRn1", ["Zx81qPw0Lm22tRn1"]),
+        ('# key = "Zx81qPw0Lm22tRn1"\nDB_PASSWORD = key', []),
+        ('config["auth_token"] = "Zx81qPw0Lm22tRn2"', ["Zx81qPw0Lm22tRn2"]),
+        ("don't; password = 'Zx81qPw0Lm22tRn4' it's", ["Zx81qPw0Lm22tRn4"]),
+        ('password: str = "Zx81qPw0Lm22tRn5"', ["Zx81qPw0Lm22tRn5"]),
+        ('password = os.getenv("Zx81qPw0Lm22tRn6")', []),
+        ('if password == "Zx81qPw0Lm22tRn6":', []),
+    ],
+)
+def test_lexer(text, want):
+    assert [text[a:b] for a, b in secret_scan.lexed_spans(text)] == want
+
+
 def test_audio_round_trip(docs, rows, none):
     out = audio.audio_features(docs).collect()
     by = {r.text: r for r in out}
@@ -212,6 +261,27 @@ def test_resampling_and_bands_agree_with_direct_sums():
     assert len(audio.segments(loud)) == 1
 
 
+def test_audio_feature_agrees_with_a_direct_computation(spark):
+    texts = ["", None, "a short text", "river stone " * 300, "ñ" * 999]
+    out = {r.doc_id: r for r in audio.audio_features(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    h = np.zeros(audio.UP * audio.TAPS)
+    for p, row in enumerate(audio._phases()):
+        h[p :: audio.UP] = row[::-1]
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        x = (np.frombuffer(data + bytes(max(64, -(-len(data) // 64) * 64) - len(data)), np.uint8).astype(float) - 128) / 128
+        up = np.zeros(len(x) * audio.UP)
+        up[:: audio.UP] = x
+        y = np.convolve(up, h)[: len(up) : audio.DOWN][: -(-len(x) * audio.UP // audio.DOWN)]
+        frames = [y[k : k + audio.FRAME] for k in range(0, max(1, len(y) - audio.FRAME + audio.HOP), audio.HOP)]
+        frames = [np.pad(f, (0, audio.FRAME - len(f))) * np.hanning(audio.FRAME) for f in frames]
+        power = [abs(np.fft.rfft(f)) ** 2 for f in frames]
+        bands = np.mean([np.log(p @ audio._mel() + 1e-6) for p in power], axis=0)
+        n, _, means = out[i].feature.split(";")
+        assert int(n) == len(frames)
+        assert np.allclose([float(m) for m in means.split(",")], bands, atol=0.02)
+
+
 def test_language_id(spark, none, docs):
     rng = random.Random(3)
     letters = {"aa": "abcdefghij ", "bb": "ijklmnopqr ", "cc": "qrstuvwxyzé "}
@@ -226,6 +296,24 @@ def test_language_id(spark, none, docs):
     assert all(0 <= r.score <= 1 for r in language_id.identify(docs).collect())
 
 
+def test_language_sample_is_bounded_by_rows(spark):
+    rows = [(7, f"text {i}", "aa") for i in range(500)] + [(i, "text", "bb") for i in range(300)] + [(None, "x", "aa"), (9, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = Counter(r.lang for r in language_id.sample_labelled(df, 64).collect())
+    assert got["aa"] == 1 and 30 < got["bb"] <= 64 and set(got) == {"aa", "bb"}
+    assert {r.lang for r in language_id.sample_labelled(df, 64, most_labels=1).collect()} == {"aa"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_lm_beats_the_base_on_held_out_texts(spark):
+    from tidewire.llm import queries
+
+    held = [r for r in queries.op1_lm_scoring(spark, "/root/testdata/sf0.01").collect() if r.held_out]
+    assert len(held) > 100
+    assert sum(r.score > r.base_score for r in held) > 0.8 * len(held)
+    assert sum(r.score - r.base_score for r in held) > 0.1 * sum(r.n_tokens for r in held)
+
+
 def test_lm_base_scores_and_normalisation(spark, docs, rows, none):
     train = [t for i, t, *_ in rows if zlib.crc32(str(i if i is not None else "").encode()) % 5 != 1]
     counts = Counter(w for t in train for w in lm_scoring.words_of((t or "").encode()))
@@ -239,22 +327,22 @@ def test_lm_base_scores_and_normalisation(spark, docs, rows, none):
     assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == want
     assert all(math.isfinite(r.score) for r in out)
     assert lm_scoring.score_texts(none).count() == 0
-    texts = [(k, " ".join(["river", "stone", w])) for k, w in enumerate(sorted(w.decode() for w in counts if w != lm_scoring.END))]
-    rest = [(k, "river stone") for k in (100_000,)]
-    probe = spark.createDataFrame([(-1, r[1]) for r in rows if r[1]] + texts + rest + [(200_000, "river stone zzzz")], "doc_id long, text string")
+    # different texts' probabilities sum to one at most: here all texts of one known word, of an unseen one, and of none
+    words = sorted(w.decode() for w in counts if w != lm_scoring.END)
+    probe = spark.createDataFrame([(-1, r[1]) for r in rows if r[1]] + [(k, w) for k, w in enumerate([*words, "zzzz", ""])], "doc_id long, text string")
     from pyspark.sql import functions as F
 
-    scored = {r.doc_id: r.score for r in lm_scoring.score_texts(probe, F.col("doc_id") != -1).collect() if r.doc_id != -1}
-    assert len(scored) == len(texts) + 2
-    # "river stone w END": the share of w is at most what the shorter text leaves
-    assert all(math.isfinite(s) and s < 0 for s in scored.values())
+    scored = [r.score for r in lm_scoring.score_texts(probe, F.col("doc_id") != -1).collect() if r.doc_id != -1]
+    assert len(scored) == len(words) + 2 and 0 < sum(10**s for s in scored) <= 1
 
 
 def test_lm_distribution_sums_to_one():
     rng = np.random.default_rng(4)
-    words = 50
-    model = lm_scoring.Model(rng.integers(0, 5, words), rng.normal(size=lm_scoring.OUTPUTS).astype(np.float32), rng.normal(size=(lm_scoring.ROWS, lm_scoring.OUTPUTS)).astype(np.float32), rng.normal(size=(lm_scoring.OUTPUTS + 1, words)).astype(np.float32))
+    words, n = 50, lm_scoring.OUTPUTS
+    tables = [rng.normal(size=k).astype(np.float32) for k in (n, (1 << 14, n), words, 1 << 12)]
+    model = lm_scoring.Model(rng.integers(0, 5, words), *tables, np.zeros((0, 0)))
     model.classes[0] = lm_scoring.CLASSES
+    model = model.normed()
     history, total = [3, -1, 7, 2], 0.0
     for w in [*range(words), -1]:
         ids = np.array(history + [w])

@@ -65,3 +65,24 @@ def test_top_k_is_exact(spark, kind):
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert sorted(map(tuple, mtree_search.top_k(df).collect())) == sorted(want)
     assert mtree_search.top_k(df.limit(0)).count() == 0
+
+
+def test_one_url_has_one_canonical_form(spark):
+    same = ["http://x.net/ads/y", "https://u:p@X.net:8080/%61ds/y?q", "http://x.net./a/../ads/./y#f", "HTTP://x%2Enet/%2E%2E/%61%64s/b/../y"]
+    df = spark.createDataFrame([(i, u, "own") for i, u in enumerate(same)] + [(9, "http://x.net/%2561ds/y", "own"), (10, None, "own")], "page_id long, url string, _rest string")
+    out = {r.page_id: r for r in url_filters.judge_urls(df).collect()}
+    assert [out[i].verdict for i in range(4)] == ["block"] * 4 and out[9].verdict == out[10].verdict == "allow"
+    assert len({url_filters.canonical(out[i].host.encode(), out[i].path.encode()) for i in range(4)}) == 1
+    assert {r._rest for r in out.values()} == {"own"} and out[1].host == "u:p@x.net:8080"
+
+
+def test_scores_beyond_double_precision_and_64_bits(spark):
+    from tidewire.llm import mtree_search
+
+    rows = [(0, [2.0**40, 1.0]), (1, [2.0**42, 3.0]), (2, [2.0**30, -5.0]), (3, [-(2.0**52), 7.0]), (100, [1.0, 1.0])]
+    got = {(r.query_id, r.vec_id): r.score for r in mtree_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for q in (0, 100):
+        for i, v in rows:
+            if i != q:
+                want = sum(int(1024 * a) * int(1024 * b) for a, b in zip(dict(rows)[q], v))
+                assert got[q, i] == max(-(2**63), min(2**63 - 1, want))
