@@ -97,9 +97,15 @@ def test_frames(spark):
 
 def test_topics(spark):
     obs = "ab" * 32
-    rows = [(f"mesh/MME/{obs}/packets", "MME"), (f"mesh/mme/{obs}/packets", None), (f"mesh/MME/{obs}/other", None), ("mesh/MME/zz/packets", None), (f"x/MME/{obs}/status", None), (None, None), ("", None)]
-    out = wire.parse_topic(spark.createDataFrame([(r[0],) for r in rows], "topic string")).collect()
-    assert [r.region for r in out] == [r[1] for r in rows] and out[0].observer == obs.upper()
+    rows = [
+        (f"mesh/MME/{obs}/packets", ("MME", "packets", "main")), (f"Mesh/ mme/{obs.upper()}/Status ", ("MME", "status", "main")), (f"mesh/lhr/{obs}/neighbours", ("LHR", "neighbours", "main")),
+        (f"lab/abc/{obs}/neighbors", ("ABC", "neighbors", "test")), (f"mesh/test/{obs}/packets", ("TEST", "packets", "test")), (f"mesh/MME/{obs}/other", None), ("mesh/MME/zz/packets", None),
+        (f"x/MME/{obs}/status", None), (f"mesh/M-E/{obs}/status", None), (f"mesh/MME/{obs}/packets/x", None), (None, None), ("", None),
+    ]
+    df = spark.createDataFrame([(r[0],) for r in rows], "topic string")
+    out = wire.parse_topic(df, prefixes={"mesh": "main", "lab": "test"}, test_regions=["TEST"]).collect()
+    assert [r.region and (r.region, r.suffix, r.network) for r in out] == [r[1] for r in rows] and out[0].observer == obs.upper()
+    assert [r.network for r in out if r.region is None] == [None] * 7
 
 
 def test_column_functions(spark):
@@ -112,10 +118,44 @@ def test_column_functions(spark):
     assert row.le == 0x1234 and row.text == "helloo see now" and row.dice == 1.0 and row.island is False and row.csv == "'=1+1" and row.lev == pytest.approx(1 - 3 / 7)
 
 
-def test_profiles(spark):
-    flat = [(1, [10.0] * 11, 100.0, 20.0, 20.0), (2, [10.0] * 5 + [200.0] + [10.0] * 5, 100.0, 20.0, 20.0), (3, [10.0], 100.0, 5.0, 5.0)]
-    out = {r.id: r for r in rf.path_losses(spark.createDataFrame(flat, "id int, heights_m array<double>, step_m double, tx_m double, rx_m double")).collect()}
-    assert set(out) == {1, 2} and out[1].viable and out[2].loss_db > out[1].loss_db + 20 and not out[2].viable
+def plain_loss(d, h, tx, rx):
+    """Loss and viability by a plain loop; see rf.path_losses."""
+    points = sorted((x, y) for x, y in zip(d, h) if None not in (x, y) and math.isfinite(x) and math.isfinite(y)) if len(d) == len(h) else []
+    if len(points) < 2:
+        return math.inf, False
+    far, wave = points[-1][0], 299_792_458.0 / 868e6
+    if far < 1:
+        return 0.0, True
+    loss = 20 * math.log10(4 * math.pi * far / wave)
+    start, stop, worst = points[0][1] + tx, points[-1][1] + rx, None
+    for x, y in points[1:-1]:
+        if 0 < x < far:
+            above = y + x * (far - x) / (2 * 6_371_000 * 4 / 3) - (start + (stop - start) * x / far)
+            v = above * math.sqrt(2 * far / (wave * x * (far - x)))
+            worst = v if worst is None else max(worst, v)
+    if worst is None:
+        return loss, loss < 140
+    if worst > -0.78:
+        loss += max(0.0, 6.9 + 20 * math.log10(math.sqrt((worst - 0.1) ** 2 + 1) + worst - 0.1))
+    if len(points) > 3:
+        loss += min(6.0, 0.08 * math.log1p(float(np.percentile(np.abs(np.diff([y for _, y in points])), 75))))
+    return loss, worst <= 1.12 and loss < 140
+
+
+def test_path_losses_match_a_plain_loop(spark):
+    rng, inf, nan = random.Random(3), math.inf, math.nan
+    rows = [([0.0, 500.0], [10.0, 10.0]), ([0.0, 500.0, 1000.0], [1.0, 90.0, 1.0]), ([0.0], [5.0]), ([], []), ([0.0, 0.5], [1.0, 9.0]), ([0.0, 100.0], [nan, 5.0]), ([0.0, 100.0, 300.0], [1.0, inf, 5.0])]
+    rows += [([0.0, 1.0], [1.0]), (None, [1.0]), ([0.0, 900.0, 300.0, 600.0], [1.0, 2.0, 70.0, None]), ([0.0, 0.0, 900.0], [1.0, 2.0, 3.0])]
+    for n in (3, 4, 5, 9, 40):
+        rows += [([k * 250.0 for k in range(n)], [rng.uniform(0, 60) for _ in range(n)]) for _ in range(6)]
+    df = spark.createDataFrame([(i, d, h, 20.0, 8.0) for i, (d, h) in enumerate(rows)], "id int, distances_m array<double>, heights_m array<double>, tx_m double, rx_m double")
+    out = {r.id: r for r in rf.path_losses(df).collect()}
+    assert len(out) == len(rows)
+    for i, (d, h) in enumerate(rows):
+        loss, viable = plain_loss(d or [], h, 20.0, 8.0)
+        assert out[i].loss_db == pytest.approx(loss, abs=1e-8) and out[i].viable == viable, (i, d, h)
+    stepped = spark.createDataFrame([(1, [5.0, 40.0, 9.0, 7.0], 300.0, 9.0, 9.0)], "id int, heights_m array<double>, step_m double, tx_m double, rx_m double")
+    assert rf.path_losses(stepped).first().loss_db == pytest.approx(plain_loss([0, 300, 600, 900], [5.0, 40.0, 9.0, 7.0], 9.0, 9.0)[0], abs=1e-8)
 
 
 def test_merge_changes_and_archive(spark):

@@ -23,30 +23,50 @@ def synthetic_profiles(parts: DataFrame) -> DataFrame:
     return parts.select(F.col("p_partkey").alias("id"), heights.alias("heights_m"), (100.0 + F.col("p_size") * 10).alias("step_m"), F.lit(5.0).alias("tx_m"), F.lit(1.5).alias("rx_m"))
 
 
-def path_losses(profiles: DataFrame) -> DataFrame:
-    """id, km, loss_db and viable: free space, the worst knife edge over a 4/3 earth, and terrain roughness.
-
-    Each point's diffraction parameter comes from its height above the straight ray, with the earth's bulge added;
-    roughness is min(6, 0.08 ln(1 + p75 of the absolute height steps)).
+def linear_quantile(values, q: float):
+    """The quantile of an array column with linear interpolation between its order statistics; null of an empty one."""
+    ranked = F.array_sort(values)
+    at = (F.size(values) - 1) * q
+    low = F.floor(at).cast("int")
+    lower, upper = F.get(ranked, low), F.get(ranked, F.least(low + 1, F.size(values) - 1))
+    return lower + (upper - lower) * (at - low)
+
+
+def path_losses(profiles: DataFrame, mhz: float = MHZ, viable_db: float = VIABLE_DB) -> DataFrame:
+    """id, km, v, loss_db and viable of every profile: free space, the worst knife edge over a 4/3 earth, roughness.
+
+    A profile has heights_m at step_m, or at distances_m where it has that column, and tx_m and rx_m above ground. Points
+    that aren't finite are left out; points go by distance. Fewer than two points have infinite loss and aren't viable;
+    under a metre there is no loss; two points have free space alone. v is the worst diffraction parameter, from a
+    point's height above the straight ray with the earth's bulge added. From four points on, roughness adds
+    min(6, 0.08 ln(1 + p75)), p75 the quantile of the absolute height steps with linear interpolation.
     """
-    h, n = F.col("heights_m"), F.size("heights_m")
-    d = (n - 1) * F.col("step_m")
-    start, stop = F.element_at(h, 1) + F.col("tx_m"), F.element_at(h, -1) + F.col("rx_m")
-
-    def v(i):
-        d1 = i * F.col("step_m")
-        d2 = d - d1
-        bulge = d1 * d2 / (2 * EARTH_M * 4 / 3)
-        above = F.get(h, i) + bulge - (start + (stop - start) * d1 / d)
-        return above * F.sqrt(2 * d / (WAVELENGTH * d1 * d2))
-
-    edge = F.when(n > 2, F.array_max(F.transform(F.sequence(F.lit(1), n - 2), v))).otherwise(F.lit(-9.0))
-    steps = F.array_sort(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.abs(F.get(h, i) - F.get(h, i - 1))))
-    p75 = F.element_at(steps, F.greatest(F.lit(1), F.ceil(F.size(steps) * 0.75).cast("int")))
-    good = profiles.where((n >= 2) & (d >= 1))
-    loss = free_space_db(d / 1000, MHZ) + knife_edge_db(F.col("v")) + F.least(F.lit(6.0), F.log1p(p75) * 0.08)
-    out = good.withColumn("v", edge).withColumns({"km": d / 1000, "loss_db": F.round(loss, 6)})
-    return out.select("id", "km", F.round("v", 6).alias("v"), "loss_db", ((F.col("loss_db") < VIABLE_DB) & (F.col("v") <= VIABLE_V)).alias("viable"))
+    wave = 299_792_458.0 / (mhz * 1e6)
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    n = F.size("heights_m")
+    given = F.col("distances_m") if "distances_m" in profiles.columns else F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: i * F.col("step_m")))
+    points = F.zip_with(given, F.col("heights_m"), lambda d, h: F.struct(d.cast("double").alias("d"), h.cast("double").alias("h")))
+    whole = F.coalesce(F.size(given) == n, F.lit(False))  # both missing, or of different lengths: no profile
+    points = F.when(whole, F.array_sort(F.filter(points, lambda p: finite(p["d"]) & finite(p["h"])))).otherwise(F.array().cast("array<struct<d:double,h:double>>"))
+    p = profiles.select("id", "tx_m", "rx_m", points.alias("p"))
+    count, d = F.size("p"), F.get("p", F.size("p") - 1)["d"]
+    start, stop = F.get("p", F.lit(0))["h"] + F.col("tx_m"), F.get("p", F.size("p") - 1)["h"] + F.col("rx_m")
+
+    def v(x):
+        d1, d2 = x["d"], F.col("d") - x["d"]
+        above = x["h"] + d1 * d2 / (2 * EARTH_M * 4 / 3) - (F.col("start") + (F.col("stop") - F.col("start")) * d1 / F.col("d"))
+        return above * F.sqrt(2 * F.col("d") / (wave * d1 * d2))
+
+    p = p.withColumns({"count": count, "d": d, "start": start, "stop": stop})
+    inner = F.filter(F.slice("p", 2, F.greatest(F.lit(0), F.col("count") - 2)), lambda x: (x["d"] > 0) & (x["d"] < F.col("d")))
+    p = p.withColumn("v", F.array_max(F.transform(inner, v)))
+    steps = F.transform(F.sequence(F.lit(1), F.col("count") - 1), lambda i: F.abs(F.get("p", i)["h"] - F.get("p", i - 1)["h"]))
+    rough = F.when((F.col("count") > 3) & F.col("v").isNotNull(), F.least(F.lit(6.0), F.log1p(linear_quantile(steps, 0.75)) * 0.08)).otherwise(F.lit(0.0))
+    edge = F.greatest(F.lit(0.0), F.coalesce(knife_edge_db(F.col("v")), F.lit(0.0)))
+    loss = F.when(F.col("count") < 2, F.lit(float("inf"))).when(F.col("d") < 1, F.lit(0.0)).otherwise(free_space_db(F.col("d") / 1000, mhz) + edge + rough)
+    p = p.withColumn("loss", loss)
+    viable = F.when(F.col("count") < 2, F.lit(False)).when(F.col("d") < 1, F.lit(True)).otherwise((F.col("loss") < viable_db) & (F.coalesce("v", F.lit(-999.0)) <= VIABLE_V))
+    return p.select("id", (F.col("d") / 1000).alias("km"), F.round("v", 6).alias("v"), F.round("loss", 9).alias("loss_db"), viable.alias("viable"))
 
 
 def coverage(sites: DataFrame, rays: int = 72, step_m: float = 500.0, steps: int = 60) -> DataFrame:

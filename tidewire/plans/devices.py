@@ -51,9 +51,22 @@ def s05_packet_ids(spark, sf_dir):
     return d.agg(F.count("*").alias("frames"), F.count_distinct("packet_id").alias("ids"))
 
 
-@query("SELECT region, count(*) AS messages FROM (SELECT CASE WHEN observation_id % 30 <> 0 AND rx_node_id IS NOT NULL THEN region END AS region FROM packets) GROUP BY 1")
+@query("""
+    SELECT region, network, suffix, count(*) AS messages FROM (
+        SELECT CASE WHEN ok THEN region END AS region, CASE WHEN ok THEN CASE WHEN observation_id % 7 = 0 OR region = 'MAN' THEN 'test' ELSE 'main' END END AS network,
+            CASE WHEN ok THEN ['packets', 'status', 'neighbors', 'neighbours'][observation_id % 4 + 1] END AS suffix
+        FROM (SELECT *, observation_id % 30 <> 0 AND rx_node_id IS NOT NULL AS ok FROM packets)
+    ) GROUP BY 1, 2, 3
+""")
 def s02_topics(spark, sf_dir):
-    return wire.parse_topic(frames(spark, sf_dir).drop("region")).groupBy("region").agg(F.count("*").alias("messages"))
+    """Topics in any case and with blanks around their parts; a prefix of its own, or a test region, is the test network."""
+    i = F.col("observation_id")
+    prefix = F.when(i % 7 == 0, "Lab ").when(i % 2 == 0, " MESH").otherwise("mesh")
+    suffix = F.element_at(F.array(*map(F.lit, ["packets", " Status", "NEIGHBORS", "neighbours "])), (i % 4 + 1).cast("int"))
+    region = F.when(i % 30 == 0, "bad region").when(i % 3 == 0, F.lower("region")).otherwise(F.col("region"))
+    topic = F.concat_ws("/", prefix, region, F.lower("rx_node_id"), suffix)
+    parsed = wire.parse_topic(packets(spark, sf_dir).select(topic.alias("topic")), prefixes={"mesh": "main", "lab": "test"}, test_regions=["MAN"])
+    return parsed.groupBy("region", "network", "suffix").agg(F.count("*").alias("messages"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events")
@@ -156,12 +169,12 @@ def q31_presence(spark, sf_dir):
 
 @query("""
     WITH e AS (SELECT a AS node, b AS peer, observed, a_to_b AS sent FROM links UNION ALL SELECT b, a, observed, b_to_a FROM links)
-    SELECT node, peer, observed, sent FROM e WHERE node IN (SELECT substr(node_id, 1, 4) FROM nodes WHERE n < 10)
+    SELECT node, peer, observed, sent FROM e WHERE node IN (SELECT substr(node_id, 1, 4) FROM nodes)
 """)
 def q32_node_links(spark, sf_dir):
     l = links(packets(spark, sf_dir))
     e = l.select(F.col("a").alias("node"), F.col("b").alias("peer"), "observed", F.col("a_to_b").alias("sent")).union(l.select("b", "a", "observed", "b_to_a"))
-    return e.join(nodes(spark).where("n < 10").select(F.substring("node_id", 1, 4).alias("node")).distinct(), "node", "left_semi").select("node", "peer", "observed", "sent")
+    return e.join(nodes(spark).select(F.substring("node_id", 1, 4).alias("node")).distinct(), "node", "left_semi").select("node", "peer", "observed", "sent")
 
 
 @query(f"""

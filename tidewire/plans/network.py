@@ -45,20 +45,19 @@ def j17_within_km(spark, sf_dir):
 
 @query("""
     WITH d AS (SELECT x.n, y.n AS peer, 2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lon - x.lon) / 2), 2)))) AS km
-        FROM nodes x JOIN nodes y ON x.n % 5 = 0 AND y.role = 2 AND x.n <> y.n),
+        FROM nodes x JOIN nodes y ON y.role = 2 AND x.n <> y.n),
     r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY km, CAST(peer AS VARCHAR)) AS r FROM d WHERE km <= 400)
     SELECT CAST(n AS VARCHAR) AS node_id, CAST(peer AS VARCHAR) AS peer FROM r WHERE r <= 3
 """)
 def j18_nearest(spark, sf_dir):
     n = nodes(spark).select(F.col("n").cast("string").alias("node_id"), "lat", "lon", "role")
-    return nearest(n.where("node_id % 5 = 0").drop("role"), n.where("role = 2").drop("role"), 4, 400).where("node_id != peer").withColumn("r", F.row_number().over(Window.partitionBy("node_id").orderBy("km", "peer"))).where("r <= 3").select("node_id", "peer")
+    return nearest(n.drop("role"), n.where("role = 2").drop("role"), 4, 400).where("node_id != peer").withColumn("r", F.row_number().over(Window.partitionBy("node_id").orderBy("km", "peer"))).where("r <= 3").select("node_id", "peer")
 
 
 @query("SELECT p.packet_hash, p.observation_id FROM packets p WHERE p.rx_node_id NOT IN (SELECT source_id FROM aliases WHERE source_id IS NOT NULL)")
 def j07_null_aware_anti(spark, sf_dir):
-    packets(spark, sf_dir).select("packet_hash", "observation_id", "rx_node_id").createOrReplaceTempView("tw_packets")
-    aliases(spark).createOrReplaceTempView("tw_aliases")
-    return spark.sql("SELECT packet_hash, observation_id FROM tw_packets WHERE rx_node_id NOT IN (SELECT source_id FROM tw_aliases WHERE source_id IS NOT NULL)")
+    p = packets(spark, sf_dir).select("packet_hash", "observation_id", "rx_node_id")
+    return spark.sql("SELECT packet_hash, observation_id FROM {p} WHERE rx_node_id NOT IN (SELECT source_id FROM {a} WHERE source_id IS NOT NULL)", p=p, a=aliases(spark))
 
 
 @query("SELECT n.n, n.network FROM nodes n WHERE EXISTS (SELECT 1 FROM packets p WHERE p.src_node_id = n.node_id AND p.network IS NOT DISTINCT FROM n.network)")
@@ -86,19 +85,17 @@ def g03_degrees(spark, sf_dir):
 
 
 @query("""
-    WITH s AS (SELECT a, b FROM links WHERE (a < '8') = (b < '8')),
-    e AS (SELECT a AS u, b AS v FROM s UNION SELECT b, a FROM s),
+    WITH e AS (SELECT a AS u, b AS v FROM links UNION SELECT b, a FROM links),
     walk AS (SELECT u AS node, u AS root FROM e UNION SELECT e.v, walk.root FROM walk JOIN e ON e.u = walk.node)
     SELECT node, min(root) AS component FROM walk GROUP BY 1
 """)
 def g01_components(spark, sf_dir):
-    l = links(packets(spark, sf_dir)).where("(a < '8') = (b < '8')")
-    return graph.components(l.select("a", "b"))
+    return graph.components(links(packets(spark, sf_dir)).select("a", "b"))
 
 
 @query()
 def g02_articulation(spark, sf_dir):
-    return graph.articulation_points(links(packets(spark, sf_dir)).where("(a < '8') = (b < '8')").select("a", "b"))
+    return graph.articulation_points(links(packets(spark, sf_dir)).select("a", "b"))
 
 
 @query("""

@@ -90,11 +90,13 @@ def a19_best_label(spark, sf_dir):
     SELECT coalesce(network, 'all') AS network, coalesce(region, 'all') AS region, count(*) AS packets, count(snr) AS with_snr, CAST(grouping(network, region) AS INTEGER) AS level FROM packets GROUP BY GROUPING SETS ((network, region), (network), (region), ())
 """)
 def a21_strata(spark, sf_dir):
-    packets(spark, sf_dir).select("network", "region", "snr").createOrReplaceTempView("tw_strata")
-    return spark.sql("""
+    return spark.sql(
+        """
         SELECT coalesce(network, 'all') AS network, coalesce(region, 'all') AS region, count(*) AS packets, count(snr) AS with_snr, CAST(grouping_id(network, region) AS INT) AS level
-        FROM tw_strata GROUP BY GROUPING SETS ((network, region), (network), (region), ())
-    """)
+        FROM {p} GROUP BY GROUPING SETS ((network, region), (network), (region), ())
+        """,
+        p=packets(spark, sf_dir).select("network", "region", "snr"),
+    )
 
 
 @query("SELECT NOT EXISTS (FROM aliases EXCEPT ALL FROM aliases) AS same, EXISTS (SELECT 1 FROM aliases) AS changed")

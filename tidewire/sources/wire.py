@@ -6,11 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def parse_topic(df: DataFrame, topic: str = "topic", prefix: str = "mesh") -> DataFrame:
-    """Adds region, observer and suffix, all null unless the topic is prefix/REGION/64-hex/suffix."""
+#: Fixed values of the topic format, and the networks of prefixes unless given.
+SUFFIXES = ("packets", "status", "neighbors", "neighbours")
+PREFIXES = {"mesh": "main", "mesh-test": "test"}
+
+
+def parse_topic(df: DataFrame, topic: str = "topic", prefixes: dict[str, str] = PREFIXES, test_regions: list[str] | None = None) -> DataFrame:
+    """Adds region, observer, suffix and network, all null unless the topic is prefix/region/64-hex/suffix.
+
+    Blanks around a part and its case don't matter. ``prefixes`` names the network of each accepted prefix; a topic of one of
+    the ``test_regions`` is in the network "test" whatever its prefix.
+    """
     p = F.split(F.col(topic), "/")
-    good = (F.size(p) == 4) & (F.get(p, F.lit(0)) == prefix) & F.get(p, F.lit(1)).rlike("^[A-Z0-9]{2,8}$") & F.get(p, F.lit(2)).rlike("^[0-9A-Fa-f]{64}$") & F.get(p, F.lit(3)).isin("packets", "status", "neighbors")
-    return df.withColumns({"region": F.when(good, F.get(p, F.lit(1))), "observer": F.when(good, F.upper(F.get(p, F.lit(2)))), "suffix": F.when(good, F.get(p, F.lit(3)))})
+    prefix, region, observer, suffix = (f(F.trim(F.get(p, F.lit(k)))) for k, f in enumerate((F.lower, F.upper, F.upper, F.lower)))
+    good = (F.size(p) == 4) & prefix.isin(*prefixes) & region.rlike("^[A-Z0-9]{2,8}$") & observer.rlike("^[0-9A-F]{64}$") & suffix.isin(*SUFFIXES)
+    named = F.create_map(*[F.lit(x) for pair in prefixes.items() for x in pair])[prefix]
+    network = F.when(region.isin(*(test_regions or [])), "test").otherwise(named)
+    return df.withColumns({k: F.when(good, v) for k, v in {"region": region, "observer": observer, "suffix": suffix, "network": network}.items()})
 
 
 def number_field(payload: Column, *names: str) -> Column:
