@@ -32,6 +32,12 @@ def linear_quantile(values, q: float):
     return lower + (upper - lower) * (at - low)
 
 
+def sliding_minimum(values, reach: int):
+    """An array with the least of the values within ``reach`` places of each."""
+    n = F.size(values)
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_min(F.slice(values, F.greatest(F.lit(1), i + 1 - reach), F.least(i + 1 + reach, n) - F.greatest(F.lit(1), i + 1 - reach) + 1)))
+
+
 def path_losses(profiles: DataFrame, mhz: float = MHZ, viable_db: float = VIABLE_DB) -> DataFrame:
     """id, km, v, loss_db and viable of every profile: free space, the worst knife edge over a 4/3 earth, roughness.
 

@@ -59,3 +59,46 @@ def decode_frame(df: DataFrame, raw: str = "raw_hex") -> DataFrame:
         "hash_size": size, "hop_count": hops, "path_hashes": path, "packet_id": F.upper(F.sha2(F.unhex(F.concat(first, F.substr(x, end * 2 + 1, F.length(x)))), 256)),
     }
     return df.withColumns({k: F.when(good, v) for k, v in made.items()})
+
+
+def status_fields(df: DataFrame, stats: str = "stats") -> DataFrame:
+    """Adds battery_mv, uptime_secs, tx_secs, rx_secs, channel_use and air_use from a JSON record, each under any of its
+    names; rows without any of them are kept, as raw_only, if they hold statistics of an owner's device, else left out."""
+    s = F.col(stats)
+    up = F.coalesce(number_field(s, "uptime_secs", "uptimeSecs"), F.floor(number_field(s, "uptime_ms", "uptimeMs") / 1000).cast("double"))
+    fields = {
+        "battery_mv": number_field(s, "battery_mv", "batteryMv"), "uptime_secs": up, "tx_secs": number_field(s, "tx_air_secs", "txAirSecs"), "rx_secs": number_field(s, "rx_air_secs", "rxAirSecs"),
+        "channel_use": number_field(s, "channel_utilization", "channel_utilization_pct", "channel_util", "channelUtil", "channelUtilization"),
+        "air_use": number_field(s, "air_util_tx", "air_util_tx_pct", "tx_air_util", "tx_air_utilization", "airUtilTx"),
+    }
+    found = df.withColumns(fields)
+    none = F.lit(True)
+    for name in fields:
+        none = none & F.col(name).isNull()
+    return found.withColumn("raw_only", none).where(~F.col("raw_only") | F.get_json_object(s, "$.mqtt").isNotNull())
+
+
+def neighbour_list(df: DataFrame, body: str) -> DataFrame:
+    """Adds neighbours: the array under ``nodes`` or ``neighbours`` as JSON texts, null if neither is an array."""
+    either = F.coalesce(F.get_json_object(F.col(body), "$.nodes"), F.get_json_object(F.col(body), "$.neighbours"))
+    return df.withColumn("neighbours", F.when(either.startswith("["), F.from_json(either, "array<string>")))
+
+
+#: Payload types by their numbers.
+PAYLOADS = {2: "direct message", 3: "acknowledgement", 4: "advert", 5: "channel message", 8: "path", 9: "trace"}
+
+
+def payload_name(kind: Column) -> Column:
+    names = F.create_map(*[F.lit(x) for pair in PAYLOADS.items() for x in pair])
+    return F.coalesce(names[kind], F.concat(F.lit("type "), kind.cast("string")))
+
+
+def advert_is_verified(direction: Column, kind: Column, decoded: Column) -> Column:
+    """False for a sent advert that couldn't be decoded: its fields don't prove where it came from."""
+    return ~((direction == "tx") & (kind == 4) & ~decoded)
+
+
+def status_is_own(observer: Column, claimed: Column) -> Column:
+    """Whether a status names the topic's device, or none; another or a malformed id refuses it."""
+    given = F.upper(F.trim(claimed))
+    return claimed.isNull() | (given == "") | F.coalesce(given.rlike("^[0-9A-F]{64}$") & (given == F.upper(F.trim(observer))), F.lit(False))
