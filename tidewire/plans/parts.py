@@ -101,7 +101,7 @@ def n10_snr_bands(spark, sf_dir):
     WITH h AS (SELECT x.n, y.n AS other, 2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lon - x.lon) / 2), 2)))) AS km,
         CASE WHEN x.n % 4 <> 0 THEN CAST(x.n * 5 AS DOUBLE) END AS ea, CAST(y.n * 3 - 20 AS DOUBLE) AS eb, CASE WHEN x.n % 3 <> 0 THEN CAST(120 + y.n AS DOUBLE) END AS loss
         FROM nodes x JOIN nodes y ON x.lat IS NOT NULL AND y.lat IS NOT NULL AND x.network = y.network AND x.n < y.n),
-    m AS (SELECT *, sqrt(2 * 6371000 / 0.75 / 1000 * greatest(0, ea + 15) / 1000) + sqrt(2 * 6371000 / 0.75 / 1000 * greatest(0, eb + 15) / 1000) - km AS margin FROM h)
+    m AS (SELECT *, CASE WHEN ea IS NOT NULL THEN sqrt(2 * 6371000 / 0.75 / 1000 * greatest(0, ea + 15) / 1000) + sqrt(2 * 6371000 / 0.75 / 1000 * greatest(0, eb + 15) / 1000) - km END AS margin FROM h)
     SELECT n, other, km <= 150 AND NOT coalesce(loss > 165, false) AND NOT coalesce(margin < -25, false) AS possible, round(CASE WHEN ea IS NOT NULL THEN margin END, 6) AS margin_km,
         round(CASE WHEN ea IS NULL THEN 0 ELSE greatest(-1, least(1, margin / 25)) END, 6) AS soft FROM m
 """)
