@@ -57,3 +57,90 @@ def content_hash(df: DataFrame) -> DataFrame:
     row = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
     parts = [F.sum(F.conv(F.substring(row, 1 + 12 * k, 12), 16, 10).cast("decimal(38,0)")).alias(f"s{k}") for k in range(4)]
     return df.agg(F.count("*").alias("n"), *parts).select(F.sha2(F.concat_ws(",", "n", *[f"s{k}" for k in range(4)]), 256).alias("digest"))
+
+
+def routes(packets: DataFrame, nodes: DataFrame, size: int = 4) -> DataFrame:
+    """observation_id, region, time, src, rx, path and ids of packets with a known receiver and a path.
+
+    The receiver's own last hop is left out. ids has the one repeater that each hop's hash names, null where none or
+    several do. Packets share few paths, so each distinct one meets the known prefixes once.
+    """
+    prefix = F.substring("node_id", 1, size)
+    known = nodes.where("role = 2").groupBy(prefix.alias("hash")).agg(F.min("node_id").alias("node_id"), F.count("*").alias("c")).where("c = 1").drop("c")
+    p = packets.where(F.col("rx_node_id").isNotNull() & (F.size("path_hashes") > 0))
+    own = F.col("rx_node_id").startswith(F.get("path_hashes", F.size("path_hashes") - 1))
+    p = p.select("observation_id", "region", "time", F.col("src_node_id").alias("src"), F.col("rx_node_id").alias("rx"), F.when(own, F.slice("path_hashes", 1, F.size("path_hashes") - 1)).otherwise(F.col("path_hashes")).alias("path"))
+    hops = p.select("path").distinct().select("path", F.posexplode("path").alias("pos", "hash")).join(known, "hash", "left")
+    ids = hops.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", "node_id"))).alias("h"))
+    return p.join(ids, "path").withColumn("ids", F.transform("h", lambda x: x["node_id"])).drop("h")
+
+
+def _whole() -> Column:
+    return ~F.exists("ids", lambda x: x.isNull())
+
+
+def _steps(stops: Column) -> Column:
+    """pos, src and dst of each two stops in a row."""
+    return F.transform(F.sequence(F.lit(0), F.size(stops) - 2), lambda i: F.struct(i.alias("pos"), F.get(stops, i).alias("src"), F.get(stops, i + 1).alias("dst")))
+
+
+def verified_steps(found: DataFrame) -> DataFrame:
+    """region, quarter, time, src and dst of each step between two known stops: source, hops and receiver."""
+    stops = F.concat(F.when(F.col("src").isNotNull(), F.array("src")).otherwise(F.array().cast("array<string>")), F.col("ids"), F.array("rx"))
+    steps = found.select("region", "time", F.floor(F.hour("time") / 6).cast("int").alias("quarter"), F.explode(_steps(stops)).alias("s"))
+    return steps.select("region", "quarter", "time", "s.src", "s.dst").where("src is not null and dst is not null")
+
+
+def prefix_priors(found: DataFrame, k: int = 16) -> DataFrame:
+    """Which node a hop's hash means after the hop before it, from hops that name one node."""
+    before = lambda i: F.when(i > 0, F.get("path", i - 1)).otherwise("")
+    hop = F.transform(F.sequence(F.lit(0), F.size("ids") - 1), lambda i: F.struct(F.get("path", i).alias("prefix"), before(i).alias("before"), F.get("ids", i).alias("node")))
+    rows = found.select("region", F.explode(hop).alias("h")).select("region", "h.*").where("node is not null")
+    return priors(rows, ["region", "before", "prefix"], ["node"], k)
+
+
+def position_priors(found: DataFrame, k: int = 16) -> DataFrame:
+    """Which node stands at a place of a path for a first byte, from paths known in whole."""
+    rows = found.where(_whole()).select(F.posexplode("ids").alias("pos", "node")).withColumn("byte", F.substring("node", 1, 2))
+    return priors(rows, ["byte", "pos"], ["node"], k)
+
+
+def corridor_priors(found: DataFrame, k: int = 8) -> DataFrame:
+    """Which node stands at a place between a source and a receiver, from paths known in whole."""
+    return priors(found.where(_whole() & F.col("src").isNotNull()).select("src", "rx", F.posexplode("ids").alias("pos", "node")), ["src", "rx", "pos"], ["node"], k)
+
+
+def node_transitions(found: DataFrame, k: int = 8) -> DataFrame:
+    return priors(verified_steps(found), ["region", "src"], ["dst"], k)
+
+
+def position_transitions(found: DataFrame, k: int = 8) -> DataFrame:
+    """Which node follows another at a place of the way from source to receiver, from paths known in whole."""
+    stops = F.concat(F.array("src"), F.col("ids"), F.array("rx"))
+    rows = found.where(_whole() & F.col("src").isNotNull()).select(F.explode(_steps(stops)).alias("s")).select("s.*")
+    return priors(rows, ["pos", "src"], ["dst"], k)
+
+
+def directed_edges(steps: DataFrame, links: DataFrame, now: Column) -> DataFrame:
+    """A score for each direction of each link in each region and quarter of the day in which its first end was active.
+
+    links: a, b, a_to_b, b_to_a, loss_db and km, for each two neighbours. Of an end's steps each neighbour is expected to
+    have an equal share. The score weighs reliability, direction, recency and loss, less missing steps and signs of error.
+    """
+    observed = steps.groupBy("region", "quarter", "src", "dst").agg(F.count("*").alias("observed"), F.max("time").alias("last"))
+    active = observed.groupBy("region", "quarter", "src").agg(F.sum("observed").alias("active"))
+    rest = ["loss_db", "km"]
+    ends = links.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("a_to_b").alias("there"), F.col("b_to_a").alias("back"), *rest).union(links.select("b", "a", "b_to_a", "a_to_b", *rest))
+    degree = ends.groupBy("src").agg(F.count("*").alias("degree"))
+    e = active.join(degree, "src").join(ends, "src").join(observed, ["region", "quarter", "src", "dst"], "left").fillna(0, ["observed"])
+    even = F.greatest(F.lit(1), F.floor(F.col("active") / F.col("degree") + 0.5))
+    e = e.withColumn("expected", F.greatest("observed", even)).withColumn("missing", F.col("expected") - F.col("observed"))
+    reliable = F.col("observed") / (F.col("expected") + 2.0)
+    direction = F.coalesce(F.col("there") / F.nullif((F.col("there") + F.col("back")).cast("double"), F.lit(0.0)), F.lit(0.5))
+    days = F.timestamp_diff("MICROSECOND", F.col("last"), now) / 86400e6
+    recent = F.coalesce(clamp(F.exp(-days / 21), 0.05, 1.0), F.lit(0.05))
+    loss = F.coalesce(clamp((160 - F.col("loss_db")) / 45, 0, 1), F.lit(0.55))
+    when = lambda c, x: F.when(F.coalesce(c, F.lit(False)), x).otherwise(0.0)
+    doubt = when((F.col("km") > 55) & (F.col("loss_db") > 150), 0.14) + when((F.col("observed") < 3) & (F.col("missing") >= 3), 0.1) + when((direction < 0.06) & (F.col("observed") >= 5), 0.06)
+    score = clamp(0.42 * reliable + 0.22 * direction + 0.2 * recent + 0.16 * loss - F.col("missing") / F.col("expected") * 0.3 - clamp(doubt, 0, 0.35), 0.02, 0.995)
+    return e.select("region", "quarter", "src", "dst", "observed", "expected", "missing", F.round(score, 6).alias("score"))

@@ -1,6 +1,6 @@
 """All queries and their SQL."""
 
-from . import devices, live, network, parts, radio, reports, star, traffic  # noqa: F401  (their import registers the queries)
+from . import devices, live, network, parts, priors, radio, reports, star, traffic  # noqa: F401  (their import registers the queries)
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
