@@ -34,6 +34,77 @@ def test_viterbi_dead_ends_still_score():
     assert chosen == [1, 0]
 
 
+def plain_km(a, b):
+    x = math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+    return 2 * 6371.0 * math.asin(min(1.0, math.sqrt(x)))
+
+
+def test_decoding_with_evidence_matches_enumeration(spark):
+    rng = random.Random(9)
+    names = ["AAAA", "BBBB", "CCCC"]
+    place = {}
+    for k in range(9):
+        place[f"{names[k % 3]}{k}"] = None if k == 8 else (50 + rng.random() * 1.2, rng.random() * 1.2)
+    place |= {"SRC": (50.2, 0.1), "RX": (50.9, 0.8)}
+    rows = [(n, p and p[0], p and p[1], 2 if n not in ("SRC", "RX") else 1) for n, p in place.items()]
+    nodes = spark.createDataFrame(rows, "node_id string, lat double, lon double, role int")
+    ids = [n for n in place if n not in ("SRC", "RX")]
+    pick = lambda n: {tuple(x): rng.randint(1, 9) for x in n}
+    prefixes = pick([("AAAA" if rng.random() < 0.5 else "", x[:4], x) for x in ids])
+    positions = pick([(x[:2], rng.randint(0, 2), x) for x in ids])
+    corridors = pick([("SRC", "RX", rng.randint(0, 2), x) for x in ids])
+    follow = pick([rng.sample(ids, 2) for _ in range(12)])
+    placed = pick([(rng.randint(1, 2), *rng.sample(ids, 2)) for _ in range(12)])
+    near = {tuple(rng.sample(ids, 2)) for _ in range(6)}
+    table = lambda d, kind: spark.createDataFrame([(*k, v) for k, v in d.items()], kind + ", n long")
+    evidence = paths.Evidence(
+        table(prefixes, "before string, prefix string, node string"), table(positions, "byte string, pos int, node string"), table(corridors, "src string, rx string, pos int, node string"),
+        table(follow, "src string, dst string"), table(placed, "pos int, src string, dst string"), spark.createDataFrame(list(near), "a string, b string"),
+    )
+    seen = [(k, [rng.choice(names + ["DDDD"] * (k > 5)) for _ in range(rng.randint(1, 3))], rng.choice(["SRC", None]), rng.choice(["RX", "RX", None])) for k in range(12)]
+    got = {(r.observation_id, r.pos): r for r in paths.decode(spark.createDataFrame(seen, "observation_id int, path_hashes array<string>, src_node_id string, rx_node_id string"), nodes, evidence).collect()}
+    assert len(got) == sum(len(x[1]) for x in seen)
+    w = paths.WEIGHTS
+    for k, path, src, rx in seen:
+        columns = []
+        for i, h in enumerate(path):
+            column = {}
+            for x in ids:
+                if not x.startswith(h):
+                    continue
+                p, to_rx = place[x], place[x] and rx and plain_km(place[x], place["RX"])
+                e = w["prefix"] * math.log1p(prefixes.get((path[i - 1] if i else "", h, x), 0)) + w["position"] * math.log1p(positions.get((h[:2], i, x), 0)) + w["corridor"] * math.log1p(corridors.get((src, rx, i, x), 0))
+                e -= (to_rx or 0) / 80
+                if p and rx and src:
+                    f = (i + 1) / (len(path) + 1)
+                    e -= plain_km(p, [place["SRC"][c] + (place["RX"][c] - place["SRC"][c]) * f for c in (0, 1)]) / 55
+                if i == len(path) - 1 and rx:
+                    if not p or to_rx > 150:
+                        continue
+                    e -= 0.9 * to_rx / 80
+                column[x] = e
+            columns.append(column or {None: 0.0})
+
+        def step(i, x, y):
+            if x is None or y is None:
+                return 0.0
+            t = 2.0 * math.log1p(follow.get((x, y), 0)) + 1.2 * math.log1p(placed.get((i, x, y), 0)) + 0.8 * ((x, y) in near or (y, x) in near)
+            return t - (plain_km(place[x], place[y]) / 40 if place[x] and place[y] else 0)
+
+        best = {}
+        for way in itertools.product(*columns):
+            s = sum(columns[i][x] for i, x in enumerate(way)) + sum(step(i, x, y) for i, (x, y) in enumerate(zip(way, way[1:]), 1))
+            for i, x in enumerate(way):
+                best[i, x] = max(best.get((i, x), -math.inf), s)
+        for i, column in enumerate(columns):
+            r = got[k, i + 1]
+            ranked = sorted((best[i, x] for x in column), reverse=True)
+            assert best[i, r.node_id] == pytest.approx(ranked[0], abs=1e-6)
+            assert r.margin == (None if len(ranked) == 1 else pytest.approx(ranked[0] - ranked[1], abs=1e-5))
+            if r.margin is not None:
+                assert r.confidence == pytest.approx(1 - math.exp(-r.margin / 0.12), abs=1e-4)
+
+
 def test_components_and_cut_nodes(spark):
     rng = random.Random(4)
     edges = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(45)}

@@ -133,7 +133,12 @@ def v11_exact_paths(spark, sf_dir):
 
 @query()
 def v01_viterbi_paths(spark, sf_dir):
-    return paths.decode(packets(spark, sf_dir).where("size(path_hashes) > 1"), nodes(spark), links(packets(spark, sf_dir)))
+    p, n = packets(spark, sf_dir), nodes(spark)
+    found = learning.routes(p, n).where("size(path) > 0")
+    learned = paths.Evidence(
+        learning.prefix_priors(found), learning.position_priors(found), learning.corridor_priors(found), learning.node_transitions(found), learning.position_transitions(found)
+    )
+    return paths.decode(p.where("size(path_hashes) > 1"), n, learned)
 
 
 @query("""
