@@ -91,5 +91,7 @@ def test_near_copies_are_those_of_exact_similarity(spark):
     df = spark.createDataFrame([*enumerate(texts), (None, "one"), (None, "one")], "doc_id long, text string")
     want = {k for k in range(len(texts)) if find(k) == k}
     kept = [r.doc_id for r in corpus_pipeline.keep_one_of_near_copies(spark, df, "").collect()]
-    assert {k for k in kept if k is not None} == want and len(kept) == len(want) + 2
+    got = {k for k in kept if k is not None}
+    # no document goes without a link; a link just above the limit is missed with a chance of MISS
+    assert len(kept) == len(got) + 2 and want <= got and len(got - want) <= 0.03 * len(texts)
     assert corpus_pipeline.keep_one_of_near_copies(spark, df.limit(0), "").count() == 0

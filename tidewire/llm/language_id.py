@@ -60,7 +60,7 @@ def has_letter(text: bytes | None) -> bool:
     return regex.search(rb"[A-Za-z]", text) is not None or _LETTER.search(text.decode("utf-8", "replace")) is not None
 
 
-def sample_labelled(df: DataFrame, per_label: int, parts: int = 32, most_labels: int = 1000) -> DataFrame:
+def sample_labelled(df: DataFrame, per_label: int, parts: int = 128, most_labels: int = 1000) -> DataFrame:
     """Ids, texts and labels of at most ``per_label`` rows of each label, by the hash of the id; of more than
     ``most_labels`` labels, of those with the most rows.
 

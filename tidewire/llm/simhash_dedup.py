@@ -26,7 +26,9 @@ SET_WORDS, LEAST, MISS = 5, 0.8, 0.03
 WIDE = 1024  # bits of a set's fingerprint
 SAMPLE = 2048  # fingerprints, for correlations and candidate counts only
 ROW_COST = 10.0  # of a shuffled key, in compared pairs
-STAR_KEYS = 12  # groups of bits whose buckets are compared with their hubs first
+STAR_KEYS = 12  # groups of bits whose buckets find the hubs
+HUBS = 256, 4096  # hubs that every node is compared with, and the nodes they are chosen from: the most popular ones
+BROADCAST_SETS = 1 << 26  # bytes of shingle sets that are broadcast at most; more of them meet their pairs by shuffle
 SALT_ROWS = 2048  # of a bucket's nodes that one task compares with the bucket
 
 
@@ -224,14 +226,47 @@ def _keyed(nodes: DataFrame, layout: list[tuple[list[int], int]], width: int) ->
     return nodes.select(*rest, "bits").mapInArrow(run, schema).select(*rest, F.explode("keys").alias("key"))
 
 
-def grouped(nodes: DataFrame, layout: list[tuple[list[int], int]], width: int, head_limit: int, least: float, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """node and group, the least node reachable, of every node that has a link.
+def choose_hubs(rows: list, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and bits of up to HUBS of the rows (node, bits), in their order, none within ``limit`` bits of one before."""
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros((0, 1), np.uint64)
+    bits = np.frombuffer(b"".join(bytes(r["bits"]) for r in rows), np.uint64).reshape(len(rows), -1)
+    free, chosen = np.ones(len(rows), bool), []
+    for i in range(len(rows)):
+        if free[i] and len(chosen) < HUBS[0]:
+            chosen.append(i)
+            free &= np.bitwise_count(bits ^ bits[i]).sum(axis=1) > limit
+    return np.array([rows[i]["node"] for i in chosen], np.int64), bits[chosen]
+
+
+def to_hubs(nodes: DataFrame, hubs: tuple[np.ndarray, np.ndarray], limit: int) -> DataFrame:
+    """node and hub for each node that has a hub within ``limit`` bits, other than itself: its nearest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, bits = hubs
+        for b in batches:
+            own, x = b.column(0).to_numpy(), np.frombuffer(b"".join(binary(b.column(1))), np.uint64).reshape(-1, bits.shape[1])
+            out = []
+            for lo in range(0, len(own), 256):
+                apart = np.bitwise_count(x[lo : lo + 256, None] ^ bits[None]).sum(axis=2, dtype=np.int64)
+                apart[own[lo : lo + 256, None] == ids] = limit + 1
+                at = apart.argmin(axis=1)
+                good = np.flatnonzero(apart[np.arange(len(at)), at] <= limit)
+                out.append((own[lo : lo + 256][good], ids[at[good]]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 2, ["node", "hub"])
+
+    return nodes.select("node", "bits").mapInArrow(run, "node long, hub long")
+
+
+def grouped(nodes: DataFrame, layout: list[tuple[list[int], int]], width: int, head_limit: int, limit: int, least: float, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node and group, the least node reachable, of every node.
 
     nodes: node, head and tail (64 bits each of its bits), n (a size that linked nodes share to ``least``), copies and
-    bits. A candidate pair shares a key, is near in head, tail and size, and has to pass ``verify``. First the nodes of some
-    groups' buckets are compared with the bucket's most copied one, so that a large set of near copies falls into few
-    labels; then, in all groups, the nodes of a bucket outside of its largest label are compared with all others there. So
-    pairs inside a set of copies aren't made, and no link between labels is lost. Large buckets are salted.
+    bits. A candidate pair shares a key, is near in head, tail and size, and has to pass ``verify``. A large set of near
+    copies falls into one label first: what copies change differs, so the text they come from shares most buckets with
+    most nodes, and each node is compared with two such hubs, one of a few for all and one of its own buckets. Then, in
+    all groups of bits, the nodes of a bucket outside of its largest label are compared with all others there. So pairs
+    inside a set of copies aren't made, and no link between labels is lost. Large buckets are salted.
     """
     shown = ["node", "head", "tail", "n"]
 
@@ -242,10 +277,18 @@ def grouped(nodes: DataFrame, layout: list[tuple[list[int], int]], width: int, h
     def ordered(a: str, b: str) -> list[Column]:
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
-    keyed = _keyed(nodes.select(*shown, "copies", "bits"), [(g, 0) for g, _ in layout[:STAR_KEYS]], width)
-    hub = keyed.groupBy("key").agg(F.count("*").alias("m"), F.max(F.struct("copies", *shown)).alias("hub")).where("m > 1").drop("m")
-    star = keyed.join(hub, "key").where((F.col("node") != F.col("hub.node")) & close("hub")).select(*ordered("node", "hub.node")).distinct()
-    label = components(verify(star)).select(F.col("id").alias("node"), F.col("component").alias("label"))
+    some = [(g, 0) for g, _ in layout[:STAR_KEYS]]
+    keyed = _keyed(nodes.select("node", "copies", "bits"), some, width)
+    shared = keyed.groupBy("key").agg(F.sum("copies").alias("m"), F.count("*").alias("c")).where("c > 1").drop("c")
+    popular = keyed.select("key", "node").join(shared, "key").groupBy("node").agg(F.sum("m").alias("popular"))
+    ranked = nodes.drop("copies").join(popular, "node").checkpoint()  # of nodes that share a bucket
+    hubs = choose_hubs(ranked.orderBy(F.desc("popular"), "node").limit(HUBS[1]).select("node", "bits").collect(), limit)
+    keyed = _keyed(ranked.select("popular", *shown, "bits"), some, width)
+    hub = keyed.groupBy("key").agg(F.count("*").alias("m"), F.max(F.struct("popular", *shown)).alias("hub")).where("m > 1").drop("m")
+    star = keyed.join(hub, "key").where((F.col("node") != F.col("hub.node")) & close("hub")).groupBy("node").agg(F.max(F.struct("hub.popular", "hub.node")).alias("h")).select("node", F.col("h.node").alias("hub"))
+    if len(hubs[0]):
+        star = star.union(to_hubs(ranked, hubs, limit))
+    label = components(verify(star.select(*ordered("node", "hub")).distinct())).select(F.col("id").alias("node"), F.col("component").alias("label"))
     size = label.groupBy("label").agg(F.count("*").alias("size"))
     labelled = nodes.drop("copies").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")).join(size, "label", "left").fillna(1, ["size"]).checkpoint()
     keyed = _keyed(labelled.select(*shown, "label", "bits"), layout, width)
@@ -296,7 +339,7 @@ def near_duplicates(df: DataFrame, limit: int = LIMIT) -> DataFrame:
     fps = found.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")).checkpoint()
     little = [F.substring(F.lpad(F.hex("fp"), 16, "0"), k, 2) for k in range(15, 0, -2)]
     nodes = fps.select(F.col("fp").alias("node"), F.col("fp").alias("head"), F.lit(0).cast("long").alias("tail"), F.lit(1).cast("long").alias("n"), "copies", F.unhex(F.concat(*little)).alias("bits"))
-    group = grouped(nodes, plan(*_sample_bits(nodes, 64), limit), 64, limit, 0, lambda pairs: pairs)
+    group = grouped(nodes, plan(*_sample_bits(nodes, 64), limit), 64, limit, limit, 0, lambda pairs: pairs)
     return _named(found, fps.withColumnRenamed("fp", "node"), group, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -318,7 +361,7 @@ def near_copies(df: DataFrame, least: float = LEAST, miss: float = MISS) -> Data
     ready(df.sparkSession)
     df = df.where("doc_id is not null").select("doc_id", "text")
     share = differing_share(least)
-    head_limit, limit = (ceil(w * share + 4.5 * sqrt(w * share * (1 - share)) + w / 64) for w in (128, WIDE))
+    head_limit, limit = (ceil(w * share + 4.5 * sqrt(w * share * (1 - share)) + w / 128) for w in (128, WIDE))
 
     def digest(held: np.ndarray) -> int:
         return int(np.uint64(xxhash.xxh3_64_intdigest(held.tobytes())).view(np.int64))
@@ -356,11 +399,12 @@ def near_copies(df: DataFrame, least: float = LEAST, miss: float = MISS) -> Data
         """The pairs near in all bits, then those whose sets are; only texts of the former are read again."""
         pairs = both(pairs, nodes, "bits").mapInArrow(near, "a long, b long").checkpoint()
         asked = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select(F.col("id").alias("doc_id")).distinct()
-        sets = only(df, asked, "doc_id").mapInArrow(hold, "node long, held binary").dropDuplicates(["node"])
-        return both(pairs, sets, "held").mapInArrow(compare, "a long, b long").checkpoint()
+        sets = only(df, asked, "doc_id").mapInArrow(hold, "node long, held binary").dropDuplicates(["node"]).checkpoint()
+        size = sets.agg(F.sum(F.octet_length("held"))).first()[0] or 0
+        return both(pairs, F.broadcast(sets) if size <= BROADCAST_SETS else sets, "held").mapInArrow(compare, "a long, b long").checkpoint()
 
     asked = nodes.where("n > 0").select("node", head.alias("head"), tail.alias("tail"), "n", "copies", "bits")
-    group = grouped(asked, plan_share(*_sample_bits(asked, WIDE), least, miss), WIDE, head_limit, least, verify)
+    group = grouped(asked, plan_share(*_sample_bits(asked, WIDE), least, miss), WIDE, head_limit, limit, least, verify)
     return _named(found.select("doc_id", "node"), nodes.select("node", "id"), group, "node").select("doc_id", "component_id")
 
 
