@@ -110,7 +110,7 @@ def test_groups_of_dense_and_spread_fingerprints(spark, monkeypatch):
     for rows in (400, 10**10):  # another number of rows, another layout
         layout = simhash_dedup.plan(simhash_dedup._sample_bits(nodes, 64)[0], rows)
         assert any(t for _, t in layout) or rows == 400
-        got = {r.node: r.group for r in simhash_dedup.grouped(nodes, layout, 64, 4, 0, lambda p: p).collect()}
+        got = {r.node: r.group for r in simhash_dedup.grouped(nodes, layout, 64, 4, 4, 0, lambda p: p).collect()}
         assert got == {a: find(a) for a, _ in signed}
 
 
@@ -349,7 +349,7 @@ def test_lm_distribution_sums_to_one():
         score, _ = model.score(ids, np.array([0, len(ids)]))
         total += 10 ** score[-1]
     empty = set(range(lm_scoring.OUTPUTS)) - set(model.classes) - {lm_scoring.UNKNOWN}
-    z = model.logits(model.histories(np.array(history + [0]), np.array([0, 5]))[2])[-1]
+    z = model.logits(model.histories(np.array(history + [0]), np.array([0, 5]))[2], np.empty((2, 5, lm_scoring.OUTPUTS), np.float32))[-1]
     p = np.exp(z - z.max())
     p /= p.sum()
     assert abs(total + p[sorted(empty)].sum() - 1) < 1e-4

@@ -30,12 +30,12 @@ LISTED = 100_000  # most frequent tokens whose counts are broadcast; the others
 WORDS = 4096, 65_536  # of these, the model's vocabulary: the least, growing with the root of the tokens to the most
 CLASSES = 48  # of known words; one more each for END, for unknown words, and for the start as history
 ROWS = 14, 18  # log2 rows of the classes' hashed table, the least and the most
-SLOTS = 20, 23  # log2 weights of the words' hashed table
+SLOTS = 18, 22  # log2 weights of the words' hashed table
 CONTEXTS = 1024  # rows of the last known word, which rare words share
 SIGNS = 64  # frequent words whose share in its documents describes a word
 MINIBATCH, RATE, HOLD, ROUNDS = 16384, 0.5, 3.0, 2  # HOLD keeps rows that were met once from large steps
 DAMP = 2.0  # tokens that a weight of the words' table is held back by
-TOKENS_A_LEARNER, LEARNERS = 2_000_000, 4096
+TOKENS_A_LEARNER, LEARNERS = 4_000_000, 4096
 FAN_IN = 16
 FLUSH = 1 << 18
 
@@ -263,10 +263,15 @@ class Model:
         rows = np.stack([((m.astype(np.uint64) * np.uint64(8) + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)) >> shift for k, m in enumerate(mixes)])
         return word, classes, rows.astype(np.int32), np.where(last_word > known, CONTEXTS, last_word % CONTEXTS)
 
-    def logits(self, rows: np.ndarray) -> np.ndarray:
-        z = self.table[rows[0]] + self.prior
+    def logits(self, rows: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """The sum of the features' rows, a row for each position; held are two buffers, of which the first has it then.
+        Buffers that are kept cost a twentieth of new ones."""
+        z, more = held[:, : rows.shape[1]]
+        np.take(self.table, rows[0], axis=0, out=z, mode="clip")
         for r in rows[1:]:
-            z += self.table[r]
+            np.take(self.table, r, axis=0, out=more, mode="clip")
+            z += more
+        z += self.prior
         return z
 
     def train(self, ids: np.ndarray, starts: np.ndarray, square: np.ndarray, seen: np.ndarray, counted: np.ndarray) -> None:
@@ -274,19 +279,21 @@ class Model:
         squared gradients; and adds to ``counted`` how often each slot's pairs occur and how often the model expects them."""
         word, classes, rows, context = self.histories(ids, starts)
         known = len(self.classes)
+        held = np.empty((2, min(len(ids), MINIBATCH), OUTPUTS), np.float32)
+        narrow = np.uint16 if len(self.table) <= 1 << 16 else np.int32  # sorts in a sixth of the time
         for lo in range(0, len(ids), MINIBATCH):
             s = slice(lo, lo + MINIBATCH)
-            z = self.logits(rows[:, s])
+            z = self.logits(rows[:, s], held)
             z -= z.max(axis=1, keepdims=True)
             np.exp(z, out=z)
             z /= z.sum(axis=1, keepdims=True)
             z[np.arange(len(z)), classes[s]] -= 1
             for r in rows[:, s]:
-                order = np.argsort(r, kind="stable")
+                order = np.argsort(r.astype(narrow), kind="stable")
                 ranked = r[order]
                 first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-                g, at = np.add.reduceat(z[order], first), ranked[first]
-                square[at] += (g**2).mean(axis=1)
+                g, at = np.add.reduceat(np.take(z, order, axis=0, out=held[1, : len(z)], mode="clip"), first), ranked[first]
+                square[at] += np.square(g).mean(axis=1)
                 self.table[at] -= RATE * g / np.sqrt(square[at] + HOLD)[:, None]
                 seen[at] += np.diff(np.append(first, len(ranked)))
         use = word < known
@@ -303,11 +310,14 @@ class Model:
         word, classes, rows, context = self.histories(ids, starts)
         known = len(self.classes)
         out = np.empty(len(ids))
+        held = np.empty((2, min(len(ids), MINIBATCH), OUTPUTS), np.float32)
         for lo in range(0, len(ids), MINIBATCH):
             s = slice(lo, lo + MINIBATCH)
-            z = self.logits(rows[:, s])
-            top = z.max(axis=1, keepdims=True)
-            out[s] = z[np.arange(len(z)), classes[s]] - top[:, 0] - np.log(np.exp(z - top).sum(axis=1))
+            z = self.logits(rows[:, s], held)
+            z -= z.max(axis=1, keepdims=True)
+            own = z[np.arange(len(z)), classes[s]]
+            np.exp(z, out=z)
+            out[s] = own - np.log(z.sum(axis=1))
         use = word < known
         c, w = context[use], word[use]
         out[use] += self.own[w] + self.pairs[self.slots(c, w)] - self.norms[c, classes[use]]
@@ -319,7 +329,7 @@ def train(texts: DataFrame, vocabulary: Vocabulary) -> Model:
     model. Of the classes' table it updates a copy with its rows; a row of weights is averaged by how often each learner met
     it. Of the words' table the learners' gradients are summed, observed and expected counts of each slot, for one step."""
     spark, words = texts.sparkSession, vocabulary.words
-    learners = int(min(LEARNERS, max(8, vocabulary.total // TOKENS_A_LEARNER)))
+    learners = int(min(LEARNERS, max(6, vocabulary.total // TOKENS_A_LEARNER)))
     classes = learn_classes(texts.coalesce(learners), vocabulary, learners)
     counts = vocabulary.counts[:words]
     mass = np.bincount(classes, counts, OUTPUTS)
