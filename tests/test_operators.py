@@ -1,3 +1,4 @@
+import datetime as dt
 import itertools
 import math
 import random
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions import columns as C
+from tidewire.functions import text as T
 from tidewire.operators import graph, identity, learning, paths, relational, rf, spam
 from tidewire.sources import domain, sinks, wire
 
@@ -105,6 +107,76 @@ def test_decoding_with_evidence_matches_enumeration(spark):
                 assert r.confidence == pytest.approx(1 - math.exp(-r.margin / 0.12), abs=1e-4)
 
 
+def test_message_clusters_match_a_plain_loop(spark):
+    rng = random.Random(12)
+    bases = ["great offer for all stations tonight see www.deal.com/now", "calling every station of the evening round again", "short one", "another text that nobody says twice at all"]
+    rows = []
+    for k in range(90):
+        t = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 0, 1, 2, 4, 9])):
+            t[rng.randrange(len(t))] = rng.choice("abcdefgh ")
+        rows.append((k, 0, rng.choice(["Bob", "bobby", "Zed"]), rng.choice(["n", "n", "s"]), "".join(t), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.choice([0, 0, 400]) + rng.randrange(120))))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, sender string, network string, text string, time timestamp_ntz")
+
+    def grams(x):
+        return {f"  {x} "[i : i + 3] for i in range(len(x) + 1)}
+
+    def edits(x, y):
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            row, before = [i], row
+            for j, b in enumerate(y, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (a != b)))
+        return 1 - row[-1] / max(1, len(x), len(y))
+
+    norm = spark.createDataFrame(rows, df.schema).select("conv_id", T.normalised(F.col("text")).alias("t"), T.links_of(F.col("text")).alias("u")).collect()
+    text, links = {r.conv_id: r.t for r in norm}, {r.conv_id: set(r.u) for r in norm}
+
+    def alike(x, y):
+        a, b = text[x], text[y]
+        if a == b:
+            return 1.0
+        if links[x] & links[y]:
+            return max(0.85, edits(a, b))
+        if max(len(a), len(b)) < 12:
+            return edits(a, b)
+        g, h, v, w = grams(a), grams(b), set(a.split(" ")), set(b.split(" "))
+        return max(edits(a, b), 2 * len(g & h) / (len(g) + len(h)), len(v & w) / len(v | w))
+
+    sessions, part = {}, {}
+    for k, _, _, network, _, time in sorted(rows, key=lambda r: (r[5], r[0])):
+        key = (network, text[k])
+        if key not in sessions or time - sessions[key][-1][1] > dt.timedelta(minutes=30):
+            part[key] = part.get(key, 0) + 1
+            sessions[key] = []
+        sessions[key].append((k, time))
+        sessions[(*key, part[key])] = sessions[key]
+    sessions = {k: v for k, v in sessions.items() if len(k) == 3}
+    root = {k: k for k in sessions}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sender = {r[0]: {"Bob": "bob", "bobby": "bobby", "Zed": "zed"}[r[2]] for r in rows}
+    names = {("bob", "bob"), ("bobby", "bobby"), ("zed", "zed"), ("bob", "bobby"), ("bobby", "bob")}
+    for a, b in itertools.combinations(sorted(sessions), 2):
+        x, y = sessions[a], sessions[b]
+        near = max(x[0][1], y[0][1]) - min(x[-1][1], y[-1][1]) <= dt.timedelta(minutes=30)
+        if a[0] == b[0] and near:
+            s = alike(x[0][0], y[0][0])
+            if s >= 0.82 or (s >= 0.6 and (sender[x[0][0]], sender[y[0][0]]) in names):
+                root[find(a)] = find(b)
+    want = {}
+    for key, held in sessions.items():
+        want.setdefault(find(key), set()).update(k for k, _ in held)
+    got = {}
+    for r in spam.clusters(df).collect():
+        got.setdefault((r.network, r.cluster), set()).add(r.conv_id)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and max(map(len, got.values())) > 8
+
+
 def test_components_and_cut_nodes(spark):
     rng = random.Random(4)
     edges = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(45)}
@@ -250,12 +322,17 @@ def test_identity_groups_refuse_distant_members(spark):
 
 def test_clusters_and_incidents(spark):
     text = "buy the cheap thing now at the market"
-    rows = [(k, 0, f"s{k % 3}", "n", text + ("!" * (k % 4)), f"2024-01-01 00:{k:02}:00") for k in range(12)] + [(50, 0, "s", "n", text, "2024-01-01 03:00:00"), (51, 0, "s", "n", None, "2024-01-01 03:01:00")]
+    rows = [(k, 0, f"trader{k % 3}", "n", text + ("!" * (k % 4)), f"2024-01-01 00:{k:02}:00") for k in range(12)] + [(50, 0, "s", "n", text, "2024-01-01 03:00:00"), (51, 0, "s", "n", None, "2024-01-01 03:01:00")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, sender string, network string, text string, time string").withColumn("time", F.col("time").cast("timestamp_ntz"))
     c = spam.clusters(df)
     assert {r.cluster for r in c.where("conv_id < 12").collect()} == {"0:0"} and c.where("conv_id = 50").first().cluster == "50:0"
     incident = spam.incidents(c, df).collect()
-    assert [(i.messages, i.senders) for i in incident] == [(12, 3)]
+    assert [(i.messages, i.senders, i.rotates, i.burst, i.text) for i in incident] == [(12, 3, True, 11, text)]
+    assert incident[0].score == pytest.approx(0.3 * 5 / 8 + 0.2 + 0.25)
+    unlike = df.withColumn("sender", F.element_at(F.array(*map(F.lit, ["ann", "joe", "max"])), (F.col("conv_id") % 3 + 1).cast("int")))
+    assert spam.incidents(spam.clusters(unlike), unlike).collect() == []  # several unlike senders, and no link
+    tests = df.withColumn("text", F.lit("test ping"))
+    assert spam.incidents(spam.clusters(tests), tests).collect() == []
 
 
 def test_content_hash_ignores_order(spark):

@@ -2,68 +2,120 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import normalise_message
-
-JOIN_MINUTES, SIMILAR, RECENT = 30, 0.82, 64
-
-
-def similarity(a: set[str], b: set[str]) -> float:
-    """The larger of Dice and Jaccard over trigrams."""
-    both = len(a & b)
-    return max(2 * both / max(1, len(a) + len(b)), both / max(1, len(a | b)))
-
-
-def _grams(text: str) -> set[str]:
-    padded = f"  {text} "
-    return {padded[i : i + 3] for i in range(len(padded) - 2)}
+from ..functions.text import links_of, message_similarity, name_similarity, nfkc, normalised, normalised_name
+from ..functions.columns import trigrams
+from .graph import components
+from .relational import in_days
+
+#: Minutes without a message that part clusters; similarities of texts, and of texts and names together.
+JOIN_MINUTES, SIMILAR, SIMILAR_WITH_NAME, NAME_SIMILAR = 30, 0.82, 0.60, 0.70
+#: Fixed values of incidents: messages, messages in ten minutes, of a flood, least length, senders that make it chatter, a sender's share.
+LEAST, BURST, BURST_MINUTES, FLOOD, CONTENT, SENDERS, DOMINANT = 8, 3, 10, 25, 12, 4, 0.6
+#: Words that say nothing but that a link works.
+BENIGN = (
+    "test", "testing", "tested", "ack", "nack", "rx", "tx", "ping", "pong", "hello", "hi", "hey", "hiya", "gm", "gn", "morning", "evening", "afternoon",
+    "cq", "hfcond", "qsl", "73", "ok", "yes", "no", "thanks", "ty", "lol",
+)
+#: Texts of similarity SIMILAR share this part of their trigrams at least: an edit costs up to three. Texts that are only alike
+#: together with their names may share less, and are found if they share this.
+SHARED = 0.45
+
+
+def sessions(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Messages with network, text and cell, and the sessions of each text in a network: session, first, last, n, key
+    (its first message), sender and links. A session ends with JOIN_MINUTES of silence.
+
+    A text's messages are counted in cells of JOIN_MINUTES first, so the windows meet cells, not messages.
+    """
+    cell = F.floor(F.unix_micros(F.col("time").cast("timestamp")) / (JOIN_MINUTES * 60_000_000))
+    m = messages.select("network", "conv_id", "turn", "time", "sender", nfkc(F.col("text")).alias("raw"))
+    m = m.select("network", "conv_id", "turn", "time", "sender", normalised(F.coalesce("raw", F.lit(""))).alias("text"), links_of(F.coalesce("raw", F.lit(""))).alias("links"), cell.alias("cell"))
+    first = F.min(F.struct("time", "conv_id", "turn", "sender", "links"))
+    cells = m.groupBy("network", "text", "cell").agg(first.alias("head"), F.max("time").alias("last"), F.count("*").alias("n"))
+    w = Window.partitionBy("network", "text").orderBy("cell")
+    gap = F.timestamp_diff("MICROSECOND", F.lag("last").over(w), F.col("head.time")) > JOIN_MINUTES * 60_000_000
+    cells = cells.withColumn("part", F.sum(F.coalesce(gap, F.lit(True)).cast("int")).over(w))
+    name = F.md5(F.concat_ws("|", "network", "text", F.col("part").cast("string")).cast("binary"))
+    cells = cells.withColumn("session", name)
+    whole = cells.groupBy("network", "text", "session").agg(F.min("head").alias("head"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    key = F.struct("head.time", "head.conv_id", "head.turn")
+    whole = whole.select("network", "text", "session", F.col("head.time").alias("first"), "last", "n", key.alias("key"), normalised_name(F.coalesce("head.sender", F.lit(""))).alias("sender"), F.col("head.links").alias("links"))
+    return m.join(cells.select("network", "text", "cell", "session"), ["network", "text", "cell"]), whole
+
+
+def _alike(a: str, b: str) -> Column:
+    c = lambda side, x: F.col(f"{side}.{x}")
+    text = message_similarity(c(a, "text"), c(b, "text"), c(a, "links"), c(b, "links"))
+    return (text >= SIMILAR) | ((text >= SIMILAR_WITH_NAME) & (name_similarity(c(a, "sender"), c(b, "sender")) >= NAME_SIMILAR))
 
 
 def clusters(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, cluster (its first message's conv_id:turn) and size, found greedily in time order.
+    """network, conv_id, turn, cluster (its first message's conv_id:turn) and size.
 
-    A network's messages are cut where it is silent for longer than JOIN_MINUTES: no cluster outlives such a gap, so
-    the pieces are independent. Each streams in order through one task and holds only the open clusters' texts.
+    Sessions of texts that are alike, in one network and within JOIN_MINUTES of each other, are one cluster, and so is
+    all that these link. Sessions meet where they share a cell of time and a link or one of their first trigrams: of as
+    many, in the order of their hashes, that texts which are alike can't miss each other.
+    """
+    m, s = sessions(messages)
+    s = s.checkpoint()
+    cell = lambda t: F.floor(F.unix_micros(F.col(t).cast("timestamp")) / (JOIN_MINUTES * 60_000_000))
+    grams = F.array_sort(F.transform(trigrams(F.col("text")), lambda g: F.xxhash64(g)))
+    keep = F.size(grams) - F.ceil(F.size(grams) * SHARED) + 1
+    keys = F.concat(F.slice(grams, 1, keep.cast("int")), F.transform("links", lambda u: F.xxhash64(u)))
+    held = F.struct("session", "text", "links", "sender", "first", "last").alias("s")
+    spread = s.select("network", held, F.explode(F.sequence(cell("first"), cell("last") + 1)).alias("cell"), keys.alias("keys")).select("network", "cell", "s", F.explode(F.array_distinct("keys")).alias("key"))
+    near = spread.withColumnRenamed("s", "a").join(spread.withColumnRenamed("s", "b"), ["network", "cell", "key"]).where(F.col("a.session") < F.col("b.session"))
+    apart = F.timestamp_diff("MICROSECOND", F.least("a.last", "b.last"), F.greatest("a.first", "b.first"))
+    pairs = near.where(apart <= JOIN_MINUTES * 60_000_000).select("a", "b").dropDuplicates(["a", "b"])
+    links = pairs.where(_alike("a", "b")).select(F.col("a.session").alias("a"), F.col("b.session").alias("b"))
+    group = components(links).withColumnsRenamed({"node": "session", "component": "root"})
+    s = s.select("session", "key", "n").join(group, "session", "left").withColumn("root", F.coalesce("root", "session"))
+    of = s.groupBy("root").agg(F.min("key").alias("k"), F.sum("n").alias("size"))
+    named = s.join(of, "root").select("session", F.concat_ws(":", F.col("k.conv_id").cast("string"), F.col("k.turn").cast("string")).alias("cluster"), "size")
+    return m.join(named, "session").select("network", "conv_id", "turn", "cluster", "size")
+
+
+def incidents(clustered: DataFrame, messages: DataFrame, least: int = LEAST) -> DataFrame:
+    """Clusters of ``least`` messages or more that look like one actor's, with what speaks for it and a score from 0 to 1.
+
+    Left out are short and benign texts without a link, and what many unlike senders say. Senders rotate if two of their
+    names are alike.
     """
-    w = Window.partitionBy("network").orderBy("time", "conv_id", "turn")
-    gap = F.timestamp_diff("MINUTE", F.lag("time").over(w), F.col("time")) > JOIN_MINUTES
-    cut = F.sum(F.coalesce(gap, F.lit(True)).cast("int")).over(w)
-    ready = messages.select("network", "conv_id", "turn", "time", normalise_message(F.col("text")).alias("text")).withColumn("piece", cut)
-    dealt = ready.repartition("network", "piece").sortWithinPartitions("network", "piece", "time", "conv_id", "turn")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, open_ = None, []
-        for frame in frames:
-            out = []
-            for network, piece, time, conv, turn, text in zip(frame.network, frame.piece, frame.time, frame.conv_id, frame.turn, frame.text):
-                if at != (network, piece):
-                    at, open_ = (network, piece), []
-                open_ = [c for c in open_ if (time - c[2]).total_seconds() <= JOIN_MINUTES * 60]
-                grams = _grams(text or "")
-                found = next((c for c in open_ if c[3] == text), None) or next((c for c in open_[-RECENT:][::-1] if similarity(grams, c[1]) >= SIMILAR), None)
-                if found is None:
-                    found = [f"{conv}:{turn}", grams, time, text]
-                    open_.append(found)
-                found[2] = time
-                out.append((network, conv, turn, found[0]))
-            yield pd.DataFrame(out, columns=["network", "conv_id", "turn", "cluster"])
-
-    named = dealt.mapInPandas(run, "network string, conv_id long, turn long, cluster string")
-    return named.withColumn("size", F.count("*").over(Window.partitionBy("network", "cluster")))
-
-
-def incidents(clustered: DataFrame, messages: DataFrame, least: int = 8) -> DataFrame:
-    """Clusters of ``least`` messages or more with senders, span and a score of volume, density and rotation."""
-    joined = clustered.join(messages.select("conv_id", "turn", "time", "sender"), ["conv_id", "turn"])
-    c = joined.groupBy("network", "cluster").agg(F.count("*").alias("messages"), F.count_distinct("sender").alias("senders"), F.min("time").alias("first"), F.max("time").alias("last")).where(F.col("messages") >= least)
-    minutes = F.timestamp_diff("SECOND", F.col("first"), F.col("last")) / 60.0
-    score = 0.3 * F.least(F.lit(1.0), F.col("messages") / 25.0) + 0.2 * F.least(F.lit(1.0), F.col("messages") / (minutes + 1)) + 0.25 * (F.col("senders") > 1).cast("double") + 0.2 * (F.col("messages") >= 25).cast("double")
-    return c.withColumn("score", F.round(score, 6))
+    m = messages.select("conv_id", "turn", "time", normalised_name(F.coalesce("sender", F.lit(""))).alias("sender"), normalised(F.coalesce("text", F.lit(""))).alias("text"), links_of(F.coalesce("text", F.lit(""))).alias("links"))
+    j = clustered.where(F.col("size") >= least).join(m, ["conv_id", "turn"]).checkpoint()
+    by = ["network", "cluster"]
+    day = in_days(j.select(*by, "time"), "time", BURST_MINUTES * 60_000_000)
+    w = Window.partitionBy(*by, "day").orderBy("us").rangeBetween(-BURST_MINUTES * 60_000_000, 0)
+    burst = day.withColumn("b", F.count("*").over(w)).groupBy(*by).agg(F.max("b").alias("burst"))
+    texts = j.groupBy(*by, "text").agg(F.count("*").alias("c"), F.min("time").alias("t"), F.first("links").alias("links"))
+    modal = texts.groupBy(*by).agg(F.max_by("text", F.struct("c", -F.unix_micros(F.col("t").cast("timestamp")), "text")).alias("text"))
+    urls = j.select(*by, "conv_id", "turn", F.explode(F.array_distinct("links")).alias("url")).groupBy(*by, "url").count().groupBy(*by).agg(F.max("count").alias("url_repeats"))
+    senders = j.groupBy(*by, "sender").agg(F.count("*").alias("c")).checkpoint()
+    who = senders.groupBy(*by).agg(F.count_if(F.col("sender") != "").alias("senders"), F.max("c").alias("most"))
+    gram = senders.where("sender != ''").select(*by, "sender", F.explode(trigrams(F.col("sender"))).alias("g"))
+    alike = gram.join(gram.withColumnRenamed("sender", "other"), [*by, "g"]).where("sender < other").select(*by, "sender", "other").distinct()
+    rotates = alike.where(name_similarity(F.col("sender"), F.col("other")) >= NAME_SIMILAR).select(*by, F.lit(True).alias("rotates")).distinct()
+    c = j.groupBy(*by).agg(F.count("*").alias("messages"), F.min("time").alias("first"), F.max("time").alias("last"))
+    for t in (burst, modal, urls, who, rotates):
+        c = c.join(t, by, "left")
+    c = c.fillna(0, ["url_repeats"]).fillna(False, ["rotates"])
+    words = F.filter(F.split("text", " "), lambda x: (x != "") & ~x.startswith("url:"))
+    real = F.filter(words, lambda x: (F.length(x) >= 3) & ~x.rlike("^[0-9]+$") & ~x.isin(*BENIGN))
+    link, share = F.col("url_repeats") > 0, F.col("most") / F.col("messages")
+    senders_n = F.greatest(F.lit(1), F.col("senders"))
+    chatter = (senders_n > SENDERS) & ~F.col("rotates") & (share < DOMINANT)
+    suspicious = (senders_n <= 1) | (share >= DOMINANT) | F.col("rotates")
+    benign = F.forall(words, lambda x: x.isin(*BENIGN))
+    fits = ((F.length("text") >= CONTENT) | link) & ~(benign & ~link) & ~chatter & (suspicious | link) & (F.col("burst") >= BURST)
+    testing = (F.size(real) == 0) & ~link & ~F.col("rotates")
+    score = 0.3 * F.least(F.lit(1.0), (F.col("messages") - least + 1) / 8.0) + 0.2 * F.least(F.lit(1.0), F.col("burst") / float(max(BURST * 2, 4)))
+    score = score + F.when(F.col("url_repeats") >= 2, 0.2).when(link, 0.1).otherwise(0.0) + F.when(F.col("rotates"), 0.25).when((senders_n <= 1) & (share >= 0.8), 0.1).otherwise(0.0)
+    score = score + F.when((F.col("messages") >= FLOOD) & ~testing, 0.2).otherwise(0.0)
+    score = F.least(F.lit(1.0), F.when(testing, score * 0.6).otherwise(score))
+    return c.where(fits).select(*by, "messages", "first", "last", "text", "senders", "rotates", "burst", "url_repeats", F.round(score, 6).alias("score"))
 
 
 def advert_evidence(adverts: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from ..functions.columns import csv_safe, flat_km, has_position
 from ..operators import identity, learning, paths
 from ..operators.relational import first_by, small
 from ..sources import wire
-from ..sources.domain import AS_OF, as_of, links, messages, nodes, packets, read, status_samples
+from ..sources.domain import AS_OF, as_of, campaigns, links, messages, nodes, packets, read, status_samples
 from ..sources.sinks import page_after
 from .registry import query
 from .traffic import _since, recent
@@ -281,8 +281,8 @@ def e03_identity_groups(spark, sf_dir):
 def k03_incidents(spark, sf_dir):
     from ..operators import spam
 
-    m = messages(spark, sf_dir)
-    return spam.incidents(spam.clusters(m), m, 2)
+    m = campaigns(spark, sf_dir)
+    return spam.incidents(spam.clusters(m), m)
 
 
 @query()

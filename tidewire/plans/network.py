@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import edit_ratio, flat_km, free_space_db
 from ..operators import graph, learning, paths, rf, spam
 from ..operators.relational import canonical, either_way, nearest, prefix_join, weighted_quantile, within_km
-from ..sources.domain import AS_OF, aliases, as_of, links, messages, nodes, packets, read, status_samples
+from ..sources.domain import AS_OF, aliases, as_of, campaigns, links, messages, nodes, packets, read, status_samples
 from ..sources.sinks import changes, merge_aggregate
 from .registry import query
 
@@ -222,7 +222,7 @@ def k02_message_similarity(spark, sf_dir):
 
 @query()
 def k02_message_clusters(spark, sf_dir):
-    return spam.clusters(messages(spark, sf_dir))
+    return spam.clusters(campaigns(spark, sf_dir))
 
 
 @query("""

@@ -90,6 +90,19 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.concat("role", (F.col("conv_id") % 10).cast("string")).alias("sender"), F.when(F.col("conv_id") % 3 == 0, "north").otherwise("south").alias("network"), "text", (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=minute)).alias("time"))
 
 
+def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that repeat with small changes, by senders who change their names a little, among tests and single ones."""
+    o = read(spark, sf_dir, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey") % 23
+    kind, n = c % 4, c.cast("string")
+    text = F.when(kind == 0, F.concat(F.lit("Great offer of group "), n, F.lit(" for all stations, see www.deal"), n, F.lit(".com/now?x="), k.cast("string"), F.repeat(F.lit("!"), (k % 4).cast("int"))))
+    text = text.when(kind == 1, F.concat(F.lit("Calling every station of round "), n, F.lit(" this evening "), F.element_at(F.array(*map(F.lit, ["on", "at", "ON"])), (k % 3 + 1).cast("int")), F.lit(" the hill")))
+    text = text.when(kind == 2, F.element_at(F.array(*map(F.lit, ["test", "Test 123", "ping"])), (k % 3 + 1).cast("int"))).otherwise(F.md5(k.cast("string").cast("binary")))
+    sender = F.when(kind == 0, F.concat(F.lit("Dealer"), n, F.lit("_"), (k % 3).cast("string"))).when(kind == 1, F.concat(F.lit("Op "), n)).otherwise(F.md5((k % 50).cast("string").cast("binary")))
+    time = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=(k * 7 + F.floor(k / 400) * 7200).cast("double"))
+    return o.select(k.alias("conv_id"), (k % 2).alias("turn"), sender.alias("sender"), F.when(c % 2 == 0, "north").otherwise("south").alias("network"), text.alias("text"), time.alias("time"))
+
+
 def links(packets: DataFrame, *by: str) -> DataFrame:
     """Undirected links of consecutive path hops, a < b by prefix, with counts for both directions; apart for each ``by``, of network and time."""
     hop = packets.where(F.size("path_hashes") > 1).select("network", "time", F.explode(F.arrays_zip(F.slice("path_hashes", 1, F.size("path_hashes") - 1).alias("x"), F.slice("path_hashes", 2, F.size("path_hashes") - 1).alias("y"))).alias("p"))
