@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import haversine_km
+from ..functions.text import nibbles_apart, ordinal_variants
 
 APART_KM = 3.0
 
@@ -66,3 +67,61 @@ def groups(nodes: DataFrame, most_pairs: int = 2_000_000) -> DataFrame:
     if largest > most_pairs:
         raise ValueError(f"a name's bucket has {largest} accepted pairs; one task takes up to {most_pairs}")
     return accepted.groupBy("bucket").applyInPandas(_join, "bucket string, node_id string, identity string")
+
+
+#: Words of a name that don't tell devices apart, and fixed limits of evidence.
+COMMON = ("REPEATER", "NODE")
+LEAST_ADVERTS, HANDOVER_DAYS, SAME_NAME, NEAR_NIBBLES = 3, 14, 0.6, 1
+MOST_OF_A_NAME = 3000
+
+
+def assess(nodes: DataFrame, evidence: DataFrame, heard: DataFrame, test: str = "test") -> DataFrame:
+    """a < b of one name's bucket with eight signals, their score, accepted and confidence.
+
+    nodes: node_id, name, network, role, lat, lon, advert_count. evidence: node_id, statuses, self_adverts, first, last.
+    heard: a, b and adverts, those of one heard by the other, either way. Signals: names alike, one network other than the
+    ``test`` one, roles that fit, ids a digit apart, one place, adverts heard of one another, an id taking over from another
+    within two weeks, a status. Names that differ in the last word alone are a veto on the weaker ways to be accepted. A
+    name of more than MOST_OF_A_NAME devices is refused before any pair is made, rather than cut.
+    """
+    e = nodes.join(evidence, "node_id", "left").fillna(0, ["statuses", "self_adverts"])
+    words = name_tokens(F.col("name"))
+    own = F.filter("words", lambda w: ~w.isin(*COMMON))
+    e = e.withColumn("words", words).withColumn("bucket", F.array_join(F.slice(F.when(F.size(own) > 0, own).otherwise(F.col("words")), 1, 2), "|")).where("size(words) > 0")
+    e = e.withColumn("active", F.coalesce((F.col("role") == 2) & F.col("lat").isNotNull() & (F.col("advert_count") > 0), F.lit(False)))
+    e = e.withColumn("bare", F.col("role").isNull() & F.col("lat").isNull() & (F.coalesce("advert_count", F.lit(0)) == 0))
+    largest = e.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
+    if largest > MOST_OF_A_NAME:
+        raise ValueError(f"a name has {largest} devices; pairs are made of up to {MOST_OF_A_NAME}")
+    alone = e.where("active").groupBy("bucket").agg(F.count("*").alias("actives"))
+    columns = ["node_id", "words", "network", "role", "lat", "lon", "active", "bare", "statuses", "self_adverts", "first", "last"]
+    side = lambda s: e.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in columns])
+    p = side("a").join(side("b"), "bucket").where("node_id_a < node_id_b").join(alone, "bucket", "left")
+    p = p.join(heard.select(F.col("a").alias("node_id_a"), F.col("b").alias("node_id_b"), "adverts"), ["node_id_a", "node_id_b"], "left").fillna(0, ["adverts", "actives"])
+    c = F.col
+    never = lambda x: F.coalesce(x, F.lit(False))
+    apart = F.when(c("first_a") > c("last_b"), F.timestamp_diff("SECOND", c("last_b"), c("first_a"))).when(c("first_b") > c("last_a"), F.timestamp_diff("SECOND", c("last_a"), c("first_b")))
+    like = lambda s: c(f"role_{s}").isNull() | (c(f"role_{s}") == 2)
+    p = p.withColumns({
+        "names": F.size(F.array_intersect("words_a", "words_b")) / F.size(F.array_union("words_a", "words_b")).cast("double") >= SAME_NAME,
+        "one_network": never((c("network_a") == c("network_b")) & (c("network_a") != test)), "roles": like("a") & like("b"),
+        "near_ids": nibbles_apart(c("node_id_a"), c("node_id_b")) <= NEAR_NIBBLES, "one_place": never(haversine_km(c("lat_a"), c("lon_a"), c("lat_b"), c("lon_b")) <= APART_KM),
+        "heard": c("adverts") >= LEAST_ADVERTS, "status": (c("statuses_a") > 0) | (c("statuses_b") > 0),
+        "handover": never((c("self_adverts_a") >= LEAST_ADVERTS) & (c("self_adverts_b") >= LEAST_ADVERTS) & (apart <= HANDOVER_DAYS * 86400)),
+    })
+    signals = ("names", "one_network", "roles", "near_ids", "one_place", "heard", "handover", "status")
+    score = sum((c(s).cast("int") for s in signals), F.lit(0))
+    same, some, bare = c("one_network") & c("roles") & c("names"), c("active_a") | c("active_b"), c("bare_a") | c("bare_b")
+    no_veto = ~ordinal_variants(c("words_a"), c("words_b"))
+    high = same & ((c("near_ids") & c("one_place")) | (c("heard") & no_veto & bare & c("status") & some) | (c("handover") & no_veto & c("status") & some))
+    medium = same & no_veto & bare & some & c("status") & (c("actives") == 1)
+    confidence = F.when(high, "high").when(medium, "medium").otherwise("low")
+    return p.select(c("node_id_a").alias("a"), c("node_id_b").alias("b"), *signals, score.alias("score"), (high | medium).alias("accepted"), confidence.alias("confidence"))
+
+
+def choose_canonical(members: DataFrame, group: str = "identity") -> DataFrame:
+    """The node that stands for each group: an active repeater with a position first, then most adverts, then the latest
+    sign, then the least id."""
+    active = F.coalesce((F.col("role") == 2) & F.col("lat").isNotNull() & (F.col("advert_count") > 0), F.lit(False))
+    order = F.struct((~active).alias("x"), (-F.coalesce("advert_count", F.lit(0))).alias("n"), (-F.coalesce(F.unix_micros(F.col("last_seen").cast("timestamp")), F.lit(0))).alias("t"), "node_id")
+    return members.groupBy(group).agg(F.min_by("node_id", order).alias("canonical_id"), F.count("*").alias("members"))
