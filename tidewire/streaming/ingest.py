@@ -21,6 +21,22 @@ def deduplicated(stream: DataFrame, delay: str = "2 minutes") -> DataFrame:
     return stream.withWatermark("time", delay).dropDuplicatesWithinWatermark(["packet_hash", "rx_node_id", "hop_count"])
 
 
+def with_privacy(stream: DataFrame, prefixes: DataFrame, size: int = 4) -> DataFrame:
+    """Adds visible: false for a packet with a private hop, or whose source is private. prefixes: network and prefix of private
+    nodes, few; they are read anew with each batch. A packet without a network fails closed."""
+    private = F.broadcast(prefixes.groupBy(F.col("network").alias("of_network")).agg(F.collect_set("prefix").alias("private")))
+    joined = stream.join(private, F.col("network") == F.col("of_network"), "left")
+    hops = F.concat(F.col("path_hashes"), F.when(F.col("src_node_id").isNotNull(), F.array(F.substring("src_node_id", 1, size))).otherwise(F.array().cast("array<string>")))
+    hidden = F.coalesce(F.arrays_overlap(hops, F.col("private")), F.lit(False))
+    return joined.withColumn("visible", F.col("network").isNotNull() & ~hidden).drop("of_network", "private")
+
+
+def latest_per_key(batch: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """The last row of each key in a batch: what is shown when many come at once."""
+    rest = [c for c in batch.columns if c not in keys]
+    return batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
+
+
 def hourly(stream: DataFrame, delay: str = "2 minutes") -> DataFrame:
     """Packets, distinct radios (approximate, as streams allow) and mergeable sums for each network and hour."""
     windowed = stream.withWatermark("time", delay).groupBy(F.window("time", "1 hour"), "network")
@@ -63,6 +79,25 @@ class MergeSink:
         new = self.summarise(batch)
         old = self.read(spark) if done else new.limit(0)
         merge_aggregate(old, new, self.keys, self.rules).write.mode("overwrite").parquet(os.path.join(self.folder, str(batch_id)))
+        for version in done[:-1]:  # the last version stays, for those who read it now
+            path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(self.folder, str(version)))
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Sinks:
+    """Several merges of one batch, which is computed once. Each leaves out what it has merged already, so a batch that
+    failed between two of them is done in full when it is tried again."""
+
+    def __init__(self, sinks: list[MergeSink]):
+        self.sinks = sinks
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            for sink in self.sinks:
+                sink(batch, batch_id)
+        finally:
+            batch.unpersist()
 
 
 def run_available(stream: DataFrame, sink: MergeSink, checkpoint: str) -> StreamingQuery:
