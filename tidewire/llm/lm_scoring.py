@@ -35,7 +35,7 @@ CONTEXTS = 1024  # rows of the last known word, which rare words share
 SIGNS = 64  # frequent words whose share in its documents describes a word
 MINIBATCH, RATE, HOLD, ROUNDS = 16384, 0.5, 3.0, 2  # HOLD keeps rows that were met once from large steps
 DAMP = 2.0  # tokens that a weight of the words' table is held back by
-TOKENS_A_LEARNER, LEARNERS = 4_000_000, 4096
+TOKENS_A_LEARNER, LEARNERS = 8_000_000, 4096
 FAN_IN = 16
 FLUSH = 1 << 18
 
@@ -279,7 +279,7 @@ class Model:
         squared gradients; and adds to ``counted`` how often each slot's pairs occur and how often the model expects them."""
         word, classes, rows, context = self.histories(ids, starts)
         known = len(self.classes)
-        held = np.empty((2, min(len(ids), MINIBATCH), OUTPUTS), np.float32)
+        held, grads = np.empty((2, min(len(ids), MINIBATCH), OUTPUTS), np.float32), np.empty((min(len(ids), MINIBATCH), OUTPUTS), np.float32)
         narrow = np.uint16 if len(self.table) <= 1 << 16 else np.int32  # sorts in a sixth of the time
         for lo in range(0, len(ids), MINIBATCH):
             s = slice(lo, lo + MINIBATCH)
@@ -292,10 +292,19 @@ class Model:
                 order = np.argsort(r.astype(narrow), kind="stable")
                 ranked = r[order]
                 first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-                g, at = np.add.reduceat(np.take(z, order, axis=0, out=held[1, : len(z)], mode="clip"), first), ranked[first]
-                square[at] += np.square(g).mean(axis=1)
-                self.table[at] -= RATE * g / np.sqrt(square[at] + HOLD)[:, None]
-                seen[at] += np.diff(np.append(first, len(ranked)))
+                sizes = np.diff(np.append(first, len(ranked)))
+                many = sizes > 1  # rows met once, which are most, are copied; the others' gradients are summed
+                once, g = first[~many], grads[: len(first)]
+                np.take(z, order[once], axis=0, out=g[: len(once)], mode="clip")
+                rest = np.take(z, order[np.repeat(many, sizes)], axis=0, out=held[1, : len(ranked) - len(once)], mode="clip")
+                if len(rest):
+                    np.add.reduceat(rest, np.append(0, np.cumsum(sizes[many])[:-1]), axis=0, out=g[len(once) :])
+                at, sizes = np.append(ranked[once], ranked[first[many]]), np.append(sizes[~many], sizes[many])
+                square[at] += np.einsum("ij,ij->i", g, g) / OUTPUTS
+                g *= (-RATE / np.sqrt(square[at] + HOLD))[:, None]
+                g += np.take(self.table, at, axis=0, out=held[1, : len(g)], mode="clip")
+                self.table[at] = g
+                seen[at] += sizes
         use = word < known
         pair, n = np.unique(context[use] * known + word[use], return_counts=True)
         c, w = pair // known, pair % known
@@ -334,7 +343,7 @@ def train(texts: DataFrame, vocabulary: Vocabulary) -> Model:
     counts = vocabulary.counts[:words]
     mass = np.bincount(classes, counts, OUTPUTS)
     mass[UNKNOWN] = vocabulary.total - counts.sum()
-    rows, slots = (1 << vocabulary.grown(1 << least, 1 << most, 2).bit_length() - 1 for least, most in (ROWS, SLOTS))
+    rows, slots = (1 << vocabulary.grown(1 << least, 1 << most, 3).bit_length() - 1 for least, most in (ROWS, SLOTS))
     prior = np.log((mass + 0.5) / (mass.sum() + 0.5 * OUTPUTS)).astype(np.float32)
     model = Model(classes, prior, np.zeros((rows, OUTPUTS), np.float32), np.log(counts + 0.5), np.zeros(slots, np.float32), np.zeros((0, 0))).normed()
     step, wide = 256, 1 << 16
