@@ -93,7 +93,14 @@ def g01_components(spark, sf_dir):
     return graph.components(links(packets(spark, sf_dir)).select("a", "b"))
 
 
-@query()
+@query("""
+    WITH e AS (SELECT a AS u, b AS v FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <> b),
+    reach AS (SELECT u AS node, u AS root FROM e UNION SELECT e.v, reach.root FROM reach JOIN e ON e.u = reach.node),
+    n AS (SELECT node, min(root) AS component FROM reach GROUP BY 1), size AS (SELECT component, count(*) AS c FROM n GROUP BY 1),
+    start AS (SELECT x.node AS x, x.component, min(y.node) AS s FROM n x JOIN n y ON x.component = y.component AND x.node <> y.node GROUP BY 1, 2),
+    walk AS (SELECT x, s AS node FROM start UNION SELECT w.x, e.v FROM walk w JOIN e ON e.u = w.node AND e.v <> w.x)
+    SELECT s.x AS node FROM start s JOIN size z ON z.component = s.component JOIN (SELECT x, count(*) AS c FROM walk GROUP BY 1) w ON w.x = s.x WHERE w.c < z.c - 1
+""")
 def g02_articulation(spark, sf_dir):
     return graph.articulation_points(links(packets(spark, sf_dir)).select("a", "b"))
 
@@ -205,9 +212,17 @@ def f01_free_space(spark, sf_dir):
     return nodes(spark).where("lat is not null").select("n", F.round(free_space_db(km), 6).alias("loss_db"))
 
 
-@query()
+@query("""
+    WITH p AS (SELECT p_partkey AS id, list_transform(range(25), lambda i: CAST(50 + (p_partkey * 7 + i * i * 13) % 97 AS DOUBLE)) AS h, CAST(100 + p_size * 10 AS DOUBLE) AS step FROM part),
+    q AS (SELECT *, 24 * step AS d, h[1] + 5.0 AS a, h[25] + 1.5 AS b, 299792458.0 / 868e6 AS wave FROM p),
+    r AS (SELECT *, list_max(list_transform(range(1, 24), lambda i: (h[i + 1] + i * step * (d - i * step) / (2 * 6371000.0 * 4 / 3) - (a + (b - a) * (i * step) / d)) * sqrt(2 * d / (wave * (i * step) * (d - i * step))))) AS v,
+        list_aggregate(list_transform(range(1, 25), lambda i: abs(h[i + 1] - h[i])), 'quantile_cont', 0.75) AS p75 FROM q),
+    l AS (SELECT *, 20 * log10(4 * pi() * d / wave) + CASE WHEN v > -0.78 THEN greatest(0, 6.9 + 20 * log10(sqrt(pow(v - 0.1, 2) + 1) + v - 0.1)) ELSE 0 END + least(6, 0.08 * ln(1 + p75)) AS loss FROM r)
+    SELECT id, d / 1000 AS km, round(v, 6) AS v, round(loss, 6) AS loss_db, loss < 140 AND v <= 1.12 AS viable FROM l
+""", domain=False)
 def f02_path_profiles(spark, sf_dir):
-    return rf.path_losses(rf.synthetic_profiles(read(spark, sf_dir, "part")))
+    found = rf.path_losses(rf.synthetic_profiles(read(spark, sf_dir, "part")))
+    return found.withColumn("loss_db", F.round("loss_db", 6))
 
 
 @query("""
