@@ -67,12 +67,12 @@ def sample_labelled(df: DataFrame, per_label: int, parts: int = 128, most_labels
     Only ids and labels take part in the choice. It takes up to per_label/parts ids from each of ``parts`` hash groups, so
     no label gathers in one task. Rows that share an id and a label count once, by their least text.
     """
-    h = F.xxhash64("doc_id")
+    h, parts = F.xxhash64("doc_id"), min(parts, per_label)
     keys = df.where("lang is not null and doc_id is not null").select("doc_id", "lang")
     labels = keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_labels).select("lang")
     keys = keys.distinct().join(F.broadcast(labels), "lang").withColumns({"part": F.pmod(h, F.lit(parts)), "h": h})
     order = Window.partitionBy("lang", "part").orderBy("h", "doc_id")
-    chosen = keys.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max(1, per_label // parts))
+    chosen = keys.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label // parts)
     chosen = chosen.select(F.col("doc_id").alias("id"), F.col("lang").alias("label"))
     held = df.select("doc_id", "text", "lang").join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("label")), "left_semi")
     return held.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
