@@ -40,5 +40,6 @@ def test_matches_sql(spark, base, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).collect() is not None
+def test_has_rows(spark, name):
+    """Queries beyond SQL are held against plain versions elsewhere; here they are to give rows over the test tables."""
+    assert QUERIES[name](spark, SF).count() > 0

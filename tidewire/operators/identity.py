@@ -21,6 +21,9 @@ def name_tokens(name):
 def pairs(nodes: DataFrame) -> DataFrame:
     """a < b of one bucket (first two name words) with score and confidence: words shared, network, role, distance."""
     n = nodes.withColumn("words", name_tokens(F.col("name"))).withColumn("bucket", F.array_join(F.slice("words", 1, 2), " "))
+    largest = n.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
+    if largest > MOST_OF_A_NAME:  # before any pair is made
+        raise ValueError(f"a name has {largest} devices; pairs are made of up to {MOST_OF_A_NAME}")
     cols = ["node_id", "words", "network", "role", "lat", "lon", "advert_count"]
     side = lambda s: n.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in cols])
     p = side("a").join(side("b"), "bucket").where("node_id_a < node_id_b")
@@ -59,13 +62,10 @@ def _join(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"bucket": pdf.bucket.iloc[0], "node_id": sorted(root), "identity": [find(i) for i in sorted(root)]})
 
 
-def groups(nodes: DataFrame, most_pairs: int = 2_000_000) -> DataFrame:
+def groups(nodes: DataFrame) -> DataFrame:
     """bucket, node_id and identity for nodes with an accepted pair. Pairs never leave a bucket, so buckets are joined
-    apart; one beyond ``most_pairs`` accepted pairs is refused rather than cut."""
+    apart; a name of more than MOST_OF_A_NAME devices is refused rather than cut."""
     accepted = pairs(nodes).where("confidence = 'high'")
-    largest = accepted.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
-    if largest > most_pairs:
-        raise ValueError(f"a name's bucket has {largest} accepted pairs; one task takes up to {most_pairs}")
     return accepted.groupBy("bucket").applyInPandas(_join, "bucket string, node_id string, identity string")
 
 
