@@ -402,3 +402,19 @@ def f13_distance_report(spark, sf_dir):
     p = side("a").join(side("b"), "network").where("n_a < n_b").select(km.alias("km"))
     r = p.groupBy(F.when(F.col("km") < 100, "near").when(F.col("km") < 300, "far").otherwise("very far").alias("band"))
     return r.agg(F.count("*").alias("links"), F.round(F.min("km"), 6).alias("least"), F.round(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY km)"), 6).alias("median"), F.round(F.max("km"), 6).alias("most"))
+
+
+@query("""
+    WITH m AS (SELECT conv_id, turn, lower(regexp_replace(text, '[^ -~]', '', 'g')) AS a, lower(regexp_replace(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '[^ -~]', '', 'g')) AS b FROM messages),
+    g AS (SELECT *, list_distinct(list_transform(range(1, length(a) + 2), lambda i: substr('  ' || a || ' ', i, 3))) AS ga, list_distinct(list_transform(range(1, length(b) + 2), lambda i: substr('  ' || b || ' ', i, 3))) AS gb,
+        list_distinct(string_split(a, ' ')) AS wa, list_distinct(string_split(b, ' ')) AS wb, 1 - levenshtein(a, b) / CAST(greatest(1, length(a), length(b)) AS DOUBLE) AS edits FROM m WHERE b IS NOT NULL)
+    SELECT conv_id, turn, round(CASE WHEN a = b THEN 1 WHEN length(a) = 0 OR length(b) = 0 THEN 0 WHEN greatest(length(a), length(b)) < 12 THEN edits
+        ELSE greatest(edits, 2.0 * len(list_intersect(ga, gb)) / (len(ga) + len(gb)), len(list_intersect(wa, wb)) / CAST(len(wa) + len(wb) - len(list_intersect(wa, wb)) AS DOUBLE)) END, 6) AS similarity FROM g
+""")
+def n19_message_similarity(spark, sf_dir):
+    """How alike a message and the next one are: by edits, trigrams and words."""
+    plain = lambda c: F.lower(F.regexp_replace(c, "[^ -~]", ""))
+    nxt = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    m = messages(spark, sf_dir).select("conv_id", "turn", plain(F.col("text")).alias("a"), plain(nxt).alias("b")).where("b is not null")
+    none = F.array().cast("array<string>")
+    return m.select("conv_id", "turn", F.round(text.message_similarity(F.col("a"), F.col("b"), none, none), 6).alias("similarity"))
