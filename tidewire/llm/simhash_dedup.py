@@ -92,20 +92,25 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def group_bits(bits: np.ndarray, parts: int) -> list[list[int]]:
-    """All positions in ``parts`` groups of equal size, each grown by the bit that is most correlated with it."""
-    width = bits.shape[1]
+def correlations(bits: np.ndarray) -> np.ndarray:
     x = bits - bits.mean(axis=0)
     x /= np.sqrt(np.maximum((x**2).sum(axis=0), 1e-9))
-    near = np.abs(x.T @ x)
-    taken, groups = np.zeros(width, bool), []
+    return np.abs(x.T @ x)
+
+
+def group_bits(near: np.ndarray, parts: int) -> list[list[int]]:
+    """All positions in ``parts`` groups of equal size, each grown by the bit that is most correlated with it."""
+    width = len(near)
+    taken, free, groups = np.zeros(width), near.sum(axis=1), []
     for k in range(parts):
         size = width // parts + (k < width % parts)
-        pull, group = near[:, ~taken].sum(axis=1), []
+        pull, group = free - taken, []  # a taken bit is below any other
         while len(group) < size:
-            bit = int(np.where(taken, -1.0, pull).argmax())
-            taken[bit] = True
-            pull = near[:, bit] + (pull if group else 0.0)
+            bit = int(pull.argmax())
+            taken[bit] = np.inf
+            free -= near[:, bit]
+            pull = near[:, bit] + (pull if group else -taken)
+            pull[bit] = -np.inf
             group.append(bit)
         groups.append(sorted(group))
     return groups
@@ -118,7 +123,7 @@ def pair_rate(bits: np.ndarray, group: list[int], most: int) -> np.ndarray:
     for p in 2 * share * (1 - share):
         differ = np.convolve(differ, [1 - p, p])
     floor = np.cumsum(differ)[: most + 1]
-    half = min(len(bits) // 2, 512)
+    half = min(len(bits) // 2, 256)
     if half < 2:
         return floor
     packed = np.packbits(bits[:, group].astype(bool), axis=1)
@@ -137,8 +142,9 @@ def plan(bits: np.ndarray, rows: int, limit: int = LIMIT) -> list[tuple[list[int
     limit+1 over all groups; a group with t = -1 is never probed. Dynamic programming shares limit+1 out.
     """
     best: tuple[float, list] = (float("inf"), [])
+    near = correlations(bits)
     for parts in range(2, limit + 3):
-        groups = group_bits(bits, parts)
+        groups = group_bits(near, parts)
         table: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
         for g in groups:
             rates = pair_rate(bits, g, min(limit, 2))
@@ -167,8 +173,9 @@ def plan_share(bits: np.ndarray, rows: int, least: float = LEAST, miss: float =
     """
     p, need = differing_share(least), log(1 / miss)
     best: tuple[float, list] = (float("inf"), [])
+    near = correlations(bits)
     for size in range(12, 31, 2):
-        groups = group_bits(bits, bits.shape[1] // size)
+        groups = group_bits(near, bits.shape[1] // size)
         table: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
         for g in groups:
             rates = pair_rate(bits, g, 1)
