@@ -28,7 +28,7 @@ SAMPLE = 2048  # fingerprints, for correlations and candidate counts only
 ROW_COST = 10.0  # of a shuffled key, in compared pairs
 STAR_KEYS = 12  # groups of bits whose buckets find the hubs
 HUBS = 256, 4096  # hubs that every node is compared with, and the nodes they are chosen from: the most popular ones
-BROADCAST_SETS = 1 << 24  # bytes of shingle sets that are broadcast at most; more of them meet their pairs by shuffle
+BROADCAST_SETS = 1 << 25  # bytes of shingle sets that are broadcast at most; more of them meet their pairs by shuffle
 SALT_ROWS = 2048  # of a bucket's nodes that one task compares with the bucket
 
 
