@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, byte_bpe, language_id, line_dedup, lm_scoring, mixing, mtree_search, secret_scan, simhash_dedup, url_filters
+from . import audio, byte_bpe, fill_in_middle, language_id, lexical_search, line_dedup, lm_scoring, mixing, mtree_search, secret_scan, simhash_dedup, toxicity, url_filters
 from ._common import table
 
 
@@ -57,6 +57,21 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.detect_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_lm_scoring, op2_url_filters, op3_language_id, op4_source_mixing, op5_audio_features, op6_byte_bpe, op7_line_dedup,
-        op8_secret_scan, op9_topk_search, op10_simhash_dedup, pipeline,
+        op8_secret_scan, op9_topk_search, op10_simhash_dedup, op11_toxicity, op12_fill_in_middle, op13_lexical_search, pipeline,
     )
 }
 
@@ -165,9 +180,45 @@ _MIX_SQL = f"""
     FROM n JOIN j ON n.key = j.key AND n.mix_seq // {mixing.BLOCK_ROWS} = j.job
 """
 
+_MIDDLE_SQL = """
+    WITH a AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+    b AS (SELECT *, CAST(length(t) AS BIGINT) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(x, i, 8) AS BIGINT)) AS h FROM a),
+    c AS (
+        SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS lo, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS hi,
+            CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+                WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+        FROM b
+    ),
+    d AS (SELECT *, substr(t, 1, lo) AS prefix, substr(t, lo + 1, hi - lo) AS middle, substr(t, hi + 1) AS suffix FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars, CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+            ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+        sha256(t) AS restored_sha256
+    FROM d
+"""
+
+_UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_TERMS_SQL = f"regexp_extract_all(translate(text, {_UPPER}), '{lexical_search.TERM}')"
+_SEARCH_SQL = f"""
+    WITH r AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS_SQL} AS terms FROM documents WHERE text IS NOT NULL),
+    d AS (SELECT row, doc_id, terms, CAST(len(terms) AS BIGINT) AS n FROM r WHERE len(terms) > 0),
+    s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM d),
+    p AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, n, unnest(terms) AS term FROM d) GROUP BY ALL),
+    w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, s GROUP BY term, docs),
+    q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS_SQL}) AS term FROM benchmark) GROUP BY ALL),
+    m AS (
+        SELECT item_id, row, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total)))) AS BIGINT) AS score
+        FROM q JOIN w USING (term) JOIN p USING (term) CROSS JOIN s GROUP BY ALL
+    ),
+    o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM m WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 20
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filters": _url_sql(),
     "op4_source_mixing": _MIX_SQL,
     "op7_line_dedup": _LINES_SQL,
     "op9_topk_search": _TOPK_SQL,
+    "op12_fill_in_middle": _MIDDLE_SQL,
+    "op13_lexical_search": _SEARCH_SQL,
 }
