@@ -41,7 +41,7 @@ _BLANK = regex.compile(r"\s")
 _SIGNS = str.maketrans(SIGNS)
 
 FEATURES = [
-    "words", *(f"{kind}_{i}" for i in range(len(BANDS)) for kind in ("count", "density")), "strongest", "evidence", "second_person", "nearest", "near",
+    "words", *(f"{kind}_{i}" for i in range(len(BANDS)) for kind in ("count", "density")), "strongest", "evidence", "odds", "all_odds", "second_person", "nearest", "near",
     "capitals", "shouted", "exclamation", "question", "punctuation", "repeated", "digits", "disguised", "stretched", "spaced",
 ]
 
@@ -176,25 +176,27 @@ def _united(keys: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Measure:
-    """The features of texts, given the lexicon: a key's evidence."""
+    """The features of texts, given the lexicon: a key's evidence and log odds."""
 
-    def __init__(self, lexicon: dict[int, float]):
+    def __init__(self, lexicon: dict[int, tuple[float, float]]):
         self.keys = np.array(sorted(lexicon), np.int64)
-        self.worth = np.array([lexicon[k] for k in self.keys.tolist()])
+        self.worth = np.array([lexicon[k] for k in self.keys.tolist()]).reshape(-1, 2)
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[self.keys.view(np.uint64) >> np.uint64(44)] = True
         self.people = np.sort(Words(" ".join(sorted(SECOND_PERSON))).keys[:, 0])
 
-    def _evidence(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """The words that the lexicon knows, by place, and the best evidence of each."""
+    def _evidence(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words that the lexicon knows, by place, the best evidence of each, and the best log odds of its likely keys."""
         row, column = np.nonzero(self.sieve[w.keys >> np.uint64(44)])
         key = w.keys[row, column].view(np.int64)
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         hit = self.keys[at] == key
-        best = np.full(len(w.starts), -np.inf)
-        np.maximum.at(best, w.place[row[hit]], self.worth[at[hit]])
+        best, odds = np.full(len(w.starts), -np.inf), np.zeros(len(w.starts))
+        place, (worth, value) = w.place[row[hit]], self.worth[at[hit]].T
+        np.maximum.at(best, place, worth)
+        np.maximum.at(odds, place, np.where(worth >= BANDS[1], value, 0))
         known = np.flatnonzero(best > -np.inf)
-        return known, best[known]
+        return known, best[known], odds[known]
 
     def _pieces(self, texts: list[str]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
         """Texts, or the slices of long ones, in joined pieces; with each, the numbers of its texts and where these end.
@@ -217,7 +219,7 @@ class Measure:
         """The FEATURES of each text."""
         kinds, total, n = _kinds(), np.zeros((len(texts), 11)), np.zeros(len(texts), np.int64)
         people, bands = np.zeros(len(texts)), np.zeros((len(texts), len(BANDS)))
-        strongest, summed = np.full(len(texts), -10.0), np.zeros(len(texts))
+        strongest, summed, odds, all_odds = np.full(len(texts), -10.0), *np.zeros((3, len(texts)))
         likely, persons = [], []
         for piece, of, ends in self._pieces(texts):
             w = Words(piece)
@@ -241,12 +243,14 @@ class Measure:
             np.add.at(people, of[text[person]], 1)
             persons.append(np.stack([of[text[person]], where[person]]))
             if len(self.keys):
-                known, worth = self._evidence(w)
+                known, worth, value = self._evidence(w)
                 i = of[text[known]]
                 for b, least in enumerate(BANDS):
                     np.add.at(bands[:, b], i[worth >= least], 1)
                 np.maximum.at(strongest, i, worth)
                 np.add.at(summed, i, np.maximum(worth - BANDS[-1], 0))
+                np.maximum.at(odds, i, value)
+                np.add.at(all_odds, i, value)
                 known, i = known[worth >= BANDS[1]], i[worth >= BANDS[1]]
                 likely.append(np.stack([i, where[known]]))
             np.add.at(n, of, own)
@@ -257,7 +261,7 @@ class Measure:
         out = [np.log1p(n)]
         for b in range(len(BANDS)):
             out += [np.log1p(bands[:, b]), 100 * bands[:, b] / words]
-        out += [strongest, np.log1p(summed), 100 * people / words, nearest, 100 * near / words, total[:, 0] / letters, 100 * total[:, 2] / words]
+        out += [strongest, np.log1p(summed), odds, np.log1p(all_odds), 100 * people / words, nearest, 100 * near / words, total[:, 0] / letters, 100 * total[:, 2] / words]
         out += [100 * total[:, j] / chars for j in range(3, 8)] + [100 * total[:, j] / words for j in range(8, 11)]
         return np.stack(out, axis=1).tolist()
 
@@ -281,7 +285,7 @@ class Toxicity:
     """A learned model: without trees, every text has the score ``share``."""
 
     share: float = 0.0
-    lexicon: dict[int, float] = field(default_factory=dict)
+    lexicon: dict[int, tuple[float, float]] = field(default_factory=dict)
     trees: object = None
     calibration: object = None
 
@@ -356,7 +360,7 @@ def evidence(toxic: np.ndarray, clean: np.ndarray, base: float, keys: int) -> np
     return np.where(toxic / n > base, gain, 0) - np.log(max(keys, 2))
 
 
-def lexicons(rows: DataFrame, entries: int) -> list[dict[int, float]]:
+def lexicons(rows: DataFrame, entries: int) -> list[dict[int, tuple[float, float]]]:
     """A lexicon without each part's texts, and at last one of all; at most ``entries`` keys, those in the most toxic texts.
 
     Keys are counted over all toxic rows first; only those that could count as evidence, were no clean text to hold them, are then
@@ -384,12 +388,14 @@ def lexicons(rows: DataFrame, entries: int) -> list[dict[int, float]]:
         use = [p for p in range(FOLDS) if p != left]
         share = max(sum(n_toxic[p] for p in use), 1) / max(sum(n_toxic[p] + n_clean[p] for p in use), 2)
         held = np.minimum(t[use].sum(axis=0), neighbourhoods(masks[use]))
-        worth = evidence(held, c[use].sum(axis=0), share, keys)
-        out.append({int(k): float(w) for k, w in zip(wanted, worth) if w >= BANDS[-1]})
+        others = c[use].sum(axis=0)
+        worth = evidence(held, others, share, keys)
+        odds = np.log((held + 0.5) / (others + 0.5)) - np.log(share / (1 - share))
+        out.append({int(k): (float(w), float(v)) for k, w, v in zip(wanted, worth, odds) if w >= BANDS[-1]})
     return out
 
 
-def with_features(df: DataFrame, lexicons: list[dict[int, float]], name: str, part: str | None = None) -> DataFrame:
+def with_features(df: DataFrame, lexicons: list[dict[int, tuple[float, float]]], name: str, part: str | None = None) -> DataFrame:
     """Adds the array of features of each text, by the lexicon of its part, or by the last."""
     shared = df.sparkSession.sparkContext.broadcast(lexicons)
 
