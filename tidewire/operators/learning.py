@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clamp
 
+#: Weights of a confirmed link and of distance, kilometres of the source's pull, of distance's decay and of ambiguity.
+LINKED, CLOSE, PULL_KM, DECAY_KM, AMBIGUITY_KM = 2.5, 1.3, 100.0, 22.0, 45.0
+#: The most frequent choices that each table keeps of a group.
+PREFIX_K, POSITION_K, CORRIDOR_K, TRANSITION_K, POSITION_TRANSITION_K, EDGE_K, MOTIF2_K, MOTIF3_K = 3, 64, 16, 5, 16, 8, 6, 4
+
 
 def hops(packets: DataFrame) -> DataFrame:
     """One row for each hop, positions from 1."""
@@ -59,24 +68,92 @@ def content_hash(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"), *parts).select(F.sha2(F.concat_ws(",", "n", *[f"s{k}" for k in range(4)]), 256).alias("digest"))
 
 
-def routes(packets: DataFrame, nodes: DataFrame, size: int = 4) -> DataFrame:
-    """observation_id, region, time, src, rx, path and ids of packets with a known receiver and a path.
+def _flat_km(lat: np.ndarray, lon: np.ndarray, lat0: float, lon0: float) -> np.ndarray:
+    return np.hypot((lat - lat0) * 111, (lon - lon0) * 111 * np.cos(np.radians((lat + lat0) / 2)))
+
 
-    The receiver's own last hop is left out. ids has the one repeater that each hop's hash names, null where none or
-    several do. Packets share few paths, so each distinct one meets the known prefixes once.
+def backward(path: list[str], rx: tuple, src: tuple | None, candidates: dict[str, list[tuple]], linked: set[tuple[str, str]]) -> list[tuple]:
+    """prefix, node_id, unique and score of the hops that a walk back from the receiver can name.
+
+    Nodes are (node_id, lat, lon, elevation_m). At each hop the best of its hash's nodes not on the way yet follows: by a confirmed
+    link with the hop before, closeness and height, progress to the source, less a penalty where others of that hash are
+    as near; of equals the least id. A hop without a node left is passed over.
+    """
+    out, used, here = [], {rx[0]}, rx
+    for prefix in reversed(path):
+        every = candidates.get(prefix) or []
+        free = np.array([n[0] not in used for n in every], bool)
+        if not free.any():
+            continue
+        lat, lon, high = (np.array([n[k] or 0.0 for n in every], float) for k in (1, 2, 3))
+        km = _flat_km(lat, lon, here[1], here[2])
+        close = 0.65 * np.exp(-km / DECAY_KM) + 0.35 * np.clip((np.minimum(high, here[3] or 0.0) + 60) / 320, 0, 1)
+        near = np.where(km <= AMBIGUITY_KM, np.clip(1 - km / AMBIGUITY_KM, 0, 1), 0)
+        alike = np.clip(1 - np.abs(km[None, :] - km[:, None]) / AMBIGUITY_KM, 0, 1)
+        doubt = np.clip(((alike * near[None, :]).sum(axis=1) - near) * 0.12, 0, 0.24)
+        score = CLOSE * close - doubt + LINKED * np.array([(min(n[0], here[0]), max(n[0], here[0])) in linked for n in every])
+        if src is not None:
+            score = score + (_flat_km(np.array(here[1]), np.array(here[2]), src[1], src[2]) - _flat_km(lat, lon, src[1], src[2])) / PULL_KM
+        best = max(np.flatnonzero(free).tolist(), key=lambda i: (score[i], [-ord(c) for c in every[i][0]]))
+        out.append((prefix, every[best][0], len(every) == 1, float(score[best])))
+        used.add(every[best][0])
+        here = every[best]
+    return out[::-1]
+
+
+def resolved(packets: DataFrame, nodes: DataFrame, links: DataFrame, size: int = 4) -> DataFrame:
+    """observation_id, region, time, src, rx, path and hops of packets whose receiver has a known place: what each hop is.
+
+    nodes: node_id, lat, lon, elevation_m and role; repeaters and nodes without a role count. links: confirmed a and b. The
+    receiver's own last hop is left out. Packets share paths: each distinct path, source and receiver is walked once. Candidates
+    and links come by equi-joins on hashes; a task holds one path's candidates and the links among them.
     """
-    prefix = F.substring("node_id", 1, size)
-    known = nodes.where("role = 2").groupBy(prefix.alias("hash")).agg(F.min("node_id").alias("node_id"), F.count("*").alias("c")).where("c = 1").drop("c")
+    known = nodes.where("lat is not null and lon is not null and (role is null or role = 2)").select("node_id", "lat", "lon", F.col("elevation_m").cast("double").alias("elevation_m"))
+    place = F.struct("node_id", "lat", "lon", "elevation_m")
+    by_hash = known.groupBy(F.substring("node_id", 1, size).alias("hash")).agg(F.sort_array(F.collect_list(place)).alias("nodes"))
     p = packets.where(F.col("rx_node_id").isNotNull() & (F.size("path_hashes") > 0))
     own = F.col("rx_node_id").startswith(F.get("path_hashes", F.size("path_hashes") - 1))
-    p = p.select("observation_id", "region", "time", F.col("src_node_id").alias("src"), F.col("rx_node_id").alias("rx"), F.when(own, F.slice("path_hashes", 1, F.size("path_hashes") - 1)).otherwise(F.col("path_hashes")).alias("path"))
-    hops = p.select("path").distinct().select("path", F.posexplode("path").alias("pos", "hash")).join(known, "hash", "left")
-    ids = hops.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", "node_id"))).alias("h"))
-    return p.join(ids, "path").withColumn("ids", F.transform("h", lambda x: x["node_id"])).drop("h")
+    path = F.when(own, F.slice("path_hashes", 1, F.size("path_hashes") - 1)).otherwise(F.col("path_hashes"))
+    p = p.select("observation_id", "region", "time", F.col("src_node_id").alias("src"), F.col("rx_node_id").alias("rx"), path.alias("path")).where("size(path) > 0")
+    rx = known.select(F.col("node_id").alias("rx"), place.alias("rx_at"))
+    ways = p.select("path", "src", "rx").distinct().join(rx, "rx").join(known.select(F.col("node_id").alias("src"), place.alias("src_at")), "src", "left")
+    hop = ways.select("path").distinct().select("path", F.explode(F.array_distinct("path")).alias("hash")).join(by_hash, "hash")
+    trellis = hop.groupBy("path").agg(F.collect_list(F.struct("hash", "nodes")).alias("candidates"))
+    stops = F.array_distinct(F.concat("path", F.array(F.substring("rx", 1, size))))
+    pair = ways.select("path", "rx").distinct().select("path", "rx", F.explode(stops).alias("h1"), stops.alias("stops")).select("path", "rx", "h1", F.explode("stops").alias("h2")).where("h1 <= h2")
+    side = [F.substring(c, 1, size) for c in ("a", "b")]
+    of = links.select("a", "b").distinct().groupBy(F.least(*side).alias("h1"), F.greatest(*side).alias("h2")).agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+    linked = pair.join(of, ["h1", "h2"]).groupBy("path", "rx").agg(F.flatten(F.collect_list("pairs")).alias("linked"))
+    ways = ways.join(trellis, "path", "left").join(linked, ["path", "rx"], "left")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        node = lambda d: (d["node_id"], d["lat"], d["lon"], d["elevation_m"])
+        for frame in frames:
+            out = []
+            for path, src, rx, rx_at, src_at, candidates, linked in zip(*(frame[c] for c in ("path", "src", "rx", "rx_at", "src_at", "candidates", "linked"))):
+                of = {c["hash"]: [node(n) for n in c["nodes"]] for c in (candidates if candidates is not None else ())}
+                known = {(min(x["a"], x["b"]), max(x["a"], x["b"])) for x in (linked if linked is not None else ())}
+                out.append((list(path), src, rx, src_at is not None, backward(list(path), node(rx_at), None if src_at is None else node(src_at), of, known)))
+            yield pd.DataFrame(out, columns=["way", "from", "to", "placed", "hops"])
+
+    walked = ways.select("path", "src", "rx", "rx_at", "src_at", "candidates", "linked").mapInPandas(run, "way array<string>, from string, to string, placed boolean, hops array<struct<prefix:string,node_id:string,unique:boolean,score:double>>")
+    both = p.join(walked, (p.path == walked["way"]) & (p.rx == walked["to"]) & p.src.eqNullSafe(walked["from"]))
+    source = F.when(F.col("placed"), F.col("src"))  # a source without a place is none
+    return both.select("observation_id", "region", "time", source.alias("src"), "rx", "path", "hops").where("size(hops) > 0")
+
+
+def routes(found: DataFrame) -> DataFrame:
+    """Of resolved packets observation_id, region, time, src, rx, path and ids of the hops that were named, and whether that is all.
+
+    ids is null where a hop's hash fits several nodes, so that only what is sure is learned from.
+    """
+    ids = F.transform("hops", lambda h: F.when(h["unique"], h["node_id"]))
+    whole = (F.size("hops") == F.size("path")) & F.forall("hops", lambda h: h["unique"])
+    return found.select("observation_id", "region", "time", "src", "rx", F.transform("hops", lambda h: h["prefix"]).alias("path"), ids.alias("ids"), whole.alias("whole"))
 
 
 def _whole() -> Column:
-    return ~F.exists("ids", lambda x: x.isNull())
+    return F.col("whole")
 
 
 def _steps(stops: Column) -> Column:
@@ -84,14 +161,34 @@ def _steps(stops: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(stops) - 2), lambda i: F.struct(i.alias("pos"), F.get(stops, i).alias("src"), F.get(stops, i + 1).alias("dst")))
 
 
+def _stops() -> Column:
+    return F.concat(F.when(F.col("src").isNotNull(), F.array("src")).otherwise(F.array().cast("array<string>")), F.col("ids"), F.array("rx"))
+
+
+def _quarter() -> Column:
+    return F.floor(F.hour("time") / 6).cast("int")
+
+
 def verified_steps(found: DataFrame) -> DataFrame:
     """region, quarter, time, src and dst of each step between two known stops: source, hops and receiver."""
-    stops = F.concat(F.when(F.col("src").isNotNull(), F.array("src")).otherwise(F.array().cast("array<string>")), F.col("ids"), F.array("rx"))
-    steps = found.select("region", "time", F.floor(F.hour("time") / 6).cast("int").alias("quarter"), F.explode(_steps(stops)).alias("s"))
+    steps = found.select("region", "time", _quarter().alias("quarter"), F.explode(_steps(_stops())).alias("s"))
     return steps.select("region", "quarter", "time", "s.src", "s.dst").where("src is not null and dst is not null")
 
 
-def prefix_priors(found: DataFrame, k: int = 16) -> DataFrame:
+def node_motifs(found: DataFrame) -> DataFrame:
+    """The most frequent runs of two and of three known stops, of each region and quarter: of a first stop and of a first pair."""
+    made = None
+    for length, k in ((2, MOTIF2_K), (3, MOTIF3_K)):
+        runs = F.transform(F.sequence(F.lit(1), F.size("stops") - length + 1), lambda i: F.slice("stops", i, length))  # noqa: B023
+        rows = found.select("region", _quarter().alias("quarter"), _stops().alias("stops")).where(F.size("stops") >= length)
+        rows = rows.select("region", "quarter", F.explode(runs).alias("run")).where(~F.exists("run", lambda x: x.isNull()))
+        rows = rows.select("region", "quarter", F.array_join(F.slice("run", 1, length - 1), ">").alias("head"), F.array_join("run", ">").alias("motif"))
+        part = priors(rows, ["region", "quarter", "head"], ["motif"], k).select("region", "quarter", F.lit(length).alias("length"), "motif", "n", "p")
+        made = part if made is None else made.unionAll(part)
+    return made
+
+
+def prefix_priors(found: DataFrame, k: int = PREFIX_K) -> DataFrame:
     """Which node a hop's hash means after the hop before it, from hops that name one node."""
     before = lambda i: F.when(i > 0, F.get("path", i - 1)).otherwise("")
     hop = F.transform(F.sequence(F.lit(0), F.size("ids") - 1), lambda i: F.struct(F.get("path", i).alias("prefix"), before(i).alias("before"), F.get("ids", i).alias("node")))
@@ -99,22 +196,22 @@ def prefix_priors(found: DataFrame, k: int = 16) -> DataFrame:
     return priors(rows, ["region", "before", "prefix"], ["node"], k)
 
 
-def position_priors(found: DataFrame, k: int = 16) -> DataFrame:
+def position_priors(found: DataFrame, k: int = POSITION_K) -> DataFrame:
     """Which node stands at a place of a path for a first byte, from paths known in whole."""
     rows = found.where(_whole()).select(F.posexplode("ids").alias("pos", "node")).withColumn("byte", F.substring("node", 1, 2))
     return priors(rows, ["byte", "pos"], ["node"], k)
 
 
-def corridor_priors(found: DataFrame, k: int = 8) -> DataFrame:
+def corridor_priors(found: DataFrame, k: int = CORRIDOR_K) -> DataFrame:
     """Which node stands at a place between a source and a receiver, from paths known in whole."""
     return priors(found.where(_whole() & F.col("src").isNotNull()).select("src", "rx", F.posexplode("ids").alias("pos", "node")), ["src", "rx", "pos"], ["node"], k)
 
 
-def node_transitions(found: DataFrame, k: int = 8) -> DataFrame:
+def node_transitions(found: DataFrame, k: int = TRANSITION_K) -> DataFrame:
     return priors(verified_steps(found), ["region", "src"], ["dst"], k)
 
 
-def position_transitions(found: DataFrame, k: int = 8) -> DataFrame:
+def position_transitions(found: DataFrame, k: int = POSITION_TRANSITION_K) -> DataFrame:
     """Which node follows another at a place of the way from source to receiver, from paths known in whole."""
     stops = F.concat(F.array("src"), F.col("ids"), F.array("rx"))
     rows = found.where(_whole() & F.col("src").isNotNull()).select(F.explode(_steps(stops)).alias("s")).select("s.*")
@@ -125,7 +222,8 @@ def directed_edges(steps: DataFrame, links: DataFrame, now: Column) -> DataFrame
     """A score for each direction of each link in each region and quarter of the day in which its first end was active.
 
     links: a, b, a_to_b, b_to_a, loss_db and km, for each two neighbours. Of an end's steps each neighbour is expected to
-    have an equal share. The score weighs reliability, direction, recency and loss, less missing steps and signs of error.
+    have an equal share. The score weighs reliability, direction, recency and loss, less missing steps and signs of error; of each
+    end the EDGE_K best stay.
     """
     observed = steps.groupBy("region", "quarter", "src", "dst").agg(F.count("*").alias("observed"), F.max("time").alias("last"))
     active = observed.groupBy("region", "quarter", "src").agg(F.sum("observed").alias("active"))
@@ -143,4 +241,6 @@ def directed_edges(steps: DataFrame, links: DataFrame, now: Column) -> DataFrame
     when = lambda c, x: F.when(F.coalesce(c, F.lit(False)), x).otherwise(0.0)
     doubt = when((F.col("km") > 55) & (F.col("loss_db") > 150), 0.14) + when((F.col("observed") < 3) & (F.col("missing") >= 3), 0.1) + when((direction < 0.06) & (F.col("observed") >= 5), 0.06)
     score = clamp(0.42 * reliable + 0.22 * direction + 0.2 * recent + 0.16 * loss - F.col("missing") / F.col("expected") * 0.3 - clamp(doubt, 0, 0.35), 0.02, 0.995)
-    return e.select("region", "quarter", "src", "dst", "observed", "expected", "missing", F.round(score, 6).alias("score"))
+    scored = e.select("region", "quarter", "src", "dst", "observed", "expected", "missing", F.round(score, 6).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("region", "quarter", "src").orderBy(F.desc("score"), "dst"))
+    return scored.withColumn("_r", rank).where(F.col("_r") <= EDGE_K).drop("_r")

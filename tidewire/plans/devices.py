@@ -17,9 +17,9 @@ _NOW = f"TIMESTAMP '{AS_OF}'"
 _UNIQUE = "(SELECT substr(node_id, 1, 4) AS hash, min(node_id) AS node_id, min(lat) AS lat, min(lon) AS lon FROM nodes WHERE role = 2 GROUP BY 1 HAVING count(*) = 1)"
 
 
-def _unique(spark):
+def _unique(spark, sf_dir):
     """Prefixes that name one repeater."""
-    r = nodes(spark).where("role = 2")
+    r = nodes(spark, sf_dir).where("role = 2")
     return r.groupBy(F.substring("node_id", 1, 4).alias("hash")).agg(F.min("node_id").alias("node_id"), F.min("lat").alias("lat"), F.min("lon").alias("lon"), F.count("*").alias("c")).where("c = 1").drop("c")
 
 
@@ -91,7 +91,7 @@ def s14_csv_guard(spark, sf_dir):
 """)
 def q11_decode_summary(spark, sf_dir):
     p = packets(spark, sf_dir)
-    found = paths.exact_paths(p, nodes(spark))
+    found = paths.exact_paths(p, nodes(spark, sf_dir))
     return found.join(p.select("observation_id", "network", "packet_hash"), "observation_id").groupBy("network").agg(F.count("*").alias("paths"), F.max("hops").alias("longest"), F.count_distinct("packet_hash").alias("packets"))
 
 
@@ -107,7 +107,7 @@ def q20_summary(spark, sf_dir):
     within = lambda h: F.col("time") >= as_of() - F.expr(f"INTERVAL {h} HOURS")
     traffic = week.agg(F.count_distinct(F.when(within(6), F.col("rx_node_id"))).alias("active_observers"), F.count_if(within(24)).alias("packets_day"), F.max("hop_count").alias("longest"))
     shown = has_position(F.col("lat"), F.col("lon"), 5.0) & ~F.coalesce("role", F.lit(2)).isin(1, 3) & (F.col("last_seen") >= age(28))
-    known = nodes(spark).agg(F.count("*").alias("total_nodes"), F.count_if((F.col("last_seen") < age(14)) & (F.col("last_seen") >= age(28))).alias("stale"), F.count_if(shown).alias("map_nodes"))
+    known = nodes(spark, sf_dir).agg(F.count("*").alias("total_nodes"), F.count_if((F.col("last_seen") < age(14)) & (F.col("last_seen") >= age(28))).alias("stale"), F.count_if(shown).alias("map_nodes"))
     return traffic.join(F.broadcast(known))
 
 
@@ -118,11 +118,11 @@ def q20_summary(spark, sf_dir):
     SELECT 'node', n.node_id, NULL, NULL FROM nodes n WHERE n.role = 2 AND n.lat IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t WHERE t.ida = n.node_id OR t.idb = n.node_id)
 """)
 def q23_topology(spark, sf_dir):
-    u, l = _unique(spark), links(packets(spark, sf_dir)).where(F.col("last_observed") >= as_of() - F.expr("INTERVAL 30 DAYS"))
+    u, l = _unique(spark, sf_dir), links(packets(spark, sf_dir)).where(F.col("last_observed") >= as_of() - F.expr("INTERVAL 30 DAYS"))
     l = l.join(small(u.select(F.col("hash").alias("a"), F.col("node_id").alias("ida"))), "a").join(small(u.select(F.col("hash").alias("b"), F.col("node_id").alias("idb"))), "b")
     top = l.orderBy(F.desc("observed"), "a", "b").limit(20).select(F.lit("link").alias("kind"), F.col("ida").alias("id"), F.col("idb").alias("peer"), "observed")
     ends = top.select("id").union(top.select("peer")).distinct()
-    alone = nodes(spark).where("role = 2 and lat is not null").select(F.col("node_id").alias("id")).join(ends, "id", "left_anti")
+    alone = nodes(spark, sf_dir).where("role = 2 and lat is not null").select(F.col("node_id").alias("id")).join(ends, "id", "left_anti")
     return top.union(alone.select(F.lit("node"), "id", F.lit(None).cast("string"), F.lit(None).cast("long")))
 
 
@@ -135,7 +135,7 @@ def q25_rf_validation(spark, sf_dir):
 
 
 def _placed_links(spark, sf_dir):
-    u = _unique(spark).where("lat is not null")
+    u = _unique(spark, sf_dir).where("lat is not null")
     side = lambda s: small(u.select(F.col("hash").alias(s), F.col("lat").alias(f"lat_{s}"), F.col("lon").alias(f"lon_{s}")))
     l = links(packets(spark, sf_dir)).join(side("a"), "a").join(side("b"), "b")
     return l.withColumn("km", flat_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")))
@@ -163,7 +163,7 @@ def q29_recent_messages(spark, sf_dir):
 """)
 def q31_presence(spark, sf_dir):
     seen = packets(spark, sf_dir).groupBy(F.col("rx_node_id").alias("node_id")).agg(F.max("time").alias("heard"))
-    n = nodes(spark).join(seen, "node_id", "left")
+    n = nodes(spark, sf_dir).join(seen, "node_id", "left")
     return n.select("node_id", F.coalesce("heard", "last_seen").alias("seen"), F.coalesce(F.greatest("heard", "last_seen") >= as_of() - F.expr("INTERVAL 1 HOUR"), F.lit(False)).alias("online"))
 
 
@@ -174,7 +174,7 @@ def q31_presence(spark, sf_dir):
 def q32_node_links(spark, sf_dir):
     l = links(packets(spark, sf_dir))
     e = l.select(F.col("a").alias("node"), F.col("b").alias("peer"), "observed", F.col("a_to_b").alias("sent")).union(l.select("b", "a", "observed", "b_to_a"))
-    return e.join(nodes(spark).select(F.substring("node_id", 1, 4).alias("node")).distinct(), "node", "left_semi").select("node", "peer", "observed", "sent")
+    return e.join(nodes(spark, sf_dir).select(F.substring("node_id", 1, 4).alias("node")).distinct(), "node", "left_semi").select("node", "peer", "observed", "sent")
 
 
 @query(f"""
@@ -186,7 +186,7 @@ def q33_inferred_nodes(spark, sf_dir):
     n = F.size("path_hashes")
     runs = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.get("path_hashes", i).alias("before"), F.get("path_hashes", i + 1).alias("hash"), F.get("path_hashes", i + 2).alias("after")))
     m = packets(spark, sf_dir).where(n >= 3).select(F.explode(runs).alias("m")).select("m.*")
-    known = _unique(spark)
+    known = _unique(spark, sf_dir)
     placed = known.where("lat is not null")
     side = lambda s: placed.select(F.col("hash").alias(s), F.col("lat").alias(f"lat_{s}"), F.col("lon").alias(f"lon_{s}"))
     found = m.join(known.select("hash"), "hash", "left_anti").join(small(side("before")), "before").join(small(side("after")), "after")
@@ -196,7 +196,7 @@ def q33_inferred_nodes(spark, sf_dir):
 
 @query("SELECT firmware, coalesce(role, 0) AS role, count(*) AS nodes FROM nodes GROUP BY 1, 2")
 def q38_firmware(spark, sf_dir):
-    return nodes(spark).groupBy("firmware", F.coalesce("role", F.lit(0)).alias("role")).agg(F.count("*").alias("nodes"))
+    return nodes(spark, sf_dir).groupBy("firmware", F.coalesce("role", F.lit(0)).alias("role")).agg(F.count("*").alias("nodes"))
 
 
 @query(f"""
@@ -206,7 +206,7 @@ def q38_firmware(spark, sf_dir):
 """)
 def q41_last_hop(spark, sf_dir):
     p = recent(spark, sf_dir, 168).where("rx_node_id is not null").withColumn("last", F.when(F.size("path_hashes") > 0, F.element_at("path_hashes", -1)))
-    h = p.join(small(_unique(spark).select(F.col("hash").alias("last"), "node_id")), "last", "left")
+    h = p.join(small(_unique(spark, sf_dir).select(F.col("hash").alias("last"), "node_id")), "last", "left")
     kind = F.when(F.col("last").isNull(), "direct").when(F.col("node_id").isNotNull(), "resolved").otherwise("unresolved")
     return h.groupBy("rx_node_id", F.date_trunc("hour", "time").cast("timestamp_ntz").alias("hour"), kind.alias("kind")).agg(F.count("*").alias("packets"), F.round(F.avg("rssi"), 6).alias("rssi"))
 
@@ -225,7 +225,7 @@ def q42_alerts(spark, sf_dir):
 """)
 def q45_name_groups(spark, sf_dir):
     label = F.regexp_replace(F.lower("name"), " (repeater|node)$", "")
-    return nodes(spark).groupBy(label.alias("label")).agg(F.count("*").alias("members"), F.max("advert_count").alias("adverts"), F.max_by("node_id", F.struct("advert_count", -F.col("n"))).alias("best"))
+    return nodes(spark, sf_dir).groupBy(label.alias("label")).agg(F.count("*").alias("members"), F.max("advert_count").alias("adverts"), F.max_by("node_id", F.struct("advert_count", -F.col("n"))).alias("best"))
 
 
 @query("""
@@ -240,12 +240,12 @@ def q53_calibration_pairs(spark, sf_dir):
 @query(f"SELECT u.node_id, max(h.time) AS last_evidence, count(DISTINCT h.observation_id) AS observations FROM hops h JOIN {_UNIQUE} u ON h.hash = u.hash GROUP BY 1")
 def q54_path_evidence(spark, sf_dir):
     h = packets(spark, sf_dir).select("observation_id", "time", F.explode("path_hashes").alias("hash"))
-    return h.join(small(_unique(spark).select("hash", "node_id")), "hash").groupBy("node_id").agg(F.max("time").alias("last_evidence"), F.count_distinct("observation_id").alias("observations"))
+    return h.join(small(_unique(spark, sf_dir).select("hash", "node_id")), "hash").groupBy("node_id").agg(F.max("time").alias("last_evidence"), F.count_distinct("observation_id").alias("observations"))
 
 
 @query()
 def q55_content_hash(spark, sf_dir):
-    return learning.content_hash(nodes(spark))
+    return learning.content_hash(nodes(spark, sf_dir))
 
 
 @query(f"SELECT date_trunc('day', time)::DATE AS day, count(*) AS rows, time_class FROM (SELECT time, CASE WHEN time < {_NOW} - INTERVAL 14 DAY THEN 'drop' ELSE 'keep' END AS time_class FROM packets) GROUP BY 1, 3")
@@ -258,7 +258,7 @@ def q56_retention(spark, sf_dir):
     SELECT x.node_id AS a, y.node_id AS b FROM nodes x JOIN nodes y ON substr(x.node_id, 1, 2) = substr(y.node_id, 1, 2) AND x.node_id < y.node_id
 """)
 def q57_prefix_clashes(spark, sf_dir):
-    r = nodes(spark).select("node_id", F.substring("node_id", 1, 2).alias("p"))
+    r = nodes(spark, sf_dir).select("node_id", F.substring("node_id", 1, 2).alias("p"))
     return r.select(F.col("node_id").alias("a"), "p").join(r.select(F.col("node_id").alias("b"), "p"), "p").where("a < b").select("a", "b")
 
 
@@ -274,7 +274,7 @@ def o05_error_bins(spark, sf_dir):
 
 @query()
 def e03_identity_groups(spark, sf_dir):
-    return identity.groups(nodes(spark))
+    return identity.groups(nodes(spark, sf_dir))
 
 
 @query()
@@ -289,5 +289,5 @@ def k03_incidents(spark, sf_dir):
 def v10_decode_accuracy(spark, sf_dir):
     """Exact paths decoded again from one-byte prefixes: the share of hops and of paths found."""
     p = packets(spark, sf_dir)
-    gold = paths.exact_paths(p, nodes(spark))
-    return paths.accuracy(gold, p, nodes(spark))
+    gold = paths.exact_paths(p, nodes(spark, sf_dir))
+    return paths.accuracy(gold, p, nodes(spark, sf_dir))

@@ -46,7 +46,7 @@ _PAIRS = """
         high OR medium AS accepted, CASE WHEN high THEN 'high' WHEN medium THEN 'medium' ELSE 'low' END AS confidence FROM g
 """)
 def e01_pairs(spark, sf_dir):
-    return identity.assess(nodes(spark), *_evidence(spark, sf_dir))
+    return identity.assess(nodes(spark, sf_dir), *_evidence(spark, sf_dir))
 
 
 @query("""
@@ -55,4 +55,4 @@ def e01_pairs(spark, sf_dir):
 """)
 def e04_canonical(spark, sf_dir):
     """Of the nodes of one name the one that stands for them."""
-    return identity.choose_canonical(nodes(spark).withColumn("identity", F.split_part("name", F.lit(" "), F.lit(2))))
+    return identity.choose_canonical(nodes(spark, sf_dir).withColumn("identity", F.split_part("name", F.lit(" "), F.lit(2))))

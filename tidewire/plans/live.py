@@ -96,7 +96,7 @@ def t03_stream_sinks(spark, sf_dir):
 """)
 def t06_stream_privacy(spark, sf_dir):
     """Packets of a stream with whether they may be shown, from a small table of private nodes."""
-    prefixes = nodes(spark).where("n % 9 = 0").select("network", F.substring("node_id", 1, 4).alias("prefix"))
+    prefixes = nodes(spark, sf_dir).where("n % 9 = 0").select("network", F.substring("node_id", 1, 4).alias("prefix"))
     folder = os.path.join(shared_folder(spark), f"stream-{uuid.uuid4().hex}")
     made = with_privacy(observations(_stream(spark, sf_dir)), prefixes).select("observation_id", "visible")
     made.writeStream.format("parquet").option("path", os.path.join(folder, "table")).option("checkpointLocation", os.path.join(folder, "checkpoint")).trigger(availableNow=True).start().awaitTermination()

@@ -9,7 +9,7 @@ from ..functions.columns import edit_ratio, flat_km, free_space_db
 from ..operators import graph, learning, paths, rf, spam
 from ..operators.relational import canonical, either_way, nearest, prefix_join, weighted_quantile, within_km
 from ..sources.domain import AS_OF, aliases, as_of, campaigns, links, messages, nodes, packets, read, status_samples
-from ..sources.sinks import changes, merge_aggregate
+from ..sources.sinks import changes, merge_aggregate, shared_folder
 from .registry import query
 
 _NOW = f"TIMESTAMP '{AS_OF}'"
@@ -18,7 +18,7 @@ _NOW = f"TIMESTAMP '{AS_OF}'"
 @query("SELECT p.hash, n.node_id FROM (SELECT DISTINCT hash FROM hops) p JOIN nodes n ON n.node_id LIKE p.hash || '%'")
 def j09_prefix_join(spark, sf_dir):
     hashes = packets(spark, sf_dir).select(F.explode("path_hashes").alias("hash")).distinct()
-    return prefix_join(hashes, "hash", nodes(spark).select("node_id"), "node_id").select("hash", "node_id")
+    return prefix_join(hashes, "hash", nodes(spark, sf_dir).select("node_id"), "node_id").select("hash", "node_id")
 
 
 @query("SELECT h.node, l.a, l.b, l.observed FROM (SELECT DISTINCT a AS node FROM links) h JOIN links l ON l.a = h.node OR l.b = h.node")
@@ -40,7 +40,7 @@ def j12_latest_status(spark, sf_dir):
     WHERE 2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lon - x.lon) / 2), 2)))) <= 120
 """)
 def j17_within_km(spark, sf_dir):
-    return within_km(nodes(spark), 120, "n").select("a", "b")
+    return within_km(nodes(spark, sf_dir), 120, "n").select("a", "b")
 
 
 @query("""
@@ -50,20 +50,20 @@ def j17_within_km(spark, sf_dir):
     SELECT CAST(n AS VARCHAR) AS node_id, CAST(peer AS VARCHAR) AS peer FROM r WHERE r <= 3
 """)
 def j18_nearest(spark, sf_dir):
-    n = nodes(spark).select(F.col("n").cast("string").alias("node_id"), "lat", "lon", "role")
+    n = nodes(spark, sf_dir).select(F.col("n").cast("string").alias("node_id"), "lat", "lon", "role")
     return nearest(n.drop("role"), n.where("role = 2").drop("role"), 4, 400).where("node_id != peer").withColumn("r", F.row_number().over(Window.partitionBy("node_id").orderBy("km", "peer"))).where("r <= 3").select("node_id", "peer")
 
 
 @query("SELECT p.packet_hash, p.observation_id FROM packets p WHERE p.rx_node_id NOT IN (SELECT source_id FROM aliases WHERE source_id IS NOT NULL)")
 def j07_null_aware_anti(spark, sf_dir):
     p = packets(spark, sf_dir).select("packet_hash", "observation_id", "rx_node_id")
-    return spark.sql("SELECT packet_hash, observation_id FROM {p} WHERE rx_node_id NOT IN (SELECT source_id FROM {a} WHERE source_id IS NOT NULL)", p=p, a=aliases(spark))
+    return spark.sql("SELECT packet_hash, observation_id FROM {p} WHERE rx_node_id NOT IN (SELECT source_id FROM {a} WHERE source_id IS NOT NULL)", p=p, a=aliases(spark, sf_dir))
 
 
 @query("SELECT n.n, n.network FROM nodes n WHERE EXISTS (SELECT 1 FROM packets p WHERE p.src_node_id = n.node_id AND p.network IS NOT DISTINCT FROM n.network)")
 def j05_semi_null_safe(spark, sf_dir):
     p = packets(spark, sf_dir).select("src_node_id", F.col("network").alias("net")).distinct()
-    n = nodes(spark)
+    n = nodes(spark, sf_dir)
     return n.join(p, (p.src_node_id == n.node_id) & p.net.eqNullSafe(n.network), "left_semi").select("n", "network")
 
 
@@ -72,7 +72,7 @@ def j05_semi_null_safe(spark, sf_dir):
     SELECT id, min(n) AS keeper, count(*) AS members, sum(advert_count)::BIGINT AS adverts, max(last_seen) AS last_seen, bool_or(role = 2) AS repeater FROM c GROUP BY 1
 """)
 def e04_identities(spark, sf_dir):
-    c = canonical(nodes(spark), "node_id", aliases(spark), "id")
+    c = canonical(nodes(spark, sf_dir), "node_id", aliases(spark, sf_dir), "id")
     return c.groupBy("id").agg(F.min("n").alias("keeper"), F.count("*").alias("members"), F.sum("advert_count").alias("adverts"), F.max("last_seen").alias("last_seen"), F.bool_or(F.col("role") == 2).alias("repeater"))
 
 
@@ -134,14 +134,15 @@ def q49_link_reach(spark, sf_dir):
     SELECT observation_id, CAST(n AS INTEGER) AS hops, md5(path) AS path_md5 FROM d WHERE ok AND n >= 2 AND k = n
 """)
 def v11_exact_paths(spark, sf_dir):
-    found = paths.exact_paths(packets(spark, sf_dir), nodes(spark))
+    found = paths.exact_paths(packets(spark, sf_dir), nodes(spark, sf_dir))
     return found.select("observation_id", F.col("hops").cast("int").alias("hops"), F.md5(F.col("path").cast("binary")).alias("path_md5"))
 
 
 @query()
 def v01_viterbi_paths(spark, sf_dir):
-    p, n = packets(spark, sf_dir), nodes(spark)
-    found = learning.routes(p, n).where("size(path) > 0")
+    p, n = packets(spark, sf_dir), nodes(spark, sf_dir)
+    shared_folder(spark)
+    found = learning.routes(learning.resolved(p, n.withColumn("elevation_m", F.lit(None).cast("double")), within_km(n, 30))).checkpoint()
     learned = paths.Evidence(
         learning.prefix_priors(found), learning.position_priors(found), learning.corridor_priors(found), learning.node_transitions(found), learning.position_transitions(found)
     )
@@ -209,7 +210,7 @@ def a17_weighted_quantile(spark, sf_dir):
 """)
 def f01_free_space(spark, sf_dir):
     km = flat_km(F.lit(54.0), F.lit(-4.0), F.col("lat"), F.col("lon"))
-    return nodes(spark).where("lat is not null").select("n", F.round(free_space_db(km), 6).alias("loss_db"))
+    return nodes(spark, sf_dir).where("lat is not null").select("n", F.round(free_space_db(km), 6).alias("loss_db"))
 
 
 @query("""

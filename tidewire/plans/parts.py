@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import places, text
 from ..operators.identity import name_tokens
-from ..operators.relational import nearest
+from ..operators.relational import nearest, within_km
 from ..sources import wire
 from ..sources.domain import AS_OF, aliases, as_of, messages, nodes, packets, read, status_samples
 from .registry import query
@@ -32,13 +32,13 @@ _FNV = "list_reduce([CAST(2166136261 AS BIGINT)] || list_transform(string_split(
 
 @query(f"SELECT node_id, {_FNV.format('node_id')} AS hash FROM nodes")
 def n03_fnv(spark, sf_dir):
-    return nodes(spark).select("node_id", text.fnv1a(F.col("node_id")).alias("hash"))
+    return nodes(spark, sf_dir).select("node_id", text.fnv1a(F.col("node_id")).alias("hash"))
 
 
 @query("SELECT x.n, CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN substr(x.node_id, i, 1) <> substr(y.node_id, i, 1) THEN 1 ELSE 0 END)) AS INTEGER) AS apart FROM nodes x JOIN nodes y ON y.n = x.n + 1")
 def n04_nibbles(spark, sf_dir):
-    nxt = nodes(spark).select((F.col("n") - 1).alias("n"), F.col("node_id").alias("next"))
-    return nodes(spark).join(nxt, "n").select("n", text.nibbles_apart(F.col("node_id"), F.col("next")).alias("apart"))
+    nxt = nodes(spark, sf_dir).select((F.col("n") - 1).alias("n"), F.col("node_id").alias("next"))
+    return nodes(spark, sf_dir).join(nxt, "n").select("n", text.nibbles_apart(F.col("node_id"), F.col("next")).alias("apart"))
 
 
 @query("""
@@ -47,7 +47,7 @@ def n04_nibbles(spark, sf_dir):
 """)
 def n05_name_variants(spark, sf_dir):
     """Names that differ in the last word alone: an equi-join on the words before it."""
-    w = nodes(spark).select("n", name_tokens(F.col("name")).alias("words")).withColumn("stem", F.array_join(F.slice("words", 1, F.size("words") - 1), " "))
+    w = nodes(spark, sf_dir).select("n", name_tokens(F.col("name")).alias("words")).withColumn("stem", F.array_join(F.slice("words", 1, F.size("words") - 1), " "))
     other = w.select("stem", F.col("n").alias("other"), F.col("words").alias("words_b"))
     return w.join(other, "stem").where((F.col("n") < F.col("other")) & text.ordinal_variants(F.col("words"), F.col("words_b"))).select("n", "other")
 
@@ -69,7 +69,7 @@ def n06_public_samples(spark, sf_dir):
     FROM nodes GROUP BY 1
 """)
 def n07_bounds(spark, sf_dir):
-    box = nodes(spark).groupBy("network").agg(*places.bounds("lat", "lon", 20.0))
+    box = nodes(spark, sf_dir).groupBy("network").agg(*places.bounds("lat", "lon", 20.0))
     return box.select("network", *[F.round(c, 9).alias(c) for c in ("south", "north", "west", "east")])
 
 
@@ -80,7 +80,7 @@ def n07_bounds(spark, sf_dir):
 def n08_masked(spark, sf_dir):
     """Positions for the public: to a tenth of a degree, and moved within a mile, by each node's id alone."""
     lat, lon = places.masked(F.col("lat"), F.col("lon"), F.col("node_id"))
-    return nodes(spark).select("n", F.round(places.coarse(F.col("lat")), 6).alias("coarse_lat"), F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"))
+    return nodes(spark, sf_dir).select("n", F.round(places.coarse(F.col("lat")), 6).alias("coarse_lat"), F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"))
 
 
 @query("""
@@ -89,7 +89,7 @@ def n08_masked(spark, sf_dir):
 """)
 def n09_circles(spark, sf_dir):
     ring = places.circle(F.col("lat"), F.col("lon"), 500.0, 12)
-    return nodes(spark).where("lat is not null").select("n", F.posexplode(ring).alias("k", "p")).select("n", "k", F.round(F.col("p")[0], 9).alias("x"), F.round(F.col("p")[1], 9).alias("y"))
+    return nodes(spark, sf_dir).where("lat is not null").select("n", F.posexplode(ring).alias("k", "p")).select("n", "k", F.round(F.col("p")[0], 9).alias("x"), F.round(F.col("p")[1], 9).alias("y"))
 
 
 @query("SELECT CASE WHEN snr IS NULL THEN 'unknown' WHEN snr >= 8 THEN 'strong' WHEN snr >= 2 THEN 'medium' WHEN snr >= 0 THEN 'weak' ELSE 'poor' END AS band, count(*) AS packets FROM packets GROUP BY 1")
@@ -97,21 +97,24 @@ def n10_snr_bands(spark, sf_dir):
     return packets(spark, sf_dir).groupBy(places.snr_band(F.col("snr")).alias("band")).agg(F.count("*").alias("packets"))
 
 
+def _network_pairs(n, km):
+    """n_a < n_b of one network, and km, of nodes up to ``km`` apart."""
+    of = lambda s: n.select(F.col("n").alias(f"n_{s}"), F.col("network").alias(f"network_{s}"))
+    p = within_km(n, km, "n").withColumnsRenamed({"a": "n_a", "b": "n_b"})
+    return p.join(of("a"), "n_a").join(of("b"), "n_b").where("network_a = network_b").select("n_a", "n_b", "km")
+
+
 @query("""
     WITH h AS (SELECT x.n, y.n AS other, 2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lon - x.lon) / 2), 2)))) AS km,
         CASE WHEN x.n % 4 <> 0 THEN CAST(x.n * 5 AS DOUBLE) END AS ea, CAST(y.n * 3 - 20 AS DOUBLE) AS eb, CASE WHEN x.n % 3 <> 0 THEN CAST(120 + y.n AS DOUBLE) END AS loss
         FROM nodes x JOIN nodes y ON x.lat IS NOT NULL AND y.lat IS NOT NULL AND x.network = y.network AND x.n < y.n),
     m AS (SELECT *, CASE WHEN ea IS NOT NULL THEN sqrt(2 * 6371000 / 0.75 / 1000 * greatest(0, ea + 15) / 1000) + sqrt(2 * 6371000 / 0.75 / 1000 * greatest(0, eb + 15) / 1000) - km END AS margin FROM h)
     SELECT n, other, km <= 150 AND NOT coalesce(loss > 165, false) AND NOT coalesce(margin < -25, false) AS possible, round(CASE WHEN ea IS NOT NULL THEN margin END, 6) AS margin_km,
-        round(CASE WHEN ea IS NULL THEN 0 ELSE greatest(-1, least(1, margin / 25)) END, 6) AS soft FROM m
+        round(CASE WHEN ea IS NULL THEN 0 ELSE greatest(-1, least(1, margin / 25)) END, 6) AS soft FROM m WHERE km <= 200
 """)
 def n11_hop_gate(spark, sf_dir):
-    """Which hops between nodes of a network physics allows."""
-    from ..functions.columns import haversine_km
-
-    side = lambda s: nodes(spark).where("lat is not null").select("network", *[F.col(c).alias(f"{c}_{s}") for c in ("n", "lat", "lon")])
-    p = side("a").join(side("b"), "network").where("n_a < n_b")
-    km = haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
+    """Which hops of up to 200 km between nodes of a network physics allows."""
+    p, km = _network_pairs(nodes(spark, sf_dir), 200), F.col("km")
     high = F.when(F.col("n_a") % 4 != 0, (F.col("n_a") * 5).cast("double")), (F.col("n_b") * 3 - 20).cast("double")
     gate = places.hop_gate(km, *high, F.when(F.col("n_a") % 3 != 0, (F.col("n_b") + 120).cast("double")))
     return p.select(F.col("n_a").alias("n"), F.col("n_b").alias("other"), gate.alias("g")).select("n", "other", "g.possible", F.round("g.margin_km", 6).alias("margin_km"), F.round("g.soft", 6).alias("soft"))
@@ -139,7 +142,7 @@ def n13_windows(spark, sf_dir):
 """)
 def n14_known_hops(spark, sf_dir):
     """Paths with their known hops alone, in order: the hops meet the known prefixes and gather again by position."""
-    known = nodes(spark).where("role = 2").groupBy(F.substring("node_id", 1, 4).alias("hash")).count().where("count = 1").select("hash", F.lit(True).alias("known"))
+    known = nodes(spark, sf_dir).where("role = 2").groupBy(F.substring("node_id", 1, 4).alias("hash")).count().where("count = 1").select("hash", F.lit(True).alias("known"))
     p = packets(spark, sf_dir).where("size(path_hashes) > 0")
     paths = p.select("path_hashes").distinct()  # far fewer than packets
     h = paths.select("path_hashes", F.posexplode("path_hashes").alias("pos", "hash")).join(known, "hash", "left")
@@ -186,9 +189,9 @@ def n18_json_set(spark, sf_dir):
 @query("SELECT n.n, count(*) AS ids, min(a.id) AS first FROM nodes n JOIN (SELECT canonical_id AS id, canonical_id FROM aliases UNION SELECT source_id, canonical_id FROM aliases) a ON a.canonical_id = n.node_id GROUP BY 1")
 def p04_alias_sets(spark, sf_dir):
     """A canonical node's id with the ids of all its aliases."""
-    a = aliases(spark)
+    a = aliases(spark, sf_dir)
     ids = a.select(F.col("canonical_id").alias("node_id"), F.explode(F.array("canonical_id", "source_id")).alias("id")).distinct()
-    return nodes(spark).join(ids, "node_id").groupBy("n").agg(F.count("*").alias("ids"), F.min("id").alias("first"))
+    return nodes(spark, sf_dir).join(ids, "node_id").groupBy("n").agg(F.count("*").alias("ids"), F.min("id").alias("first"))
 
 
 @query(f"""
@@ -199,7 +202,7 @@ def p14_presence(spark, sf_dir):
     """What a map shows of a node: the age of its last sign, and whether it is in the public scope."""
     seen = lambda d: F.col("last_seen") >= as_of() - F.expr(f"INTERVAL {d} DAYS")
     shown = (F.col("network") != "test") & F.col("lat").isNotNull() & (F.coalesce("role", F.lit(2)) == 2)
-    return nodes(spark).select("n", F.when(seen(1), "online").when(seen(14), "recent").otherwise("stale").alias("presence"), shown.alias("shown"))
+    return nodes(spark, sf_dir).select("n", F.when(seen(1), "online").when(seen(14), "recent").otherwise("stale").alias("presence"), shown.alias("shown"))
 
 
 @query("SELECT src_node_id, max(time) AS last FROM packets WHERE src_node_id IS NOT NULL GROUP BY 1 HAVING max(time) = max(time) FILTER (WHERE network = 'test')")
@@ -276,7 +279,7 @@ def s06_summaries(spark, sf_dir):
 def s13_map_page(spark, sf_dir):
     """A page bounded in rows and in bytes: the running sum is over the page's rows alone, never over the table."""
     row = F.to_json(F.struct("node_id", "name", "network"))
-    page = nodes(spark).select("n", row.alias("row")).orderBy("n").limit(40)
+    page = nodes(spark, sf_dir).select("n", row.alias("row")).orderBy("n").limit(40)
     return page.withColumn("bytes", F.sum(F.octet_length("row") + 1).over(Window.orderBy("n"))).where("bytes <= 4000")
 
 
@@ -368,7 +371,7 @@ def o17_rebuilt_links(spark, sf_dir):
 """)
 def f08_support_penalty(spark, sf_dir):
     """Decibels for the distance to the nearest other repeater beyond 12 km, 14 at most."""
-    n = nodes(spark).select(F.col("n").cast("string").alias("node_id"), "lat", "lon", "role")
+    n = nodes(spark, sf_dir).select(F.col("n").cast("string").alias("node_id"), "lat", "lon", "role")
     near = nearest(n.drop("role"), n.where("role = 2").drop("role"), 2, 60).where("node_id != peer").groupBy("node_id").agg(F.min("km").alias("km"))
     return near.select(F.col("node_id").cast("long").alias("n"), F.round(F.least(F.lit(14.0), F.greatest(F.lit(0.0), F.col("km") - 12) * 0.6), 6).alias("penalty_db"))
 
@@ -388,19 +391,14 @@ def f09_ground(spark, sf_dir):
 
 @query("""
     SELECT band, count(*) AS links, round(min(km), 6) AS least, round(quantile_disc(km, 0.5), 6) AS median, round(max(km), 6) AS most FROM (
-        SELECT CASE WHEN km < 100 THEN 'near' WHEN km < 300 THEN 'far' ELSE 'very far' END AS band, km FROM (
+        SELECT CASE WHEN km < 50 THEN 'near' WHEN km < 120 THEN 'far' ELSE 'very far' END AS band, km FROM (
             SELECT 2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lon - x.lon) / 2), 2)))) AS km
-            FROM nodes x JOIN nodes y ON x.n < y.n AND x.network = y.network WHERE x.lat IS NOT NULL AND y.lat IS NOT NULL)
+            FROM nodes x JOIN nodes y ON x.n < y.n AND x.network = y.network WHERE x.lat IS NOT NULL AND y.lat IS NOT NULL) WHERE km <= 200
     ) GROUP BY 1
 """)
 def f13_distance_report(spark, sf_dir):
-    """A check of results: counts and percentiles by band."""
-    from ..functions.columns import haversine_km
-
-    side = lambda s: nodes(spark).where("lat is not null").select("network", *[F.col(c).alias(f"{c}_{s}") for c in ("n", "lat", "lon")])
-    km = haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
-    p = side("a").join(side("b"), "network").where("n_a < n_b").select(km.alias("km"))
-    r = p.groupBy(F.when(F.col("km") < 100, "near").when(F.col("km") < 300, "far").otherwise("very far").alias("band"))
+    """A check of results: counts and percentiles by band, of pairs up to 200 km apart."""
+    r = _network_pairs(nodes(spark, sf_dir), 200).groupBy(F.when(F.col("km") < 50, "near").when(F.col("km") < 120, "far").otherwise("very far").alias("band"))
     return r.agg(F.count("*").alias("links"), F.round(F.min("km"), 6).alias("least"), F.round(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY km)"), 6).alias("median"), F.round(F.max("km"), 6).alias("most"))
 
 

@@ -43,7 +43,7 @@ _KM = "2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians(y.lat - x.lat) / 2), 2)
 """)
 def f10_site_links(spark, sf_dir):
     """The five peers of least free-space loss within 200 km of each site."""
-    l = either_way(within_km(nodes(spark), 200, "n").where("km > 0")).withColumn("loss", free_space_db(F.col("km")))
+    l = either_way(within_km(nodes(spark, sf_dir), 200, "n").where("km > 0")).withColumn("loss", free_space_db(F.col("km")))
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.round("loss", 6), "peer"))
     return l.withColumn("r", rank).where("r <= 5").select(F.col("node").alias("site"), "peer", F.round("km", 4).alias("km"), F.round("loss", 4).alias("loss_db"))
 
@@ -102,7 +102,7 @@ def a21_strata(spark, sf_dir):
 @query("SELECT NOT EXISTS (FROM aliases EXCEPT ALL FROM aliases) AS same, EXISTS (SELECT 1 FROM aliases) AS changed")
 def u05_alias_maps(spark, sf_dir):
     """Whether two alias maps hold the same rows: the map against itself, and against itself without its first row."""
-    a = aliases(spark)
+    a = aliases(spark, sf_dir)
     less = a.where(F.col("source_id") != a.agg(F.min("source_id")).first()[0])
     apart = lambda x, y: x.exceptAll(y).union(y.exceptAll(x)).agg((F.count("*") > 0).alias("changed"))
     return apart(a, a).select((~F.col("changed")).alias("same")).join(F.broadcast(apart(a, less)))
@@ -110,7 +110,7 @@ def u05_alias_maps(spark, sf_dir):
 
 @query("SELECT CASE WHEN n % 35 <= 28 THEN n END AS n, CASE WHEN n % 35 > 28 THEN CAST(to_json({'n': n, 'network': network}) AS VARCHAR) END AS record FROM nodes")
 def s24_archive(spark, sf_dir):
-    kept, gone = archive(nodes(spark).select("n", "network"), F.col("n") % 35 > 28)
+    kept, gone = archive(nodes(spark, sf_dir).select("n", "network"), F.col("n") % 35 > 28)
     return kept.select("n", F.lit(None).cast("string").alias("record")).union(gone.select(F.lit(None).cast("long"), "record"))
 
 
@@ -124,7 +124,7 @@ def r01_resolved_links(spark, sf_dir):
     """Direction counters of the links of exact paths."""
     ids = F.split("path", ">")
     pairs = F.explode(F.arrays_zip(F.slice(ids, 1, F.size(ids) - 1).alias("src"), F.slice(ids, 2, F.size(ids) - 1).alias("dst"))).alias("e")
-    e = paths.exact_paths(packets(spark, sf_dir), nodes(spark)).select(pairs).select("e.*")
+    e = paths.exact_paths(packets(spark, sf_dir), nodes(spark, sf_dir)).select(pairs).select("e.*")
     return e.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("observed"), F.count_if(F.col("src") < F.col("dst")).alias("a_to_b"))
 
 
@@ -132,5 +132,5 @@ def r01_resolved_links(spark, sf_dir):
 def p02_node_scope(spark, sf_dir):
     """Nodes of a network, or heard on it within the week."""
     seen = packets(spark, sf_dir).where((F.col("network") == "north") & (F.col("time") >= as_of() - F.expr("INTERVAL 7 DAYS"))).select(F.col("src_node_id").alias("node_id")).distinct()
-    n = nodes(spark).join(seen.withColumn("heard", F.lit(True)), "node_id", "left")
+    n = nodes(spark, sf_dir).join(seen.withColumn("heard", F.lit(True)), "node_id", "left")
     return n.where((F.col("network") == "north") | F.col("heard")).select("n", (F.col("network") == "north").alias("own"))

@@ -65,7 +65,7 @@ def q30_packet_details(spark, sf_dir):
     SELECT id, sample_id, battery_mv, samples FROM r WHERE r = 1
 """)
 def q34_identity_status(spark, sf_dir):
-    c = canonical(status_samples(spark, sf_dir), "node_id", aliases(spark), "id")
+    c = canonical(status_samples(spark, sf_dir), "node_id", aliases(spark, sf_dir), "id")
     latest = F.max_by(F.struct("sample_id", "battery_mv"), F.struct("time", "sample_id")).alias("s")
     return c.groupBy("id").agg(latest, F.count("*").alias("samples")).select("id", "s.sample_id", "s.battery_mv", "samples")
 
@@ -97,7 +97,7 @@ def q39_link_history(spark, sf_dir):
 """)
 def q40_owner_bundle(spark, sf_dir):
     """One pass: each packet of an owned node is a row for each kind it belongs to."""
-    owned = small(nodes(spark).select("node_id"))
+    owned = small(nodes(spark, sf_dir).select("node_id"))
     row = lambda kind, node, peer, when=F.lit(True): F.when(when, F.struct(F.lit(kind).alias("kind"), F.col(node).alias("node_id"), peer.alias("peer")))
     rows = F.array(
         row("incoming", "rx_node_id", F.col("src_node_id")), row("heard by", "src_node_id", F.col("rx_node_id")),
@@ -119,7 +119,7 @@ def q43_alert_rules(spark, sf_dir):
     kind = F.col("n") % 3
     met = F.when(kind == 0, silent).when(kind == 1, F.col("s.battery_mv") < 3600).otherwise(F.col("s.air_secs") > 2500)
     rule = F.when(kind == 0, "silent").when(kind == 1, "battery").otherwise("airtime")
-    return nodes(spark).join(s, "node_id", "left").select("n", rule.alias("rule"), F.coalesce(met, F.lit(False)).alias("triggered"))
+    return nodes(spark, sf_dir).join(s, "node_id", "left").select("n", rule.alias("rule"), F.coalesce(met, F.lit(False)).alias("triggered"))
 
 
 @query("SELECT conv_id, CAST(to_json(list({'turn': turn, 'sender': sender} ORDER BY turn, sender)) AS VARCHAR) AS history FROM messages GROUP BY 1")
@@ -143,7 +143,7 @@ def q48_latest_of_name(spark, sf_dir):
 def q50_public_motifs(spark, sf_dir):
     """The most frequent motifs of a network that name no private node."""
     m = packets(spark, sf_dir).transform(learning.motifs, 3)
-    private = nodes(spark).where("n % 9 = 0").select(F.substring("node_id", 1, 4).alias("hash"))
+    private = nodes(spark, sf_dir).where("n % 9 = 0").select(F.substring("node_id", 1, 4).alias("hash"))
     hidden = m.select("motif").distinct().select("motif", F.explode(F.split("motif", ">")).alias("hash")).join(small(private), "hash", "left_semi").select("motif").distinct()
     rank = F.row_number().over(Window.partitionBy("network").orderBy(F.desc("n"), "motif"))
     return m.join(hidden, "motif", "left_anti").withColumn("r", rank).where("r <= 20").select("network", "motif", "n")
@@ -253,7 +253,7 @@ def q60_rate_alerts(spark, sf_dir):
 """)
 def k04_origins(spark, sf_dir):
     """The weighted centre of the observers with the fewest hops, or one more."""
-    heard = small(nodes(spark).where("lat is not null").select(F.col("node_id").alias("rx_node_id"), "lat", "lon"))
+    heard = small(nodes(spark, sf_dir).where("lat is not null").select(F.col("node_id").alias("rx_node_id"), "lat", "lon"))
     o = packets(spark, sf_dir).select("pk", "hop_count", "rx_node_id").join(heard, "rx_node_id")
     near = o.withColumn("least", F.min("hop_count").over(Window.partitionBy("pk"))).where("hop_count <= least + 1")
     w = F.lit(1.0) / (F.col("hop_count") + 1)
@@ -270,7 +270,7 @@ def k04_origins(spark, sf_dir):
 def k06_region_snap(spark, sf_dir):
     """The nearest fixed centre, without a join."""
     far = F.array_min(F.array(*[F.struct(flat_km(F.col("lat"), F.col("lon"), F.lit(a), F.lit(o)).alias("km"), F.lit(r).alias("region")) for r, a, o in CENTRES]))
-    n = nodes(spark).where(has_position(F.col("lat"), F.col("lon"))).select("n", far.alias("c"))
+    n = nodes(spark, sf_dir).where(has_position(F.col("lat"), F.col("lon"))).select("n", far.alias("c"))
     return n.select("n", F.when(F.col("c.km") <= SNAP_KM, F.col("c.region")).alias("region"), F.round("c.km", 4).alias("km"))
 
 
@@ -279,7 +279,7 @@ def p08_boxes(spark, sf_dir):
     box = F.lit("elsewhere")
     for name, s, t, w, e in reversed(BOXES):
         box = F.when((F.col("lat") >= s) & (F.col("lat") < t) & (F.col("lon") >= w) & (F.col("lon") < e), name).otherwise(box)
-    return nodes(spark).select("n", box.alias("box"))
+    return nodes(spark, sf_dir).select("n", box.alias("box"))
 
 
 @query("""
@@ -360,7 +360,7 @@ def s15_geojson(spark, sf_dir):
     point = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
     about = F.struct(F.col("node_id").alias("id"), "name", "network")
     feature = F.to_json(F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), about.alias("properties")), {"ignoreNullFields": "false"})
-    return nodes(spark).where("lat is not null").select("n", feature.alias("feature"))
+    return nodes(spark, sf_dir).where("lat is not null").select("n", feature.alias("feature"))
 
 
 @query("""
@@ -371,9 +371,9 @@ def s15_geojson(spark, sf_dir):
 """)
 def s16_routes(spark, sf_dir):
     """Exact paths as GPX routes; hops without a position have no point."""
-    found = paths.exact_paths(packets(spark, sf_dir), nodes(spark)).select("observation_id", F.posexplode(F.split("path", ">")).alias("pos", "node_id"))
+    found = paths.exact_paths(packets(spark, sf_dir), nodes(spark, sf_dir)).select("observation_id", F.posexplode(F.split("path", ">")).alias("pos", "node_id"))
     tag = F.concat(F.lit('<rtept lat="'), F.col("lat").cast("string"), F.lit('" lon="'), F.col("lon").cast("string"), F.lit('"/>'))
-    points = found.join(small(nodes(spark).select("node_id", F.coalesce(tag, F.lit("")).alias("point"))), "node_id")
+    points = found.join(small(nodes(spark, sf_dir).select("node_id", F.coalesce(tag, F.lit("")).alias("point"))), "node_id")
     route = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "point"))), lambda x: x["point"]), "")
     return points.groupBy("observation_id").agg(F.concat(F.lit("<rte>"), route, F.lit("</rte>")).alias("route"))
 

@@ -45,7 +45,7 @@ def q02_packets_per_day(spark, sf_dir):
     FROM packets LEFT JOIN aliases ON source_id = upper(trim(src_node_id)) WHERE {_since(168)} GROUP BY 1
 """)
 def q03_unique_radios_per_day(spark, sf_dir):
-    known = canonical(recent(spark, sf_dir, 168).select("time", "src_node_id"), "src_node_id", aliases(spark))
+    known = canonical(recent(spark, sf_dir, 168).select("time", "src_node_id"), "src_node_id", aliases(spark, sf_dir))
     return known.groupBy(F.to_date("time").alias("day")).agg(F.count_distinct("src_node_id").alias("radios"))
 
 
@@ -238,7 +238,7 @@ def q46_ingest_freshness(spark, sf_dir):
     from ..sources.domain import nodes
 
     o = packets(spark, sf_dir).where("rx_node_id is not null").groupBy("rx_node_id").agg(F.max("time").alias("seen"))
-    o = o.join(nodes(spark).where("network = 'test'").select(F.col("node_id").alias("rx_node_id")), "rx_node_id", "left_anti")
+    o = o.join(nodes(spark, sf_dir).where("network = 'test'").select(F.col("node_id").alias("rx_node_id")), "rx_node_id", "left_anti")
     minutes = F.floor(F.timestamp_diff("MICROSECOND", F.col("seen"), as_of()) / 60e6)
     return o.agg(F.count("*").alias("observers"), F.count_if(F.col("seen") >= as_of() - F.expr("INTERVAL 6 HOURS")).alias("active"), F.max(minutes).alias("most_stale"))
 

@@ -58,11 +58,15 @@ def observations(e: DataFrame) -> DataFrame:
     )
 
 
-def nodes(spark: SparkSession) -> DataFrame:
-    n = F.col("id")
-    return spark.range(NODES).select(
-        n.alias("n"), node_id(n).alias("node_id"), F.concat(F.lit("Hill "), (n % 20).cast("string"), F.when(n % 3 == 0, " Repeater").otherwise(" Node")).alias("name"),
-        F.when(n % 13 != 0, F.lit(49.5) + (n * 37 % 120) / 10.0).alias("lat"), F.when(n % 13 != 0, F.lit(-8.5) + (n * 53 % 60) / 10.0).alias("lon"),
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node for each customer; packets name the first NODES. Three nodes share a name; a lattice of 120 places is filled closer
+    and closer."""
+    n = F.col("c_custkey")
+    block = F.floor(n / NODES).cast("long")
+    shift = block * 7 % 100 / 1000.0
+    return read(spark, sf_dir, "customer").select(
+        n.alias("n"), node_id(n).alias("node_id"), F.concat(F.lit("Hill "), (block * 20 + n % 20).cast("string"), F.when(n % 3 == 0, " Repeater").otherwise(" Node")).alias("name"),
+        F.when(n % 13 != 0, F.lit(49.5) + (n * 37 % 120) / 10.0 + shift).alias("lat"), F.when(n % 13 != 0, F.lit(-8.5) + (n * 53 % 60) / 10.0 + shift).alias("lon"),
         F.when(n % 7 == 6, None).otherwise(F.element_at(F.array(*map(F.lit, [2, 2, 1, 2, 3, 2])), (n % 7 % 6 + 1).cast("int"))).alias("role"),
         F.when(n % 11 == 0, "test").when(n % 3 == 0, "north").otherwise("south").alias("network"),
         (n * 3 % 17).alias("advert_count"), F.concat(F.lit("1."), (n % 4).cast("string")).alias("firmware"),
@@ -70,9 +74,10 @@ def nodes(spark: SparkSession) -> DataFrame:
     )
 
 
-def aliases(spark: SparkSession) -> DataFrame:
+def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each tenth node, from 5, is an alias of the node before it."""
-    return spark.range(NODES).where("id % 10 = 5").select(node_id(F.col("id")).alias("source_id"), node_id(F.col("id") - 1).alias("canonical_id"))
+    n = F.col("c_custkey")
+    return read(spark, sf_dir, "customer").where(n % 10 == 5).select(node_id(n).alias("source_id"), node_id(n - 1).alias("canonical_id"))
 
 
 def status_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,14 +140,14 @@ DUCK = f"""
         FROM events
     ),
     nodes AS (
-        SELECT n, {_id("n")} AS node_id, 'Hill ' || CAST(n % 20 AS VARCHAR) || CASE WHEN n % 3 = 0 THEN ' Repeater' ELSE ' Node' END AS name,
-            CASE WHEN n % 13 <> 0 THEN 49.5 + CAST(n * 37 % 120 AS DOUBLE) / 10 END AS lat, CASE WHEN n % 13 <> 0 THEN -8.5 + CAST(n * 53 % 60 AS DOUBLE) / 10 END AS lon,
+        SELECT n, {_id("n")} AS node_id, 'Hill ' || CAST(n // {NODES} * 20 + n % 20 AS VARCHAR) || CASE WHEN n % 3 = 0 THEN ' Repeater' ELSE ' Node' END AS name,
+            CASE WHEN n % 13 <> 0 THEN 49.5 + CAST(n * 37 % 120 AS DOUBLE) / 10 + CAST(n // {NODES} * 7 % 100 AS DOUBLE) / 1000 END AS lat, CASE WHEN n % 13 <> 0 THEN -8.5 + CAST(n * 53 % 60 AS DOUBLE) / 10 + CAST(n // {NODES} * 7 % 100 AS DOUBLE) / 1000 END AS lon,
             CASE WHEN n % 7 = 6 THEN NULL ELSE ([2, 2, 1, 2, 3, 2])[n % 7 % 6 + 1] END AS role,
             CASE WHEN n % 11 = 0 THEN 'test' WHEN n % 3 = 0 THEN 'north' ELSE 'south' END AS network, n * 3 % 17 AS advert_count, '1.' || CAST(n % 4 AS VARCHAR) AS firmware,
             TIMESTAMP '{AS_OF}' - n % 35 * INTERVAL 1 DAY AS last_seen
-        FROM (SELECT unnest(range({NODES})) AS n)
+        FROM (SELECT c_custkey AS n FROM customer)
     ),
-    aliases AS (SELECT {_id("n")} AS source_id, {_id("(n - 1)")} AS canonical_id FROM (SELECT unnest(range({NODES})) AS n) WHERE n % 10 = 5),
+    aliases AS (SELECT {_id("n")} AS source_id, {_id("(n - 1)")} AS canonical_id FROM (SELECT c_custkey AS n FROM customer) WHERE n % 10 = 5),
     status AS (
         SELECT {_id(f"(o_custkey % {NODES})")} AS node_id, CAST(o_orderdate AS TIMESTAMP) AS time, o_orderkey AS sample_id, CAST(3200 + o_orderkey % 1000 AS INTEGER) AS battery_mv,
             o_orderkey * 37 % 100000 AS uptime_secs, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderkey * 11 % 5000 END AS air_secs
