@@ -138,15 +138,48 @@ def v11_exact_paths(spark, sf_dir):
     return found.select("observation_id", F.col("hops").cast("int").alias("hops"), F.md5(F.col("path").cast("binary")).alias("path_md5"))
 
 
-@query()
-def v01_viterbi_paths(spark, sf_dir):
-    p, n = packets(spark, sf_dir), nodes(spark, sf_dir)
+def _learned(spark, sf_dir):
+    """What path learning says of all packets; nodes closer than 30 km count as viable links."""
     shared_folder(spark)
-    found = learning.routes(learning.resolved(p, n.withColumn("elevation_m", F.lit(None).cast("double")), within_km(n, 30))).checkpoint()
-    learned = paths.Evidence(
-        learning.prefix_priors(found), learning.position_priors(found), learning.corridor_priors(found), learning.node_transitions(found), learning.position_transitions(found)
+    p, n = packets(spark, sf_dir), nodes(spark, sf_dir).withColumn("elevation_m", F.lit(None).cast("double"))
+    near = within_km(n, 30)
+    found = learning.routes(learning.resolved(p, n, near)).checkpoint()
+    return paths.Evidence(
+        learning.prefix_priors(found), learning.position_priors(found), learning.corridor_priors(found), learning.node_transitions(found), learning.position_transitions(found), near
     )
-    return paths.decode(p.where("size(path_hashes) > 1"), n, learned)
+
+
+@query()
+def v01_viterbi_paths(spark, sf_dir):
+    return paths.decode(packets(spark, sf_dir).where("size(path_hashes) > 1"), nodes(spark, sf_dir), _learned(spark, sf_dir))
+
+
+_VIEWS = """
+    v AS (SELECT network, packet_hash, observation_id, rx_node_id, path_hashes[1:CASE WHEN observation_id % 4 = 3 THEN 1 ELSE len(path_hashes) END] AS path FROM packets),
+    d AS (SELECT network, packet_hash, array_to_string(path, '>') AS path, len(path) AS n, min(rx_node_id) AS by FROM v WHERE rx_node_id IS NOT NULL AND len(path) > 0 GROUP BY ALL)
+"""
+
+
+def _views(spark, sf_dir):
+    """Observations of a packet, the last of the four with its first hop alone."""
+    i = F.col("observation_id")
+    return packets(spark, sf_dir).withColumn("path_hashes", F.when(i % 4 == 3, F.slice("path_hashes", 1, 1)).otherwise(F.col("path_hashes")))
+
+
+@query(f"""
+    WITH {_VIEWS}, o AS (SELECT v.observation_id, c.path AS canonical, row_number() OVER (PARTITION BY v.observation_id ORDER BY c.n DESC, c.by, c.path) AS r
+        FROM v JOIN d c ON v.network = c.network AND v.packet_hash = c.packet_hash AND starts_with(c.path, array_to_string(v.path, '>')) WHERE v.rx_node_id IS NOT NULL AND len(v.path) > 0)
+    SELECT observation_id, canonical FROM o WHERE r = 1
+""")
+def v05_shared_groups(spark, sf_dir):
+    """The way that each observation of a packet is part of."""
+    return paths.shared_groups(_views(spark, sf_dir)).select("observation_id", F.array_join("canonical", ">").alias("canonical"))
+
+
+@query()
+def v07_shared_paths(spark, sf_dir):
+    """Every packet's ways decoded once from all observers, and what each observer saw of them."""
+    return paths.shared_decode(_views(spark, sf_dir), nodes(spark, sf_dir), _learned(spark, sf_dir))
 
 
 @query("""
