@@ -69,7 +69,8 @@ def clusters(messages: DataFrame) -> DataFrame:
     spread = s.select("network", held, F.explode(F.sequence(cell("first"), cell("last") + 1)).alias("cell"), keys.alias("keys")).select("network", "cell", "s", F.explode(F.array_distinct("keys")).alias("key"))
     near = spread.withColumnRenamed("s", "a").join(spread.withColumnRenamed("s", "b"), ["network", "cell", "key"]).where(F.col("a.session") < F.col("b.session"))
     apart = F.timestamp_diff("MICROSECOND", F.least("a.last", "b.last"), F.greatest("a.first", "b.first"))
-    pairs = near.where(apart <= JOIN_MINUTES * 60_000_000).select("a", "b").dropDuplicates(["a", "b"])
+    # written, or the comparison would move below and run for each key that a pair shares
+    pairs = near.where(apart <= JOIN_MINUTES * 60_000_000).select("a", "b").dropDuplicates(["a", "b"]).checkpoint()
     links = pairs.where(_alike("a", "b")).select(F.col("a.session").alias("a"), F.col("b.session").alias("b"))
     group = components(links).withColumnsRenamed({"node": "session", "component": "root"})
     s = s.select("session", "key", "n").join(group, "session", "left").withColumn("root", F.coalesce("root", "session"))
