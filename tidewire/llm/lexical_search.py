@@ -216,4 +216,4 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 20, index: DataFrame |
         order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
         part = part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
         found = part if found is None else found.unionAll(part)
-    return found if found is not None else spark.createDataFrame([], T.StructType([kinds["item_id"]]).add("rank", "int").add("doc_id", "long").add("score", "long"))
+    return found if found is not None else spark.createDataFrame([], T.StructType([kinds["item_id"]]).add("rank", T.IntegerType()).add("doc_id", "long").add("score", "long"))

@@ -37,7 +37,7 @@ FLUSH = 1 << 22  # keys that a task holds before it sums them up
 
 _WORD = regex.compile(r"[^\W\d_]+")
 _STRETCHED = regex.compile(r"(\p{L})\1{2,}")
-_BLANK = regex.compile(r"\s")
+_BLANK, _BEFORE_WORD = regex.compile(r"\s"), regex.compile(r"\s(?=\w\w)")
 _SIGNS = str.maketrans(SIGNS)
 
 FEATURES = [
@@ -47,10 +47,10 @@ FEATURES = [
 
 
 def slices(text: str) -> Iterator[str]:
-    """A text in pieces that end at white space."""
+    """A text in pieces that end at white space, and where possible not between letters that stand alone."""
     at = 0
     while at < len(text):
-        blank = _BLANK.search(text, at + SLICE)
+        blank = _BEFORE_WORD.search(text, at + SLICE, at + 2 * SLICE) or _BLANK.search(text, at + SLICE)
         end = blank.start() if blank else len(text)
         yield text[at:end]
         at = end
