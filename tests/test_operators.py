@@ -1,3 +1,4 @@
+from collections import Counter
 import datetime as dt
 import itertools
 import math
@@ -313,11 +314,28 @@ def test_merge_changes_and_archive(spark):
     assert [r.k for r in stay.collect()] == ["b"] and '"v":"x"' in gone.first().record
 
 
-def test_identity_groups_refuse_distant_members(spark):
-    rows = [("A1", "Hill Repeater V2", 50.0, 0.0), ("A2", "Hill Repeater", None, None), ("A3", "hill rpt", 55.0, 0.0), ("B1", "Dale Node", 50.0, 0.0)]
-    df = spark.createDataFrame([(*r, "n", 2, 1) for r in rows], "node_id string, name string, lat double, lon double, network string, role int, advert_count int")
-    got = {r.node_id: r.identity for r in identity.groups(df).collect()}
-    assert got["A1"] == got["A2"] and got["A3"] != got["A1"] and "B1" not in got
+def test_accepted_pairs_are_those_of_all_pairs_and_groups_keep_places_apart(spark):
+    rng = random.Random(7)
+    base = ["0123456789ABCDEF" * 4, "FEDCBA9876543210" * 4, "00112233445566778899AABBCCDDEEFF" * 2]
+    flip = lambda s, k: s[:k] + ("0" if s[k] != "0" else "1") + s[k + 1 :]
+    ids = {i for b in base for i in (b, flip(b, 5), flip(b, 60), flip(flip(b, 5), 60))} | {f"{k:064X}" for k in range(30)}
+    rows = []
+    for i in sorted(ids):
+        placed = rng.random() < 0.6
+        rows.append((i, rng.choice(["Hill Repeater", "Hill RPT V2", "Dale Node", "Hill 1", "Hill 2"]), rng.choice(["n", "m", "test"]), rng.choice([2, 2, None]), 50 + rng.random() * 0.06 if placed else None, 1.0 if placed else None, rng.choice([0, 3])))
+    nodes = spark.createDataFrame(rows, "node_id string, name string, network string, role int, lat double, lon double, advert_count long")
+    day = lambda k: f"2024-01-{k:02d} 00:00:00"
+    sent = [(i, rng.randint(0, 1), rng.randint(0, 5), day(k := rng.randint(1, 20)), day(k + rng.randint(0, 5))) for i in sorted(ids) if rng.random() < 0.7]
+    evidence = spark.createDataFrame(sent, "node_id string, statuses long, self_adverts long, f string, l string").selectExpr("node_id", "statuses", "self_adverts", "cast(f as timestamp_ntz) as first", "cast(l as timestamp_ntz) as last")
+    heard = spark.createDataFrame([(*sorted(rng.sample(sorted(ids), 2)), rng.randint(1, 6)) for _ in range(80)], "a string, b string, adverts long").groupBy("a", "b").agg(F.max("adverts").alias("adverts"))
+    every = identity.assess(nodes, evidence, heard).where("accepted").collect()
+    accepted = identity.accepted_pairs(nodes, evidence, heard)
+    assert Counter(map(tuple, accepted.collect())) == Counter(map(tuple, every)) and len(every) > 5
+    edges = [("A", "B", 3, "medium"), ("B", "C", 5, "high"), ("C", "D", 4, "high"), ("D", "E", 1, "high"), ("X", "Y", 2, "high"), ("Y", "Z", 2, "high")]
+    at = {"A": None, "B": 50.0, "C": None, "D": 50.01, "E": 50.05, "X": 10.0, "Y": None, "Z": 11.0}
+    places = spark.createDataFrame([(i, lat, None if lat is None else 1.0) for i, lat in at.items()], "node_id string, lat double, lon double")
+    got = {r.node_id: (r.identity, r.members) for r in identity.groups(spark.createDataFrame(edges, "a string, b string, score int, confidence string"), places).collect()}
+    assert got == {"A": ("A", 4), "B": ("A", 4), "C": ("A", 4), "D": ("A", 4), "X": ("X", 2), "Y": ("X", 2)}
 
 
 def test_clusters_and_incidents(spark):

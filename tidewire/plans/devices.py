@@ -272,11 +272,6 @@ def o05_error_bins(spark, sf_dir):
     return e.groupBy("event_type", time_bin(F.col("ts"), 10).alias("bin")).agg(F.least(F.lit(20), F.count("*")).alias("errors"))
 
 
-@query()
-def e03_identity_groups(spark, sf_dir):
-    return identity.groups(nodes(spark, sf_dir))
-
-
 @query()
 def k03_incidents(spark, sf_dir):
     from ..operators import spam

@@ -56,3 +56,36 @@ def e01_pairs(spark, sf_dir):
 def e04_canonical(spark, sf_dir):
     """Of the nodes of one name the one that stands for them."""
     return identity.choose_canonical(nodes(spark, sf_dir).withColumn("identity", F.split_part("name", F.lit(" "), F.lit(2))))
+
+
+_DEVICES = """
+    devices AS (SELECT node_id, name, network, role, lat, lon, advert_count, last_seen FROM nodes
+        UNION ALL SELECT substr(node_id, 1, 63) || CASE WHEN substr(node_id, 64) = '0' THEN '1' ELSE '0' END, name, network, 2, lat + 0.001, lon, 1, last_seen FROM nodes WHERE n % 4 = 1 AND lat IS NOT NULL
+        UNION ALL SELECT upper(md5('x' || CAST(n AS VARCHAR)) || md5('y' || CAST(n AS VARCHAR))), name, network, NULL, NULL, NULL, 0, NULL FROM nodes WHERE n % 6 = 2)
+"""
+
+
+def _devices(spark, sf_dir):
+    """Nodes, some with a second id a digit apart at their place, others with a bare second id."""
+    n = nodes(spark, sf_dir)
+    columns = ["node_id", "name", "network", "role", "lat", "lon", "advert_count", "last_seen"]
+    twin = F.concat(F.substring("node_id", 1, 63), F.when(F.substring("node_id", 64, 1) == "0", "1").otherwise("0"))
+    twins = n.where("n % 4 = 1 and lat is not null").withColumns({"node_id": twin, "role": F.lit(2), "lat": F.col("lat") + 0.001, "advert_count": F.lit(1).cast("long")})
+    other = F.upper(F.concat(F.md5(F.concat(F.lit("x"), F.col("n").cast("string")).cast("binary")), F.md5(F.concat(F.lit("y"), F.col("n").cast("string")).cast("binary"))))
+    none = {"role": F.lit(None).cast("int"), "lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double"), "advert_count": F.lit(0).cast("long"), "last_seen": F.lit(None).cast("timestamp_ntz")}
+    bare = n.where("n % 6 = 2").withColumns({"node_id": other, **none})
+    return n.select(*columns).union(twins.select(*columns)).union(bare.select(*columns))
+
+
+@query(f"""
+    WITH {_DEVICES}, {_PAIRS.replace("FROM nodes)", "FROM devices)")} SELECT a, b, high OR medium AS accepted, CASE WHEN high THEN 'high' ELSE 'medium' END AS confidence FROM g WHERE high OR medium
+""")
+def e03_accepted_pairs(spark, sf_dir):
+    """Ids that are one device, without pairing all devices of a name."""
+    return identity.accepted_pairs(_devices(spark, sf_dir), *_evidence(spark, sf_dir)).select("a", "b", "accepted", "confidence")
+
+
+@query()
+def e03_identity_groups(spark, sf_dir):
+    devices = _devices(spark, sf_dir)
+    return identity.groups(identity.accepted_pairs(devices, *_evidence(spark, sf_dir)), devices)
