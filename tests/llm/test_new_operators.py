@@ -2,13 +2,14 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.llm import fill_in_middle, lexical_search, queries, toxicity
+from tidewire.llm import fill_in_middle, lexical_search, queries, secret_scan, toxicity
 
 FORBIDDEN = ("<P>", "<S>", "<M>")
 
@@ -175,3 +176,20 @@ def test_evidence_counts_neighbourhoods(spark):
 def test_new_queries_are_registered():
     assert {"op11_toxicity", "op12_fill_in_middle", "op13_lexical_search"} <= set(queries.QUERIES)
     assert {"op12_fill_in_middle", "op13_lexical_search"} <= set(queries.ORACLE_SQL)
+
+
+@pytest.mark.parametrize("piece", ["/* x\n", "<!-- ", 'x = """ ', "x = '''\n", '\\"', 'x="\\', "a = '\\'", "\\\"\\'\\`", 'password: "\\" ', '"""\n', 'x = "y" + ', "# ", "<a> "])
+def test_unclosed_openers_take_linear_time(piece):
+    took = []
+    for size in (100_000, 1_000_000):
+        text = piece * (size // len(piece)) + '\nclient_secret = "k3Jd-92Lq.ppQ7"\n'
+        began = time.perf_counter()
+        found = [text[a:b] for a, b in secret_scan.lexed_spans(text)]
+        took.append(time.perf_counter() - began)
+        assert piece not in ("# ", "<a> ", '\\"') or found == ["k3Jd-92Lq.ppQ7"]
+    assert took[1] < 30 * max(took[0], 0.05)
+
+
+def test_quotes_open_again_in_the_next_line():
+    text = 'it\'s a "half\npassword = "k3Jd-92Lq.ppQ7" # don\'t\ntoken: str = os.environ["TOKEN_OF_SERVICE"]\n/* open\nsecret = \'Zx81qPw0Lm22tRn9\'\n'
+    assert [text[a:b] for a, b in secret_scan.lexed_spans(text)] == ["k3Jd-92Lq.ppQ7", "Zx81qPw0Lm22tRn9"]

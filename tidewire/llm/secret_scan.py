@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,25 +22,47 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # the maximal runs of 16 or more
 
 _OP = r"(?::=|=>|\+=|===?|!=|:(?!:)|=)"
-_STRING = r"""(?:\b[rbufRBUF]{1,2})?(?P<q>["'`])(?P<text>(?:\\.|(?!(?P=q))[^\\\n])*+)(?P=q)"""
-_LONG = r"""(?:\b[rbufRBUF]{1,2})?(?P<m>\"\"\"|\'\'\')(?P<body>.*?)(?P=m)"""
 _AHEAD = r"(?=[ \t]*+\]?[ \t]*+" + _OP + ")"
 #: The lexer stops at strings, elements, comments and names before an operator; the rest it skips within one match.
 _RULES = r"""
     (?:[^\w$"'`\#/<]++|(?!\b[rbufRBUF]{1,2}["'])(?![A-Za-z_$][\w$.-]*+AHEAD)[\w$.-]++["'`]?)*+
     (?:LONG|COMMENT<(?P<tag>[A-Za-z_][\w.:-]*+)(?:[ \t][^<>\n]*+)?>(?P<inside>[^<>\n]*+)</(?P=tag)[ \t]*+>|(?P<string>STRING)|(?P<name>[A-Za-z_$][\w$.-]*+)AHEAD|.|\Z)
 """
-_COMMENT = r"(?P<comment>/\*.*?\*/|<!--.*?-->|(?:(?<=\s)|(?<![\s\S]))(?:\#|//)[^\n]*+)|"
+#: What is opened, and what closes it, anywhere after or (quotes) in the line.
+_CLOSERS = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''"}
+_QUOTES = ('"', "'", "`")
 
 
-def _rules(comment: str) -> re.Pattern:
-    made = _RULES.replace("LONG", _LONG).replace("COMMENT", comment).replace("STRING", _STRING).replace("AHEAD", _AHEAD)
+def _string(off: frozenset) -> str:
+    quotes = "".join(q for q in _QUOTES if q not in off)
+    opened = f"[{quotes}]" if quotes else "(?!)."
+    return rf"(?:\b[rbufRBUF]{{1,2}})?(?P<q>{opened})(?P<text>(?:\\.|(?!(?P=q))[^\\\n])*+)(?P=q)"
+
+
+def _long(off: frozenset) -> str:
+    marks = "|".join(m for m in ('"""', "'''") if m not in off) or "(?!)."
+    return rf"(?:\b[rbufRBUF]{{1,2}})?(?P<m>{marks})(?P<body>.*?)(?P=m)"
+
+
+@cache
+def _rules(comments: bool, off: frozenset) -> re.Pattern:
+    """The lexer without what is known not to close any more."""
+    comment = ""
+    if comments:
+        spans = ([] if "/*" in off else [r"/\*.*?\*/"]) + ([] if "<!--" in off else ["<!--.*?-->"])
+        comment = "(?P<comment>" + "|".join([*spans, r"(?:(?<=\s)|(?<![\s\S]))(?:\#|//)[^\n]*+"]) + ")|"
+    made = _RULES.replace("LONG", _long(off)).replace("COMMENT", comment).replace("STRING", _string(off)).replace("AHEAD", _AHEAD)
     return re.compile(made, re.ASCII | re.DOTALL | re.VERBOSE)
 
 
-_LEXER, _INNER = _rules(_COMMENT), _rules("")
+@cache
+def _quoted(off: frozenset) -> re.Pattern:
+    return re.compile(r"[ \t]*+(?:" + _long(off) + "|" + _string(off) + ")", re.ASCII | re.DOTALL)
+
+
 _OPERATOR = re.compile(r"[ \t]*+\]?[ \t]*+(" + _OP + ")", re.ASCII)
-_QUOTED = re.compile(r"[ \t]*+(?:" + _LONG + "|" + _STRING + ")", re.ASCII | re.DOTALL)
+_OPENED = re.compile(r"[ \t]*+(?:\b[rbufRBUF]{1,2})?([\"'`])", re.ASCII)
+_IN_LINE = re.compile(r"(?:\\.|[^\\\n])*+", re.DOTALL)
 _JOINED = re.compile(r"[ \t]*+(?:[+.&][ \t]*+(?:\r?\n[ \t]*+)?|\\\r?\n[ \t]*+)?(?=(?:\b[rbufRBUF]{1,2})?[\"'`])", re.ASCII)
 _BARE = re.compile(r"[ \t]*+([A-Za-z0-9+/_.$=-]++)", re.ASCII)
 _AFTER_TYPE = re.compile(r"[ \t]*+=(?![=>])")
@@ -72,18 +95,48 @@ def literal_score(value: str) -> float:
     return min(1.5, entropy / 2.5) + min(1.0, n / 24) + (classes >= 2) * 0.5
 
 
-def _value(text: str, at: int) -> tuple[int, int, str, bool, int] | None:
+class _Open:
+    """What can still close from a place of a scope on, so that each unclosed opener isn't followed to the end again.
+
+    A comment or long string closes only up to the last closer of the scope. A quote that didn't close in its line leaves none
+    that could before the line's end: any quote of its kind there was escaped, and what follows it reads as before.
+    """
+
+    def __init__(self, text: str, start: int, until: int):
+        self.text, self.until = text, until
+        self.last = {k: text.rfind(c, start, until) - (len(k) if k in ('"""', "'''") else 0) for k, c in _CLOSERS.items()}
+        self.dead = dict.fromkeys(_QUOTES, -1)
+
+    def off(self, at: int) -> frozenset:
+        return frozenset([k for k, last in self.last.items() if at > last] + [q for q, end in self.dead.items() if at < end])
+
+    def unclosed(self, at: int) -> None:
+        """The quote at ``at`` doesn't close."""
+        self.dead[self.text[at]] = _IN_LINE.match(self.text, at + 1, self.until).end()
+
+    def quoted(self, at: int) -> re.Match | None:
+        m = _quoted(self.off(at)).match(self.text, at, self.until)
+        if not m and (q := _OPENED.match(self.text, at, self.until)) and q.start(1) >= self.dead[q[1]]:
+            if at < self.dead[q[1]]:  # left out for a line that ended before it
+                self.dead[q[1]] = -1
+                return self.quoted(at)
+            self.unclosed(q.start(1))
+        return m
+
+
+def _value(text: str, at: int, still: _Open) -> tuple[int, int, str, bool, int] | None:
     """Start, end, value, whether quoted, and where the lexer goes on, of the literal or name at ``at``; strings that are
     joined make one value."""
-    m = _QUOTED.match(text, at)
+    m = still.quoted(at)
     if m:
         k = "body" if m["m"] else "text"
-        start, end, value = m.start(k), m.end(k), m[k]
-        while (j := _JOINED.match(text, m.end())) and (m := _QUOTED.match(text, j.end())):
+        start, end, value = m.start(k), m.end(k), [m[k]]
+        while (j := _JOINED.match(text, m.end(), still.until)) and (m := still.quoted(j.end())):
             k = "body" if m["m"] else "text"
-            end, value = m.end(k), value + m[k]
+            end = m.end(k)
+            value.append(m[k])
             at = m.end()
-        return start, end, value, True, max(at, end + 1)
+        return start, end, "".join(value), True, max(at, end + 1)
     m = _BARE.match(text, at)
     return (m.start(1), m.end(1), m[1], False, m.start(1)) if m else None
 
@@ -93,23 +146,24 @@ def lex(text: str) -> list[list[tuple[str, int, int, str, bool]]]:
     text and one more for each comment and string that holds assignments of its own.
 
     Names are identifiers with dots and dashes, quoted keys and elements' tags, whole whatever their length. A called
-    function is no value. Comments and strings are lexed alone: what they assign doesn't reach the names around them.
+    function or an indexed name is no value, nor is a string that runs over the end of the comment or string it begins in. Comments and strings are lexed alone: what they assign doesn't reach the names around them.
     """
-    scopes, todo = [], [(0, len(text), _LEXER)]
+    scopes, todo = [], [(0, len(text), True)]
     while todo:
-        at, until, rules = todo.pop()
+        at, until, comments = todo.pop()
         pairs: list[tuple[str, int, int, str, bool]] = []
+        still = _Open(text, at, until)
 
         def inner(a: int, b: int) -> None:
             if b - a > _LEAST and ("=" in text[a:b] or ":" in text[a:b]) and b - a < until - start:
-                todo.append((a, b, _INNER))
+                todo.append((a, b, False))
 
         start = at
-        while at < until and (m := rules.match(text, at, until)):
-            at = max(m.end(), at + 1)
+        while at < until and (m := _rules(comments, still.off(at)).match(text, at, until)):
+            before, at = at, max(m.end(), at + 1)
             if m["tag"]:
                 pairs.append((m["tag"], m.start("inside"), m.end("inside"), m["inside"], True))
-            elif rules is _LEXER and m["comment"]:
+            elif comments and m["comment"]:
                 inner(m.start("comment") + 2, m.end("comment"))
             elif m["m"]:
                 inner(*m.span("body"))
@@ -120,17 +174,23 @@ def lex(text: str) -> list[list[tuple[str, int, int, str, bool]]]:
                     if m["string"]:
                         inner(*m.span("text"))
                     continue
-                found = _value(text, op.end())
+                found = _value(text, op.end(), still)
                 if found and op[1] == ":" and not found[3] and (typed := _AFTER_TYPE.match(text, found[1], until)):
-                    found = _value(text, typed.end())  # name: type = value
+                    found = _value(text, typed.end(), still)  # name: type = value
                 if not found or found[1] > until:
                     at = op.end()
                     continue
                 a, b, value, quoted, at = found
                 if quoted:
                     inner(a, b)
-                if a < b and (quoted or text[b : b + 1] != "("):
+                if a < b and (quoted or text[b : b + 1] not in ("(", "[")):
                     pairs.append((name, a, b, value, quoted))
+            elif m.end() and (q := text[m.end() - 1]) in _QUOTES and m.end() > m.start():
+                place = m.end() - 1
+                if before >= still.dead[q]:
+                    still.unclosed(place)
+                elif place >= still.dead[q]:  # beyond the line for which it was left out
+                    still.dead[q], at = -1, place
         scopes.append(pairs)
     return scopes
 
