@@ -19,6 +19,7 @@ BLOCK_ROWS = 16
 FINE = 10**12  # units in all, fewer where slots times units would leave 64 bits
 MOST = 4 * 10**18
 CHUNK, LONG_CHUNK = 512, 65536  # slots of a row: the longer, the rarer is a source's turn
+SHORT = 256  # slots whose blocks are gathered in one array
 GROUP_ROWS = 256
 
 #: From units and q, before slot t: done, the blocks each source has had.
@@ -40,18 +41,28 @@ _CHOSEN = """
         a -> a.chosen)
 """
 _DONE = "transform(state, (s, i) -> s.done + if(array_contains(chosen, i), 1L, 0L))"
-#: The block of each slot of a chunk, as (source, its number).
-_EDF = """
+_STEP = """
+    element_at(transform(
+        array(array_min(filter(transform(units, (u, s) ->
+            if((state.done[s] * q) div u <= slot, named_struct('deadline', ((state.done[s] + 1) * q + u - 1) div u, 's', s, 'j', state.done[s]), null)
+        ), e -> e is not null))),
+        p -> named_struct('done', transform(state.done, (d, s) -> if(s = p.s, d + 1, d)), 'picked', concat(state.picked, array(named_struct('s', p.s, 'j', p.j))))
+    ), 1)
+"""
+#: The block of each slot of a chunk, as (source, its number). An array that grows is copied at each step, so slots go by SHORT.
+_EDF = f"""
     aggregate(
-        sequence(t, t + chunk - 1),
-        named_struct('done', done, 'picked', cast(array() as array<struct<s:int,j:bigint>>)),
-        (state, slot) -> element_at(transform(
-            array(array_min(filter(transform(units, (u, s) ->
-                if((state.done[s] * q) div u <= slot, named_struct('deadline', ((state.done[s] + 1) * q + u - 1) div u, 's', s, 'j', state.done[s]), null)
-            ), e -> e is not null))),
-            p -> named_struct('done', transform(state.done, (d, s) -> if(s = p.s, d + 1, d)), 'picked', concat(state.picked, array(named_struct('s', p.s, 'j', p.j))))
+        sequence(t, t + chunk - 1, {SHORT}L),
+        named_struct('done', done, 'picked', cast(array() as array<array<struct<s:int,j:bigint>>>)),
+        (before, lo) -> element_at(transform(
+            array(aggregate(
+                sequence(lo, least(lo + {SHORT - 1}, t + chunk - 1)),
+                named_struct('done', before.done, 'picked', cast(array() as array<struct<s:int,j:bigint>>)),
+                (state, slot) -> {_STEP}
+            )),
+            x -> named_struct('done', x.done, 'picked', concat(before.picked, array(x.picked)))
         ), 1),
-        state -> state.picked
+        state -> flatten(state.picked)
     )
 """
 
