@@ -46,9 +46,19 @@ def terms(text: bytes) -> Iterator[list[bytes]]:
 
 def statistics(docs: DataFrame) -> tuple[int, int]:
     """How many documents have a term, and how many terms all have."""
-    n = F.regexp_count(F.col("text"), F.lit(TERM))
-    row = docs.select(n.cast("long").alias("n")).where("n > 0").agg(F.count("*"), F.sum("n")).first()
-    return row[0], row[1] or 0
+    ready(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        documents = length = 0
+        for batch in batches:
+            for text in binary(batch.column(0)):
+                n = sum(map(len, terms(text or b"")))
+                documents += n > 0
+                length += n
+        yield pa.RecordBatch.from_pydict({"documents": [documents], "length": [length]})
+
+    row = docs.select("text").mapInArrow(run, "documents long, length long").agg(F.sum("documents"), F.sum("length")).first()
+    return row[0] or 0, row[1] or 0
 
 
 def impacts(tf: np.ndarray, n: np.ndarray, documents: int, length: int) -> np.ndarray:
