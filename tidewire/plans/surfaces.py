@@ -37,7 +37,7 @@ def f02_prefix_losses(spark, sf_dir):
     i AS (SELECT *, step - row_number() OVER (PARTITION BY site_id, ray, seen ORDER BY step) AS island FROM s),
     r AS (SELECT site_id, ray, island, min(step) AS lo, max(step) AS hi FROM i WHERE seen GROUP BY 1, 2, 3),
     t AS (SELECT site_id, ray, string_agg(CAST(lo AS VARCHAR) || '-' || CAST(hi AS VARCHAR), ',' ORDER BY lo) AS runs FROM r GROUP BY 1, 2)
-    SELECT s.site_id, CAST(s.ray AS INTEGER) AS ray, (coalesce(min(step) FILTER (WHERE NOT seen), 41) - 1) * 0.5 AS reach_km, max(t.runs) AS runs FROM s JOIN t ON t.site_id = s.site_id AND t.ray = s.ray GROUP BY 1, 2
+    SELECT s.site_id, CAST(s.ray AS INTEGER) AS ray, CAST(coalesce(min(step) FILTER (WHERE NOT seen), 41) - 1 AS DOUBLE) / 2 AS reach_km, max(t.runs) AS runs FROM s JOIN t ON t.site_id = s.site_id AND t.ray = s.ray GROUP BY 1, 2
 """, domain=False)
 def f05_line_of_sight(spark, sf_dir):
     """Ground in sight of a mast at each supplier, along 720 rays."""
