@@ -31,7 +31,7 @@ def test_stages_keep_own_columns_and_empty_tables(spark, rows, tmp_path):
 
 
 def test_queries_are_registered():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 14)] + ["pipeline"]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
 
