@@ -247,8 +247,9 @@ def s07_status_fields(spark, sf_dir):
     them is kept for its raw statistics alone, one without statistics is none."""
     s = status_samples(spark, sf_dir)
     i, battery, uptime = F.col("sample_id"), F.col("battery_mv").cast("string"), F.col("uptime_secs").cast("string")
+    millis = (F.col("uptime_secs") * 1000 + 999).cast("string")  # a number, not digits put after digits: 0999 is no JSON
     stats = F.when(i % 3 == 0, F.concat(F.lit('{"battery_mv":'), battery, F.lit(',"uptime_secs":'), uptime, F.lit("}")))
-    stats = stats.when(i % 3 == 1, F.concat(F.lit('{"batteryMv":"'), battery, F.lit('","uptime_ms":'), uptime, F.lit("999}"))).otherwise(F.lit('{"mqtt":{"queue":1}}'))
+    stats = stats.when(i % 3 == 1, F.concat(F.lit('{"batteryMv":"'), battery, F.lit('","uptime_ms":'), millis, F.lit("}"))).otherwise(F.lit('{"mqtt":{"queue":1}}'))
     j = s.select("sample_id", F.when(i % 5 != 4, stats).alias("stats"))
     return wire.status_fields(j).select("sample_id", F.col("battery_mv").cast("int").alias("battery_mv"), "uptime_secs", "raw_only")
 
