@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import free_space_db, radio_horizon_km
 from ..operators import paths, rf
-from ..operators.relational import either_way, small, within_km
+from ..operators.relational import nearest
 from ..sources.domain import AS_OF, aliases, as_of, nodes, packets, read, status_samples
 from ..sources.sinks import archive
 from .registry import query
@@ -43,9 +43,9 @@ _KM = "2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians(y.lat - x.lat) / 2), 2)
 """)
 def f10_site_links(spark, sf_dir):
     """The five peers of least free-space loss within 200 km of each site."""
-    l = either_way(within_km(nodes(spark, sf_dir), 200, "n").where("km > 0")).withColumn("loss", free_space_db(F.col("km")))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.round("loss", 6), "peer"))
-    return l.withColumn("r", rank).where("r <= 5").select(F.col("node").alias("site"), "peer", F.round("km", 4).alias("km"), F.round("loss", 4).alias("loss_db"))
+    n, loss = nodes(spark, sf_dir).select("n", "lat", "lon"), lambda km: F.round(free_space_db(km), 6)
+    l = nearest(n, n, 5, 200, "n", loss, apart=True)
+    return l.select(F.col("n").alias("site"), "peer", F.round("km", 4).alias("km"), F.round(free_space_db(F.col("km")), 4).alias("loss_db"))
 
 
 @query("SELECT p_partkey AS id, round((sqrt(5.0) + sqrt(1.5 + p_size)) * sqrt(2 * 6371.0 * 1000 * 4 / 3) / 1000, 4) AS km FROM part", domain=False)
