@@ -43,7 +43,8 @@ def _ranked(rows: str, given: str, of: str, k: int) -> str:
 def _found(spark, sf_dir):
     """Packets with their hops named; nodes closer than 30 km count as linked."""
     placed = nodes(spark, sf_dir).withColumn("elevation_m", F.when(F.col("n") % 5 != 0, (F.col("n") * 29 % 400).cast("double")))
-    return learning.resolved(packets(spark, sf_dir), placed, within_km(placed, 30))
+    p = packets(spark, sf_dir)
+    return learning.resolved(p, placed, within_km(learning.on_paths(placed, p), 30))
 
 
 def _routes(spark, sf_dir):
