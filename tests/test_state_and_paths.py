@@ -318,3 +318,21 @@ def test_line_of_sight_matches_a_plain_loop(spark):
                 k += 1
             first = seen.index(False) if False in seen else steps
             assert got[i, ray] == (first * 0.5, ",".join(runs))
+
+
+def test_state_is_of_parts_not_of_keys(spark, tmp_path, monkeypatch):
+    """400 packets in 4 parts: Spark keeps a few values for each part, where it kept several for each packet."""
+    monkeypatch.setattr(stateful, "PARTS", 4)
+    own = stateful.state_session(spark)
+    own.conf.set("spark.sql.shuffle.partitions", "2")
+    given, out = str(tmp_path / "in"), str(tmp_path / "out")
+    i = F.col("id")
+    rows = own.range(400).select(F.lit("n").alias("network"), F.concat(F.lit("p"), i.cast("string")).alias("packet_hash"), F.timestamp_millis(F.lit(T0) + i).cast("timestamp_ntz").alias("time"), F.lit("o").alias("rx_node_id"), F.lit(1).alias("hop_count"))
+    rows.coalesce(1).write.parquet(given)
+    rows.limit(1).withColumns({"packet_hash": F.lit("end"), "time": F.timestamp_millis(F.lit(T0 + 9_000_000)).cast("timestamp_ntz")}).write.mode("append").parquet(given)
+    s = own.readStream.schema(own.read.parquet(given).schema).option("maxFilesPerTrigger", 1).parquet(given)
+    q = stateful.propagation(s).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert own.read.parquet(out).where("packet_hash != 'end'").count() == 400
+    kept = [o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]]
+    assert kept and max(kept) < 100

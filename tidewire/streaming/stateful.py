@@ -6,7 +6,10 @@ doesn't depend on how the rows were dealt over batches, nor on a restart. Each h
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +22,8 @@ WINDOW_MS, KNOWN_MS = 60_000, 600_000
 FLOOD, MINUTE_MS, ROTATION, NAMES_MS = 30, 60_000, 3, 1_800_000
 #: How long a held result lives after its last refinement, the hops it may hold, and the confidence that refines it.
 HELD_MS, HELD_HOPS, CONFIDENT = 1_800_000, 64, 0.6
+#: The parts that keys are dealt to by hash, and the rows of a part that are kept or told at once.
+PARTS, PART_ROWS = 1024, 10_000
 
 
 def state_session(spark: SparkSession) -> SparkSession:
@@ -30,30 +35,37 @@ def state_session(spark: SparkSession) -> SparkSession:
     return own
 
 
+def _packed(rows: list) -> bytes:
+    return zlib.compress(json.dumps(rows, separators=(",", ":")).encode(), 1)
+
+
+def _unpacked(text: bytes) -> list:
+    return json.loads(zlib.decompress(bytes(text)))
+
+
 class InOrder(StatefulProcessor):
-    """Keeps a key's rows until the watermark has passed their times, then hands them to ``step`` in order of time.
+    """Keeps rows until the watermark has passed their times, then hands each key's to ``step`` in order of time.
 
-    ``rows``: schema of what is kept of a row, with ``ms`` first. ``step`` takes the rows due and the time up to which all
-    rows are known, updates the state, and gives back rows of output and the time at which to call again without rows, if any.
+    ``keys`` and ``rows``: the columns of a key and what is kept of a row, with ``ms`` first. ``step`` takes a key, what was held
+    of it (none: None), its rows due and the time up to which all rows are known, and gives back rows of output, what to hold
+    (as JSON can) and the time at which to call again without rows, if any. Spark's state is of a part, not of a key: the rows
+    and states of a part's keys are read and written together, so a batch costs by its rows, however many keys they have.
     """
 
-    rows: str
+    keys: list[str]
+    rows: list[str]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.names = [f.strip().split(" ")[0] for f in self.rows.split(",")]
-        self.waiting = handle.getListState("waiting", self.rows)
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.held = handle.getValueState("held", "keys binary")
         self.alarm = handle.getValueState("alarm", "ms long")
-        self.open(handle)
-
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        raise NotImplementedError
 
-    def step(self, key: tuple, due: pd.DataFrame, until: int) -> tuple[list[tuple], int | None]:
+    def step(self, key: tuple, held: list | None, due: list[list], until: int) -> tuple[list[tuple], list | None, int | None]:
         raise NotImplementedError
 
     def _ring(self, at: int | None) -> None:
-        """One timer for each key: at the first row that waits, or when its state has to be looked at."""
+        """One timer for each part: at the first row that waits, or when a key's state has to be looked at."""
         old = self.alarm.get()
         if old is not None and (at is None or old[0] != at):
             self.handle.deleteTimer(old[0])
@@ -65,7 +77,7 @@ class InOrder(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for frame in rows:
-            self.waiting.appendList([tuple(r) for r in frame[self.names].itertuples(index=False)])
+            self.waiting.appendValue((_packed(list(zip(*(frame[c].tolist() for c in (*self.keys, *self.rows))))),))
             least = int(frame["ms"].min())
             first = least if first is None else min(first, least)
         old = self.alarm.get()
@@ -74,19 +86,35 @@ class InOrder(StatefulProcessor):
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = int(timerValues.getCurrentWatermarkInMs())
-        frame = pd.DataFrame([tuple(r) for r in self.waiting.get()], columns=self.names).sort_values(self.names, kind="stable")
-        due, later = frame[frame["ms"] <= until], frame[frame["ms"] > until]
-        if len(later):
-            self.waiting.put([tuple(r) for r in later.itertuples(index=False)])
+        until, k = int(timerValues.getCurrentWatermarkInMs()), len(self.keys)
+        due: dict[tuple, list] = {}
+        later = []
+        for (chunk,) in self.waiting.get():
+            for row in _unpacked(chunk):
+                if row[k] <= until:
+                    due.setdefault(tuple(row[:k]), []).append(row[k:])
+                else:
+                    later.append(row)
+        old = self.held.get()
+        held = {tuple(of): (again, state) for of, again, state in (_unpacked(old[0]) if old is not None else ())}
+        made = []
+        for of in [*due, *(of for of, (again, _) in held.items() if again <= until and of not in due)]:
+            told, state, again = self.step(of, held.pop(of, (None, None))[1], sorted(due.get(of, ()), key=lambda r: [(x is None, x) for x in r]), until)
+            made += told
+            if state is not None:
+                held[of] = (again, state)
+        self.waiting.clear()
+        for i in range(0, len(later), PART_ROWS):
+            self.waiting.appendValue((_packed(later[i : i + PART_ROWS]),))
+        if held:
+            self.held.update((_packed([(of, *h) for of, h in held.items()]),))
         else:
-            self.waiting.clear()
+            self.held.clear()
         self.alarm.clear()
-        made, again = self.step(key, due, until)
-        times = [t for t in (again, int(later["ms"].min()) if len(later) else None) if t is not None]
+        times = [again for again, _ in held.values()] + [row[k] for row in later]
         self._ring(max(min(times), until + 1) if times else None)
-        if made:
-            yield pd.DataFrame(made, columns=self.output)
+        for i in range(0, len(made), PART_ROWS):
+            yield pd.DataFrame(made[i : i + PART_ROWS], columns=self.output)
 
     def close(self) -> None:
         pass
@@ -98,133 +126,104 @@ class Propagation(InOrder):
     A later sighting changes nothing until KNOWN_MS after the first; after that the packet counts as a new one.
     """
 
-    rows = "ms long, observer string, hops int"
+    keys = ["network", "packet_hash"]
+    rows = ["ms", "observer", "hops"]
     output = ["network", "packet_hash", "first_ms", "observers", "sightings", "most_hops"]
     schema = "network string, packet_hash string, first_ms long, observers array<string>, sightings long, most_hops int"
 
-    def open(self, handle):
-        self.seen = handle.getMapState("seen", "observer string", "hops int, sightings long")
-        self.first = handle.getValueState("first", "ms long, told boolean")
-
-    def _tell(self, key, first):
-        seen = [(k[0], v[0], v[1]) for k, v in self.seen.iterator()]
-        self.seen.clear()
-        self.first.update((first, True))
-        return (*key, first, sorted(k for k, _, _ in seen), sum(n for _, _, n in seen), max(h for _, h, _ in seen))
-
-    def step(self, key, due, until):
-        made, held = [], self.first.get()
-        first, told = (held[0], held[1]) if held is not None else (None, False)
-        for ms, observer, hops in due.itertuples(index=False):
+    def step(self, key, held, due, until):
+        made = []
+        first, told, seen = held if held is not None else (None, False, {})
+        tell = lambda: made.append((*key, first, sorted(seen), sum(n for _, n in seen.values()), max(h for h, _ in seen.values())))
+        for ms, observer, hops in due:
             if first is not None and not told and ms > first + WINDOW_MS:
-                made.append(self._tell(key, first))
-                told = True
+                tell()
+                told, seen = True, {}
             if first is None or ms > first + KNOWN_MS:
                 first, told = ms, False
-                self.first.update((first, False))
             if not told:
-                old = self.seen.getValue((observer,)) if self.seen.containsKey((observer,)) else (0, 0)
-                self.seen.updateValue((observer,), (max(int(hops), old[0]), old[1] + 1))
+                most, n = seen.get(observer, (0, 0))
+                seen[observer] = (max(hops, most), n + 1)
         if first is not None and not told and until >= first + WINDOW_MS:
-            made.append(self._tell(key, first))
-            told = True
-        if first is not None and told and until > first + KNOWN_MS:
-            self.first.clear()
-            first = None
-        again = None if first is None else first + WINDOW_MS if not told else first + KNOWN_MS + 1
-        return made, again
+            tell()
+            told, seen = True, {}
+        if first is None or (told and until > first + KNOWN_MS):
+            return made, None, None
+        return made, [first, told, seen], first + KNOWN_MS + 1 if told else first + WINDOW_MS
 
 
 class AdvertRates(InOrder):
     """For each advert how many its sender made in the last minute, itself and those of the same moment included, and how many
     names it used in the last half hour; times and names older than that are forgotten."""
 
-    rows = "ms long, id long, name string"
+    keys = ["sender"]
+    rows = ["ms", "id", "name"]
     output = ["sender", "id", "in_minute", "names", "flood", "rotation"]
     schema = "sender string, id long, in_minute long, names long, flood boolean, rotation boolean"
 
-    def open(self, handle):
-        self.times = handle.getListState("times", "ms long")
-        self.named = handle.getMapState("named", "name string", "ms long")
-
-    def step(self, key, due, until):
-        made, times = [], [r[0] for r in self.times.get()] if self.times.exists() else []
-        named = {k[0]: v[0] for k, v in self.named.iterator()} if self.named.exists() else {}
-        for ms, now in due.groupby("ms", sort=True):
+    def step(self, key, held, due, until):
+        made = []
+        times, named = held if held is not None else ([], {})
+        for ms, rows in groupby(due, key=lambda r: r[0]):
+            now = list(rows)
             times = [t for t in times if ms - t < MINUTE_MS] + [ms] * len(now)
-            named = {n: t for n, t in named.items() if ms - t <= NAMES_MS} | {n: ms for n in now["name"]}
-            made += [(*key, int(i), len(times), len(named), len(times) > FLOOD, len(named) > ROTATION) for i in now["id"]]
+            named = {n: t for n, t in named.items() if ms - t <= NAMES_MS} | {n: ms for _, _, n in now}
+            made += [(*key, int(i), len(times), len(named), len(times) > FLOOD, len(named) > ROTATION) for _, i, _ in now]
         times = [t for t in times if until - t < MINUTE_MS]
-        kept = {n: t for n, t in named.items() if until - t <= NAMES_MS}
-        if times:
-            self.times.put([(int(t),) for t in times])
-        else:
-            self.times.clear()
-        self.named.clear()
-        for n, t in kept.items():
-            self.named.updateValue((n,), (int(t),))
-        return made, max(kept.values()) + NAMES_MS + 1 if kept else None
+        named = {n: t for n, t in named.items() if until - t <= NAMES_MS}
+        return made, [times, named] if named else None, max(named.values()) + NAMES_MS + 1 if named else None
 
 
 class HeldResults(InOrder):
     """What is known of a packet's hops: confident results refine it hop by hop, the latest counts. HELD_MS after the last
     refinement it is told and forgotten. Of more than HELD_HOPS hops those that came first are held."""
 
-    rows = "ms long, hash string, node string"
+    keys = ["network", "packet_hash"]
+    rows = ["ms", "hash", "node"]
     output = ["network", "packet_hash", "first_ms", "last_ms", "refinements", "hops"]
     schema = "network string, packet_hash string, first_ms long, last_ms long, refinements long, hops array<string>"
 
-    def open(self, handle):
-        self.nodes = handle.getMapState("nodes", "hash string", "node string")
-        self.life = handle.getValueState("life", "first long, last long, n long")
-
-    def step(self, key, due, until):
-        made, life = [], self.life.get()
-        first, last, n = life if life is not None else (None, None, 0)
-        nodes = {k[0]: v[0] for k, v in self.nodes.iterator()} if life is not None else {}
-        for ms, hash, node in due.itertuples(index=False):
+    def step(self, key, held, due, until):
+        made = []
+        first, last, n, nodes = held if held is not None else (None, None, 0, {})
+        tell = lambda: made.append((*key, first, last, n, sorted(f"{h}={v}" for h, v in nodes.items())))
+        for ms, hash, node in due:
             if last is not None and ms - last > HELD_MS:
-                made.append((*key, first, last, n, sorted(f"{h}={v}" for h, v in nodes.items())))
+                tell()
                 first, n, nodes = None, 0, {}
             first, last = (ms if first is None else first), ms
             n += 1
             if hash in nodes or len(nodes) < HELD_HOPS:
                 nodes[hash] = node
-        if last is not None and until > last + HELD_MS:
-            made.append((*key, first, last, n, sorted(f"{h}={v}" for h, v in nodes.items())))
-            last, nodes = None, {}
-        self.nodes.clear()
-        if last is None:
-            self.life.clear()
-            return made, None
-        self.life.update((int(first), int(last), int(n)))
-        for h, v in nodes.items():
-            self.nodes.updateValue((h,), (v,))
-        return made, last + HELD_MS + 1
+        if until > last + HELD_MS:
+            tell()
+            return made, None, None
+        return made, [first, last, n, nodes], last + HELD_MS + 1
 
 
 def _millis(column: str = "time"):
     return F.unix_millis(F.col(column).cast("timestamp"))
 
 
-def _run(stream: DataFrame, keys: list[str], processor: InOrder, delay: str) -> DataFrame:
-    kept = stream.withColumn("at", F.col("time").cast("timestamp")).withWatermark("at", delay)
-    return kept.groupBy(*keys).transformWithStateInPandas(processor, processor.schema, "append", "eventTime")
+def _run(stream: DataFrame, processor: InOrder, delay: str) -> DataFrame:
+    part = F.pmod(F.xxhash64(*processor.keys), F.lit(PARTS))
+    kept = stream.withColumns({"part": part, "at": F.col("time").cast("timestamp")}).withWatermark("at", delay)
+    return kept.groupBy("part").transformWithStateInPandas(processor, processor.schema, "append", "eventTime")
 
 
 def propagation(stream: DataFrame, delay: str = "2 minutes") -> DataFrame:
     """The Propagation of a stream's network, packet_hash, time, rx_node_id and hop_count; rows without one of the first four don't count."""
     s = stream.where("network is not null and packet_hash is not null and time is not null and rx_node_id is not null")
-    return _run(s.select("network", "packet_hash", "time", _millis().alias("ms"), F.col("rx_node_id").alias("observer"), F.coalesce("hop_count", F.lit(0)).alias("hops")), ["network", "packet_hash"], Propagation(), delay)
+    return _run(s.select("network", "packet_hash", "time", _millis().alias("ms"), F.col("rx_node_id").alias("observer"), F.coalesce("hop_count", F.lit(0)).alias("hops")), Propagation(), delay)
 
 
 def advert_rates(stream: DataFrame, delay: str = "2 minutes") -> DataFrame:
     """The AdvertRates of a stream's sender, id, name and time; a missing name is the empty one."""
     s = stream.where("sender is not null and time is not null").select("sender", "time", _millis().alias("ms"), "id", F.coalesce("name", F.lit("")).alias("name"))
-    return _run(s, ["sender"], AdvertRates(), delay)
+    return _run(s, AdvertRates(), delay)
 
 
 def held_results(stream: DataFrame, delay: str = "2 minutes", confident: float = CONFIDENT) -> DataFrame:
     """The HeldResults of a stream's network, packet_hash, time, hash, node and confidence."""
     s = stream.where((F.col("confidence") >= confident) & F.expr("network is not null and packet_hash is not null and time is not null and hash is not null and node is not null"))
-    return _run(s.select("network", "packet_hash", "time", _millis().alias("ms"), "hash", "node"), ["network", "packet_hash"], HeldResults(), delay)
+    return _run(s.select("network", "packet_hash", "time", _millis().alias("ms"), "hash", "node"), HeldResults(), delay)
