@@ -5,7 +5,7 @@ from __future__ import annotations
 from math import asin, cos, radians, sin, sqrt
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import haversine_km
@@ -26,6 +26,8 @@ def name_tokens(name):
 COMMON = ("REPEATER", "NODE")
 LEAST_ADVERTS, HANDOVER_DAYS, SAME_NAME, NEAR_NIBBLES = 3, 14, 0.6, 1
 MOST_OF_A_NAME = 3000
+#: Ids of a name with one half that are paired by it.
+MOST_OF_A_HALF = 64
 
 
 def assess(nodes: DataFrame, evidence: DataFrame, heard: DataFrame, test: str = "test") -> DataFrame:
@@ -90,14 +92,20 @@ def _assessed(p: DataFrame, e: DataFrame, heard: DataFrame, test: str) -> DataFr
 def accepted_pairs(nodes: DataFrame, evidence: DataFrame, heard: DataFrame, test: str = "test") -> DataFrame:
     """The accepted pairs of ``assess``, of names however common: pairs meet by what can make them accepted.
 
-    Ids a digit apart share a mask; those heard of one another are given; a takeover meets in cells of HANDOVER_DAYS of a name and
+    Ids a digit apart share one of their halves; where many share a half, they meet by masks of a digit. Those heard of one another are given; a takeover meets in cells of HANDOVER_DAYS of a name and
     network; a bare id meets the one active node of its name. Only pairs that meet are assessed, so a name's devices aren't all
     paired.
     """
-    e = _prepared(nodes, evidence)
-    mask = F.transform(F.sequence(F.lit(1), F.length("node_id")), lambda i: F.concat(F.substr("node_id", F.lit(1), i - 1), F.lit("_"), F.substr("node_id", i + 1)))
-    masked = e.where("lat is not null").select("node_id", "bucket", F.explode(mask).alias("mask"))
-    meet = masked.withColumnRenamed("node_id", "x").join(masked.withColumnRenamed("node_id", "y"), ["bucket", "mask"]).where("x < y").select("x", "y")
+    shared_folder(nodes.sparkSession)
+    e = _prepared(nodes, evidence).checkpoint()  # read many times below
+    id = F.upper("node_id")
+    halves = F.explode(F.array(F.concat(F.lit("<"), F.substring(id, 1, 32)), F.concat(F.lit(">"), F.substring(id, 33, 32)))).alias("key")
+    placed = e.where("lat is not null").select("node_id", "bucket", halves).withColumn("n", F.count("*").over(Window.partitionBy("bucket", "key")))
+    few = placed.where(F.col("n").between(2, MOST_OF_A_HALF)).select("node_id", "bucket", "key")
+    mask = F.transform(F.sequence(F.lit(1), F.length(id)), lambda i: F.concat(F.substr(id, F.lit(1), i - 1), F.lit("_"), F.substr(id, i + 1)))
+    many = placed.where(F.col("n") > MOST_OF_A_HALF).select("node_id", "bucket").distinct().select("node_id", "bucket", F.explode(mask).alias("key"))
+    keyed = few.union(many)
+    meet = keyed.withColumnRenamed("node_id", "x").join(keyed.withColumnRenamed("node_id", "y"), ["bucket", "key"]).where("x < y").select("x", "y")
     meet = meet.union(heard.where(F.col("adverts") >= LEAST_ADVERTS).select("a", "b"))
     cell = lambda t: F.floor(F.unix_micros(F.col(t).cast("timestamp")) / (HANDOVER_DAYS * 86_400_000_000))
     sent = e.where(F.col("self_adverts") >= LEAST_ADVERTS)
