@@ -95,3 +95,31 @@ def test_near_copies_are_those_of_exact_similarity(spark):
     # no document goes without a link; a link just above the limit is missed with a chance of MISS
     assert len(kept) == len(got) + 2 and want <= got and len(got - want) <= 0.03 * len(texts)
     assert corpus_pipeline.keep_one_of_near_copies(spark, df.limit(0), "").count() == 0
+
+
+def test_texts_alike_but_below_the_limit_meet_by_all_bits(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for n in range(120):
+        own = list(base)
+        for at in rng.sample(range(150), 8):
+            own[at] = f"e{n}"
+        texts.append(" ".join(own))
+    fps = [int.from_bytes(simhash_dedup.wide_fingerprint(simhash_dedup.shingle_set(t.encode())), "little") for t in texts]
+    apart = [(a ^ b).bit_count() for i, a in enumerate(fps) for b in fps[:i]]
+    seen, made = {}, simhash_dedup.grouped
+
+    def watched(nodes, layout, width, head_limit, limit, least, verify):
+        def count(pairs):
+            seen.setdefault("pairs", []).append(pairs.count())
+            return verify(pairs)
+
+        seen["limit"] = limit
+        return made(nodes, layout, width, head_limit, limit, least, count)
+
+    monkeypatch.setattr(simhash_dedup, "grouped", watched)
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), "")
+    assert kept.count() == 120
+    assert sum(x <= seen["limit"] for x in apart) < 0.5 * len(apart)
+    assert seen["pairs"][1] <= sum(x <= seen["limit"] for x in apart)

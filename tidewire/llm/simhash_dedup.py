@@ -30,6 +30,7 @@ STAR_KEYS = 12  # groups of bits whose buckets find the hubs
 HUBS = 256, 4096  # hubs that every node is compared with, and the nodes they are chosen from: the most popular ones
 BROADCAST_SETS = 1 << 25  # bytes of shingle sets that are broadcast at most; more of them meet their pairs by shuffle
 SALT_ROWS = 2048  # of a bucket's nodes that one task compares with the bucket
+FULL_KEYS = 512  # of the fullest buckets, whose nodes bring all their bits to the comparison
 
 
 def fingerprint(text: bytes | None, piece: int = 1 << 16) -> int:
@@ -265,6 +266,11 @@ def to_hubs(nodes: DataFrame, hubs: tuple[np.ndarray, np.ndarray], limit: int) -
     return nodes.select("node", "bits").mapInArrow(run, "node long, hub long")
 
 
+def _word(bits: str, k: int) -> Column:
+    """The k-th 64 bits of a binary column as a long."""
+    return F.conv(F.hex(F.substring(bits, 8 * k + 1, 8)), 16, -10).cast("long")
+
+
 def grouped(nodes: DataFrame, layout: list[tuple[list[int], int]], width: int, head_limit: int, limit: int, least: float, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """node and group, the least node reachable, of every node.
 
@@ -272,8 +278,9 @@ def grouped(nodes: DataFrame, layout: list[tuple[list[int], int]], width: int, h
     bits. A candidate pair shares a key, is near in head, tail and size, and has to pass ``verify``. A large set of near
     copies falls into one label first: what copies change differs, so the text they come from shares most buckets with
     most nodes, and each node is compared with two such hubs, one of a few for all and one of its own buckets. Then, in
-    all groups of bits, the nodes of a bucket outside of its largest label are compared with all others there. So pairs
-    inside a set of copies aren't made, and no link between labels is lost. Large buckets are salted.
+    all groups of bits, the nodes of a bucket outside of its largest label are compared with all others there, each pair once.
+    So pairs inside a set of copies aren't made, and no link between labels is lost. Large buckets are salted. The fullest
+    ones, where texts alike but less than ``least`` meet, compare all bits at once: such pairs aren't made either.
     """
     shown = ["node", "head", "tail", "n"]
 
@@ -298,14 +305,27 @@ def grouped(nodes: DataFrame, layout: list[tuple[list[int], int]], width: int, h
     label = components(verify(star.select(*ordered("node", "hub")).distinct())).select(F.col("id").alias("node"), F.col("component").alias("label"))
     size = label.groupBy("label").agg(F.count("*").alias("size"))
     labelled = nodes.drop("copies").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")).join(size, "label", "left").fillna(1, ["size"]).checkpoint()
-    keyed = _keyed(labelled.select(*shown, "label", "bits"), layout, width)
     tops = _keyed(labelled.select("label", "size", "bits"), layout, width).groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max(F.struct("size", "label")).alias("top"), F.max("label").alias("high"))
-    tops = tops.where("low != high").select("key", F.ceil(F.col("m") / SALT_ROWS).cast("int").alias("salts"), F.col("top.label").alias("top"))
-    mixed = keyed.join(tops, "key")
-    ask = mixed.where("label != top").select("key", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), "label", *shown)
-    all_ = mixed.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.struct("label", *shown).alias("other"))
-    pairs = ask.join(all_, ["key", "salt"]).where((F.col("label") != F.col("other.label")) & close("other"))
-    links = verify(pairs.select(*ordered("node", "other.node")).distinct())
+    tops = tops.where("low != high").select("key", "m", F.ceil(F.col("m") / SALT_ROWS).cast("int").alias("salts"), F.col("top.label").alias("top")).checkpoint()
+
+    def met(keyed: DataFrame, tops: DataFrame, near: Column) -> DataFrame:
+        values = [c for c in keyed.columns if c != "key"]
+        mixed = keyed.join(tops.drop("m"), "key")
+        ask = mixed.where("label != top").select("key", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), "top", *values)
+        all_ = mixed.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.struct(*values).alias("other"))
+        once = (F.col("other.label") == F.col("top")) | (F.col("node") < F.col("other.node"))  # others outside of the largest label ask too
+        return ask.join(all_, ["key", "salt"]).where((F.col("label") != F.col("other.label")) & once & close("other") & near).select(*ordered("node", "other.node"))
+
+    own = labelled.select(*shown, "label", "bits")
+    if width <= 128:  # head and tail are all bits
+        pairs = met(_keyed(own, layout, width), tops, F.lit(True))
+    else:
+        full = tops.orderBy(F.desc("m"), "key").limit(FULL_KEYS).checkpoint()
+        words = F.array(*[_word("bits", k) for k in range(width // 64)])
+        alike = sum((F.bit_count(F.get("words", k).bitwiseXOR(F.get("other.words", k))) for k in range(width // 64)), F.lit(0)) <= limit
+        pairs = met(_keyed(own, layout, width), tops.join(F.broadcast(full.select("key")), "key", "left_anti"), F.lit(True))
+        pairs = pairs.union(met(_keyed(own.withColumn("words", words), layout, width).join(F.broadcast(full.select("key")), "key", "left_semi"), F.broadcast(full), alike))
+    links = verify(pairs.distinct())
     of = labelled.select("node", "label")
     links = links.join(of.withColumnsRenamed({"node": "a", "label": "x"}), "a").join(of.withColumnsRenamed({"node": "b", "label": "y"}), "b")
     merged = components(links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()).withColumnRenamed("id", "label")
@@ -396,7 +416,7 @@ def near_copies(df: DataFrame, least: float = LEAST, miss: float = MISS) -> Data
 
     found = df.mapInArrow(sign, T.StructType([df.schema["doc_id"]]).add("node", "long").add("n", "long").add("bits", "binary")).checkpoint()
     nodes = found.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies")).checkpoint()
-    head, tail = (F.conv(F.hex(F.substring("bits", k, 8)), 16, -10).cast("long") for k in (1, 9))
+    head, tail = (_word("bits", k) for k in range(2))
 
     def both(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
         left, right = (values.select(F.col("node").alias(x), F.col(column).alias(f"{column}_{x}")) for x in "ab")
