@@ -411,6 +411,8 @@ def n19_message_similarity(spark, sf_dir):
     """How alike a message and the next one are: by edits, trigrams and words."""
     plain = lambda c: F.lower(F.regexp_replace(c, "[^ -~]", ""))
     nxt = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    m = messages(spark, sf_dir).select("conv_id", "turn", plain(F.col("text")).alias("a"), plain(nxt).alias("b")).where("b is not null")
+    # few bytes and much work: dealt out by count, or few tasks would compare them all
+    m = messages(spark, sf_dir).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), "conv_id")
+    m = m.select("conv_id", "turn", plain(F.col("text")).alias("a"), plain(nxt).alias("b")).where("b is not null")
     none = F.array().cast("array<string>")
     return m.select("conv_id", "turn", F.round(text.message_similarity(F.col("a"), F.col("b"), none, none), 6).alias("similarity"))
