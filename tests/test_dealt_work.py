@@ -22,3 +22,9 @@ def test_prefixes_are_looked_up_whatever_their_number_and_form(spark):
     out = with_privacy(packets, many)
     assert "getbit" in out._jdf.queryExecution().optimizedPlan().toString()
     assert {r.id: r.visible for r in out.collect()} == {1: False, 2: False, 3: True, 4: True, 5: True, 6: True, 7: False, 8: False, 9: True, 10: True, 11: True}
+
+
+def test_paths_are_resolved_once_for_motifs_of_both_lengths(spark):
+    out = QUERIES["l02_node_motifs"](spark, "/root/testdata/sf0.001")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    assert [f.dataType.simpleString() for f in out.schema] == ["string", "int", "int", "string", "bigint", "double"]
