@@ -142,8 +142,9 @@ def _learned(spark, sf_dir):
     """What path learning says of all packets; nodes closer than 30 km count as viable links."""
     shared_folder(spark)
     p, n = packets(spark, sf_dir), nodes(spark, sf_dir).withColumn("elevation_m", F.lit(None).cast("double"))
-    near = within_km(learning.on_paths(n, p), 30).checkpoint()
-    found = learning.routes(learning.resolved(p, n, near)).checkpoint()
+    ways = learning.travelled(p)
+    near = within_km(learning.on_paths(n, ways), 30).checkpoint()
+    found = learning.routes(learning.resolved(ways, n, near)).checkpoint()
     return paths.Evidence(
         learning.prefix_priors(found), learning.position_priors(found), learning.corridor_priors(found), learning.node_transitions(found), learning.position_transitions(found), near
     )

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import flat_km
 from ..operators import learning
-from ..operators.relational import within_km
-from ..sources.domain import AS_OF, as_of, nodes, packets
+from ..operators.relational import spread, within_km
+from ..sources.domain import AS_OF, as_of, nodes, observations, read
+from ..sources.sinks import shared_folder
 from .registry import query
 
 _NOW = f"TIMESTAMP '{AS_OF}'"
@@ -40,15 +41,27 @@ def _ranked(rows: str, given: str, of: str, k: int) -> str:
     """
 
 
-def _found(spark, sf_dir):
-    """Packets with their hops named; nodes closer than 30 km count as linked."""
+def _resolved(spark, sf_dir, p, ways):
+    """Packets with their hops named, all of whose ways are among ``ways``; nodes closer than 30 km count as linked."""
     placed = nodes(spark, sf_dir).withColumn("elevation_m", F.when(F.col("n") % 5 != 0, (F.col("n") * 29 % 400).cast("double")))
-    p = packets(spark, sf_dir)
-    return learning.resolved(p, placed, within_km(learning.on_paths(placed, p), 30))
+    placed = learning.on_paths(placed, ways, sources=True).checkpoint()
+    return learning.resolved(p, placed, within_km(placed, 30))
+
+
+def _packets(spark, sf_dir):
+    return observations(spread(read(spark, sf_dir, "events")))
+
+
+def _found(spark, sf_dir):
+    shared_folder(spark)
+    p = _packets(spark, sf_dir)
+    return _resolved(spark, sf_dir, p, p.select("src_node_id", "rx_node_id", "path_hashes").distinct().checkpoint())
 
 
 def _routes(spark, sf_dir):
-    return learning.routes(_found(spark, sf_dir))
+    """The routes of all packets, those of one way as one row."""
+    p = learning.travelled(_packets(spark, sf_dir))
+    return learning.routes(_resolved(spark, sf_dir, p, p))
 
 
 @query()
@@ -102,7 +115,7 @@ def l02_position_transitions(spark, sf_dir):
 def l03_directed_edges(spark, sf_dir):
     steps = learning.verified_steps(_routes(spark, sf_dir))
     a, b = F.least("src", "dst"), F.greatest("src", "dst")
-    pair = steps.where("src != dst").groupBy(a.alias("a"), b.alias("b")).agg(F.count_if(F.col("src") < F.col("dst")).alias("a_to_b"), F.count_if(F.col("src") > F.col("dst")).alias("b_to_a"))
+    pair = steps.where("src != dst").groupBy(a.alias("a"), b.alias("b")).agg(F.sum(F.when(F.col("src") < F.col("dst"), F.col("n")).otherwise(0)).alias("a_to_b"), F.sum(F.when(F.col("src") > F.col("dst"), F.col("n")).otherwise(0)).alias("b_to_a"))
     side = lambda s: nodes(spark, sf_dir).select(F.col("node_id").alias(s), F.col("lat").alias(f"lat_{s}"), F.col("lon").alias(f"lon_{s}"))
     n = F.col("a_to_b") + F.col("b_to_a")
     linked = pair.join(side("a"), "a").join(side("b"), "b").withColumns({"loss_db": F.when(n % 3 != 0, (n % 45 + 120).cast("double")), "km": flat_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))})
